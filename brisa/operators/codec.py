@@ -84,12 +84,26 @@ _DECODED_TYPE = T.StructType(
 )
 
 
+def _py_values(a: pa.Array) -> list:
+    """Python values of an Arrow array, None where null (fast path via numpy)."""
+    if a.null_count == 0 and pa.types.is_floating(a.type):
+        return a.to_numpy(zero_copy_only=False).tolist()
+    return a.to_pylist()
+
+
 def _encode_batch(*arrays: pa.Array) -> pa.Array:
     cls = message_class()
-    names = _NAMES
-    out = []
-    for row in zip(*(a.to_pylist() for a in arrays)):
-        out.append(cls(**{k: v for k, v in zip(names, row) if v is not None}).SerializeToString())
+    n = len(arrays[0]) if arrays else 0
+    # Columns that are null in the whole batch contribute nothing to the payload.
+    live = [(name, _py_values(a)) for name, a in zip(_NAMES, arrays) if a.null_count < n]
+    out = [b""] * n
+    for i in range(n):
+        msg = cls()
+        for name, values in live:
+            v = values[i]
+            if v is not None:
+                setattr(msg, name, v)
+        out[i] = msg.SerializeToString()
     return pa.array(out, type=pa.binary())
 
 
@@ -97,31 +111,25 @@ def _decode_batch(values: pa.Array, failfast: bool) -> pa.Array:
     from google.protobuf.message import DecodeError
 
     cls = message_class()
-    cols: list[list] = [[] for _ in _NAMES]
-    ok: list[bool] = []
-    for payload in values.to_pylist():
-        fields = None
-        if payload is None:
+    n = len(values)
+    cols: list[list] = [[None] * n for _ in _NAMES]
+    cols[0] = [0] * n    # objectid: no presence, absent reads as 0
+    cols[1] = [""] * n   # data: no presence, absent reads as ""
+    ok = [True] * n
+    for i, payload in enumerate(values.to_pylist()):
+        try:
+            if payload is None:
+                raise DecodeError("null payload (tombstone)")
+            fields = cls.FromString(payload).ListFields()
+        except DecodeError:
             if failfast:
-                raise ValueError("null payload (tombstone) cannot be decoded")
-        else:
-            try:
-                msg = cls.FromString(payload)
-                fields = {fd.name: v for fd, v in msg.ListFields()}
-            except DecodeError:
-                if failfast:
-                    raise
-        if fields is None:
-            ok.append(False)
-            for c in cols:
-                c.append(None)
+                raise
+            ok[i] = False
+            cols[0][i] = None
+            cols[1][i] = None
             continue
-        ok.append(True)
-        for c, name, optional in zip(cols, _NAMES, _OPTIONAL):
-            if optional:
-                c.append(fields.get(name))
-            else:  # no presence on the wire: absent reads as the type default
-                c.append(fields.get(name, 0 if name == "objectid" else ""))
+        for fd, v in fields:
+            cols[fd.index][i] = v
     arrays = [pa.array(c, type=_ARROW_TYPES[type(t)]) for c, (_, t, _) in zip(cols, READING_FIELDS)]
     arrays.append(pa.array(ok, type=pa.bool_()))
     return pa.StructArray.from_arrays(arrays, names=_NAMES + ["_ok"])

@@ -9,10 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brisa.operators.sequence import fill_forward, with_previous
+from brisa.operators.sequence import (
+    PID,
+    boundary_window,
+    is_last_in_partition,
+    local_window,
+    materialize,
+    range_partitioned,
+    with_previous,
+)
 
 # --- fixed values: domains kept by the time-series store's include list ---
 DEFAULT_DOMAINS = ("sensor", "switch")
@@ -81,21 +89,50 @@ def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
     Each entity's activity events are grouped into intervals: a new interval starts
     when the gap to the previous event is at least ``hold_seconds`` (the same rule
     as ``session_window``).  Output: ``entity, hold_start, hold_end, n_events`` with
-    ``hold_end = last event + hold_seconds``.  The final aggregation is a partial +
-    final hash aggregate, so one long interval of a hot entity combines map-side.
+    ``hold_end = last event + hold_seconds``.
+
+    Plan: one range shuffle on ``(entity, ts, tiebreak)`` (a hot entity spans many
+    partitions), one window pass per partition giving each row its locally known
+    interval start, then a per-partition boundary table (first/last row, bounded by
+    the partition count) resolves intervals that began in an earlier partition.
+    The final aggregation is partial + final, so a long interval combines map-side.
     """
     lo, hi = HOLD_RANGE_SECONDS
     if not lo <= hold_seconds <= hi:
         raise ValueError(f"hold_seconds must be within {HOLD_RANGE_SECONDS}")
-    prev = with_previous(df.select(entity, ts, tiebreak), entity, [ts, tiebreak], [ts],
-                         num_partitions=num_partitions, keep_pid=True)
-    gap_us = F.timestamp_diff("MICROSECOND", F.col(f"prev_{ts}"), F.col(ts))
-    starts = prev.withColumn(
-        "_start", F.when(F.col(f"prev_{ts}").isNull() | (gap_us >= F.lit(int(hold_seconds) * 1_000_000)),
-                         F.col(ts)))
-    filled = fill_forward(starts, entity, [ts, tiebreak], "_start", "hold_start")
-    return (filled.groupBy(entity, "hold_start")
-            .agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("n_events"))
+    gap = F.lit(int(hold_seconds) * 1_000_000)
+    keys = [entity, ts, tiebreak]
+    w = local_window(keys)
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    base = range_partitioned(df.select(*keys), keys, num_partitions)
+    prev_e, prev_t = F.lag(entity).over(w), F.lag(ts).over(w)
+    local_new = (F.row_number().over(w) > 1) & (
+        ~prev_e.eqNullSafe(F.col(entity)) | (F.timestamp_diff("MICROSECOND", prev_t, F.col(ts)) >= gap))
+    local = materialize(
+        base.withColumn("_rn", F.row_number().over(w))
+            .withColumn("_new", local_new)
+            .withColumn("_last", is_last_in_partition(keys))
+            .withColumn("_ls", F.last(F.when(F.col("_new"), F.col(ts)), ignorenulls=True).over(wr)))
+    firsts = local.filter(F.col("_rn") == 1).select(PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"))
+    lasts = local.filter("_last").select(PID, F.col(entity).alias("_le"), F.col(ts).alias("_lt"),
+                                         F.col("_ls").alias("_lls"))
+    bw = boundary_window()
+    bounds = (firsts.join(F.broadcast(lasts), PID)
+              .withColumn("_ple", F.lag("_le").over(bw))
+              .withColumn("_plt", F.lag("_lt").over(bw)))
+    bounds = bounds.withColumn(
+        "_first_new",
+        F.col("_ple").isNull() | ~F.col("_ple").eqNullSafe(F.col("_fe"))
+        | (F.timestamp_diff("MICROSECOND", F.col("_plt"), F.col("_ft")) >= gap))
+    bounds = bounds.withColumn(
+        "_v", F.coalesce(F.col("_lls"), F.when(F.col("_first_new"), F.col("_ft"))))
+    bounds = bounds.withColumn(
+        "_carry", F.last("_v", ignorenulls=True).over(bw.rowsBetween(Window.unboundedPreceding, -1)))
+    resolved = local.join(F.broadcast(bounds.select(PID, "_first_new", "_ft", "_carry")), PID, "left")
+    start = F.coalesce(F.col("_ls"), F.when(F.col("_first_new"), F.col("_ft")), F.col("_carry"))
+    return (resolved.withColumn("hold_start", start)
+            .groupBy(entity, "hold_start")
+            .agg(F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("n_events"))
             .select(entity, "hold_start",
-                    (F.col("_last") + F.make_dt_interval(secs=F.lit(int(hold_seconds)))).alias("hold_end"),
+                    (F.col("_last_ts") + F.make_dt_interval(secs=F.lit(int(hold_seconds)))).alias("hold_end"),
                     "n_events"))

@@ -8,8 +8,11 @@ many partitions.  Per-partition windows compute the local answer, and the only
 cross-partition state - the last row of each partition - is a table with one row
 per partition (size bounded by the partition count, so broadcasting it is safe).
 
+The partitioned intermediate is materialized once (checkpoint in the shared
+folder) because both the rows and the boundary table read it.
+
 Used by: contiguous sequence numbers (replay), previous-row lookups (state
-transitions) and forward fill (hold intervals).
+transitions) and interval starts (hold intervals).
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brisa.session import checkpoint_root
+
 PID = "_pid"
 
 
@@ -40,25 +45,45 @@ def range_partitioned(df: DataFrame, keys: Sequence[str],
         PID, F.spark_partition_id())
 
 
-def _boundary_window() -> Window:
-    # One row per partition: a single-task window over a table bounded by the
-    # partition count, never by the data.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where a partitioned intermediate has two consumers (the rows and their
+    per-partition boundary table): without it, each consumer would re-run the
+    range shuffle.  The written copy also survives the loss of an executor.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def boundary_window() -> Window:
+    # Over the per-partition boundary table: one row per partition, so this
+    # single-task window is bounded by the partition count, never by the data.
     return Window.orderBy(PID)
 
 
+def local_window(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(PID).orderBy(*keys)
+
+
+def is_last_in_partition(keys: Sequence[str]) -> Column:
+    return F.lead(F.lit(1)).over(local_window(keys)).isNull()
+
+
 def with_sequence(df: DataFrame, order_cols: Sequence[str], out: str = "_idx",
                   num_partitions: int | None = None) -> DataFrame:
     """Add a contiguous 0-based position in the global order of ``order_cols``.
 
-    ``order_cols`` must be unique per row (append a tiebreak) so recomputation
-    after a lost executor reproduces the same numbering.
+    ``order_cols`` should be unique per row (append a tiebreak).  Positions are
+    fixed by materializing once, so recomputation cannot renumber rows.
     """
     parts = range_partitioned(df, order_cols, num_partitions)
-    parts = parts.sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    parts = materialize(parts.sortWithinPartitions(*order_cols)
+                        .withColumn("_mid", F.monotonically_increasing_id()))
     counts = parts.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         PID,
-        F.coalesce(F.sum("_n").over(_boundary_window().rowsBetween(Window.unboundedPreceding, -1)),
+        F.coalesce(F.sum("_n").over(boundary_window().rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
     # monotonically_increasing_id = (partition id << 33) + row position in partition
     local = F.col("_mid") - F.shiftleft(F.col(PID).cast("long"), 33)
@@ -68,23 +93,23 @@ def with_sequence(df: DataFrame, order_cols: Sequence[str], out: str = "_idx",
 
 
 def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Sequence[str],
-                  prefix: str = "prev_", num_partitions: int | None = None,
-                  keep_pid: bool = False) -> DataFrame:
+                  prefix: str = "prev_", num_partitions: int | None = None) -> DataFrame:
     """Add ``prev_<c>``: the value of ``c`` on the previous row of the same group.
 
     Equivalent to ``lag(c) over (partition by group order by order_cols)`` but
     without routing a whole group through one task.
     """
     keys = [group, *order_cols]
-    base = range_partitioned(df, keys, num_partitions)
-    w = Window.partitionBy(PID).orderBy(*keys)
-    local = base.withColumn("_rn", F.row_number().over(w)).withColumn("_pg", F.lag(group).over(w))
+    w = local_window(keys)
+    local = range_partitioned(df, keys, num_partitions).withColumn(
+        "_rn", F.row_number().over(w)).withColumn("_pg", F.lag(group).over(w)).withColumn(
+        "_last", is_last_in_partition(keys))
     for c in cols:
         local = local.withColumn(f"_pl_{c}", F.lag(c).over(w))
-    last = base.groupBy(PID).agg(
-        F.max_by(F.struct(F.col(group).alias("g"), *[F.col(c).alias(c) for c in cols]),
-                 F.struct(*keys)).alias("_last"))
-    carry = last.select(PID, F.lag("_last").over(_boundary_window()).alias("_carry"))
+    local = materialize(local)
+    carry = (local.filter("_last")
+             .select(PID, F.struct(F.col(group).alias("g"), *[F.col(c).alias(c) for c in cols]).alias("_row"))
+             .select(PID, F.lag("_row").over(boundary_window()).alias("_carry")))
     joined = local.join(F.broadcast(carry), PID, "left")
     first_in_part = F.col("_rn") == 1
     same_as_carry = F.col("_carry.g") == F.col(group)
@@ -94,30 +119,7 @@ def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Se
                      .otherwise(F.when(same_as_local, F.col(f"_pl_{c}")))
         for c in cols
     })
-    drop = ["_rn", "_pg", "_carry", *[f"_pl_{c}" for c in cols]]
-    if not keep_pid:
-        drop.append(PID)
-    return out.drop(*drop)
-
-
-def fill_forward(df: DataFrame, group: str, order_cols: Sequence[str], col: str,
-                 out: str) -> DataFrame:
-    """``out`` = last non-null ``col`` at or before each row within its group.
-
-    Expects ``df`` to carry the partition tag of :func:`with_previous` (``keep_pid``)
-    and every group's first row to hold a non-null ``col`` (true for session
-    starts).  Rows whose session began in an earlier partition take the last
-    non-null value of the earlier partitions, found on the per-partition table.
-    """
-    keys = [group, *order_cols]
-    w = Window.partitionBy(PID).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_ff", F.last(col, ignorenulls=True).over(w))
-    last = local.groupBy(PID).agg(F.max_by(F.col("_ff"), F.struct(*keys)).alias("_last_ff"))
-    carry = last.select(PID, F.last("_last_ff", ignorenulls=True).over(
-        _boundary_window().rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_ff"))
-    return (local.join(F.broadcast(carry), PID, "left")
-            .withColumn(out, F.coalesce(F.col("_ff"), F.col("_carry_ff")))
-            .drop("_ff", "_carry_ff"))
+    return out.drop("_rn", "_pg", "_last", "_carry", PID, *[f"_pl_{c}" for c in cols])
 
 
 _EPOCH_NTZ = "1970-01-01 00:00:00"
