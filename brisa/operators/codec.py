@@ -151,6 +151,22 @@ def encode_col(engine: str = "arrow") -> Column:
     return _encode_udf(*[F.col(n) for n in _NAMES])
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows round-robin when a Python-bound stage would run on fewer
+    partitions than the cluster has cores (e.g. a file with one row group).
+
+    At scale the scan already yields far more partitions than cores and this is
+    a no-op; only the partition count is inspected (planning, no job).
+    """
+    if df.isStreaming:  # micro-batches are split by the source (files / topic partitions)
+        return df
+    spark = df.sparkSession
+    target = int(min_partitions or spark.sparkContext.defaultParallelism)
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def _engine(df: DataFrame, engine: str) -> str:
     if engine == "auto":
         return "builtin" if builtin_available(df.sparkSession) else "arrow"
@@ -160,7 +176,10 @@ def _engine(df: DataFrame, engine: str) -> str:
 def encode(df: DataFrame, out: str = "value", keep: list[str] | None = None,
            engine: str = "auto") -> DataFrame:
     """Reading columns -> one binary payload column (plus ``keep`` columns)."""
-    return df.select(*(keep or []), encode_col(_engine(df, engine)).alias(out))
+    engine = _engine(df, engine)
+    if engine == "arrow":
+        df = ensure_parallelism(df)
+    return df.select(*(keep or []), encode_col(engine).alias(out))
 
 
 def decode(df: DataFrame, value_col: str = "value", mode: str = "failfast",
@@ -190,6 +209,7 @@ def decode(df: DataFrame, value_col: str = "value", mode: str = "failfast",
         fields[1] = F.coalesce(fields[1], F.lit(""))
         staged = df.select(*keep, *[f.alias(n) for f, n in zip(fields, _NAMES)], ok.alias("_ok"))
     else:
+        df = ensure_parallelism(df)
         udf = _decode_failfast_udf if mode == "failfast" else _decode_permissive_udf
         staged = df.select(*keep, udf(v).alias("_rec")).select(*keep, "_rec.*")
     if observation is not None:
