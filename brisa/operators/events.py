@@ -81,58 +81,127 @@ def leave_state(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
         entity, ts, tiebreak, p.alias("from_state"), c.alias("to_state"))
 
 
-def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
-                   hold_seconds: int = DEFAULT_HOLD_SECONDS,
-                   num_partitions: int | None = None) -> DataFrame:
-    """Keep "on" until no activity for ``hold_seconds``; activity restarts the delay.
-
-    Each entity's activity events are grouped into intervals: a new interval starts
-    when the gap to the previous event is at least ``hold_seconds`` (the same rule
-    as ``session_window``).  Output: ``entity, hold_start, hold_end, n_events`` with
-    ``hold_end = last event + hold_seconds``.
-
-    Plan: one range shuffle on ``(entity, ts, tiebreak)`` (a hot entity spans many
-    partitions), one window pass per partition giving each row its locally known
-    interval start, then a per-partition boundary table (first/last row, bounded by
-    the partition count) resolves intervals that began in an earlier partition.
-    The final aggregation is partial + final, so a long interval combines map-side.
+def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
+                    kind: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Rows of ``df`` with ``hold_start``: the ts of the row that opened their session.
+
+    A row opens a session when it is its entity's first row or when
+    ``breaks(prev_ts, prev_kind, ts, kind)`` holds against the previous row of
+    the entity.  One range shuffle on ``(entity, ts, tiebreak)`` (a hot entity
+    spans many partitions), one window pass per partition giving each row its
+    locally known start, then a per-partition boundary table (first/last row,
+    bounded by the partition count) resolves sessions opened in an earlier
+    partition.
     """
-    lo, hi = HOLD_RANGE_SECONDS
-    if not lo <= hold_seconds <= hi:
-        raise ValueError(f"hold_seconds must be within {HOLD_RANGE_SECONDS}")
-    gap = F.lit(int(hold_seconds) * 1_000_000)
     keys = [entity, ts, tiebreak]
     w = local_window(keys)
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    base = range_partitioned(df.select(*keys), keys, num_partitions)
-    prev_e, prev_t = F.lag(entity).over(w), F.lag(ts).over(w)
+    cols = keys + ([kind] if kind else [])
+    kind_col = F.col(kind) if kind else F.lit(None)
+    base = range_partitioned(df.select(*cols), keys, num_partitions)
+    prev_kind = F.lag(kind).over(w) if kind else F.lit(None)
     local_new = (F.row_number().over(w) > 1) & (
-        ~prev_e.eqNullSafe(F.col(entity)) | (F.timestamp_diff("MICROSECOND", prev_t, F.col(ts)) >= gap))
+        ~F.lag(entity).over(w).eqNullSafe(F.col(entity))
+        | breaks(F.lag(ts).over(w), prev_kind, F.col(ts), kind_col))
     local = materialize(
         base.withColumn("_rn", F.row_number().over(w))
             .withColumn("_new", local_new)
             .withColumn("_last", is_last_in_partition(keys))
             .withColumn("_ls", F.last(F.when(F.col("_new"), F.col(ts)), ignorenulls=True).over(wr)))
-    firsts = local.filter(F.col("_rn") == 1).select(PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"))
-    lasts = local.filter("_last").select(PID, F.col(entity).alias("_le"), F.col(ts).alias("_lt"),
-                                         F.col("_ls").alias("_lls"))
+    firsts = local.filter(F.col("_rn") == 1).select(
+        PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"), kind_col.alias("_fk"))
+    lasts = local.filter("_last").select(
+        PID, F.col(entity).alias("_le"), F.col(ts).alias("_lt"), kind_col.alias("_lk"),
+        F.col("_ls").alias("_lls"))
     bw = boundary_window()
     bounds = (firsts.join(F.broadcast(lasts), PID)
               .withColumn("_ple", F.lag("_le").over(bw))
-              .withColumn("_plt", F.lag("_lt").over(bw)))
+              .withColumn("_plt", F.lag("_lt").over(bw))
+              .withColumn("_plk", F.lag("_lk").over(bw)))
     bounds = bounds.withColumn(
         "_first_new",
         F.col("_ple").isNull() | ~F.col("_ple").eqNullSafe(F.col("_fe"))
-        | (F.timestamp_diff("MICROSECOND", F.col("_plt"), F.col("_ft")) >= gap))
+        | F.coalesce(breaks(F.col("_plt"), F.col("_plk"), F.col("_ft"), F.col("_fk")), F.lit(False)))
     bounds = bounds.withColumn(
         "_v", F.coalesce(F.col("_lls"), F.when(F.col("_first_new"), F.col("_ft"))))
     bounds = bounds.withColumn(
         "_carry", F.last("_v", ignorenulls=True).over(bw.rowsBetween(Window.unboundedPreceding, -1)))
     resolved = local.join(F.broadcast(bounds.select(PID, "_first_new", "_ft", "_carry")), PID, "left")
     start = F.coalesce(F.col("_ls"), F.when(F.col("_first_new"), F.col("_ft")), F.col("_carry"))
-    return (resolved.withColumn("hold_start", start)
-            .groupBy(entity, "hold_start")
+    return resolved.withColumn("hold_start", start).drop(
+        "_rn", "_new", "_last", "_ls", "_first_new", "_ft", "_carry", PID)
+
+
+def _check_hold(hold_seconds: int) -> None:
+    lo, hi = HOLD_RANGE_SECONDS
+    if not lo <= hold_seconds <= hi:
+        raise ValueError(f"hold_seconds must be within {HOLD_RANGE_SECONDS}")
+
+
+def _plus_seconds(c: Column, seconds: int) -> Column:
+    return c + F.make_dt_interval(secs=F.lit(int(seconds)))
+
+
+def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
+                   hold_seconds: int = DEFAULT_HOLD_SECONDS,
+                   num_partitions: int | None = None) -> DataFrame:
+    """E3 (activity events): on until no activity for ``hold_seconds``; activity
+    inside the delay restarts it.
+
+    A new interval starts when the gap to the entity's previous event is at least
+    ``hold_seconds`` (the ``session_window`` rule).  Output:
+    ``entity, hold_start, hold_end, n_events`` with ``hold_end = last event +
+    hold_seconds``.  The aggregation is partial + final, so one long interval of a
+    hot entity combines map-side.
+    """
+    _check_hold(hold_seconds)
+    gap = F.lit(int(hold_seconds) * 1_000_000)
+
+    def breaks(prev_ts, _prev_kind, cur_ts, _kind):
+        return F.timestamp_diff("MICROSECOND", prev_ts, cur_ts) >= gap
+
+    starts = _session_starts(df, entity, ts, tiebreak, breaks, num_partitions=num_partitions)
+    return (starts.groupBy(entity, "hold_start")
             .agg(F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("n_events"))
-            .select(entity, "hold_start",
-                    (F.col("_last_ts") + F.make_dt_interval(secs=F.lit(int(hold_seconds)))).alias("hold_end"),
+            .select(entity, "hold_start", _plus_seconds(F.col("_last_ts"), hold_seconds).alias("hold_end"),
                     "n_events"))
+
+
+def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
+                         hold_seconds: int = DEFAULT_HOLD_SECONDS, on: str = "on", off: str = "off",
+                         num_partitions: int | None = None) -> DataFrame:
+    """E3 (state events): the motion-light rule.
+
+    The light goes on at an ``off -> on`` transition and goes off ``hold_seconds``
+    after the next ``on -> off`` transition - unless a new ``off -> on`` comes
+    within that delay, which restarts the wait.  Other transitions are ignored; a
+    stop seen before any start (the light was not switched on by the rule) lights
+    nothing.  Output: ``entity, hold_start, hold_end, n_triggers`` (start triggers
+    merged into the interval); ``hold_end`` is null while the light is still on at
+    the end of the data.
+    """
+    _check_hold(hold_seconds)
+    gap = F.lit(int(hold_seconds) * 1_000_000)
+    trig = transitions(df, entity, ts, state, tiebreak, num_partitions=num_partitions)
+    trig = trig.withColumn(
+        "_kind",
+        F.when((F.col("from_state") == off) & (F.col("to_state") == on), F.lit("start"))
+         .when((F.col("from_state") == on) & (F.col("to_state") == off), F.lit("stop"))
+    ).filter(F.col("_kind").isNotNull()).select(entity, ts, tiebreak, "_kind")
+
+    def breaks(prev_ts, prev_kind, cur_ts, kind):
+        return (kind == "start") & (prev_kind == "stop") & (
+            F.timestamp_diff("MICROSECOND", prev_ts, cur_ts) >= gap)
+
+    starts = _session_starts(trig, entity, ts, tiebreak, breaks, kind="_kind", num_partitions=num_partitions)
+    is_start, is_stop = F.col("_kind") == "start", F.col("_kind") == "stop"
+    agg = starts.groupBy(entity, F.col("hold_start").alias("_sid")).agg(
+        F.min(F.when(is_start, F.col(ts))).alias("hold_start"),
+        F.max(F.when(is_start, F.col(ts))).alias("_last_on"),
+        F.max(F.when(is_stop, F.col(ts))).alias("_last_off"),
+        F.count(F.when(is_start, F.lit(1))).alias("n_triggers"))
+    return agg.filter(F.col("hold_start").isNotNull()).select(
+        entity, "hold_start",
+        F.when(F.col("_last_off") >= F.col("_last_on"), _plus_seconds(F.col("_last_off"), hold_seconds))
+         .alias("hold_end"),
+        "n_triggers")

@@ -38,6 +38,7 @@ from brisa.sources.tables import table
 LOG_WINDOW_S, LOG_UNIT_S = 600, 1000         # 10-minute log windows, msgs per 1000 s
 SCREEN_WINDOW_S, SCREEN_UNIT_S = 3600, 600   # 1-hour screen windows, msgs per 10 min
 HOLD_S = 3600                                # hold delay (upper end of the allowed range)
+ACTIVE_TYPES = ("view", "click")             # event types read as motion "on"
 REPLAY_CYCLES = 2.5                          # replay passes over events
 RAMP_CYCLES = 3                              # replay passes over lineitem for the ramp
 ROUTE_MODULO_N = 4
@@ -207,6 +208,14 @@ def q_hold_interval(spark: SparkSession, sf: str) -> DataFrame:
     return ev.hold_intervals(events_state(spark, sf), "entity", "ts", "event_id", HOLD_S)
 
 
+def q_hold_onoff(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 (state form): views and clicks are 'on', other events 'off'; the light
+    rule with a one-hour delay."""
+    st = events_state(spark, sf).withColumn(
+        "state", F.when(F.col("state").isin(*ACTIVE_TYPES), F.lit("on")).otherwise(F.lit("off")))
+    return ev.hold_intervals_onoff(st, "entity", "ts", "state", "event_id", HOLD_S)
+
+
 # ----------------------------------------------------------------------------- streaming
 
 def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,6 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "state_transition": q_state_transition,
     "leave_state": q_leave_state,
     "hold_interval": q_hold_interval,
+    "hold_onoff": q_hold_onoff,
     "stream_clean": q_stream_clean,
     "stream_throughput": q_stream_throughput,
 }

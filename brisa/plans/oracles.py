@@ -118,6 +118,22 @@ def oracle_sql() -> dict[str, str]:
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM p) "
             f"SELECT entity, min(ts) AS hold_start, max(ts) + INTERVAL {C.HOLD_S} SECOND AS hold_end, "
             "count(*) AS n_events FROM s GROUP BY entity, sid"),
+        "hold_onoff": (
+            "WITH s AS (SELECT user_id AS entity, ts, event_id, CASE WHEN event_type IN "
+            f"({', '.join(repr(t) for t in C.ACTIVE_TYPES)}) THEN 'on' ELSE 'off' END AS state FROM events), "
+            "l AS (SELECT *, lag(state) OVER (PARTITION BY entity ORDER BY ts, event_id) AS prev FROM s), "
+            "t AS (SELECT entity, ts, event_id, CASE WHEN prev = 'off' AND state = 'on' THEN 'start' "
+            "WHEN prev = 'on' AND state = 'off' THEN 'stop' END AS kind FROM l), "
+            "k AS (SELECT *, lag(kind) OVER (PARTITION BY entity ORDER BY ts, event_id) AS pk, "
+            "lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) AS pt FROM t WHERE kind IS NOT NULL), "
+            "g AS (SELECT *, sum(CASE WHEN pk IS NULL OR (kind = 'start' AND pk = 'stop' AND "
+            f"epoch_us(ts) - epoch_us(pt) >= {C.HOLD_S * 1_000_000}) THEN 1 ELSE 0 END) OVER (PARTITION BY entity "
+            "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM k), "
+            "a AS (SELECT entity, min(CASE WHEN kind = 'start' THEN ts END) AS hold_start, "
+            "max(CASE WHEN kind = 'start' THEN ts END) AS last_on, max(CASE WHEN kind = 'stop' THEN ts END) AS last_off, "
+            "count(CASE WHEN kind = 'start' THEN 1 END) AS n_triggers FROM g GROUP BY entity, sid) "
+            f"SELECT entity, hold_start, CASE WHEN last_off >= last_on THEN last_off + INTERVAL {C.HOLD_S} SECOND END "
+            "AS hold_end, n_triggers FROM a WHERE hold_start IS NOT NULL"),
         "stream_clean": (
             f"SELECT '{OUT_TOPIC}' AS topic, {_PART} AS partition, "
             f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),

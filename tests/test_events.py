@@ -81,3 +81,24 @@ def test_hot_entity_matches_brute_force(spark):
     got_h = sorted((r.entity, r.hold_start, r.hold_end, r.n_events)
                    for r in ev.hold_intervals(df, "entity", "ts", "id", 600, num_partitions=16).collect())
     assert got_h == exp_h
+
+
+def test_motion_light_onoff_rule(spark):
+    s = dt.timedelta(seconds=1)
+    rows = [
+        ("m", T0, 1, "off"),
+        ("m", T0 + 10 * s, 2, "on"),        # off -> on: light on at 10
+        ("m", T0 + 20 * s, 3, "on"),        # repeat: nothing
+        ("m", T0 + 30 * s, 4, "off"),       # on -> off: wait 120 s
+        ("m", T0 + 100 * s, 5, "on"),       # inside the delay: restart, same interval
+        ("m", T0 + 110 * s, 6, "off"),      # off at 110 -> light off at 230
+        ("m", T0 + 500 * s, 7, "on"),       # outside the delay: new interval, still on at end
+        ("n", T0, 8, "on"),                 # first event: no transition
+        ("n", T0 + 5 * s, 9, "off"),        # stop before any start
+        ("n", T0 + 50 * s, 10, "on"),       # start within the delay of that stop: lights up
+        ("n", T0 + 60 * s, 11, "off"),
+    ]
+    out = sorted((r.entity, r.hold_start, r.hold_end, r.n_triggers) for r in
+                 ev.hold_intervals_onoff(_df(spark, rows), "entity", "ts", "state", "id", 120).collect())
+    assert out == [("m", T0 + 10 * s, T0 + 230 * s, 2), ("m", T0 + 500 * s, None, 1),
+                   ("n", T0 + 50 * s, T0 + 180 * s, 1)]
