@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brisa.operators.parallelism import ensure_parallelism
 from brisa.schema import READING_FIELDS
 
 PACKAGE = "brisa"
@@ -151,22 +152,6 @@ def encode_col(engine: str = "arrow") -> Column:
     return _encode_udf(*[F.col(n) for n in _NAMES])
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows round-robin when a Python-bound stage would run on fewer
-    partitions than the cluster has cores (e.g. a file with one row group).
-
-    At scale the scan already yields far more partitions than cores and this is
-    a no-op; only the partition count is inspected (planning, no job).
-    """
-    if df.isStreaming:  # micro-batches are split by the source (files / topic partitions)
-        return df
-    spark = df.sparkSession
-    target = int(min_partitions or spark.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 def _engine(df: DataFrame, engine: str) -> str:
     if engine == "auto":
         return "builtin" if builtin_available(df.sparkSession) else "arrow"

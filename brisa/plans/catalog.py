@@ -39,6 +39,7 @@ LOG_WINDOW_S, LOG_UNIT_S = 600, 1000         # 10-minute log windows, msgs per 1
 SCREEN_WINDOW_S, SCREEN_UNIT_S = 3600, 600   # 1-hour screen windows, msgs per 10 min
 HOLD_S = 3600                                # hold delay (upper end of the allowed range)
 ACTIVE_TYPES = ("view", "click")             # event types read as motion "on"
+STREAM_WATERMARK = "2 hours"                 # state kept for late frames in the stream query
 REPLAY_CYCLES = 2.5                          # replay passes over events
 RAMP_CYCLES = 3                              # replay passes over lineitem for the ramp
 ROUTE_MODULO_N = 4
@@ -233,15 +234,19 @@ def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly throughput maintained by a streaming aggregate."""
     from brisa.sources.kafka import read_frames, write_frames
-    from brisa.streaming.pipelines import run_to_completion, scratch, start_throughput_table
+    from brisa.streaming.pipelines import (
+        read_throughput_table,
+        run_to_completion,
+        scratch,
+        start_throughput_table,
+    )
 
     inbox = shared_path(spark, "frames_events")
-    ev_df = events_readings(spark, sf, keep=["ts"])
-    write_frames(load_frames(ev_df, ts_col="ts"), "files", inbox)
+    write_frames(load_frames(events_readings(spark, sf, keep=["ts"]), ts_col="ts"), "files", inbox)
     out, ckpt = scratch(spark, "stream_throughput")
     run_to_completion(start_throughput_table(read_frames(spark, "files", inbox, stream=True), out, ckpt,
-                                             SCREEN_WINDOW_S, SCREEN_UNIT_S))
-    return spark.read.parquet(out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
+                                             SCREEN_WINDOW_S, SCREEN_UNIT_S, watermark=STREAM_WATERMARK))
+    return read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from brisa.operators.parallelism import ensure_parallelism
 from brisa.schema import TEXT_SCHEMA
 
 # Reader: the first line is a header and is dropped unread; columns map by
@@ -45,7 +46,7 @@ def csv_stream(spark: SparkSession, path: str, schema: T.StructType = TEXT_SCHEM
 
 def write_export(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K3: text columns to quoted CSV with a header (one file per task)."""
-    df.write.mode(mode).options(**EXPORT_OPTIONS).csv(path)
+    ensure_parallelism(df).write.mode(mode).options(**EXPORT_OPTIONS).csv(path)
 
 
 def write_log(df: DataFrame, path: str, mode: str = "append") -> None:

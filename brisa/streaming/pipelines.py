@@ -47,20 +47,43 @@ def throughput_stream(frames: DataFrame, ts_col: str = "timestamp", window_secon
 
 def start_throughput_table(frames: DataFrame, out_path: str, checkpoint: str,
                            window_seconds: int, unit_seconds: float = 1.0,
+                           watermark: str | None = None,
                            available_now: bool = True) -> StreamingQuery:
-    """Maintain the window table: complete-mode aggregate, each micro-batch
-    overwrites a parquet table (its size is the number of windows, not rows)."""
-    agg = throughput_stream(frames, window_seconds=window_seconds, unit_seconds=unit_seconds)
-
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
-
-    w = agg.writeStream.outputMode("complete").foreachBatch(write_batch).option(
-        "checkpointLocation", checkpoint)
+    """Maintain the window table of a stream.
+
+    With a ``watermark`` (long-running streams): update mode, so state for
+    windows older than the watermark is dropped; each micro-batch appends the
+    windows it changed, tagged with its epoch (a retried epoch rewrites identical
+    rows), and :func:`read_throughput_table` keeps the latest version per window.
+    Without one: complete mode, each micro-batch overwrites the table - state
+    grows with the number of windows, so use it for bounded replays only.
+    """
+    agg = throughput_stream(frames, window_seconds=window_seconds, unit_seconds=unit_seconds,
+                            watermark=watermark)
+    if watermark is None:
+        def write_batch(batch: DataFrame, epoch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(out_path)
+        mode = "complete"
+    else:
+        def write_batch(batch: DataFrame, epoch_id: int) -> None:
+            batch.withColumn("_epoch", F.lit(int(epoch_id))).write.mode("append").parquet(out_path)
+        mode = "update"
+    w = agg.writeStream.outputMode(mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def read_throughput_table(spark: SparkSession, path: str) -> DataFrame:
+    """Current window table: the latest epoch's version of every window."""
+    t = spark.read.parquet(path)
+    if "_epoch" not in t.columns:
+        return t
+    cols = [c for c in t.columns if c not in ("window_start_unix", "_epoch")]
+    return (t.groupBy("window_start_unix")
+            .agg(F.max_by(F.struct(*cols), F.col("_epoch")).alias("_r"))
+            .select("window_start_unix", "_r.*"))
+
+
 def start_throughput_log(frames: DataFrame, out_path: str, checkpoint: str,
                          window_seconds: int = 10, unit_seconds: float = 1.0,
                          watermark: str = "0 seconds", available_now: bool = True) -> StreamingQuery:

@@ -8,6 +8,7 @@ from brisa.plans.pipeline import clean_job, frame_summary, load_frames
 from brisa.sources.kafka import read_frames, write_frames
 from brisa.streaming.pipelines import (
     RateListener,
+    read_throughput_table,
     run_to_completion,
     start_clean_stream,
     start_throughput_log,
@@ -41,12 +42,13 @@ def test_clean_stream_equals_batch(spark, scratch):
 def test_throughput_stream_equals_batch(spark, scratch):
     inbox = os.path.join(scratch, "ev")
     write_frames(load_frames(events_readings(spark, SF001, keep=["ts"]), ts_col="ts"), "files", inbox)
-    out = os.path.join(scratch, "tbl")
-    run_to_completion(start_throughput_table(read_frames(spark, "files", inbox, stream=True), out,
-                                             os.path.join(scratch, "ck"), 3600, 600))
-    streamed = spark.read.parquet(out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
     batch = throughput_screen(read_frames(spark, "files", inbox), "timestamp", 3600, 600)
-    assert _sorted(streamed) == _sorted(batch)
+    for wm in (None, "2 hours"):
+        out = os.path.join(scratch, f"tbl-{wm}")
+        run_to_completion(start_throughput_table(read_frames(spark, "files", inbox, stream=True), out,
+                                                 os.path.join(scratch, f"ck-{wm}"), 3600, 600, watermark=wm))
+        streamed = read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
+        assert _sorted(streamed) == _sorted(batch)
 
 
 def test_throughput_log_stream_appends_closed_windows(spark, scratch):
