@@ -138,3 +138,26 @@ def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """(output path, checkpoint path) under the shared checkpoint folder."""
     base = shared_path(spark, name)
     return f"{base}/out", f"{base}/checkpoint"
+
+
+def replay_stream(indexed: DataFrame, n: int, rows_per_second: int, idx_col: str = "_idx",
+                  source: str = "rate", rows_per_batch: int | None = None) -> DataFrame:
+    """S4/L1 as a stream: a rate source emits ``seq`` = 0, 1, 2, ... at the fixed
+    rate, and each tick is joined to row ``seq % n`` of the sequence-numbered
+    dataset (``operators.sequence.with_sequence``), i.e. the dataset replayed in a
+    loop.  ``source="rate-micro-batch"`` gives a deterministic ``rows_per_batch``.
+
+    The static side is joined on its index each micro-batch; keep it stored
+    sorted by the index so the scan prunes to the row groups a batch needs.
+    """
+    spark = indexed.sparkSession
+    reader = spark.readStream.format(source)
+    if source == "rate":
+        reader = reader.option("rowsPerSecond", int(rows_per_second))
+    else:
+        reader = reader.option("rowsPerBatch", int(rows_per_batch or rows_per_second))
+    ticks = reader.load().select(F.col("value").alias("seq"), F.col("timestamp").alias("emit_ts"))
+    cycle = F.floor(F.col("seq") / F.lit(int(n))).cast("long")
+    return (ticks.withColumn(idx_col, F.pmod(F.col("seq"), F.lit(int(n))))
+            .withColumn("cycle", cycle)
+            .join(indexed, idx_col, "inner"))

@@ -65,3 +65,24 @@ def test_throughput_log_stream_appends_closed_windows(spark, scratch):
     joined = logged.join(batch, "timestamp_unix")
     assert logged.count() > 0 and joined.count() == logged.count()
     assert joined.filter("throughput_msgs_sec <> n_msgs").count() == 0
+
+
+def test_replay_stream_loops_over_dataset(spark):
+    from brisa.operators.sequence import with_sequence
+    from brisa.streaming.pipelines import replay_stream
+
+    data = spark.range(7).select((F.col("id") * 10).alias("x"))
+    indexed = with_sequence(data, ["x"], "_idx")
+    stream = replay_stream(indexed, 7, 20, source="rate-micro-batch", rows_per_batch=20)
+    q = (stream.writeStream.format("memory").queryName("replay_t").outputMode("append")
+         .trigger(processingTime="200 milliseconds").start())
+    try:
+        import time
+        deadline = time.time() + 60  # the rate source never ends: poll, then stop
+        while time.time() < deadline and spark.table("replay_t").count() < 40:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    rows = spark.table("replay_t").collect()
+    assert len(rows) >= 20
+    assert all(r.x == (r.seq % 7) * 10 and r.cycle == r.seq // 7 for r in rows)
