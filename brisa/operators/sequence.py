@@ -8,8 +8,8 @@ many partitions.  Per-partition windows compute the local answer, and the only
 cross-partition state - the last row of each partition - is a table with one row
 per partition (size bounded by the partition count, so broadcasting it is safe).
 
-The partitioned intermediate is materialized once (checkpoint in the shared
-folder) because both the rows and the boundary table read it.
+The partitioned intermediate is written once (a parquet table in the shared
+checkpoint folder) because both the rows and the boundary table read it.
 
 Used by: contiguous sequence numbers (replay), previous-row lookups (state
 transitions) and interval starts (hold intervals).
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brisa.session import checkpoint_root
+from brisa.session import shared_path
 
 PID = "_pid"
 
@@ -45,15 +45,19 @@ def range_partitioned(df: DataFrame, keys: Sequence[str],
         PID, F.spark_partition_id())
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and
+    read it back, cutting the lineage.
 
     Used where a partitioned intermediate has two consumers (the rows and their
-    per-partition boundary table): without it, each consumer would re-run the
-    range shuffle.  The written copy also survives the loss of an executor.
+    per-partition boundary table): without it each consumer would re-run the
+    range shuffle, since Spark did not reuse that exchange here.  Parquet keeps
+    it columnar and compressed, lets the rare boundary rows be found with
+    row-group statistics, and survives the loss of an executor.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def boundary_window() -> Window:
