@@ -20,8 +20,9 @@ from brisa.sources.tables import table
 _LINEITEM_MAP = {
     "objectid": ("cast(l_orderkey * 10 + l_linenumber as bigint)",
                  "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)"),
-    "data": ("date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')",
-             "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"),
+    # a TIMESTAMP_NTZ cast to text is zone-free (date_format would go through the
+    # session time zone and shift wall clocks that fall in a DST gap)
+    "data": ("cast(l_shipdate as string)", "CAST(l_shipdate AS VARCHAR)"),
     "codnum": ("cast(nullif(l_linenumber, 7) as int)", "CAST(nullif(l_linenumber, 7) AS INTEGER)"),
     "estacao": ("concat(l_returnflag, l_linestatus)", "l_returnflag || l_linestatus"),
     "chuva": ("l_discount", "l_discount"),
@@ -34,7 +35,7 @@ _LINEITEM_MAP = {
 
 _EVENTS_MAP = {
     "objectid": ("event_id", "event_id"),
-    "data": ("date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"),
+    "data": ("cast(ts as string)", "CAST(ts AS VARCHAR)"),
     "codnum": ("cast(user_id as int)", "CAST(user_id AS INTEGER)"),
     "estacao": ("event_type", "event_type"),
     "chuva": ("value", "value"),
