@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brisa.operators.sequence import (
     PID,
+    micros_of,
     boundary_window,
     is_last_in_partition,
     local_window,
@@ -87,7 +88,7 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
 
     A row opens a session when it is its entity's first row or when
     ``breaks(prev_ts, prev_kind, ts, kind)`` holds against the previous row of
-    the entity.  One range shuffle on ``(entity, ts, tiebreak)`` (a hot entity
+    the entity (``prev_ts`` and ``ts`` are given in epoch microseconds).  One range shuffle on ``(entity, ts, tiebreak)`` (a hot entity
     spans many partitions), one window pass per partition giving each row its
     locally known start, then a per-partition boundary table (first/last row,
     bounded by the partition count) resolves sessions opened in an earlier
@@ -96,13 +97,14 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
     keys = [entity, ts, tiebreak]
     w = local_window(keys)
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    ts_type = df.schema[ts].dataType
     cols = keys + ([kind] if kind else [])
     kind_col = F.col(kind) if kind else F.lit(None)
     base = range_partitioned(df.select(*cols), keys, num_partitions)
     prev_kind = F.lag(kind).over(w) if kind else F.lit(None)
     local_new = (F.row_number().over(w) > 1) & (
         ~F.lag(entity).over(w).eqNullSafe(F.col(entity))
-        | breaks(F.lag(ts).over(w), prev_kind, F.col(ts), kind_col))
+        | breaks(micros_of(F.lag(ts).over(w), ts_type), prev_kind, micros_of(F.col(ts), ts_type), kind_col))
     local = materialize(
         base.withColumn("_rn", F.row_number().over(w))
             .withColumn("_new", local_new)
@@ -121,7 +123,8 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
     bounds = bounds.withColumn(
         "_first_new",
         F.col("_ple").isNull() | ~F.col("_ple").eqNullSafe(F.col("_fe"))
-        | F.coalesce(breaks(F.col("_plt"), F.col("_plk"), F.col("_ft"), F.col("_fk")), F.lit(False)))
+        | F.coalesce(breaks(micros_of(F.col("_plt"), ts_type), F.col("_plk"),
+                            micros_of(F.col("_ft"), ts_type), F.col("_fk")), F.lit(False)))
     bounds = bounds.withColumn(
         "_v", F.coalesce(F.col("_lls"), F.when(F.col("_first_new"), F.col("_ft"))))
     bounds = bounds.withColumn(
@@ -157,8 +160,8 @@ def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
     _check_hold(hold_seconds)
     gap = F.lit(int(hold_seconds) * 1_000_000)
 
-    def breaks(prev_ts, _prev_kind, cur_ts, _kind):
-        return F.timestamp_diff("MICROSECOND", prev_ts, cur_ts) >= gap
+    def breaks(prev_us, _prev_kind, cur_us, _kind):
+        return (cur_us - prev_us) >= gap
 
     starts = _session_starts(df, entity, ts, tiebreak, breaks, num_partitions=num_partitions)
     return (starts.groupBy(entity, "hold_start")
@@ -189,9 +192,8 @@ def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebre
          .when((F.col("from_state") == on) & (F.col("to_state") == off), F.lit("stop"))
     ).filter(F.col("_kind").isNotNull()).select(entity, ts, tiebreak, "_kind")
 
-    def breaks(prev_ts, prev_kind, cur_ts, kind):
-        return (kind == "start") & (prev_kind == "stop") & (
-            F.timestamp_diff("MICROSECOND", prev_ts, cur_ts) >= gap)
+    def breaks(prev_us, prev_kind, cur_us, kind):
+        return (kind == "start") & (prev_kind == "stop") & ((cur_us - prev_us) >= gap)
 
     starts = _session_starts(trig, entity, ts, tiebreak, breaks, kind="_kind", num_partitions=num_partitions)
     is_start, is_stop = F.col("_kind") == "start", F.col("_kind") == "stop"

@@ -126,21 +126,25 @@ def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Se
     return out.drop("_rn", "_pg", "_last", "_carry", PID, *[f"_pl_{c}" for c in cols])
 
 
-_EPOCH_NTZ = "1970-01-01 00:00:00"
-
-
-def ts_micros(df: DataFrame, c: str) -> Column:
+def micros_of(c: Column, dtype) -> Column:
     """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ column.
 
-    A TIMESTAMP_NTZ wall clock is read as UTC whatever the session time zone is,
-    so window boundaries do not move with the session setting.
+    A TIMESTAMP_NTZ wall clock is read as UTC whatever the session time zone is:
+    it is rebuilt from its fields with an explicit UTC ``make_timestamp`` (a cast
+    or ``timestamp_diff`` would pass through the session zone and shift wall
+    clocks around DST changes).
     """
     from pyspark.sql import types as T
 
-    dtype = df.schema[c].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), F.col(c))
-    return F.unix_micros(F.col(c))
+        return F.unix_micros(F.make_timestamp(
+            F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+            F.date_part(F.lit("SECOND"), c), F.lit("UTC")))
+    return F.unix_micros(c)
+
+
+def ts_micros(df: DataFrame, c: str) -> Column:
+    return micros_of(F.col(c), df.schema[c].dataType)
 
 
 def as_instant(df: DataFrame, c: str) -> Column:
