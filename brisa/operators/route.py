@@ -22,7 +22,11 @@ def place_by_partition(df: DataFrame, num_partitions: int, col: str = "partition
     """Physically place each row in the Spark partition named by ``col``.
 
     Uses ``repartitionById`` (a direct partition-id shuffle).  It silently wraps
-    out-of-range ids, so validate with ``route(..., overflow=...)`` first.
+    out-of-range ids, so validate with ``route(..., overflow=...)`` first.  The
+    placement is the point, so a station holding a third of the readings puts a
+    third of them in one partition; prefer sink-side placement (the Kafka
+    ``partition`` column or ``partitionBy`` on files), which needs no shuffle and
+    writes each station's rows from every task in parallel.
     """
     return df.repartitionById(num_partitions, F.col(col))
 

@@ -86,3 +86,45 @@ def test_replay_stream_loops_over_dataset(spark):
     rows = spark.table("replay_t").collect()
     assert len(rows) >= 20
     assert all(r.x == (r.seq % 7) * 10 and r.cycle == r.seq // 7 for r in rows)
+
+
+def test_clean_stream_fails_on_corrupt_payload(spark, scratch):
+    import pytest
+
+    inbox = os.path.join(scratch, "bad")
+    good = load_frames(lineitem_readings(spark, SF001)).limit(5)
+    bad = spark.createDataFrame([(bytearray(b"\xff\xff"),)], "value binary").select(
+        F.lit(None).cast("binary").alias("key"), "value", F.lit("t").alias("topic"))
+    write_frames(good.unionByName(bad), "files", inbox)
+    q = start_clean_stream(read_frames(spark, "files", inbox, stream=True),
+                           os.path.join(scratch, "o"), os.path.join(scratch, "c"))
+    with pytest.raises(Exception):
+        run_to_completion(q)
+
+
+def test_transitions_stream_equals_batch(spark, scratch):
+    from brisa.operators.events import transitions
+    from brisa.plans.adapters import events_state
+    from brisa.streaming.state import transitions_stream
+
+    ev = events_state(spark, SF001)
+    inbox = os.path.join(scratch, "states")
+    cuts = ["2024-01-08", "2024-01-16", "2024-01-24"]
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:]):  # arrive in time order, one file per slice
+        part = ev
+        if lo:
+            part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi:
+            part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    out = os.path.join(scratch, "tr")
+    q = (transitions_stream(stream, "entity", "ts", "state", "event_id", from_state="view")
+         .writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(scratch, "trc")).trigger(availableNow=True).start())
+    run_to_completion(q)
+    streamed = spark.read.parquet(out)
+    batch = transitions(ev, "entity", "ts", "state", "event_id", from_state="view")
+    cols = ["entity", "ts", "event_id", "from_state", "to_state"]
+    assert _sorted(streamed.select(*cols)) == _sorted(batch.select(*cols))
