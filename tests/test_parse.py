@@ -16,8 +16,15 @@ def test_typed_parse_fail_and_tolerant(spark):
     df = spark.createDataFrame([("1", "abc"), ("2", "3.5")], "a string, b string")
     tol = typed_parse(df, {"a": T.LongType(), "b": T.DoubleType()}, errors="null").collect()
     assert [(r.a, r.b) for r in tol] == [(1, None), (2, 3.5)]
-    with pytest.raises(Exception, match="cannot parse b"):
+    with pytest.raises(Exception, match="cannot parse b|CAST_INVALID_INPUT"):
         typed_parse(df, {"b": T.DoubleType()}, errors="fail").collect()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="cannot parse b"):
+            typed_parse(df, {"b": T.DoubleType()}, errors="fail").collect()
+        assert typed_parse(df.filter("a = '2'"), {"b": T.DoubleType()}, errors="fail").first().b == 3.5
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
 
 
 def test_strict_integers_reject_padding(spark):
@@ -26,6 +33,8 @@ def test_strict_integers_reject_padding(spark):
     strict = typed_parse(df, {"a": T.IntegerType()}, errors="null", strict_integers=True).collect()
     assert [r.a for r in lenient] == [5, 7]
     assert [r.a for r in strict] == [None, 7]
+    with pytest.raises(Exception, match="cannot parse a"):
+        typed_parse(df, {"a": T.IntegerType()}, errors="fail", strict_integers=True).collect()
 
 
 CSV = "\n".join([
@@ -62,7 +71,7 @@ def test_positional_csv_scan(spark, scratch):
 def test_bad_number_strict_fails_tolerant_nulls(spark, scratch):
     text = ",".join(["h"] * 26) + "\n" + "1,d,1,s,1,2,3,abc\n"
     path = _write(os.path.join(scratch, "bad"), text)
-    with pytest.raises(Exception, match="cannot parse temp"):
+    with pytest.raises(Exception, match="cannot parse temp|CAST_INVALID_INPUT"):
         parse_readings(csv_scan(spark, path), errors="fail").collect()
     assert parse_readings(csv_scan(spark, path), errors="null").collect()[0].temp is None
 
