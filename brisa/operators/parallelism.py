@@ -16,8 +16,13 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    target = int(min_partitions or spark.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        # A plan with exchanges is adaptive: its rows are already spread by the
+        # shuffle, and asking for its partitions would run the shuffle stages.
+        if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return df
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no JVM handle (e.g. Spark Connect): leave the plan alone
         return df
-    return df.repartition(target)
+    target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
+    return df if n >= target else df.repartition(target)
