@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brisa.functions.columns import blank_to_null_col
-from brisa.schema import FIELD_TYPES, OPTIONAL_COLS
+from brisa.schema import FIELD_TYPES
 
 _INTEGER_TEXT = r"^[+-]?[0-9]+$"
 
@@ -83,4 +83,4 @@ def parsed_date(df: DataFrame, col: str = "data", out: str = "data_ts",
     return df.withColumn(out, ts)
 
 
-__all__ = ["blank_to_null", "typed_parse", "parse_readings", "parsed_date", "OPTIONAL_COLS"]
+__all__ = ["blank_to_null", "typed_parse", "parse_readings", "parsed_date"]

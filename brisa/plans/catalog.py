@@ -1,4 +1,4 @@
-"""Registered queries (one per operator family) and their DuckDB oracles.
+"""Registered queries, one per operator family (oracles: ``plans/oracles.py``).
 
 Every query reads whole driver tables (or data Spark derives from them) and
 returns a DataFrame; none collects rows.  Column names match the oracle SQL.
@@ -14,21 +14,15 @@ from pyspark.sql import functions as F
 
 from brisa.operators import events as ev
 from brisa.operators.clean import presence_flags, zero_to_null
-from brisa.operators.codec import decode, encode, payload_size_sql
+from brisa.operators.codec import decode, encode
 from brisa.operators.export import to_text_columns
 from brisa.operators.parse import blank_to_null, parse_readings, typed_parse
 from brisa.operators.replay import FIXED_RATE, fixed_rate_second, replay, with_ramp_second
 from brisa.operators.route import route
-from brisa.operators.throughput import throughput_log, throughput_screen
-from brisa.plans.adapters import (
-    events_readings,
-    events_readings_sql,
-    events_state,
-    lineitem_readings,
-    lineitem_readings_sql,
-)
-from brisa.plans.pipeline import OUT_PARTITIONS, OUT_TOPIC, clean_job, frame_summary, load_frames
 from brisa.operators.sequence import as_instant
+from brisa.operators.throughput import throughput_log, throughput_screen
+from brisa.plans.adapters import events_readings, events_state, lineitem_readings
+from brisa.plans.pipeline import OUT_PARTITIONS, clean_job, frame_summary, load_frames
 from brisa.schema import FIELD_TYPES, OPTIONAL_COLS
 from brisa.session import shared_path
 from brisa.sources.csv import csv_scan, write_export
