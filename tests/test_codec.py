@@ -45,3 +45,28 @@ def test_encoded_bytes_match_wire_format(spark):
     row.update(objectid=3, data="x", chuva=0.0)
     df = spark.createDataFrame([row], READING_SCHEMA)
     assert bytes(encode(df, engine="arrow").first().value).hex() == "0803120178290000000000000000"
+
+
+def test_payload_size_formula_on_edge_values(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from brisa.operators.codec import payload_size_sql
+
+    base = {f.name: None for f in READING_SCHEMA.fields}
+    cases = [
+        dict(objectid=0, data=""),                                   # empty payload
+        dict(objectid=127, data="x", codnum=-1),                      # negative int32: 10-byte varint
+        dict(objectid=128, data="é" * 70, estacao="ação"),            # multi-byte UTF-8, 2-byte length
+        dict(objectid=2**62, data="d", pm2_5=1.0, y_utm_sirgas2000=0.0),  # big varint, tags >= 16
+        dict(objectid=-5, data="d", codnum=2**31 - 1, lat=float("nan")),
+    ]
+    rows = [{**base, **c} for c in cases]
+    df = spark.createDataFrame(rows, READING_SCHEMA)
+    got = {r.objectid: r.n for r in encode(df, keep=["objectid"], engine="arrow")
+           .selectExpr("objectid", "octet_length(value) AS n").collect()}
+    types = {"objectid": pa.int64(), "codnum": pa.int32(), "data": pa.string(), "estacao": pa.string()}
+    tbl = pa.table({f.name: pa.array([r[f.name] for r in rows], types.get(f.name, pa.float64()))
+                    for f in READING_SCHEMA.fields})  # Arrow keeps NaN distinct from null
+    want = dict(duckdb.sql(f"SELECT objectid, {payload_size_sql()} FROM tbl").fetchall())
+    assert got == want
