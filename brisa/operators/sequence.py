@@ -27,10 +27,26 @@ from brisa.session import shared_path
 PID = "_pid"
 
 
+# Target bytes per range partition, and a cap on the partition count: the
+# per-partition boundary table (broadcast) has one small row per partition.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_RANGE_PARTITIONS = 200_000
+
+
 def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else enough partitions for ~TARGET_PARTITION_BYTES each.
+
+    The size is Catalyst's planning estimate (file sizes scaled to the projected
+    columns; no job runs), never fewer than ``spark.sql.shuffle.partitions``.
+    """
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM handle (e.g. Spark Connect): keep the configured count
+        return floor
+    return max(floor, min(MAX_RANGE_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
 
 
 def range_partitioned(df: DataFrame, keys: Sequence[str],
