@@ -161,3 +161,37 @@ def replay_stream(indexed: DataFrame, n: int, rows_per_second: int, idx_col: str
     return (ticks.withColumn(idx_col, F.pmod(F.col("seq"), F.lit(int(n))))
             .withColumn("cycle", cycle)
             .join(indexed, idx_col, "inner"))
+
+
+def start_exporter(frames: DataFrame, out_path: str, checkpoint: str,
+                   available_now: bool = True) -> StreamingQuery:
+    """K3 + P5 over a stream: decodable frames become quoted CSV rows under the
+    export header (undecodable ones are skipped); one file set per micro-batch."""
+    from brisa.operators.codec import decode
+    from brisa.operators.export import to_text_columns
+    from brisa.sources.csv import EXPORT_OPTIONS
+
+    text = to_text_columns(decode(frames, "value", mode="permissive"))
+    w = (text.writeStream.format("csv").options(**EXPORT_OPTIONS).option("path", out_path)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()
+
+
+def start_observers(spark: SparkSession, frames_source, base: str, transport: str = "files",
+                    available_now: bool = True) -> dict[str, StreamingQuery]:
+    """S3: the three independent consumers of the cleaned topic - screen rate
+    (1 s windows), throughput log (10 s windows) and exporter - each its own
+    query reading the source from its own checkpoint."""
+    from brisa.sources.kafka import read_frames
+
+    def frames():
+        return read_frames(spark, transport, frames_source, stream=True)
+
+    return {
+        "screen": start_throughput_table(frames(), f"{base}/screen", f"{base}/screen_ckpt", 1,
+                                         watermark="10 seconds", available_now=available_now),
+        "log": start_throughput_log(frames(), f"{base}/log", f"{base}/log_ckpt", 10,
+                                    available_now=available_now),
+        "export": start_exporter(frames(), f"{base}/export", f"{base}/export_ckpt", available_now),
+    }

@@ -128,3 +128,30 @@ def test_transitions_stream_equals_batch(spark, scratch):
     batch = transitions(ev, "entity", "ts", "state", "event_id", from_state="view")
     cols = ["entity", "ts", "event_id", "from_state", "to_state"]
     assert _sorted(streamed.select(*cols)) == _sorted(batch.select(*cols))
+
+
+def test_three_observers_on_one_source(spark, scratch):
+    from brisa.operators.codec import decode
+    from brisa.operators.export import to_text_columns
+    from brisa.schema import EXPORT_HEADER
+    from brisa.sources.csv import csv_scan
+    from brisa.streaming.pipelines import start_observers
+
+    inbox = os.path.join(scratch, "obs_in")
+    frames = load_frames(events_readings(spark, SF001, keep=["ts"]), ts_col="ts")
+    corrupt = spark.createDataFrame([(bytearray(b"\xff\xff"),)], "value binary").select(
+        F.lit(None).cast("binary").alias("key"), "value", F.lit("t").alias("topic"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"))
+    write_frames(frames.unionByName(corrupt), "files", inbox)
+    base = os.path.join(scratch, "obs")
+    queries = start_observers(spark, inbox, base)
+    for q in queries.values():
+        run_to_completion(q)
+    exported = csv_scan(spark, os.path.join(base, "export"))
+    batch = to_text_columns(decode(read_frames(spark, "files", inbox), mode="permissive"))
+    # the reader turns the quoted empty cells back into nulls
+    expected = sorted((tuple(None if v == "" else v for v in r) for r in batch.collect()), key=repr)
+    assert sorted((tuple(r) for r in exported.collect()), key=repr) == expected
+    assert read_throughput_table(spark, os.path.join(base, "screen")).count() > 0
+    header = spark.read.text(os.path.join(base, "export")).first().value
+    assert header.replace('"', "").split(",") == EXPORT_HEADER
