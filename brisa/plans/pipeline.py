@@ -8,6 +8,8 @@ The same function serves batch and streaming frames.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,24 @@ def load_frames(readings: DataFrame, topic: str = IN_TOPIC, ts_col: str | None =
     return to_frame(enc, topic, "value", partition=None, extra=["timestamp"])
 
 
+Transform = Callable[[DataFrame], DataFrame]
+
+
 def clean_job(frames: DataFrame, out_topic: str = OUT_TOPIC, num_partitions: int = OUT_PARTITIONS,
-              overflow: str = "error", mode: str = "failfast", engine: str = "auto") -> DataFrame:
-    readings = decode(frames, "value", mode=mode, engine=engine)
-    routed = route(zero_to_null(readings), "codnum", num_partitions, overflow)
-    return to_frame(encode(routed, keep=["partition"], engine=engine), out_topic, "value", "partition")
+              overflow: str = "error", mode: str = "failfast", engine: str = "auto",
+              decoder: Transform | None = None, transform: Transform | None = None,
+              router: Transform | None = None, encoder: Transform | None = None) -> DataFrame:
+    """The cleaning job.  Each stage is a pluggable ``DataFrame -> DataFrame``
+    (U1-U3): ``decoder`` (frames -> readings), ``transform`` (the row map,
+    default zero-to-null), ``router`` (adds ``partition``) and ``encoder``
+    (readings + partition -> ``partition, value``).  Defaults reproduce the
+    reference job."""
+    decoder = decoder or (lambda df: decode(df, "value", mode=mode, engine=engine))
+    transform = transform or zero_to_null
+    router = router or (lambda df: route(df, "codnum", num_partitions, overflow))
+    encoder = encoder or (lambda df: encode(df, keep=["partition"], engine=engine))
+    out = encoder(router(transform(decoder(frames))))
+    return to_frame(out, out_topic, "value", "partition")
 
 
 def frame_summary(frames: DataFrame) -> DataFrame:

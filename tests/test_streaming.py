@@ -155,3 +155,13 @@ def test_three_observers_on_one_source(spark, scratch):
     assert read_throughput_table(spark, os.path.join(base, "screen")).count() > 0
     header = spark.read.text(os.path.join(base, "export")).first().value
     assert header.replace('"', "").split(",") == EXPORT_HEADER
+
+
+def test_clean_job_hooks(spark):
+    from brisa.operators.clean import zero_to_null
+
+    frames = load_frames(lineitem_readings(spark, SF001))
+    custom = clean_job(frames, transform=lambda df: zero_to_null(df, ["chuva"]),
+                       router=lambda df: df.withColumn("partition", F.lit(3)))
+    parts = {r.partition for r in custom.select("partition").distinct().collect()}
+    assert parts == {3}
