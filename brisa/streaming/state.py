@@ -53,3 +53,33 @@ def transitions_stream(df: DataFrame, entity: str, ts: str, state: str, tiebreak
 
     return src.groupBy(entity).applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def leave_state_stream(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str, zone: str,
+                       zone_is_home: bool = False, home_state: str = "home") -> DataFrame:
+    """E2 on a stream: :func:`transitions_stream` followed by the leaving test."""
+    t = transitions_stream(df, entity, ts, state, tiebreak)
+    p, c = F.col("from_state"), F.col("to_state")
+    cond = (p == F.lit(zone)) & (c != F.lit(zone))
+    if zone_is_home:
+        cond = ((p == F.lit(home_state)) & (c != F.lit(home_state))) | cond
+    return t.filter(cond)
+
+
+def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int,
+                          watermark: str) -> DataFrame:
+    """E3 on a stream: Spark's event-time ``session_window`` per entity.
+
+    A session closes when no event arrives for ``hold_seconds`` - the batch rule of
+    :func:`brisa.operators.events.hold_intervals` - and, in append mode, is emitted
+    once the watermark passes its end, after which its state is dropped.
+    """
+    from brisa.operators.sequence import micros_of
+
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    inst = F.timestamp_micros(micros_of(F.col(ts), fields[ts]))
+    src = df.select(entity, inst.alias("_t")).withWatermark("_t", watermark)
+    sess = src.groupBy(entity, F.session_window("_t", f"{int(hold_seconds)} seconds").alias("_s")).agg(
+        F.count(F.lit(1)).alias("n_events"))
+    return sess.select(entity, F.col("_s.start").alias("hold_start"), F.col("_s.end").alias("hold_end"),
+                       "n_events")

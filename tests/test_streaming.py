@@ -165,3 +165,36 @@ def test_clean_job_hooks(spark):
                        router=lambda df: df.withColumn("partition", F.lit(3)))
     parts = {r.partition for r in custom.select("partition").distinct().collect()}
     assert parts == {3}
+
+
+def test_hold_and_leave_streams_match_batch(spark, scratch):
+    from brisa.operators.events import hold_intervals, leave_state
+    from brisa.operators.sequence import ts_micros
+    from brisa.plans.adapters import events_state
+    from brisa.streaming.state import hold_intervals_stream, leave_state_stream
+
+    ev = events_state(spark, SF001)
+    inbox = os.path.join(scratch, "hs")
+    ev.write.parquet(inbox)
+    st = spark.readStream.schema(ev.schema).parquet(inbox)
+    out = os.path.join(scratch, "hs_out")
+    run_to_completion(hold_intervals_stream(st, "entity", "ts", 3600, "1 hour").writeStream
+                      .format("parquet").option("path", out).option("checkpointLocation", out + "_ck")
+                      .outputMode("append").trigger(availableNow=True).start())
+    streamed = {(r.entity, r.s, r.e, r.n_events) for r in spark.read.parquet(out).selectExpr(
+        "entity", "unix_micros(hold_start) AS s", "unix_micros(hold_end) AS e", "n_events").collect()}
+    b = hold_intervals(ev, "entity", "ts", "event_id", 3600)
+    b = b.select("entity", ts_micros(b, "hold_start").alias("s"), ts_micros(b, "hold_end").alias("e"),
+                 "n_events")
+    batch = {tuple(r) for r in b.collect()}
+    max_us = ev.select(ts_micros(ev, "ts").alias("u")).agg(F.max("u")).first()[0]
+    closed = {r for r in batch if r[2] < max_us - 3600 * 1_000_000}
+    assert streamed <= batch and closed <= streamed and len(streamed) > 0
+
+    lv = leave_state_stream(st, "entity", "ts", "state", "event_id", zone="error")
+    lout = os.path.join(scratch, "lv_out")
+    run_to_completion(lv.writeStream.format("parquet").option("path", lout)
+                      .option("checkpointLocation", lout + "_ck").trigger(availableNow=True).start())
+    cols = ["entity", "ts", "event_id", "from_state", "to_state"]
+    assert _sorted(spark.read.parquet(lout).select(*cols)) == _sorted(
+        leave_state(ev, "entity", "ts", "state", "event_id", zone="error").select(*cols))
