@@ -53,8 +53,8 @@ def start_throughput_table(frames: DataFrame, out_path: str, checkpoint: str,
 
     With a ``watermark`` (long-running streams): update mode, so state for
     windows older than the watermark is dropped; each micro-batch appends the
-    windows it changed, tagged with its epoch (a retried epoch rewrites identical
-    rows), and :func:`read_throughput_table` keeps the latest version per window.
+    windows it changed into its own epoch folder (a retried epoch overwrites its
+    folder), and :func:`read_throughput_table` keeps the latest version per window.
     Without one: complete mode, each micro-batch overwrites the table - state
     grows with the number of windows, so use it for bounded replays only.
     """
@@ -66,7 +66,8 @@ def start_throughput_table(frames: DataFrame, out_path: str, checkpoint: str,
         mode = "complete"
     else:
         def write_batch(batch: DataFrame, epoch_id: int) -> None:
-            batch.withColumn("_epoch", F.lit(int(epoch_id))).write.mode("append").parquet(out_path)
+            # one folder per epoch, overwritten: a retried epoch replaces its own rows
+            batch.write.mode("overwrite").parquet(f"{out_path}/_epoch={int(epoch_id)}")
         mode = "update"
     w = agg.writeStream.outputMode(mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -89,13 +90,15 @@ def start_throughput_log(frames: DataFrame, out_path: str, checkpoint: str,
                          watermark: str = "0 seconds", available_now: bool = True) -> StreamingQuery:
     """A2/K4 over a stream: closed windows are appended to the log as
     ``timestamp_unix,throughput_msgs_sec``.  Spark emits no empty windows; the
-    log reader zero-fills (see :func:`brisa.operators.throughput.throughput_log`)."""
+    log reader zero-fills (see :func:`brisa.operators.throughput.throughput_log`).
+    Read it back with :func:`read_throughput_log`."""
     agg = throughput_stream(frames, window_seconds=window_seconds, unit_seconds=unit_seconds,
                             watermark=watermark).select(
         "timestamp_unix", F.col("throughput_truncated").alias("throughput_msgs_sec"))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append").option("header", "true").csv(out_path)
+        # one folder per epoch, overwritten: a retried epoch cannot duplicate lines
+        batch.write.mode("overwrite").option("header", "true").csv(f"{out_path}/epoch={int(epoch_id)}")
 
     w = agg.writeStream.outputMode("append").foreachBatch(write_batch).option(
         "checkpointLocation", checkpoint)
@@ -103,6 +106,14 @@ def start_throughput_log(frames: DataFrame, out_path: str, checkpoint: str,
     return w.start()
 
 
+def read_throughput_log(spark: SparkSession, path: str) -> DataFrame:
+    """All closed windows written by :func:`start_throughput_log`."""
+    from brisa.schema import LOG_SCHEMA
+
+    return spark.read.option("header", "true").schema(LOG_SCHEMA).csv(path).select(
+        *LOG_SCHEMA.fieldNames())
+
+
 class RateListener(StreamingQueryListener):
     """K5: rate to screen from query progress (no extra job, no driver data)."""
 

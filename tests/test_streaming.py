@@ -8,6 +8,7 @@ from brisa.plans.pipeline import clean_job, frame_summary, load_frames
 from brisa.sources.kafka import read_frames, write_frames
 from brisa.streaming.pipelines import (
     RateListener,
+    read_throughput_log,
     read_throughput_table,
     run_to_completion,
     start_clean_stream,
@@ -58,7 +59,7 @@ def test_throughput_log_stream_appends_closed_windows(spark, scratch):
     run_to_completion(start_throughput_log(read_frames(spark, "files", inbox, stream=True), out,
                                            os.path.join(scratch, "ck2"), window_seconds=3600,
                                            unit_seconds=3600))
-    logged = spark.read.option("header", "true").schema("timestamp_unix long, throughput_msgs_sec int").csv(out)
+    logged = read_throughput_log(spark, out)
     # every appended window is a closed one and agrees with the batch count
     batch = throughput_screen(read_frames(spark, "files", inbox), "timestamp", 3600, 3600).select(
         (F.col("window_start_unix") + 3600 * 1000).alias("timestamp_unix"), "n_msgs")
