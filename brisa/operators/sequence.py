@@ -53,8 +53,8 @@ def range_partitioned(df: DataFrame, keys: Sequence[str],
                       num_partitions: int | None = None) -> DataFrame:
     """Range-partition on ``keys`` and tag each row with its partition id.
 
-    The explicit partition count keeps AQE from coalescing these partitions, so
-    the tag seen by every consumer of the exchange is the same.
+    With an explicit count AQE keeps the partitions as planned, so each tag is
+    exactly one contiguous key range of the global order.
     """
     n = _num_parts(df, num_partitions)
     return df.repartitionByRange(n, *[F.col(k) for k in keys]).withColumn(

@@ -7,7 +7,6 @@ location when the session leaves it unset (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -54,8 +53,3 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/brisa/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for tools that want a plain path (tests only)."""
-    return path[len("file:"):] if path.startswith("file:") else os.fspath(path)
