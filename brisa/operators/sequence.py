@@ -132,8 +132,9 @@ def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Se
              .select(PID, F.lag("_row").over(boundary_window()).alias("_carry")))
     joined = local.join(F.broadcast(carry), PID, "left")
     first_in_part = F.col("_rn") == 1
-    same_as_carry = F.col("_carry.g") == F.col(group)
-    same_as_local = F.col("_pg") == F.col(group)
+    # null-safe: like SQL's PARTITION BY, rows with a null group form one group
+    same_as_carry = F.col("_carry").isNotNull() & F.col("_carry.g").eqNullSafe(F.col(group))
+    same_as_local = F.col("_pg").eqNullSafe(F.col(group))
     out = joined.withColumns({
         prefix + c: F.when(first_in_part, F.when(same_as_carry, F.col(f"_carry.{c}")))
                      .otherwise(F.when(same_as_local, F.col(f"_pl_{c}")))

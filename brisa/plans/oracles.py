@@ -37,7 +37,7 @@ def _screen_sql(source_where: str = "") -> str:
 
 def _lag_sql(extra: str = "") -> str:
     return ("SELECT user_id AS entity, ts, event_id, event_type AS to_state, "
-            "lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state "
+            "lag(event_type) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS from_state "
             f"{extra} FROM events")
 
 
@@ -112,20 +112,20 @@ def oracle_sql() -> dict[str, str]:
             "OR (from_state = 'error' AND to_state <> 'error')"),
         "hold_interval": (
             "WITH p AS (SELECT user_id AS entity, ts, event_id, "
-            "lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pts FROM events), "
+            "lag(ts) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pts FROM events), "
             "s AS (SELECT *, sum(CASE WHEN pts IS NULL OR epoch_us(ts) - epoch_us(pts) >= "
-            f"{C.HOLD_S * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts, event_id "
+            f"{C.HOLD_S * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM p) "
             f"SELECT entity, min(ts) AS hold_start, max(ts) + INTERVAL {C.HOLD_S} SECOND AS hold_end, "
             "count(*) AS n_events FROM s GROUP BY entity, sid"),
         "hold_onoff": (
             "WITH s AS (SELECT user_id AS entity, ts, event_id, CASE WHEN event_type IN "
             f"({', '.join(repr(t) for t in C.ACTIVE_TYPES)}) THEN 'on' ELSE 'off' END AS state FROM events), "
-            "l AS (SELECT *, lag(state) OVER (PARTITION BY entity ORDER BY ts, event_id) AS prev FROM s), "
+            "l AS (SELECT *, lag(state) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS prev FROM s), "
             "t AS (SELECT entity, ts, event_id, CASE WHEN prev = 'off' AND state = 'on' THEN 'start' "
             "WHEN prev = 'on' AND state = 'off' THEN 'stop' END AS kind FROM l), "
-            "k AS (SELECT *, lag(kind) OVER (PARTITION BY entity ORDER BY ts, event_id) AS pk, "
-            "lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) AS pt FROM t WHERE kind IS NOT NULL), "
+            "k AS (SELECT *, lag(kind) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pk, "
+            "lag(ts) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pt FROM t WHERE kind IS NOT NULL), "
             "g AS (SELECT *, sum(CASE WHEN pk IS NULL OR (kind = 'start' AND pk = 'stop' AND "
             f"epoch_us(ts) - epoch_us(pt) >= {C.HOLD_S * 1_000_000}) THEN 1 ELSE 0 END) OVER (PARTITION BY entity "
             "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM k), "

@@ -102,3 +102,10 @@ def test_motion_light_onoff_rule(spark):
                  ev.hold_intervals_onoff(_df(spark, rows), "entity", "ts", "state", "id", 120).collect())
     assert out == [("m", T0 + 10 * s, T0 + 230 * s, 2), ("m", T0 + 500 * s, None, 1),
                    ("n", T0 + 50 * s, T0 + 180 * s, 1)]
+
+
+def test_null_entity_rows_form_one_group(spark):
+    rows = [(None, T0, 1, "a"), (None, T0 + dt.timedelta(seconds=1), 2, "b"),
+            ("x", T0, 3, "a"), ("x", T0 + dt.timedelta(seconds=2), 4, "a")]
+    out = ev.transitions(_df(spark, rows), "entity", "ts", "state", "id", num_partitions=3).collect()
+    assert [(r.entity, r.id, r.from_state, r.to_state) for r in out] == [(None, 2, "a", "b")]
