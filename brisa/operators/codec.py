@@ -188,11 +188,14 @@ def decode(df: DataFrame, value_col: str = "value", mode: str = "failfast",
         rec = from_protobuf(v, FULL_NAME, options=opts, binaryDescriptorSet=descriptor_set_bytes())
         if mode == "failfast":
             rec = F.when(v.isNull(), F.raise_error(F.lit("null payload (tombstone)"))).otherwise(rec)
-        ok = rec.isNotNull()
-        fields = [rec.getField(n) for n in _NAMES]
+        # project the decoded struct once, then expand it (one decode per row)
+        parsed = df.select(*keep, rec.alias("_rec"))
+        r = F.col("_rec")
+        fields = [r.getField(n) for n in _NAMES]
         fields[0] = F.coalesce(fields[0], F.lit(0).cast("long"))
         fields[1] = F.coalesce(fields[1], F.lit(""))
-        staged = df.select(*keep, *[f.alias(n) for f, n in zip(fields, _NAMES)], ok.alias("_ok"))
+        staged = parsed.select(*keep, *[f.alias(n) for f, n in zip(fields, _NAMES)],
+                               r.isNotNull().alias("_ok"))
     else:
         df = ensure_parallelism(df)
         udf = _decode_failfast_udf if mode == "failfast" else _decode_permissive_udf
