@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brisa.functions.columns import rate_per_unit, round_half_up, truncate_int
-from brisa.operators.sequence import ts_micros
+from brisa.operators.sequence import materialize, ts_micros
 
 
 def window_counts(df: DataFrame, ts_col: str, window_seconds: int) -> DataFrame:
@@ -27,10 +27,13 @@ def window_counts(df: DataFrame, ts_col: str, window_seconds: int) -> DataFrame:
 def _zero_filled(counts: DataFrame, window_seconds: int) -> DataFrame:
     """Add ``n_msgs = 0`` rows for empty windows between the first and last one.
 
-    The grid is generated with ``spark.range`` (distributed); only its two bounds
-    reach the driver.  Grid size grows with the time span, not with the data.
+    The window counts (one row per non-empty window, not per message) are
+    written once, so the bounds and the result read them instead of scanning
+    the messages twice.  The grid comes from ``spark.range`` (distributed); only
+    its two bounds reach the driver.  Grid size follows the time span.
     """
     w_us = int(window_seconds) * 1_000_000
+    counts = materialize(counts, "window_counts")
     bounds = counts.agg(F.min("_start_us").alias("lo"), F.max("_start_us").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         return counts
