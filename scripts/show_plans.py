@@ -18,8 +18,9 @@ NOTES = {
     "clean_pipeline": "Scan -> codec (ArrowEvalPython) -> clean/route projection -> codec. The round-robin "
                       "exchange appears only because the test file has one row group (fewer partitions than "
                       "cores); at scale the scan is already wider and no exchange is planned.",
-    "throughput_log": "Partial + final hash aggregate on the integer window start; zero-fill grid from "
-                      "spark.range unioned and re-aggregated (rows = windows, not messages).",
+    "throughput_log": "The window counts (partial + final hash aggregate on the integer window start) "
+                      "are written once; the plan shown reads them back, unions the spark.range grid "
+                      "of empty windows and re-aggregates (rows = windows, not messages).",
     "state_transition": "Reads the materialized range-partitioned table; boundary rows (one per partition) "
                         "are broadcast - bounded by the partition count.",
     "hold_interval": "Same shape; final aggregate by (entity, hold_start) is partial + final.",
