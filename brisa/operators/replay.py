@@ -31,8 +31,7 @@ def replay(df: DataFrame, order_cols: Sequence[str], cycles: int | None = None,
     """
     if (cycles is None) == (total is None):
         raise ValueError("give exactly one of cycles / total")
-    n = df.count()  # one scalar for the cycle arithmetic
-    indexed = with_sequence(df, order_cols, "_idx", num_partitions)
+    indexed, n = with_sequence(df, order_cols, "_idx", num_partitions, with_count=True)
     if n == 0:
         return indexed.withColumn("cycle", F.lit(0).cast("long")).withColumn(
             "seq", F.col("_idx")).drop("_idx")

@@ -91,11 +91,13 @@ def is_last_in_partition(keys: Sequence[str]) -> Column:
 
 
 def with_sequence(df: DataFrame, order_cols: Sequence[str], out: str = "_idx",
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, with_count: bool = False):
     """Add a contiguous 0-based position in the global order of ``order_cols``.
 
     ``order_cols`` should be unique per row (append a tiebreak).  Positions are
-    fixed by materializing once, so recomputation cannot renumber rows.
+    fixed by materializing once, so recomputation cannot renumber rows.  With
+    ``with_count`` also return the row count (read from the per-partition
+    counts, not from another scan of the input).
     """
     parts = range_partitioned(df, order_cols, num_partitions)
     parts = materialize(parts.sortWithinPartitions(*order_cols)
@@ -107,9 +109,12 @@ def with_sequence(df: DataFrame, order_cols: Sequence[str], out: str = "_idx",
                    F.lit(0)).alias("_off"))
     # monotonically_increasing_id = (partition id << 33) + row position in partition
     local = F.col("_mid") - F.shiftleft(F.col(PID).cast("long"), 33)
-    return (parts.join(F.broadcast(offsets), PID, "inner")
-            .withColumn(out, F.col("_off") + local)
-            .drop(PID, "_mid", "_off"))
+    indexed = (parts.join(F.broadcast(offsets), PID, "inner")
+               .withColumn(out, F.col("_off") + local)
+               .drop(PID, "_mid", "_off"))
+    if not with_count:
+        return indexed
+    return indexed, int(parts.count())
 
 
 def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Sequence[str],
