@@ -1,6 +1,8 @@
 """Benchmark every registered query.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_EVENT_LOG (optional folder: write Spark's event log there for stage and
+task times).
 Each query runs to completion through the ``noop`` sink (full computation, no
 rows to the driver), twice after a warm-up; the faster run is reported (the
 host is shared and single runs vary by tens of percent).  Prints one JSON line.
@@ -25,8 +27,10 @@ HEADLINE = list(QUERIES)
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus), extra=extra)
     # warm-up on the smallest tables: JVM/JIT, and the Python workers that the
     # codec fallback uses (worker start + protobuf import are not query work)
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
