@@ -33,17 +33,28 @@ TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_RANGE_PARTITIONS = 200_000
 
 
-def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
-    """Explicit count, else enough partitions for ~TARGET_PARTITION_BYTES each.
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, bounded by the sum of the plan's inputs.
 
-    The size is Catalyst's planning estimate (file sizes scaled to the projected
-    columns; no job runs), never fewer than ``spark.sql.shuffle.partitions``.
+    Above joins the root estimate can be wildly inflated; the operators here
+    (projections, filters, joins to bounded tables) never emit more bytes than
+    they read, so the leaves give an upper bound.  No job runs.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    root = int(str(plan.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(root, inputs)
+
+
+def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else enough partitions for ~TARGET_PARTITION_BYTES each,
+    never fewer than ``spark.sql.shuffle.partitions``."""
     if num_partitions:
         return int(num_partitions)
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = _estimated_bytes(df)
     except Exception:  # no JVM handle (e.g. Spark Connect): keep the configured count
         return floor
     return max(floor, min(MAX_RANGE_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
