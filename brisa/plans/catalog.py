@@ -16,6 +16,7 @@ from brisa.operators import events as ev
 from brisa.operators.clean import presence_flags, zero_to_null
 from brisa.operators.codec import decode, encode
 from brisa.operators.export import to_text_columns
+from brisa.operators.parallelism import ensure_parallelism
 from brisa.operators.parse import blank_to_null, parse_readings, typed_parse
 from brisa.operators.replay import FIXED_RATE, fixed_rate_second, replay, with_ramp_second
 from brisa.operators.route import route
@@ -86,7 +87,8 @@ def q_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """S1 + P1/P2 + C5 + K3: readings exported as quoted CSV, scanned back by
     position (header dropped) and parsed strictly."""
     path = shared_path(spark, "csv_scan")
-    write_export(to_text_columns(lineitem_readings(spark, sf)), path)
+    # spread before formatting: the text casts are the CPU-heavy part of the export
+    write_export(to_text_columns(ensure_parallelism(lineitem_readings(spark, sf))), path)
     return parse_readings(csv_scan(spark, path), errors="fail")
 
 
