@@ -117,9 +117,11 @@ def read_throughput_log(spark: SparkSession, path: str) -> DataFrame:
 class RateListener(StreamingQueryListener):
     """K5: rate to screen from query progress (no extra job, no driver data)."""
 
-    def __init__(self, printer=print):
+    def __init__(self, printer=print, keep: int = 1000):
+        from collections import deque
+
         self.printer = printer
-        self.rates: list[float] = []
+        self.rates = deque(maxlen=keep)  # recent rates only: the stream never ends
 
     def onQueryStarted(self, event):
         pass
