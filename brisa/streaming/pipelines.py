@@ -106,12 +106,26 @@ def start_throughput_log(frames: DataFrame, out_path: str, checkpoint: str,
     return w.start()
 
 
-def read_throughput_log(spark: SparkSession, path: str) -> DataFrame:
-    """All closed windows written by :func:`start_throughput_log`."""
+def read_throughput_log(spark: SparkSession, path: str, window_seconds: int | None = None) -> DataFrame:
+    """Windows written by :func:`start_throughput_log`.
+
+    With ``window_seconds``, empty windows between the first and the last logged
+    one come back as zero-rate lines (Spark emits no rows for empty windows);
+    the grid is a distributed ``spark.range``, only its bounds reach the driver.
+    """
     from brisa.schema import LOG_SCHEMA
 
-    return spark.read.option("header", "true").schema(LOG_SCHEMA).csv(path).select(
-        *LOG_SCHEMA.fieldNames())
+    log = spark.read.option("header", "true").schema(LOG_SCHEMA).csv(path).select(*LOG_SCHEMA.fieldNames())
+    if not window_seconds:
+        return log
+    b = log.agg(F.min("timestamp_unix").alias("lo"), F.max("timestamp_unix").alias("hi")).first()
+    if b is None or b["lo"] is None:
+        return log
+    step = int(window_seconds) * 1000
+    grid = spark.range(b["lo"], b["hi"] + step, step).select(
+        F.col("id").alias("timestamp_unix"), F.lit(0).alias("throughput_msgs_sec"))
+    return (log.unionByName(grid).groupBy("timestamp_unix")
+            .agg(F.max("throughput_msgs_sec").cast("int").alias("throughput_msgs_sec")))
 
 
 class RateListener(StreamingQueryListener):

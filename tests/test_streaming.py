@@ -66,6 +66,10 @@ def test_throughput_log_stream_appends_closed_windows(spark, scratch):
     joined = logged.join(batch, "timestamp_unix")
     assert logged.count() > 0 and joined.count() == logged.count()
     assert joined.filter("throughput_msgs_sec <> n_msgs").count() == 0
+    filled = read_throughput_log(spark, out, window_seconds=3600)
+    lo, hi = filled.agg(F.min("timestamp_unix"), F.max("timestamp_unix")).first()
+    assert filled.count() == (hi - lo) // 3_600_000 + 1
+    assert filled.filter("throughput_msgs_sec = 0").count() == filled.count() - logged.count()
 
 
 def test_replay_stream_loops_over_dataset(spark):
