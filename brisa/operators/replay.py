@@ -78,3 +78,15 @@ def with_ramp_second(df: DataFrame, seq: str = "seq", out: str = "emit_second",
             .withColumn("_b", F.expr(f"_b + CASE WHEN {cum('(_b + 1L)')} <= `{seq}` THEN 1L ELSE 0L END"))
             .withColumn(out, F.expr(f"_b * {k}L + (`{seq}` - {cum('_b')}) div ({a}L + {d}L * _b)"))
             .drop("_b"))
+
+
+def with_emit_second(df: DataFrame, mode: str = "fixed", rate: int = FIXED_RATE,
+                     seq: str = "seq", out: str = "emit_second") -> DataFrame:
+    """The two sender modes: ``"fixed"`` sends ``rate`` messages per second;
+    ``"stress"`` starts at STRESS_START_RATE and adds STRESS_STEP every
+    STRESS_EVERY_SECONDS (``rate`` is ignored)."""
+    if mode == "fixed":
+        return df.withColumn(out, fixed_rate_second(seq, rate))
+    if mode == "stress":
+        return with_ramp_second(df, seq, out)
+    raise ValueError(f"mode must be 'fixed' or 'stress', got {mode!r}")

@@ -222,3 +222,22 @@ def start_observers(spark: SparkSession, frames_source, base: str, transport: st
                                     available_now=available_now),
         "export": start_exporter(frames(), f"{base}/export", f"{base}/export_ckpt", available_now),
     }
+
+
+def start_observer(spark: SparkSession, frames_source, base: str, mode: str = "normal",
+                   transport: str = "files", available_now: bool = True) -> StreamingQuery:
+    """One observer, chosen like the source program's read mode: ``"normal"``
+    (1 s screen rate), ``"logger"`` (10 s throughput log) or ``"exporter"``
+    (CSV export of decodable readings)."""
+    from brisa.sources.kafka import read_frames
+
+    frames = read_frames(spark, transport, frames_source, stream=True)
+    if mode == "normal":
+        return start_throughput_table(frames, f"{base}/screen", f"{base}/screen_ckpt", 1,
+                                      watermark="10 seconds", available_now=available_now)
+    if mode == "logger":
+        return start_throughput_log(frames, f"{base}/log", f"{base}/log_ckpt", 10,
+                                    available_now=available_now)
+    if mode == "exporter":
+        return start_exporter(frames, f"{base}/export", f"{base}/export_ckpt", available_now)
+    raise ValueError(f"mode must be 'normal', 'logger' or 'exporter', got {mode!r}")

@@ -43,3 +43,16 @@ def test_replay_cycles_and_total(spark):
 def test_replay_empty_input(spark):
     df = spark.range(0).withColumnRenamed("id", "x")
     assert replay(df, ["x"], total=100).count() == 0
+
+
+def test_sender_modes(spark):
+    from brisa.operators.replay import with_emit_second
+
+    df = spark.range(60000).withColumnRenamed("id", "seq")
+    fixed = {r.emit_second: r.n for r in with_emit_second(df, "fixed", 20000)
+             .groupBy("emit_second").agg(F.count("*").alias("n")).collect()}
+    assert fixed == {0: 20000, 1: 20000, 2: 20000}
+    stress = with_emit_second(df, "stress").agg(F.max("emit_second")).first()[0]
+    assert stress == 5  # 5 s at 10 000/s, then 11 000/s
+    with pytest.raises(ValueError):
+        with_emit_second(df, "burst")

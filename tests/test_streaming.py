@@ -203,3 +203,17 @@ def test_hold_and_leave_streams_match_batch(spark, scratch):
     cols = ["entity", "ts", "event_id", "from_state", "to_state"]
     assert _sorted(spark.read.parquet(lout).select(*cols)) == _sorted(
         leave_state(ev, "entity", "ts", "state", "event_id", zone="error").select(*cols))
+
+
+def test_single_observer_modes(spark, scratch):
+    import pytest
+
+    from brisa.streaming.pipelines import start_observer
+
+    inbox = os.path.join(scratch, "one_obs")
+    write_frames(load_frames(events_readings(spark, SF001, keep=["ts"]), ts_col="ts"), "files", inbox)
+    q = start_observer(spark, inbox, os.path.join(scratch, "o1"), mode="logger")
+    run_to_completion(q)
+    assert read_throughput_log(spark, os.path.join(scratch, "o1", "log")).count() > 0
+    with pytest.raises(ValueError):
+        start_observer(spark, inbox, os.path.join(scratch, "o2"), mode="screen")
