@@ -54,7 +54,7 @@ def transitions(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
     ``from_state`` / ``to_state`` narrow the trigger (e.g. ``off`` -> ``on``).
     """
     prev = with_previous(df.select(entity, ts, tiebreak, state), entity, [ts, tiebreak], [state],
-                         num_partitions=num_partitions)
+                         num_partitions=num_partitions, changes_only=True)
     cond = F.col(f"prev_{state}").isNotNull() & (F.col(f"prev_{state}") != F.col(state))
     if from_state is not None:
         cond = cond & (F.col(f"prev_{state}") == F.lit(from_state))
@@ -73,7 +73,7 @@ def leave_state(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
     leaving it also triggers.  Same output columns as :func:`transitions`.
     """
     prev = with_previous(df.select(entity, ts, tiebreak, state), entity, [ts, tiebreak], [state],
-                         num_partitions=num_partitions)
+                         num_partitions=num_partitions, changes_only=True)
     p, c = F.col(f"prev_{state}"), F.col(state)
     cond = (p == F.lit(zone)) & (c != F.lit(zone))
     if zone_is_home:

@@ -109,3 +109,20 @@ def test_null_entity_rows_form_one_group(spark):
             ("x", T0, 3, "a"), ("x", T0 + dt.timedelta(seconds=2), 4, "a")]
     out = ev.transitions(_df(spark, rows), "entity", "ts", "state", "id", num_partitions=3).collect()
     assert [(r.entity, r.id, r.from_state, r.to_state) for r in out] == [(None, 2, "a", "b")]
+
+
+def test_sparse_changes_across_many_partitions(spark):
+    rnd = random.Random(11)
+    rows, state = [], "off"
+    for i in range(5000):
+        if rnd.random() < 0.004:  # long runs: most partitions hold no change
+            state = "on" if state == "off" else "off"
+        ent = "hot" if i % 10 else f"e{i % 7}"
+        rows.append((ent, T0 + dt.timedelta(seconds=i), i, state if ent == "hot" else rnd.choice("ab")))
+    pdf = pd.DataFrame(rows, columns=["entity", "ts", "id", "state"]).sort_values(["entity", "ts", "id"])
+    pdf["prev"] = pdf.groupby("entity")["state"].shift()
+    exp = sorted(pdf[(pdf.prev.notna()) & (pdf.prev != pdf.state)][["id", "prev", "state"]]
+                 .itertuples(index=False, name=None))
+    got = sorted((r.id, r.from_state, r.to_state) for r in
+                 ev.transitions(_df(spark, rows), "entity", "ts", "state", "id", num_partitions=24).collect())
+    assert got == exp
