@@ -109,7 +109,8 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
         base.withColumn("_rn", F.row_number().over(w))
             .withColumn("_new", local_new)
             .withColumn("_last", is_last_in_partition(keys))
-            .withColumn("_ls", F.last(F.when(F.col("_new"), F.col(ts)), ignorenulls=True).over(wr)))
+            .withColumn("_ls", F.last(F.when(F.col("_new"), F.col(ts)), ignorenulls=True).over(wr))
+            .drop("_new"))
     firsts = local.filter(F.col("_rn") == 1).select(
         PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"), kind_col.alias("_fk"))
     lasts = local.filter("_last").select(
@@ -132,7 +133,7 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
     resolved = local.join(F.broadcast(bounds.select(PID, "_first_new", "_ft", "_carry")), PID, "left")
     start = F.coalesce(F.col("_ls"), F.when(F.col("_first_new"), F.col("_ft")), F.col("_carry"))
     return resolved.withColumn("hold_start", start).drop(
-        "_rn", "_new", "_last", "_ls", "_first_new", "_ft", "_carry", PID)
+        "_rn", "_last", "_ls", "_first_new", "_ft", "_carry", PID)
 
 
 def _check_hold(hold_seconds: int) -> None:
