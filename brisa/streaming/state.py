@@ -83,3 +83,69 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
         F.count(F.lit(1)).alias("n_events"))
     return sess.select(entity, F.col("_s.start").alias("hold_start"), F.col("_s.end").alias("hold_end"),
                        "n_events")
+
+
+def hold_onoff_stream(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
+                      hold_seconds: int, watermark: str, on: str = "on", off: str = "off") -> DataFrame:
+    """E3 (motion-light rule) on a stream, as the automation runs it live.
+
+    Per entity, state keeps the last reported state and the interval in
+    progress.  An ``off -> on`` change opens (or restarts) the interval, an
+    ``on -> off`` change starts the delay; the interval is emitted once the
+    watermark passes ``last stop + hold_seconds`` (event-time timeout) or a later
+    start proves the delay ran out.  Output: ``entity, hold_start, hold_end,
+    n_triggers`` for closed intervals - the batch operator's rows whose end is
+    known.  One entity's rows of one micro-batch are handled together.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout as Timeout
+
+    from brisa.operators.sequence import micros_of
+
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    src = (df.select(entity, tiebreak, state, micros_of(F.col(ts), fields[ts]).alias("_us"))
+           .withColumn("_t", F.timestamp_micros("_us")).withWatermark("_t", watermark))
+    delay_us = int(hold_seconds) * 1_000_000
+    out_schema = T.StructType([
+        T.StructField(entity, fields[entity]), T.StructField("start_us", T.LongType()),
+        T.StructField("end_us", T.LongType()), T.StructField("n_triggers", T.LongType())])
+    state_schema = T.StructType([
+        T.StructField("last_state", T.StringType()), T.StructField("open", T.BooleanType()),
+        T.StructField("start_us", T.LongType()), T.StructField("last_on_us", T.LongType()),
+        T.StructField("last_off_us", T.LongType()), T.StructField("n", T.LongType())])
+
+    def step(key, batches, gs):
+        import pandas as pd
+
+        last_state, is_open, start, last_on, last_off, n = (
+            gs.get if gs.exists else (None, False, None, None, None, 0))
+        closed = []
+        if gs.hasTimedOut:
+            if is_open and last_off is not None and (last_on is None or last_off >= last_on):
+                closed.append((start, last_off + delay_us, n))
+                is_open, start, last_on, last_off, n = False, None, None, None, 0
+        else:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["_us", tiebreak], kind="stable")
+            for t, cur in zip(rows["_us"].tolist(), rows[state].tolist()):
+                if last_state == off and cur == on:          # start trigger
+                    stopped = is_open and last_off is not None and last_off >= last_on
+                    if stopped and t - last_off >= delay_us:  # the delay ran out first
+                        closed.append((start, last_off + delay_us, n))
+                        is_open = False
+                    if is_open:
+                        n += 1                               # restart inside the delay
+                    else:
+                        is_open, start, n, last_off = True, t, 1, None
+                    last_on = t
+                elif last_state == on and cur == off and is_open:
+                    last_off = t                              # the delay starts
+                last_state = cur
+        gs.update((last_state, is_open, start, last_on, last_off, n))
+        if is_open and last_off is not None and last_off >= last_on:
+            gs.setTimeoutTimestamp(max((last_off + delay_us) // 1000, gs.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({entity: [key[0]] * len(closed), "start_us": [c[0] for c in closed],
+                            "end_us": [c[1] for c in closed], "n_triggers": [c[2] for c in closed]})
+
+    res = src.groupBy(entity).applyInPandasWithState(
+        step, out_schema, state_schema, "append", Timeout.EventTimeTimeout)
+    return res.select(entity, F.timestamp_micros("start_us").alias("hold_start"),
+                      F.timestamp_micros("end_us").alias("hold_end"), "n_triggers")

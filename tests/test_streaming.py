@@ -217,3 +217,29 @@ def test_single_observer_modes(spark, scratch):
     assert read_throughput_log(spark, os.path.join(scratch, "o1", "log")).count() > 0
     with pytest.raises(ValueError):
         start_observer(spark, inbox, os.path.join(scratch, "o2"), mode="screen")
+
+
+def test_hold_onoff_stream_closed_intervals_match_batch(spark, scratch):
+    from brisa.operators.events import hold_intervals_onoff
+    from brisa.operators.sequence import ts_micros
+    from brisa.plans.adapters import events_state
+    from brisa.streaming.state import hold_onoff_stream
+
+    ev = events_state(spark, SF001).withColumn(
+        "state", F.when(F.col("state").isin("view", "click"), "on").otherwise("off"))
+    inbox = os.path.join(scratch, "onoff")
+    ev.write.parquet(inbox)
+    st = spark.readStream.schema(ev.schema).parquet(inbox)
+    out = os.path.join(scratch, "onoff_out")
+    run_to_completion(hold_onoff_stream(st, "entity", "ts", "state", "event_id", 3600, "1 hour")
+                      .writeStream.format("parquet").option("path", out)
+                      .option("checkpointLocation", out + "_ck").outputMode("append")
+                      .trigger(availableNow=True).start())
+    streamed = {(r.entity, r.s, r.e, r.n_triggers) for r in spark.read.parquet(out).selectExpr(
+        "entity", "unix_micros(hold_start) AS s", "unix_micros(hold_end) AS e", "n_triggers").collect()}
+    b = hold_intervals_onoff(ev, "entity", "ts", "state", "event_id", 3600).filter("hold_end IS NOT NULL")
+    batch = {tuple(r) for r in b.select("entity", ts_micros(b, "hold_start"), ts_micros(b, "hold_end"),
+                                        "n_triggers").collect()}
+    max_us = ev.select(ts_micros(ev, "ts").alias("u")).agg(F.max("u")).first()[0]
+    closed = {r for r in batch if r[2] < max_us - 3600 * 1_000_000}
+    assert streamed <= batch and closed <= streamed and len(streamed) > 0
