@@ -72,7 +72,10 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
 
     A session closes when no event arrives for ``hold_seconds`` - the batch rule of
     :func:`brisa.operators.events.hold_intervals` - and, in append mode, is emitted
-    once the watermark passes its end, after which its state is dropped.
+    once the watermark passes its end, after which its state is dropped.  With
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` on (a
+    :func:`brisa.session.build_session` default) sessions are pre-merged in each
+    input partition, so a dominant entity ships sessions rather than events.
     """
     from brisa.operators.sequence import micros_of
 
