@@ -57,3 +57,53 @@ def test_transitions_and_holds_match_pandas(spark, rows, parts, gap):
     got_h = sorted((r.hold_start, r.n_events) for r in
                    ev.hold_intervals(df, "entity", "ts", "id", gap, num_partitions=parts).collect())
     assert got_h == exp_h
+
+
+def _reading_strategy():
+    from brisa.schema import READING_FIELDS
+
+    def field(name, dtype, optional):
+        t = dtype.simpleString()
+        if t == "bigint":
+            base = st.integers(-(2**63), 2**63 - 1)
+        elif t == "int":
+            base = st.integers(-(2**31), 2**31 - 1)
+        elif t == "double":
+            base = st.floats(allow_nan=True, allow_infinity=True)
+        else:
+            base = st.text(max_size=40)
+        return st.one_of(st.none(), base) if optional else base
+
+    return st.fixed_dictionaries({n: field(n, t, o) for n, t, o in READING_FIELDS})
+
+
+@SETTINGS
+@given(rows=st.lists(_reading_strategy(), min_size=1, max_size=25))
+def test_codec_round_trip_and_size(spark, rows):
+    import math
+
+    import duckdb
+    import pyarrow as pa
+
+    from brisa.operators.codec import decode, encode, payload_size_sql
+    from brisa.schema import READING_SCHEMA
+
+    rows = [dict(r, objectid=i if r["objectid"] is None else r["objectid"]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, READING_SCHEMA)
+    enc = encode(df, keep=["objectid"], engine="arrow").selectExpr("objectid AS k", "value")
+    back = decode(enc, keep=["k"], engine="arrow").collect()
+
+    names = READING_SCHEMA.fieldNames()
+
+    def norm(d):  # a tuple in schema order; NaN made comparable
+        return tuple("nan" if isinstance(d[k], float) and math.isnan(d[k]) else d[k] for k in names)
+
+    want = sorted((norm(r) for r in rows), key=repr)
+    got = sorted((norm(r.asDict()) for r in back), key=repr)
+    assert got == want
+
+    types = {"objectid": pa.int64(), "codnum": pa.int32(), "data": pa.string(), "estacao": pa.string()}
+    tbl = pa.table({f.name: pa.array([r[f.name] for r in rows], types.get(f.name, pa.float64()))  # noqa: F841
+                    for f in READING_SCHEMA.fields})
+    sizes = sorted(x[0] for x in duckdb.sql(f"SELECT {payload_size_sql()} FROM tbl").fetchall())
+    assert sorted(r.n for r in enc.selectExpr("octet_length(value) AS n").collect()) == sizes
