@@ -1,4 +1,5 @@
-"""Streaming queries: the cleaning job (T1) and throughput observers (A1/A2/K4/K5).
+"""Streaming queries: the cleaning job (T1), the observers - screen rate, throughput
+log, exporter (S3, A1-A3, K3-K5) - and the replay source (S4/L1).
 
 Sources are Kafka or folders of frame files; every query needs a checkpoint
 location under the shared checkpoint folder, so a restarted driver or a lost
