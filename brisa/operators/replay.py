@@ -27,7 +27,10 @@ def replay(df: DataFrame, order_cols: Sequence[str], cycles: int | None = None,
     """Repeat ``df`` in the order of ``order_cols`` (unique), adding ``cycle`` and ``seq``.
 
     Give ``cycles`` (whole passes) or ``total`` (rows to send; the last pass is
-    cut).  Empty input gives empty output.
+    cut).  Empty input gives empty output.  Each row expands in place through
+    ``explode(sequence(0, passes - 1))`` - no shuffle, no cross join - and the
+    pass list is built per row, so keep ``passes`` moderate (thousands, not
+    millions); replaying longer means running the replay again with an offset.
     """
     if (cycles is None) == (total is None):
         raise ValueError("give exactly one of cycles / total")
