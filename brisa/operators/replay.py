@@ -23,14 +23,16 @@ STRESS_EVERY_SECONDS = 5
 
 
 def replay(df: DataFrame, order_cols: Sequence[str], cycles: int | None = None,
-           total: int | None = None, num_partitions: int | None = None) -> DataFrame:
+           total: int | None = None, num_partitions: int | None = None,
+           start_cycle: int = 0) -> DataFrame:
     """Repeat ``df`` in the order of ``order_cols`` (unique), adding ``cycle`` and ``seq``.
 
     Give ``cycles`` (whole passes) or ``total`` (rows to send; the last pass is
     cut).  Empty input gives empty output.  Each row expands in place through
     ``explode(sequence(0, passes - 1))`` - no shuffle, no cross join - and the
     pass list is built per row, so keep ``passes`` moderate (thousands, not
-    millions); replaying longer means running the replay again with an offset.
+    millions); to replay longer, continue with ``start_cycle`` (``seq`` and
+    ``total`` then count from the start of that pass).
     """
     if (cycles is None) == (total is None):
         raise ValueError("give exactly one of cycles / total")
@@ -39,12 +41,14 @@ def replay(df: DataFrame, order_cols: Sequence[str], cycles: int | None = None,
         return indexed.withColumn("cycle", F.lit(0).cast("long")).withColumn(
             "seq", F.col("_idx")).drop("_idx")
     passes = cycles if cycles is not None else -(-int(total) // n)
+    first = int(start_cycle)
     out = (indexed
-           .withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))
+           .withColumn("cycle", F.explode(F.sequence(F.lit(first).cast("long"),
+                                                     F.lit(first + passes - 1).cast("long"))))
            .withColumn("seq", F.col("cycle") * F.lit(n) + F.col("_idx"))
            .drop("_idx"))
     if total is not None:
-        out = out.filter(F.col("seq") < F.lit(int(total)))
+        out = out.filter(F.col("seq") < F.lit(first * n + int(total)))
     return out
 
 

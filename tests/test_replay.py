@@ -56,3 +56,10 @@ def test_sender_modes(spark):
     assert stress == 5  # 5 s at 10 000/s, then 11 000/s
     with pytest.raises(ValueError):
         with_emit_second(df, "burst")
+
+
+def test_replay_continues_from_a_later_pass(spark):
+    df = spark.range(10).withColumnRenamed("id", "x")
+    out = replay(df, ["x"], total=15, start_cycle=3).collect()
+    assert sorted(r.seq for r in out) == list(range(30, 45))
+    assert {r.cycle for r in out} == {3, 4}
