@@ -169,11 +169,13 @@ def encode(df: DataFrame, out: str = "value", keep: list[str] | None = None,
 
 def decode(df: DataFrame, value_col: str = "value", mode: str = "failfast",
            keep: list[str] | None = None, engine: str = "auto",
-           observation: Observation | None = None) -> DataFrame:
+           observation: Observation | str | None = None) -> DataFrame:
     """Payload -> 26 typed reading columns (plus ``keep`` columns).
 
     ``failfast`` raises on a corrupt or null payload; ``permissive`` drops those
-    rows.  Pass an ``Observation`` to count the dropped rows without a second job.
+    rows.  Pass an ``Observation`` (batch) or a metric name (stream: reported in
+    each query progress as ``observedMetrics``) to count the dropped rows without
+    a second job.
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"mode must be 'failfast' or 'permissive', got {mode!r}")

@@ -147,6 +147,9 @@ class RateListener(StreamingQueryListener):
         self.rates.append(rate)
         if p.numInputRows > 0:
             self.printer(f">>> [THROUGHPUT] {rate:.0f} msgs/s")
+        dec = (p.observedMetrics or {}).get("decode")
+        if dec is not None and dec["dropped"]:
+            self.printer(f">>> [DECODE] {dec['dropped']} of {dec['received']} frames undecodable")
 
     def onQueryIdle(self, event):
         pass
@@ -194,12 +197,13 @@ def replay_stream(indexed: DataFrame, n: int, rows_per_second: int, idx_col: str
 def start_exporter(frames: DataFrame, out_path: str, checkpoint: str,
                    available_now: bool = True) -> StreamingQuery:
     """K3 + P5 over a stream: decodable frames become quoted CSV rows under the
-    export header (undecodable ones are skipped); one file set per micro-batch."""
+    export header; undecodable ones are skipped and counted (``observedMetrics
+    ["decode"]`` of each progress event: ``dropped``, ``received``)."""
     from brisa.operators.codec import decode
     from brisa.operators.export import to_text_columns
     from brisa.sources.csv import EXPORT_OPTIONS
 
-    text = to_text_columns(decode(frames, "value", mode="permissive"))
+    text = to_text_columns(decode(frames, "value", mode="permissive", observation="decode"))
     w = (text.writeStream.format("csv").options(**EXPORT_OPTIONS).option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")

@@ -149,9 +149,18 @@ def test_three_observers_on_one_source(spark, scratch):
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"))
     write_frames(frames.unionByName(corrupt), "files", inbox)
     base = os.path.join(scratch, "obs")
-    queries = start_observers(spark, inbox, base)
-    for q in queries.values():
-        run_to_completion(q)
+    lines = []
+    listener = RateListener(printer=lines.append)
+    spark.streams.addListener(listener)
+    try:
+        queries = start_observers(spark, inbox, base)
+        for q in queries.values():
+            run_to_completion(q)
+        dropped = sum(p.observedMetrics["decode"]["dropped"] for p in queries["export"].recentProgress
+                      if "decode" in p.observedMetrics)
+    finally:
+        spark.streams.removeListener(listener)
+    assert dropped == 1
     exported = csv_scan(spark, os.path.join(base, "export"))
     batch = to_text_columns(decode(read_frames(spark, "files", inbox), mode="permissive"))
     # the reader turns the quoted empty cells back into nulls
