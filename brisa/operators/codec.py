@@ -93,25 +93,27 @@ def _py_values(a: pa.Array) -> list:
 
 
 def _encode_batch(*arrays: pa.Array) -> pa.Array:
-    cls = message_class()
+    msg = message_class()()  # one message object per batch, cleared per row
     n = len(arrays[0]) if arrays else 0
     # Columns that are null in the whole batch contribute nothing to the payload.
     live = [(name, _py_values(a)) for name, a in zip(_NAMES, arrays) if a.null_count < n]
+    clear, serialize = msg.Clear, msg.SerializeToString
     out = [b""] * n
     for i in range(n):
-        msg = cls()
+        clear()
         for name, values in live:
             v = values[i]
             if v is not None:
                 setattr(msg, name, v)
-        out[i] = msg.SerializeToString()
+        out[i] = serialize()
     return pa.array(out, type=pa.binary())
 
 
 def _decode_batch(values: pa.Array, failfast: bool) -> pa.Array:
     from google.protobuf.message import DecodeError
 
-    cls = message_class()
+    msg = message_class()()  # one message object per batch, cleared per row
+    clear, merge, list_fields = msg.Clear, msg.MergeFromString, msg.ListFields
     n = len(values)
     cols: list[list] = [[None] * n for _ in _NAMES]
     cols[0] = [0] * n    # objectid: no presence, absent reads as 0
@@ -121,7 +123,9 @@ def _decode_batch(values: pa.Array, failfast: bool) -> pa.Array:
         try:
             if payload is None:
                 raise DecodeError("null payload (tombstone)")
-            fields = cls.FromString(payload).ListFields()
+            clear()
+            merge(payload)
+            fields = list_fields()
         except DecodeError:
             if failfast:
                 raise
