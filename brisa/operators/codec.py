@@ -140,9 +140,17 @@ def _decode_batch(values: pa.Array, failfast: bool) -> pa.Array:
     return pa.StructArray.from_arrays(arrays, names=_NAMES + ["_ok"])
 
 
+def _decode_permissive_batches(keep: list[str]):
+    def run(batches):
+        for b in batches:
+            dec = _decode_batch(b.column("_value"), False)
+            cols = [b.column(k) for k in keep] + dec.flatten()
+            yield pa.RecordBatch.from_arrays(cols, names=keep + _NAMES + ["_ok"])
+    return run
+
+
 _encode_udf = F.arrow_udf(_encode_batch, T.BinaryType())
 _decode_failfast_udf = F.arrow_udf(lambda v: _decode_batch(v, True), _DECODED_TYPE)
-_decode_permissive_udf = F.arrow_udf(lambda v: _decode_batch(v, False), _DECODED_TYPE)
 
 
 # ---------------------------------------------------------------- public API
@@ -202,10 +210,16 @@ def decode(df: DataFrame, value_col: str = "value", mode: str = "failfast",
         fields[1] = F.coalesce(fields[1], F.lit(""))
         staged = parsed.select(*keep, *[f.alias(n) for f, n in zip(fields, _NAMES)],
                                r.isNotNull().alias("_ok"))
-    else:
+    elif mode == "failfast":
         df = ensure_parallelism(df)
-        udf = _decode_failfast_udf if mode == "failfast" else _decode_permissive_udf
-        staged = df.select(*keep, udf(v).alias("_rec")).select(*keep, "_rec.*")
+        staged = df.select(*keep, _decode_failfast_udf(v).alias("_rec")).select(*keep, "_rec.*")
+    else:
+        # A scalar UDF here would be inlined into the pushed-down ``_ok`` filter
+        # and run twice; nothing is pushed through mapInArrow, so each payload is
+        # decoded once and the filter (and observation) stay above it.
+        src = ensure_parallelism(df).select(*keep, v.alias("_value"))
+        schema = T.StructType([src.schema[k] for k in keep] + list(_DECODED_TYPE.fields))
+        staged = src.mapInArrow(_decode_permissive_batches(list(keep)), schema)
     if observation is not None:
         staged = staged.observe(observation, F.count_if(~F.col("_ok")).alias("dropped"),
                                 F.count(F.lit(1)).alias("received"))

@@ -43,3 +43,12 @@ def test_range_partition_count_follows_size(spark, monkeypatch):
     monkeypatch.setattr(sequence, "MAX_RANGE_PARTITIONS", 10)
     assert sequence._num_parts(df, None) == 10
     assert sequence._num_parts(df, 3) == 3
+
+
+def test_permissive_decode_runs_the_codec_once(spark):
+    from brisa.operators.codec import decode, encode
+
+    frames = encode(_wide_readings(spark, 1)).select(
+        F.when(F.col("value").isNull(), F.lit(b"\xff")).otherwise(F.col("value")).alias("value"))
+    plan = _plan(decode(frames, mode="permissive"))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1
