@@ -52,3 +52,16 @@ def test_permissive_decode_runs_the_codec_once(spark):
         F.when(F.col("value").isNull(), F.lit(b"\xff")).otherwise(F.col("value")).alias("value"))
     plan = _plan(decode(frames, mode="permissive"))
     assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_domain_filter_reaches_the_scan(spark, scratch):
+    import os
+
+    from brisa.operators.events import domain_filter
+
+    path = os.path.join(scratch, "entities")
+    spark.createDataFrame([("sensor.a",), ("sensor",), ("sensorx.a",), ("switch.k",), ("light.b",)],
+                          "entity_id string").write.parquet(path)
+    df = domain_filter(spark.read.parquet(path))
+    assert "StringStartsWith(entity_id,sensor.)" in _plan(df)
+    assert sorted(r.entity_id for r in df.collect()) == ["sensor", "sensor.a", "switch.k"]
