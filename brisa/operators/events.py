@@ -94,7 +94,8 @@ def leave_state(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
 
 def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
                     kind: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Rows of ``df`` with ``hold_start``: the ts of the row that opened their session.
+    """Rows of ``df`` with ``_sid``: ``struct(t, k)`` = (ts, tiebreak) of the row
+    that opened their session.
 
     A row opens a session when it is its entity's first row or when
     ``breaks(prev_ts, prev_kind, ts, kind)`` holds against the previous row of
@@ -108,6 +109,9 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
     w = local_window(keys)
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
     ts_type = df.schema[ts].dataType
+    # a session is identified by its opening row (ts and tiebreak): with a zero
+    # delay two sessions of one entity can open at the same instant
+    sid = F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("k"))
     cols = keys + ([kind] if kind else [])
     kind_col = F.col(kind) if kind else F.lit(None)
     base = range_partitioned(df.select(*cols), keys, num_partitions)
@@ -119,10 +123,10 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
         base.withColumn("_rn", F.row_number().over(w))
             .withColumn("_new", local_new)
             .withColumn("_last", is_last_in_partition(keys))
-            .withColumn("_ls", F.last(F.when(F.col("_new"), F.col(ts)), ignorenulls=True).over(wr))
+            .withColumn("_ls", F.last(F.when(F.col("_new"), sid), ignorenulls=True).over(wr))
             .drop("_new"))
     firsts = local.filter(F.col("_rn") == 1).select(
-        PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"), kind_col.alias("_fk"))
+        PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"), sid.alias("_fsid"), kind_col.alias("_fk"))
     lasts = local.filter("_last").select(
         PID, F.col(entity).alias("_le"), F.col(ts).alias("_lt"), kind_col.alias("_lk"),
         F.col("_ls").alias("_lls"))
@@ -131,19 +135,20 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
               .withColumn("_ple", F.lag("_le").over(bw))
               .withColumn("_plt", F.lag("_lt").over(bw))
               .withColumn("_plk", F.lag("_lk").over(bw)))
+    # "no previous partition" is tested on a marker: the entity itself may be null
     bounds = bounds.withColumn(
         "_first_new",
-        F.col("_ple").isNull() | ~F.col("_ple").eqNullSafe(F.col("_fe"))
+        F.lag(F.lit(1)).over(bw).isNull() | ~F.col("_ple").eqNullSafe(F.col("_fe"))
         | F.coalesce(breaks(micros_of(F.col("_plt"), ts_type), F.col("_plk"),
                             micros_of(F.col("_ft"), ts_type), F.col("_fk")), F.lit(False)))
     bounds = bounds.withColumn(
-        "_v", F.coalesce(F.col("_lls"), F.when(F.col("_first_new"), F.col("_ft"))))
+        "_v", F.coalesce(F.col("_lls"), F.when(F.col("_first_new"), F.col("_fsid"))))
     bounds = bounds.withColumn(
         "_carry", F.last("_v", ignorenulls=True).over(bw.rowsBetween(Window.unboundedPreceding, -1)))
-    resolved = local.join(F.broadcast(bounds.select(PID, "_first_new", "_ft", "_carry")), PID, "left")
-    start = F.coalesce(F.col("_ls"), F.when(F.col("_first_new"), F.col("_ft")), F.col("_carry"))
-    return resolved.withColumn("hold_start", start).drop(
-        "_rn", "_last", "_ls", "_first_new", "_ft", "_carry", PID)
+    resolved = local.join(F.broadcast(bounds.select(PID, "_first_new", "_fsid", "_carry")), PID, "left")
+    start = F.coalesce(F.col("_ls"), F.when(F.col("_first_new"), F.col("_fsid")), F.col("_carry"))
+    return resolved.withColumn("_sid", start).drop(
+        "_rn", "_last", "_ls", "_first_new", "_fsid", "_carry", PID)
 
 
 def _check_hold(hold_seconds: int) -> None:
@@ -175,10 +180,10 @@ def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
         return (cur_us - prev_us) >= gap
 
     starts = _session_starts(df, entity, ts, tiebreak, breaks, num_partitions=num_partitions)
-    return (starts.groupBy(entity, "hold_start")
+    return (starts.groupBy(entity, "_sid")
             .agg(F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("n_events"))
-            .select(entity, "hold_start", _plus_seconds(F.col("_last_ts"), hold_seconds).alias("hold_end"),
-                    "n_events"))
+            .select(entity, F.col("_sid.t").alias("hold_start"),
+                    _plus_seconds(F.col("_last_ts"), hold_seconds).alias("hold_end"), "n_events"))
 
 
 def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
@@ -208,7 +213,7 @@ def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebre
 
     starts = _session_starts(trig, entity, ts, tiebreak, breaks, kind="_kind", num_partitions=num_partitions)
     is_start, is_stop = F.col("_kind") == "start", F.col("_kind") == "stop"
-    agg = starts.groupBy(entity, F.col("hold_start").alias("_sid")).agg(
+    agg = starts.groupBy(entity, "_sid").agg(
         F.min(F.when(is_start, F.col(ts))).alias("hold_start"),
         F.max(F.when(is_start, F.col(ts))).alias("_last_on"),
         F.max(F.when(is_stop, F.col(ts))).alias("_last_off"),

@@ -107,3 +107,35 @@ def test_codec_round_trip_and_size(spark, rows):
                     for f in READING_SCHEMA.fields})
     sizes = sorted(x[0] for x in duckdb.sql(f"SELECT {payload_size_sql()} FROM tbl").fetchall())
     assert sorted(r.n for r in enc.selectExpr("octet_length(value) AS n").collect()) == sizes
+
+
+@SETTINGS
+@given(rows=events, parts=st.integers(1, 12), gap=st.integers(0, 60))
+def test_onoff_rule_matches_sql(spark, rows, parts, gap):
+    import duckdb
+    import pyarrow as pa
+
+    data = [(e, T0 + dt.timedelta(seconds=s), i, v) for i, (e, s, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "entity string, ts timestamp_ntz, id long, state string")
+    got = sorted((r.entity or "", r.hold_start, r.hold_end, r.n_triggers) for r in
+                 ev.hold_intervals_onoff(df, "entity", "ts", "state", "id", gap, num_partitions=parts).collect())
+    t = pa.table({"entity": [d[0] for d in data], "ts": [d[1] for d in data],  # noqa: F841
+                  "id": [d[2] for d in data], "state": [d[3] for d in data]})
+    sql = f"""
+    WITH l AS (SELECT *, lag(state) OVER w AS prev FROM t
+               WINDOW w AS (PARTITION BY entity ORDER BY ts NULLS FIRST, id NULLS FIRST)),
+    k AS (SELECT entity, ts, id, CASE WHEN prev = 'off' AND state = 'on' THEN 'start'
+                                      WHEN prev = 'on' AND state = 'off' THEN 'stop' END AS kind FROM l),
+    p AS (SELECT *, lag(kind) OVER w AS pk, lag(ts) OVER w AS pt FROM k WHERE kind IS NOT NULL
+          WINDOW w AS (PARTITION BY entity ORDER BY ts NULLS FIRST, id NULLS FIRST)),
+    g AS (SELECT *, sum(CASE WHEN pk IS NULL OR (kind = 'start' AND pk = 'stop'
+                                 AND epoch_us(ts) - epoch_us(pt) >= {gap * 1_000_000}) THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, id NULLS FIRST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM p),
+    a AS (SELECT entity, min(CASE WHEN kind = 'start' THEN ts END) AS s,
+                 max(CASE WHEN kind = 'start' THEN ts END) AS lon, max(CASE WHEN kind = 'stop' THEN ts END) AS loff,
+                 count(CASE WHEN kind = 'start' THEN 1 END) AS n FROM g GROUP BY entity, sid)
+    SELECT coalesce(entity, ''), s, CASE WHEN loff >= lon THEN loff + INTERVAL {gap} SECOND END, n
+    FROM a WHERE s IS NOT NULL"""
+    exp = sorted(tuple(r) for r in duckdb.sql(sql).fetchall())
+    assert got == exp
