@@ -30,7 +30,7 @@ def test_ramp_closed_form(spark, a, d, k, n):
 
 
 events = st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b", None]),
-                            st.integers(0, 500), st.sampled_from(["on", "off", "x"])),
+                            st.integers(0, 500), st.sampled_from(["on", "off", "x", None])),
                   min_size=1, max_size=300)
 
 
@@ -43,7 +43,8 @@ def test_transitions_and_holds_match_pandas(spark, rows, parts, gap):
     pdf["g"] = pdf["entity"].fillna("\0null")  # SQL groups null keys together
     pdf = pdf.sort_values(["g", "ts", "id"])
     pdf["prev"] = pdf.groupby("g")["state"].shift()
-    exp = sorted(pdf[pdf.prev.notna() & (pdf.prev != pdf.state)][["id", "prev", "state"]]
+    # SQL semantics: a change from or to null is not a transition
+    exp = sorted(pdf[pdf.prev.notna() & pdf.state.notna() & (pdf.prev != pdf.state)][["id", "prev", "state"]]
                  .itertuples(index=False, name=None))
     got = sorted((r.id, r.from_state, r.to_state) for r in
                  ev.transitions(df, "entity", "ts", "state", "id", num_partitions=parts).collect())
@@ -139,3 +140,14 @@ def test_onoff_rule_matches_sql(spark, rows, parts, gap):
     FROM a WHERE s IS NOT NULL"""
     exp = sorted(tuple(r) for r in duckdb.sql(sql).fetchall())
     assert got == exp
+
+
+@SETTINGS
+@given(keys=st.sets(st.integers(-10**12, 10**12), min_size=0, max_size=400), parts=st.integers(1, 16),
+       input_parts=st.integers(1, 6))
+def test_sequence_is_the_rank(spark, keys, parts, input_parts):
+    from brisa.operators.sequence import with_sequence
+
+    df = spark.createDataFrame([(k,) for k in keys] or [], "k long").repartition(input_parts)
+    got = sorted((r.k, r.i) for r in with_sequence(df, ["k"], "i", num_partitions=parts).collect())
+    assert got == [(k, i) for i, k in enumerate(sorted(keys))]
