@@ -151,3 +151,23 @@ def test_sequence_is_the_rank(spark, keys, parts, input_parts):
     df = spark.createDataFrame([(k,) for k in keys] or [], "k long").repartition(input_parts)
     got = sorted((r.k, r.i) for r in with_sequence(df, ["k"], "i", num_partitions=parts).collect())
     assert got == [(k, i) for i, k in enumerate(sorted(keys))]
+
+
+@SETTINGS
+@given(offsets=st.lists(st.integers(0, 5_000_000), min_size=1, max_size=200),
+       window=st.sampled_from([1, 7, 10, 60]), unit=st.sampled_from([1, 3, 1000]))
+def test_throughput_log_matches_reference(spark, offsets, window, unit):
+    from collections import Counter
+
+    from brisa.operators.throughput import throughput_log
+
+    ts = [T0 + dt.timedelta(milliseconds=o) for o in offsets]
+    df = spark.createDataFrame([(t,) for t in ts], "ts timestamp_ntz")
+    epoch_ms = int((T0 - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    w_ms = window * 1000
+    counts = Counter((epoch_ms + o) // w_ms for o in offsets)
+    lo, hi = min(counts), max(counts)
+    exp = sorted(((b + 1) * w_ms, int(float(counts.get(b, 0)) * float(unit) / float(window)))
+                 for b in range(lo, hi + 1))
+    got = sorted(tuple(r) for r in throughput_log(df, "ts", window, unit).collect())
+    assert got == exp
