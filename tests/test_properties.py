@@ -4,6 +4,7 @@ import datetime as dt
 
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
 from brisa.operators import events as ev
@@ -171,3 +172,20 @@ def test_throughput_log_matches_reference(spark, offsets, window, unit):
                  for b in range(lo, hi + 1))
     got = sorted(tuple(r) for r in throughput_log(df, "ts", window, unit).collect())
     assert got == exp
+
+
+@SETTINGS
+@given(n=st.integers(0, 60), total=st.one_of(st.none(), st.integers(0, 300)), cycles=st.integers(1, 5),
+       start=st.integers(0, 3), parts=st.integers(1, 7))
+def test_replay_matches_loop(spark, n, total, cycles, start, parts):
+    from brisa.operators.replay import replay
+
+    df = spark.range(n).select((F.col("id") * 3).alias("x"))
+    out = replay(df, ["x"], cycles=None if total is not None else cycles, total=total,
+                 num_partitions=parts, start_cycle=start).collect()
+    if n == 0:
+        assert out == []
+        return
+    count = total if total is not None else cycles * n
+    exp = sorted((start * n + j, start + j // n, (j % n) * 3) for j in range(count))
+    assert sorted((r.seq, r.cycle, r.x) for r in out) == exp
