@@ -42,6 +42,9 @@ def replay(df: DataFrame, order_cols: Sequence[str], cycles: int | None = None,
             "seq", F.col("_idx")).drop("_idx")
     passes = cycles if cycles is not None else -(-int(total) // n)
     first = int(start_cycle)
+    if passes <= 0:  # nothing to send (sequence(a, a - 1) would count down, not be empty)
+        return (indexed.withColumn("cycle", F.lit(first).cast("long"))
+                .withColumn("seq", F.col("_idx")).drop("_idx").filter(F.lit(False)))
     out = (indexed
            .withColumn("cycle", F.explode(F.sequence(F.lit(first).cast("long"),
                                                      F.lit(first + passes - 1).cast("long"))))

@@ -63,3 +63,9 @@ def test_replay_continues_from_a_later_pass(spark):
     out = replay(df, ["x"], total=15, start_cycle=3).collect()
     assert sorted(r.seq for r in out) == list(range(30, 45))
     assert {r.cycle for r in out} == {3, 4}
+
+
+def test_replay_of_nothing(spark):
+    df = spark.range(5).withColumnRenamed("id", "x")
+    assert replay(df, ["x"], total=0).count() == 0
+    assert replay(df, ["x"], cycles=0).count() == 0
