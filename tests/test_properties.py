@@ -189,3 +189,29 @@ def test_replay_matches_loop(spark, n, total, cycles, start, parts):
     count = total if total is not None else cycles * n
     exp = sorted((start * n + j, start + j // n, (j % n) * 3) for j in range(count))
     assert sorted((r.seq, r.cycle, r.x) for r in out) == exp
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=events, slices=st.integers(1, 4))
+def test_transitions_stream_equals_batch_in_time_order(spark, rows, slices, tmp_path_factory):
+    from brisa.streaming.pipelines import run_to_completion
+    from brisa.streaming.state import transitions_stream
+
+    base = str(tmp_path_factory.mktemp("tstream"))
+    data = [(e, T0 + dt.timedelta(seconds=s), i, v) for i, (e, s, v) in enumerate(rows)]
+    schema = "entity string, ts timestamp_ntz, id long, state string"
+    cuts = sorted({0, 501, *[500 * (k + 1) // slices for k in range(slices - 1)]})
+    for lo, hi in zip(cuts, cuts[1:]):  # arrive in time order, one file per slice
+        part = [d for d in data if lo <= (d[1] - T0).seconds < hi]
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    q = (transitions_stream(stream, "entity", "ts", "state", "id").writeStream.format("parquet")
+         .option("path", base + "/out").option("checkpointLocation", base + "/ck")
+         .trigger(availableNow=True).start())
+    run_to_completion(q)
+    out_schema = "entity string, ts timestamp_ntz, id long, from_state string, to_state string"
+    got = sorted((r.id, r.from_state, r.to_state)
+                 for r in spark.read.schema(out_schema).parquet(base + "/out").collect())
+    batch = ev.transitions(spark.createDataFrame(data, schema), "entity", "ts", "state", "id")
+    assert got == sorted((r.id, r.from_state, r.to_state) for r in batch.collect())
