@@ -215,3 +215,32 @@ def test_transitions_stream_equals_batch_in_time_order(spark, rows, slices, tmp_
                  for r in spark.read.schema(out_schema).parquet(base + "/out").collect())
     batch = ev.transitions(spark.createDataFrame(data, schema), "entity", "ts", "state", "id")
     assert got == sorted((r.id, r.from_state, r.to_state) for r in batch.collect())
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=events, gap=st.integers(0, 60))
+def test_onoff_stream_closed_intervals(spark, rows, gap, tmp_path_factory):
+    from brisa.operators.sequence import ts_micros
+    from brisa.streaming.pipelines import run_to_completion
+    from brisa.streaming.state import hold_onoff_stream
+
+    base = str(tmp_path_factory.mktemp("oostream"))
+    data = [(e, T0 + dt.timedelta(seconds=s), i, v) for i, (e, s, v) in enumerate(rows)]
+    schema = "entity string, ts timestamp_ntz, id long, state string"
+    df = spark.createDataFrame(data, schema)
+    df.write.parquet(base + "/in")
+    stream = spark.readStream.schema(schema).parquet(base + "/in")
+    q = (hold_onoff_stream(stream, "entity", "ts", "state", "id", gap, "1 second").writeStream
+         .format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    run_to_completion(q)
+    out = spark.read.schema("entity string, hold_start timestamp, hold_end timestamp, n_triggers long") \
+        .parquet(base + "/out")
+    streamed = {(r.entity, r.s, r.e, r.n) for r in out.selectExpr(
+        "entity", "unix_micros(hold_start) AS s", "unix_micros(hold_end) AS e", "n_triggers AS n").collect()}
+    b = ev.hold_intervals_onoff(df, "entity", "ts", "state", "id", gap).filter("hold_end IS NOT NULL")
+    batch = {tuple(r) for r in b.select("entity", ts_micros(b, "hold_start"), ts_micros(b, "hold_end"),
+                                        "n_triggers").collect()}
+    max_us = df.select(ts_micros(df, "ts").alias("u")).agg(F.max("u")).first()[0]
+    closed = {r for r in batch if r[2] < max_us - 1_000_000}
+    assert streamed <= batch and closed <= streamed
