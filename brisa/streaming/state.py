@@ -81,6 +81,11 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
 
     fields = {f.name: f.dataType for f in df.schema.fields}
     inst = F.timestamp_micros(micros_of(F.col(ts), fields[ts]))
+    if int(hold_seconds) == 0:
+        # zero delay: every event is its own interval, closed at once (Spark's
+        # session_window would emit nothing for a zero gap)
+        return df.select(entity, inst.alias("hold_start"), inst.alias("hold_end"),
+                         F.lit(1).cast("long").alias("n_events"))
     src = df.select(entity, inst.alias("_t")).withWatermark("_t", watermark)
     sess = src.groupBy(entity, F.session_window("_t", f"{int(hold_seconds)} seconds").alias("_s")).agg(
         F.count(F.lit(1)).alias("n_events"))

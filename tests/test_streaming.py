@@ -252,3 +252,18 @@ def test_hold_onoff_stream_closed_intervals_match_batch(spark, scratch):
     max_us = ev.select(ts_micros(ev, "ts").alias("u")).agg(F.max("u")).first()[0]
     closed = {r for r in batch if r[2] < max_us - 3600 * 1_000_000}
     assert streamed <= batch and closed <= streamed and len(streamed) > 0
+
+
+def test_hold_stream_zero_delay_is_one_interval_per_event(spark, scratch):
+    from brisa.streaming.state import hold_intervals_stream
+
+    inbox = os.path.join(scratch, "zero")
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "entity string, id int").selectExpr(
+        "entity", "cast('2024-01-01 00:00:00' as timestamp_ntz) AS ts").write.parquet(inbox)
+    st = spark.readStream.schema("entity string, ts timestamp_ntz").parquet(inbox)
+    out = os.path.join(scratch, "zero_out")
+    run_to_completion(hold_intervals_stream(st, "entity", "ts", 0, "1 second").writeStream.format("parquet")
+                      .option("path", out).option("checkpointLocation", out + "_ck")
+                      .trigger(availableNow=True).start())
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.entity for r in rows) == ["a", "a", "b"] and all(r.n_events == 1 for r in rows)
