@@ -70,7 +70,8 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
                           watermark: str) -> DataFrame:
     """E3 on a stream: Spark's event-time ``session_window`` per entity.
 
-    A session closes when no event arrives for ``hold_seconds`` - the batch rule of
+    A session closes when no event arrives for ``hold_seconds`` (an event exactly
+    ``hold_seconds`` later opens a new one) - the batch rule of
     :func:`brisa.operators.events.hold_intervals` - and, in append mode, is emitted
     once the watermark passes its end, after which its state is dropped.  With
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` on (a
@@ -87,9 +88,14 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
         return df.select(entity, inst.alias("hold_start"), inst.alias("hold_end"),
                          F.lit(1).cast("long").alias("n_events"))
     src = df.select(entity, inst.alias("_t")).withWatermark("_t", watermark)
-    sess = src.groupBy(entity, F.session_window("_t", f"{int(hold_seconds)} seconds").alias("_s")).agg(
+    # session_window joins events exactly ``gap`` apart (touching sessions merge);
+    # the hold rule starts a new interval there.  A gap 1 us shorter splits them,
+    # and the microsecond is added back to the reported end.
+    gap_us = int(hold_seconds) * 1_000_000 - 1
+    sess = src.groupBy(entity, F.session_window("_t", f"{gap_us} microseconds").alias("_s")).agg(
         F.count(F.lit(1)).alias("n_events"))
-    return sess.select(entity, F.col("_s.start").alias("hold_start"), F.col("_s.end").alias("hold_end"),
+    return sess.select(entity, F.col("_s.start").alias("hold_start"),
+                       F.timestamp_micros(F.unix_micros(F.col("_s.end")) + F.lit(1)).alias("hold_end"),
                        "n_events")
 
 

@@ -244,3 +244,33 @@ def test_onoff_stream_closed_intervals(spark, rows, gap, tmp_path_factory):
     max_us = df.select(ts_micros(df, "ts").alias("u")).agg(F.max("u")).first()[0]
     closed = {r for r in batch if r[2] < max_us - 1_000_000}
     assert streamed <= batch and closed <= streamed
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=events, gap=st.integers(0, 60))
+def test_hold_stream_closed_sessions(spark, rows, gap, tmp_path_factory):
+    from brisa.operators.sequence import ts_micros
+    from brisa.streaming.pipelines import run_to_completion
+    from brisa.streaming.state import hold_intervals_stream
+
+    base = str(tmp_path_factory.mktemp("hstream"))
+    data = [(e, T0 + dt.timedelta(seconds=s), i, v) for i, (e, s, v) in enumerate(rows)]
+    schema = "entity string, ts timestamp_ntz, id long, state string"
+    df = spark.createDataFrame(data, schema)
+    df.write.parquet(base + "/in")
+    stream = spark.readStream.schema(schema).parquet(base + "/in")
+    q = (hold_intervals_stream(stream, "entity", "ts", gap, "1 second").writeStream.format("parquet")
+         .option("path", base + "/out").option("checkpointLocation", base + "/ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    run_to_completion(q)
+    out = spark.read.schema("entity string, hold_start timestamp, hold_end timestamp, n_events long") \
+        .parquet(base + "/out")
+    streamed = sorted((r.entity or "", r.s, r.e, r.n) for r in out.selectExpr(
+        "entity", "unix_micros(hold_start) AS s", "unix_micros(hold_end) AS e", "n_events AS n").collect())
+    b = ev.hold_intervals(df, "entity", "ts", "id", gap)
+    batch = sorted((r[0] or "", r[1], r[2], r[3]) for r in b.select(
+        "entity", ts_micros(b, "hold_start"), ts_micros(b, "hold_end"), "n_events").collect())
+    max_us = df.select(ts_micros(df, "ts").alias("u")).agg(F.max("u")).first()[0]
+    closed = [r for r in batch if r[2] < max_us - 1_000_000]
+    assert set(streamed) <= set(batch) and set(closed) <= set(streamed)
+    assert len(streamed) == len(set(streamed)) or gap == 0
