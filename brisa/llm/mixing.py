@@ -74,15 +74,19 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
     return out
 
 
-def mix_sources(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source).
+def mix_sources(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, most: int = MOST, seed: int = SEED,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the mix takes of every row of ``docs`` (doc_id, text, source).
+
+    doc_id, source, size, source_size, target; taken (words, repeats counted); copies
+    (whole ones) and ranges (first, last: the words of the selected blocks, end exclusive).
 
     Sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3, ...  Null and wordless texts
     have size 0 and give nothing.  Rows of one doc_id are placed one after the other.  An
     empty table gives an empty result.  Other columns are ignored.  One row per source comes
     to the driver.
     """
-    sized = stage(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-sizes")
+    sized = stage(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), *keep), "mix-sizes")
     spark = docs.sparkSession
     sources = sorted(((r.source, r.words, r.docs) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()),
                      key=lambda r: (r[0] is None, r[0] or ""))
@@ -110,8 +114,32 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOC
     line = Window.partitionBy("k", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = (placed.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
             .join(shards, ["k", "shard"]).withColumn("shift", F.pmod(F.xxhash64("k", "shard", F.lit(seed)), F.greatest("blocks", F.lit(1)))))
-    extra = f"""aggregate(sequence((({{0}} + 1) * blocks - 1) div words, ((start + size) * blocks - 1) div words), 0L, (sum, b) -> sum +
-        if(pmod({PRIME}L * b + shift, blocks) < quota % blocks,
-           least(start + size, (b + 1) * words div blocks) - greatest(start, b * words div blocks), 0L))""".format("start")
-    taken = F.when(F.col("size") > 0, F.expr(f"size * (quota div blocks) + {extra}")).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    # the selected blocks that the document overlaps, as word ranges of the document
+    picked = F.when(F.col("size") > 0, F.expr(f"""transform(
+        filter(sequence(((start + 1) * blocks - 1) div words, ((start + size) * blocks - 1) div words),
+               b -> pmod({PRIME}L * b + shift, blocks) < quota % blocks),
+        b -> struct(greatest(start, b * words div blocks) - start as first, least(start + size, (b + 1) * words div blocks) - start as last))"""))
+    rows = (rows.withColumn("copies", F.when(F.col("size") > 0, F.expr("quota div blocks")).otherwise(F.lit(0)).cast("long"))
+            .withColumn("ranges", F.coalesce(picked, F.array().cast("array<struct<first:bigint,last:bigint>>"))))
+    taken = F.col("size") * F.col("copies") + F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "ranges", *keep)
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row per whole copy of a document, and one of its selected blocks.
+
+    Documents of which nothing is taken go.  A row of selected blocks holds their words
+    in order, with the white space behind each; ``n_chars``, if there, is counted anew.
+    """
+    tag = "__row"
+    marked = stage(docs.withColumn(tag, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_sources(marked, keep=(tag,), **options).filter("taken > 0").select(tag, "copies", "ranges")
+    words = F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.transform("ranges", lambda r: F.array_join(F.slice("__words", (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")), "")), "")
+    rows = marked.join(plan, tag)
+    whole = rows.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    some = (rows.filter(F.exists("ranges", lambda r: r["last"] > r["first"])).withColumn("__words", words)
+            .withColumn(text, part.cast(docs.schema[text].dataType)).select(*docs.columns))
+    if n_chars in docs.columns:
+        some = some.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
+    return whole.unionByName(some)

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .batches import table
 from .editwalk import edit_fingerprints
+from .langid import fit_profiles, held_out, predict_language
 from .minhash import near_duplicates
+from .mixing import mix_sources
 from .orc_ids import checksums, read_ids, write_ids
+from .secret_scan import RULES as SECRET_RULES
+from .secret_scan import find_secrets, span_text
+from .token_counts import token_counts
+from .toxicity import fit_toxicity, score_toxicity
+from .urlmodel import judge_urls
 from .winnow import contamination
 
 
@@ -26,6 +33,26 @@ def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles, learned from the rows not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    return predict_language(docs, fit_profiles(docs.filter("not held_out")), keep=("doc_id", "held_out"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document over a trigram index."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in SECRET_RULES if r.base]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, base),
+        F.sha2(span_text(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed benchmark passages in every document."""
     hits = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,23 +61,50 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram piece counts of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: by rule, else by the character models."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op10_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document, written as ORC and read back."""
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5, 0))
+    field = fit_toxicity(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    return (score_toxicity(docs, field, keep=("doc_id", "held_out"))
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans"))
+
+
+def token_id_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of ``docs`` from an ORC copy of their token ids."""
     path = shared_path(spark, "token-ids")
-    write_ids(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    write_ids(docs, path, _tokenizer("byte_bpe_50k.json"))
     return checksums(read_ids(spark, path))
 
 
+def op10_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as ORC and read back."""
+    return token_id_table(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_edit_fingerprints": op1_edit_fingerprints,
-    "op4_decontaminate": op4_decontaminate,
-    "op8_minhash": op8_minhash,
-    "op10_orc_ids": op10_orc_ids,
+    fn.__name__: fn
+    for fn in (op1_edit_fingerprints, op2_language, op3_secrets, op4_decontaminate, op5_token_counts, op6_url_filter,
+               op7_mix_sources, op8_minhash, op9_toxicity, op10_orc_ids)
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
