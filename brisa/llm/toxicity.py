@@ -1,11 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores.
 
 Documents are labelled, tokens are not, so token labels come first: a word is a cue if
-it occurs in significantly more toxic than clean training documents (log-likelihood
+it occurs in significantly more toxic than clean documents of a bounded training sample (log-likelihood
 ratio at a level corrected for the number of words, and more often in toxic ones than
-not).  Cue words in toxic documents are labelled toxic, all other words clean.  The
-field (states clean and toxic; features: the word, the one before, the one after,
-hashed) is fitted to segments of labelled words by gradient ascent.
+not); it counts once for each pair of neighbours it has, so copies of a text add
+nothing.  Cue words in toxic documents are labelled toxic, all other words clean.  The
+field (states clean and toxic; features: the word and its first 4 and 6 bytes, hashed)
+is fitted to segments of labelled words by gradient ascent.
 
 Texts are tagged whole.  Forward and backward messages of all texts of a batch are one
 prefix product of 2 x 2 matrices, where the first word of a text forgets what was before.
@@ -25,18 +26,22 @@ from pyspark.sql import functions as F
 
 from .batches import ALNUM, chunks, flat_text, mix64, stage, word_bounds, word_hashes
 
-#: hashed features; words of a training segment; bound on the training sample (segments
-#: of each class, those of smallest hash); bound on the lexicon that labels tokens
-FEATURES, SEGMENT, SAMPLE, CUES = 1 << 18, 64, 4000, 1 << 16
+#: hashed features; words of a training segment; bounds on the training sample: labelled
+#: documents of each label, and of their segments those with and without a toxic word
+#: (each time those of smallest hash); bound on the lexicon that labels tokens
+FEATURES, SEGMENT, DOCS, SAMPLE, CUES = 1 << 18, 64, 5000, 4000, 1 << 16
 #: level of the cue test, divided by the number of words
 LEVEL = 0.01
 ROUNDS, RATE, RIDGE = 120, 0.3, 1e-5
+PREFIXES = (4, 6)
+#: log odds of the toxic state before anything is learned
+RARE = -4.0
 _SALTS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SPANS = "array<struct<start:int,end:int,p:double>>"
 
 
 class _Words:
-    """Words of some texts: hashes, byte bounds, offsets of each text's words."""
+    """Words of some texts: hashes of the words and their prefixes, byte bounds, offsets of each text's words."""
 
     def __init__(self, column: pa.Array):
         self.flat, self.bytes = flat_text(column)
@@ -44,14 +49,10 @@ class _Words:
         self.hashes = word_hashes(self.flat, self.starts, self.ends)
         self.text = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
 
-
-def features(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """(3, n) feature numbers: each word, the one before it and the one after (0 beyond the ends)."""
-    before, after = np.zeros_like(words), np.zeros_like(words)
-    before[1:], after[:-1] = words[:-1], words[1:]
-    before[first], after[last] = 0, 0
-    return np.stack([(mix64(w ^ np.uint64(s)) & np.uint64(FEATURES - 1)).astype(np.int64)
-                     for w, s in zip((words, before, after), _SALTS)])
+    def features(self) -> np.ndarray:
+        """(3, n) feature numbers: of each word, and of its first 4 and 6 bytes."""
+        parts = [self.hashes, *(word_hashes(self.flat, self.starts, np.minimum(self.starts + k, self.ends)) for k in PREFIXES)]
+        return np.stack([(mix64(w ^ np.uint64(salt)) & np.uint64(FEATURES - 1)).astype(np.int64) for w, salt in zip(parts, _SALTS)])
 
 
 def _products(m: np.ndarray) -> np.ndarray:
@@ -77,14 +78,13 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
         self.weights, self.moves, self.start = weights, moves, start
 
-    def marginals(self, words: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Probability of the toxic state for each word; texts lie at ``offs``."""
-        n = len(words)
-        if not n:
+    def marginals(self, feats: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Probability of the toxic state for each word of (3, n) features; texts lie at ``offs``."""
+        if not feats.shape[1]:
             return np.empty(0)
         some = offs[:-1] < offs[1:]
         first, last = offs[:-1][some], offs[1:][some] - 1
-        x = np.clip(self.weights[features(words, first, last)].sum(axis=0), -30, 30)
+        x = np.clip(self.weights[feats].sum(axis=0), -30, 30)
         emit = np.stack([1 / (1 + np.exp(x)), 1 / (1 + np.exp(-x))])
         move, start = np.exp(self.moves), np.exp(self.start)
         m = np.stack([move[0, 0] * emit[0], move[0, 1] * emit[1], move[1, 0] * emit[0], move[1, 1] * emit[1]])
@@ -99,19 +99,17 @@ class Field:
 
 
 def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE) -> Field:
-    """Maximum likelihood with a ridge, by Adam over all segments (hashes, 0/1 labels) at once."""
-    weights, moves, start = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
-    segments = [s for s in segments if len(s[0])]
+    """Maximum likelihood with a ridge, by Adam over all segments ((3, n) features, 0/1 labels) at once."""
+    weights, moves, start = np.zeros(FEATURES), np.array([[0.0, RARE], [0.0, RARE]]), np.array([0.0, RARE])
+    segments = [s for s in segments if len(s[1])]
     if not any(s[1].any() for s in segments):
-        return Field(weights - 30.0, moves, np.array([0.0, -30.0]))  # nothing is toxic
-    lengths = np.array([len(h) for h, _ in segments])
+        return Field(weights - 30.0, moves, start)  # nothing is toxic
+    lengths = np.array([len(y) for _, y in segments])
     n, width = len(segments), int(lengths.max())
-    offs = np.concatenate([[0], np.cumsum(lengths)])
     feats = np.zeros((3, n, width), dtype=np.int64)
     y = np.zeros((n, width), dtype=np.int64)
-    flat = features(np.concatenate([h for h, _ in segments]), offs[:-1], offs[1:] - 1)
     on = np.arange(width) < lengths[:, None]
-    feats[:, on] = flat
+    feats[:, on] = np.concatenate([f for f, _ in segments], axis=1)
     y[on] = np.concatenate([v for _, v in segments])
     pair_on = on[:, 1:]
     pairs = (2 * y[:, :-1] + y[:, 1:])[pair_on]
@@ -142,7 +140,7 @@ def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUND
         for f in feats:
             grad[:FEATURES] += np.bincount(f[on], off, FEATURES)
         grad[:FEATURES] -= ridge * n * weights
-        grad[FEATURES:] = np.concatenate([(seen - xi).ravel(), begun - p[:, 0].sum(axis=0)]) - 0.1 * np.concatenate([moves.ravel(), start])
+        grad[FEATURES:] = np.concatenate([(seen - xi).ravel(), begun - p[:, 0].sum(axis=0)])
         grad /= n
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
@@ -153,10 +151,11 @@ def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUND
     return Field(weights, moves, start)
 
 
-def cue_words(known: DataFrame, level: float = LEVEL, most: int = CUES) -> list[int]:
+def cue_words(known: DataFrame, labelled: dict[int, int], level: float = LEVEL, most: int = CUES) -> list[int]:
     """Hashes of the words that mark toxic documents, over every row of ``known`` (text, toxic).
 
-    At most ``most`` words, those of the strongest evidence, are used.
+    ``labelled`` has the number of documents of each label that ``known`` stands for.  At
+    most ``most`` words, those of the strongest evidence, are used.
     """
     totals = {r.toxic: r.n for r in known.groupBy("toxic").count().withColumnRenamed("count", "n").collect()}
     if not totals.get(0) or not totals.get(1):
@@ -166,24 +165,27 @@ def cue_words(known: DataFrame, level: float = LEVEL, most: int = CUES) -> list[
         for batch in batches:
             for part in chunks(batch, "text"):
                 w = _Words(part.column("text"))
-                order = np.lexsort((w.text, w.hashes))
-                h, t = w.hashes[order], w.text[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])  # a word counts once per document
-                h, t = h[new], t[new]
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False)[t]
-                words, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, minlength=len(words))
-                n1 = np.bincount(inverse, toxic, len(words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n1), pa.array(n.astype(np.int64))],
-                                                 names=["word", "n1", "n"])
-
-    counts = stage(known.mapInArrow(run, "word long, n1 long, n long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")), "toxic-words")
-    least = 2.0 * math.log(max(counts.count(), 1) / level)
-    prior = totals[1] / (totals[0] + totals[1])
+                if not len(w.hashes):
+                    continue
+                h = np.zeros(len(w.hashes) + 2, dtype=np.uint64)
+                h[1:-1] = w.hashes
+                place = mix64(mix64(h[:-2] + h[1:-1]) + h[2:])
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False)[w.text]
+                one = np.unique(np.stack([place, w.hashes, toxic.astype(np.uint64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(one[1].view(np.int64)), pa.array(one[0].view(np.int64)), pa.array(one[2].astype(np.int32))],
+                                                 names=["word", "place", "toxic"])
+
+    places = known.mapInArrow(run, "word long, place long, toxic int").distinct()
+    counts = stage(places.groupBy("word").agg(F.sum("toxic").cast("long").alias("n1"), F.count("*").alias("n")), "toxic-words")
+    seen = counts.agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    if not seen.n1 or seen.n1 == seen.n:
+        return []
+    least = 2.0 * math.log(seen.words / level)
+    prior = seen.n1 / seen.n
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     ratio = (n1 * F.log(n1 / (F.col("n") * prior)) + F.when(n0 > 0, n0 * F.log(n0 / (F.col("n") * (1 - prior)))).otherwise(0.0)) * 2
-    strong = (counts.filter("n1 > 0 and 2 * n1 > n").withColumn("ratio", ratio).filter(F.col("ratio") >= least)
+    more = n1 * (labelled[1] / totals[1]) > n0 * (labelled[0] / totals[0])
+    strong = (counts.filter((n1 > 0) & more).withColumn("ratio", ratio).filter(F.col("ratio") >= least)
               .orderBy(F.desc("ratio"), "word").limit(most))
     return [r.word for r in strong.select("word").collect()]
 
@@ -198,11 +200,12 @@ def _segments(known: DataFrame, cues: list[int], width: int, sample: int) -> lis
             for part in chunks(batch, "text"):
                 w = _Words(part.column("text"))
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)[w.text].astype(bool)
-                label = np.isin(w.hashes, table) & toxic
+                label, feats = np.isin(w.hashes, table) & toxic, w.features().astype(np.int32)
                 for a, b in zip(w.offs[:-1].tolist(), w.offs[1:].tolist()):
                     for i in range(a, b, width):
-                        h, y = w.hashes[i:min(i + width, b)], label[i:min(i + width, b)]
-                        found[int(y.any())].append((int(mix64(h.sum(keepdims=True)).view(np.int64)[0]), h.tobytes(), y.astype(np.uint8).tobytes()))
+                        own = slice(i, min(i + width, b))
+                        y, key = label[own], mix64(w.hashes[own].sum(keepdims=True)).view(np.int64)[0]
+                        found[int(y.any())].append((int(key), feats[:, own].tobytes(), y.astype(np.uint8).tobytes()))
                 found = {c: sorted(v)[:sample] for c, v in found.items()}
             for c, v in found.items():
                 if v:
@@ -210,19 +213,27 @@ def _segments(known: DataFrame, cues: list[int], width: int, sample: int) -> lis
 
     some = stage(known.mapInArrow(run, "cls long, key long, words binary, labels binary").distinct(), "toxic-segments")
     rows = [r for c in (0, 1) for r in some.filter(F.col("cls") == c).orderBy("key", "words", "labels").limit(sample).collect()]
-    return [(np.frombuffer(r.words, np.uint64), np.frombuffer(r.labels, np.uint8).astype(np.int64)) for r in rows]
+    return [(np.frombuffer(r.words, np.int32).reshape(3, -1), np.frombuffer(r.labels, np.uint8).astype(np.int64)) for r in rows]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, sample: int = SAMPLE, segment: int = SEGMENT) -> Field:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = DOCS, sample: int = SAMPLE, segment: int = SEGMENT) -> Field:
     """The field of the labelled rows: ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1).
 
-    Null labels are left out; a doc_id with several labels is toxic if one of them is.
-    Without documents of both labels nothing is toxic.
+    It is fitted to at most ``sample_docs`` documents of each label, those of smallest
+    hash of their id; only the sample's ids (so bounded) are broadcast, texts are not
+    shuffled.  Null labels are left out; a doc_id with several labels is toxic if one of
+    them is.  Without documents of both labels nothing is toxic.
     """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null and doc_id is not null")
     marks = labels.filter("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(marks, "doc_id")
-    known = stage(known.select("text", "toxic"), "toxic-known")
-    cues = cue_words(known)
+    marks = stage(marks.join(rows.select("doc_id"), "doc_id", "left_semi"), "toxic-labels")
+    labelled = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(labelled) < 2:
+        return fit_field([])
+    chosen = [marks.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for c in (0, 1)]
+    chosen = stage(chosen[0].union(chosen[1]), "toxic-sample")
+    known = stage(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-known")
+    cues = cue_words(known, labelled)
     return fit_field(_segments(known, cues, segment, sample) if cues else [])
 
 
@@ -238,7 +249,7 @@ def score_toxicity(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_
         for batch in batches:
             for part in chunks(batch, "__text"):
                 w = _Words(part.column("__text"))
-                p = shared.value.marginals(w.hashes, w.offs)
+                p = shared.value.marginals(w.features(), w.offs)
                 score = np.zeros(part.num_rows)
                 np.maximum.at(score, w.text, p)
                 spans = [[] for _ in range(part.num_rows)]
