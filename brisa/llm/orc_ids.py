@@ -39,7 +39,7 @@ PIECE = re.compile(f"{SHORT}|{PLAIN}(?![^{SPACE}{LETTER}{DIGIT}{SIGN}])| ?[^{SPA
 ONE = re.compile(f"{SHORT}|{PLAIN}|[{SPACE}]+")
 #: white space around a space: there a cut before the space could be wrong
 RUN = re.compile(f"  |[{SPACE}] [{SPACE}]")
-ROOM = 400_000
+ROOM = 100_000
 
 
 class _Table(dict):

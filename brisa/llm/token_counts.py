@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: words whose counts a worker keeps
-ROOM = 400_000
+ROOM = 100_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
