@@ -27,10 +27,8 @@ from brisa.session import shared_path
 PID = "_pid"
 
 
-# Target bytes per range partition, and a cap on the partition count: the
-# per-partition boundary table (broadcast) has one small row per partition.
+# Target bytes per range partition: the count follows the data.
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_RANGE_PARTITIONS = 200_000
 
 
 def _estimated_bytes(df: DataFrame) -> int:
@@ -57,7 +55,7 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
         size = _estimated_bytes(df)
     except Exception:  # no JVM handle (e.g. Spark Connect): keep the configured count
         return floor
-    return max(floor, min(MAX_RANGE_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
+    return max(floor, -(-size // TARGET_PARTITION_BYTES))
 
 
 def range_partitioned(df: DataFrame, keys: Sequence[str],

@@ -20,7 +20,8 @@ def window_counts(df: DataFrame, ts_col: str, window_seconds: int) -> DataFrame:
     w_us = int(window_seconds) * 1_000_000
     micros = ts_micros(df, ts_col)
     start = micros - F.pmod(micros, F.lit(w_us))
-    return (df.select(start.alias("_start_us"))
+    # a message without a timestamp belongs to no window
+    return (df.select(start.alias("_start_us")).filter(F.col("_start_us").isNotNull())
             .groupBy("_start_us").agg(F.count(F.lit(1)).alias("n_msgs")))
 
 

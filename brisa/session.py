@@ -7,6 +7,7 @@ location when the session leaves it unset (local tests).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):  # executors would write to their own disks
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
         configured = tempfile.mkdtemp(prefix="brisa-ckpt-")  # local tests only
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", configured)

@@ -143,10 +143,10 @@ class RateListener(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         p = event.progress
-        rate = p.processedRowsPerSecond or 0.0
+        rate = p.inputRowsPerSecond or 0.0  # arrivals over elapsed time, not over time spent on the batch
         self.rates.append(rate)
         if p.numInputRows > 0:
-            self.printer(f">>> [THROUGHPUT] {rate:.0f} msgs/s")
+            self.printer(f"rate: {rate:.0f} msgs/s")
         dec = (p.observedMetrics or {}).get("decode")
         if dec is not None and dec["dropped"]:
             self.printer(f">>> [DECODE] {dec['dropped']} of {dec['received']} frames undecodable")

@@ -40,8 +40,6 @@ def test_range_partition_count_follows_size(spark, monkeypatch):
     assert sequence._num_parts(df, None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(sequence, "TARGET_PARTITION_BYTES", 64 * 1024)
     assert sequence._num_parts(df, None) > 8
-    monkeypatch.setattr(sequence, "MAX_RANGE_PARTITIONS", 10)
-    assert sequence._num_parts(df, None) == 10
     assert sequence._num_parts(df, 3) == 3
 
 

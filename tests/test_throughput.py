@@ -29,3 +29,10 @@ def test_screen_rounds_half_up_and_hides_empty(spark):
 def test_log_schema(spark):
     df = _events(spark, [1])
     assert [f.dataType.simpleString() for f in throughput_log(df, "ts", 10).schema.fields] == ["bigint", "int"]
+
+
+def test_null_timestamps_belong_to_no_window(spark):
+    from brisa.operators.throughput import window_counts
+
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:01' AS ts UNION ALL SELECT CAST(NULL AS timestamp)")
+    assert [r.n_msgs for r in window_counts(df, "ts", 10).collect()] == [1]
