@@ -67,7 +67,7 @@ STAGES = [
     ("token-ids", token_ids),
 ]
 
-#: SQL can't express the stages; tests hold the run against brute force
+#: SQL can't express the stages
 ORACLE_SQL = None
 
 
