@@ -8,9 +8,9 @@ groups by the statistics and Bloom filters of doc_id.
 
 The tokenizer is the ``tokenizers`` library.  Its pre-tokenizer never joins text
 across a change of character class, so texts are cut there and each distinct piece
-is encoded by the library once per worker; the ids are then looked up, first by
-space-separated word, then by piece.  Both tables are bounded; what finds no room
-is encoded again.  Texts that hold an added token go to the library whole.
+is encoded by the library once per worker and looked up from then on.  The table is
+bounded; what finds no room is encoded again.  Texts that hold an added token go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -37,9 +37,8 @@ PLAIN = f" ?(?:[{LETTER}]++|[{DIGIT}]++|[{SIGN}]++)"
 #: one piece of the pre-tokenizer, or (characters of other classes) several up to the next white space
 PIECE = re.compile(f"{SHORT}|{PLAIN}(?![^{SPACE}{LETTER}{DIGIT}{SIGN}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 ONE = re.compile(f"{SHORT}|{PLAIN}|[{SPACE}]+")
-#: white space around a space: there a cut before the space could be wrong
-RUN = re.compile(f"  |[{SPACE}] [{SPACE}]")
-ROOM = 100_000
+#: pieces whose ids a worker keeps, and their length at most
+ROOM, LONGEST = 400_000, 256
 
 
 class _Table(dict):
@@ -51,7 +50,7 @@ class _Table(dict):
 
     def __missing__(self, text: str) -> bytes:
         ids = self.compute(text)
-        if len(self) < self.room:
+        if len(self) < self.room and len(text) <= LONGEST:
             self[text] = ids
         return ids
 
@@ -79,8 +78,8 @@ class Encoder:
             for b, x in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]):
                 self.letters[b] = x
         self.letters = {b: x for b, x in self.letters.items() if x is not None}
+        self.blank = self.letters[0x20]
         self.pieces = _Table(self._piece, room)
-        self.words = _Table(lambda w: self._run(" " + w), room)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -88,19 +87,16 @@ class Encoder:
     def _piece(self, text: str) -> bytes:
         if not ONE.fullmatch(text):
             return self._whole(text)
-        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
-
-    def _run(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
+        if text.isascii() and text.isprintable():  # of these only the space has another letter
+            text = text.replace(" ", self.blank)
+        else:
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return self._whole(text)
-        if RUN.search(text):
-            return self._run(text)
-        first, *rest = text.split(" ")
-        return self._run(first) + b"".join(map(self.words.__getitem__, rest))
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -146,7 +142,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     order = ["doc_id", F.xxhash64("text"), "text"]
     rows = rows.repartitionByRange(files or tasks_for(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
     (encoded(rows, tokenizer, end_id).withColumn("file", F.spark_partition_id())
-     .write.mode("overwrite").option("compression", "zstd").option("orc.stripe.size", str(stripe_bytes))
+     .write.mode("overwrite").option("compression", "lz4").option("orc.stripe.size", str(stripe_bytes))
      .option("orc.row.index.stride", str(index_rows)).option("orc.create.index", "true")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
@@ -157,10 +153,10 @@ SCHEMA = "doc_id long, file_start long, n_tokens long, ids array<int>, file int"
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids.  Filters on doc_id reach the scan."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    # one row per file: its ids, and those of the files before it
+    # one row per file: its ids, and those of the files before it; as many rows as files
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(ids: DataFrame) -> DataFrame:
