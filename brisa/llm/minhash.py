@@ -4,8 +4,9 @@ Two permutations of ``0 .. D-1`` are shared by all documents: the first spreads
 the shingles, the second, shifted circularly by k, gives the k-th coordinate.
 All coordinates of one shingle are one contiguous slice of the second
 permutation, so a signature is a minimum over gathered rows.  Signatures are
-banded, documents that meet in a band are candidates, and every candidate pair
-is confirmed on the full shingle sets.
+banded and documents that meet in a band are candidates.  Candidates whose whole
+signatures agree in too few coordinates for any link (see ``least_agreement``) go;
+every other pair is confirmed on the full shingle sets.
 
 Work per bucket is linear.  Equal sets are one class with one representative.
 In each round the smallest members of a bucket (the centers) are compared with
@@ -18,10 +19,12 @@ and no round emits all pairs of a bucket.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from .batches import NON_SPACE, chunks, flat_text, gram_hashes, list_array, mix6
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
+#: standard deviations below the expected agreement at which a candidate goes (one link in 10^10)
+SLACK = 6.5
 
 
 class Circulant:
@@ -78,7 +83,8 @@ def _signer(coordinates: int, seed: int) -> Circulant:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the shingle set, null if empty), bands (hashes)."""
+    """doc_id, n_shingles, cls (digest of the shingle set, null if empty), bands (hashes), sketch
+    (a byte of each coordinate of the signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _signer(bands * rows, seed)
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -86,60 +92,93 @@ def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(*flat_text(part.column("text")), width)
                 full = [s for s in sets if len(s)]
-                keys = np.empty((len(full), bands), dtype=np.uint64)
+                keys, sketches = np.empty((len(full), bands), dtype=np.uint64), []
                 for i, s in enumerate(full):
-                    sig = signer.signature(s).astype(np.uint64).reshape(bands, rows)
+                    sig = signer.signature(s)
+                    sketches.append(sig.astype(np.uint8).tobytes())
+                    sig = sig.astype(np.uint64).reshape(bands, rows)
                     h = salt.copy()
                     for j in range(rows):
                         h = mix64(h + sig[:, j])
                     keys[i] = h
+                sketches = iter(sketches)
                 digests = iter([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in full])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], type=pa.int64()),
                     pa.array([next(digests) if len(s) else None for s in sets], type=pa.binary()),
                     list_array(keys.ravel().view(np.int64), np.array([bands if len(s) else 0 for s in sets]), pa.int64()),
-                ], names=["doc_id", "n_shingles", "cls", "bands"])
+                    pa.array([next(sketches) if len(s) else None for s in sets], type=pa.binary()),
+                ], names=["doc_id", "n_shingles", "cls", "bands", "sketch"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>"))
+            .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary"))
 
 
-def _sets_of(docs: DataFrame, width: int) -> DataFrame:
+def _packed(docs: DataFrame) -> DataFrame:
+    """id and compressed text: smaller to move than the shingle set that it stands for."""
     def run(batches):
+        pack = zstandard.ZstdCompressor().compress
         for batch in batches:
             for part in chunks(batch, "text"):
-                sets = shingle_sets(*flat_text(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([s.tobytes() for s in sets], type=pa.binary())],
-                    names=["id", "shingles"])
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([pack(t or b"") for t in texts], type=pa.binary())],
+                                                 names=["id", "packed"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, packed binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough."""
+def _unpacked_sets(packed: list[bytes], width: int) -> dict[bytes, np.ndarray]:
+    """The shingle set of each compressed text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    packed = list(dict.fromkeys(packed))
+    texts = pa.array([unpack(p) for p in packed], type=pa.large_binary()).cast(pa.large_string())
+    return dict(zip(packed, shingle_sets(*flat_text(texts), width)))
+
+
+def least_agreement(coordinates: int, percent: int) -> int:
+    """Coordinates in which two sets of that similarity agree at least, but for one link in 10^10."""
+    p = percent / 100
+    return max(0, math.floor(coordinates * p - SLACK * math.sqrt(coordinates * p * (1 - p))))
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose signatures agree in at least ``least`` coordinates."""
     def run(batches):
         for batch in batches:
-            a, b = batch.column("sa"), batch.column("sb")
-            keep = []
-            for i in range(batch.num_rows):
-                x = np.frombuffer(a[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(b[i].as_buffer(), dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], names=["a", "b"])
-
-    return (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct())
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    return (pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+            .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+
+
+def _linked(pairs: DataFrame, packed: DataFrame, percent: int, width: int, pairs_at_once: int = 256) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are similar enough."""
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, pairs_at_once):
+                batch = whole.slice(at, pairs_at_once)
+                a, b, keep = batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), []
+                sets = _unpacked_sets(a + b, width)
+                for i, (x, y) in enumerate(zip(map(sets.get, a), map(sets.get, b))):
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        keep.append(i)
+                if keep:
+                    keep = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    return (pairs.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a")
+            .join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
+            .select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,20 +212,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, ba
     """
     signed = stage(signatures(docs, width, bands, rows, seed), "minhash-signatures")
     classes = (signed.filter("cls is not null and doc_id is not null").groupBy("cls")
-               .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
+               .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+                    F.first("n_shingles").alias("n")))
     classes = stage(classes, "minhash-classes")
     members = classes.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = stage(members.join(shared, "key").select("key", "id", "n"), "minhash-buckets")
-    # full sets of the documents that share a bucket; rows of one doc_id are one document
+    sketches = stage(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch"), "minhash-sketches")
+    # texts of the documents that share a bucket; rows of one doc_id are one document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage(_sets_of(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width),
-                 "minhash-sets")
+    packed = stage(_packed(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                           .withColumnRenamed("doc_id", "id")), "minhash-texts")
     # every row of a document links its own classes: the same doc_id can have several texts
     edges = (signed.filter("cls is not null and doc_id is not null").join(classes.select("cls", "id"), "cls")
              .filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
     edges = stage(edges.distinct(), "minhash-edges")
-    labels, centers = None, 1
+    labels, tested, centers = None, None, 1
     while not members.isEmpty():
         rank = Window.partitionBy("key").orderBy("id")
         if centers == 1:
@@ -201,10 +242,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, ba
             pairs = (pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
                      .join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
                      .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-        pairs = stage(pairs, "minhash-pairs")
-        links = stage(_linked(pairs, sets, percent), "minhash-links")
-        if labels is None or not links.isEmpty():
+        if tested is not None:  # a pair can meet again in another bucket
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stage(_alike(pairs, sketches, least_agreement(bands * rows, percent)), "minhash-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = None if pairs.isEmpty() else stage(_linked(pairs, packed, percent, width), "minhash-links")
+        found = links is not None and not links.isEmpty()
+        if found:
             edges = edges.union(links)
+        if labels is None or found:
             labels = components(edges)
         rest = (members.join(first.select("key", F.col("cid").alias("id")), ["key", "id"], "left_anti")
                 .join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
