@@ -59,9 +59,10 @@ def partition_index(c, default: int = 1, overflow: str = "error",
     raise ValueError(f"unknown overflow policy {overflow!r}")
 
 
-def rate_per_unit(count, window_seconds: float, unit_seconds: float = 1.0) -> Column:
+def rate_per_unit(count, window_seconds: float | Column, unit_seconds: float | Column = 1.0) -> Column:
     """Messages per ``unit_seconds`` in a window of ``window_seconds`` (double)."""
-    return (_c(count).cast("double") * F.lit(float(unit_seconds))) / F.lit(float(window_seconds))
+    unit, window = (F.lit(x).cast("double") for x in (unit_seconds, window_seconds))
+    return (_c(count).cast("double") * unit) / window
 
 
 def truncate_int(x) -> Column:

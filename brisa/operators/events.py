@@ -114,7 +114,7 @@ def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
     sid = F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("k"))
     cols = keys + ([kind] if kind else [])
     kind_col = F.col(kind) if kind else F.lit(None)
-    base = range_partitioned(df.select(*cols), keys, num_partitions)
+    base = range_partitioned(df.select(*cols), keys, num_partitions, for_windows=True)
     prev_kind = F.lag(kind).over(w) if kind else F.lit(None)
     local_new = (F.row_number().over(w) > 1) & (
         ~F.lag(entity).over(w).eqNullSafe(F.col(entity))

@@ -31,8 +31,8 @@ PID = "_pid"
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, bounded by the sum of the plan's inputs.
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate, bounded by the sum of the plan's inputs; None if an input's size is unknown.
 
     Above joins the root estimate can be wildly inflated; the operators here
     (projections, filters, joins to bounded tables) never emit more bytes than
@@ -42,12 +42,14 @@ def _estimated_bytes(df: DataFrame) -> int:
     root = int(str(plan.stats().sizeInBytes()))
     leaves = plan.collectLeaves()
     inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return min(root, inputs)
+    unknown = int(df._jdf.sparkSession().sessionState().conf().defaultSizeInBytes())
+    return None if inputs >= unknown else min(root, inputs)
 
 
 def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
     """Explicit count, else enough partitions for ~TARGET_PARTITION_BYTES each,
-    never fewer than ``spark.sql.shuffle.partitions``."""
+    never fewer than ``spark.sql.shuffle.partitions`` (which is used as it is for inputs
+    whose size Spark does not know)."""
     if num_partitions:
         return int(num_partitions)
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -55,19 +57,22 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
         size = _estimated_bytes(df)
     except Exception:  # no JVM handle (e.g. Spark Connect): keep the configured count
         return floor
-    return max(floor, -(-size // TARGET_PARTITION_BYTES))
+    return floor if size is None else max(floor, -(-size // TARGET_PARTITION_BYTES))
 
 
 def range_partitioned(df: DataFrame, keys: Sequence[str],
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, for_windows: bool = False) -> DataFrame:
     """Range-partition on ``keys`` and tag each row with its partition id.
 
+    ``for_windows`` sends every range to the task of its own number, so windows over
+    the tag run on as many tasks as there are ranges instead of being hashed together.
+
     With an explicit count AQE keeps the partitions as planned, so each tag is
     exactly one contiguous key range of the global order.
     """
     n = _num_parts(df, num_partitions)
-    return df.repartitionByRange(n, *[F.col(k) for k in keys]).withColumn(
-        PID, F.spark_partition_id())
+    ranges = df.repartitionByRange(n, *[F.col(k) for k in keys]).withColumn(PID, F.spark_partition_id())
+    return ranges.repartitionById(n, F.col(PID)) if for_windows else ranges
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -139,7 +144,7 @@ def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Se
     """
     keys = [group, *order_cols]
     w = local_window(keys)
-    local = range_partitioned(df, keys, num_partitions).withColumn(
+    local = range_partitioned(df, keys, num_partitions, for_windows=True).withColumn(
         "_rn", F.row_number().over(w)).withColumn("_pg", F.lag(group).over(w)).withColumn(
         "_last", is_last_in_partition(keys))
     for c in cols:

@@ -34,7 +34,7 @@ LOG_WINDOW_S, LOG_UNIT_S = 600, 1000         # 10-minute log windows, msgs per 1
 SCREEN_WINDOW_S, SCREEN_UNIT_S = 3600, 600   # 1-hour screen windows, msgs per 10 min
 HOLD_S = 3600                                # hold delay (upper end of the allowed range)
 ACTIVE_TYPES = ("view", "click")             # event types read as motion "on"
-STREAM_WATERMARK = "2 hours"                 # state kept for late frames in the stream query
+STREAM_FILES = 8                             # unordered frame files, one per micro-batch
 REPLAY_CYCLES = 2.5                          # replay passes over events
 RAMP_CYCLES = 3                              # replay passes over lineitem for the ramp
 ROUTE_MODULO_N = 4
@@ -227,22 +227,61 @@ def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     return frame_summary(read_frames(spark, "files", out))
 
 
-def q_stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly throughput maintained by a streaming aggregate."""
+def _event_inbox(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """Stream over ``frames`` written as unordered files, one of them in each micro-batch."""
     from brisa.sources.kafka import read_frames, write_frames
-    from brisa.streaming.pipelines import (
-        read_throughput_table,
-        run_to_completion,
-        scratch,
-        start_throughput_table,
-    )
 
     inbox = shared_path(spark, "frames_events")
-    write_frames(load_frames(events_readings(spark, sf, keep=["ts"]), ts_col="ts"), "files", inbox)
-    out, ckpt = scratch(spark, "stream_throughput")
-    run_to_completion(start_throughput_table(read_frames(spark, "files", inbox, stream=True), out, ckpt,
-                                             SCREEN_WINDOW_S, SCREEN_UNIT_S, watermark=STREAM_WATERMARK))
-    return read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
+    write_frames(frames.repartition(STREAM_FILES), "files", inbox)
+    return read_frames(spark, "files", inbox, stream=True, files_per_trigger=1)
+
+
+def q_stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly throughput of what arrives, over several micro-batches."""
+    from brisa.streaming import pipelines as st
+
+    frames = load_frames(events_readings(spark, sf, keep=["ts"]), ts_col="ts")
+    out, ckpt = st.scratch(spark, "stream_throughput")
+    st.run_to_completion(st.start_throughput_table(_event_inbox(spark, frames), out, ckpt, SCREEN_WINDOW_S, SCREEN_UNIT_S))
+    return st.read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
+
+
+def q_stream_log(spark: SparkSession, sf: str) -> DataFrame:
+    """S3/A2/K4: the zero-filled log of a stream, written as text and read back."""
+    from brisa.schema import LOG_SCHEMA
+    from brisa.sources.csv import write_log
+    from brisa.streaming import pipelines as st
+
+    frames = load_frames(events_readings(spark, sf, keep=["ts"]), ts_col="ts")
+    out, ckpt = st.scratch(spark, "stream_log")
+    st.run_to_completion(st.start_throughput_log(_event_inbox(spark, frames), out, ckpt, LOG_WINDOW_S, LOG_UNIT_S))
+    path = shared_path(spark, "throughput_log")
+    write_log(st.read_throughput_log(spark, out, window_seconds=LOG_WINDOW_S), path)
+    return spark.read.option("header", "true").schema(LOG_SCHEMA).csv(path)
+
+
+def q_stream_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """S3/A3/P5: hourly throughput of the frames of a stream that decode."""
+    from brisa.streaming import pipelines as st
+
+    out, ckpt = st.scratch(spark, "stream_decoded")
+    st.run_to_completion(st.start_decoded_rate(_event_inbox(spark, _event_frames(spark, sf)), out, ckpt,
+                                               SCREEN_WINDOW_S, SCREEN_UNIT_S))
+    return st.read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
+
+
+def q_stream_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Loader frames -> cleaning stream -> observer: hourly throughput of the cleaned topic."""
+    from brisa.sources.kafka import read_frames
+    from brisa.streaming import pipelines as st
+
+    frames = load_frames(events_readings(spark, sf, keep=["ts"]), ts_col="ts")
+    cleaned, ckpt = st.scratch(spark, "stream_chain_clean")
+    st.run_to_completion(st.start_clean_stream(_event_inbox(spark, frames), cleaned, ckpt, overflow="modulo"))
+    out, ckpt = st.scratch(spark, "stream_chain_counts")
+    st.run_to_completion(st.start_throughput_table(read_frames(spark, "files", cleaned, stream=True), out, ckpt,
+                                                   SCREEN_WINDOW_S, SCREEN_UNIT_S))
+    return st.read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -270,4 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hold_onoff": q_hold_onoff,
     "stream_clean": q_stream_clean,
     "stream_throughput": q_stream_throughput,
+    "stream_log": q_stream_log,
+    "stream_decoded": q_stream_decoded,
+    "stream_chain": q_stream_chain,
 }

@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
     log_w_us = C.LOG_WINDOW_S * 1_000_000
     log_rate = f"{_dbl('coalesce(c.n, 0)')} * {_dbl(C.LOG_UNIT_S)} / {_dbl(C.LOG_WINDOW_S)}"
     replay_passes = math.ceil(C.REPLAY_CYCLES)
-    return {
+    every = {
         "clean_zero_readings": _CLEANED,
         "presence_flags": (
             "SELECT objectid, " + ", ".join(f"({c} IS NOT NULL) AS has_{c}" for c in OPTIONAL_COLS)
@@ -138,5 +138,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{OUT_TOPIC}' AS topic, {_PART} AS partition, "
             f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),
         "stream_throughput": _screen_sql(),
+        "stream_decoded": _screen_sql("event_type IS DISTINCT FROM 'error'"),
+        "stream_chain": _screen_sql(),
     }
+    return every | {"stream_log": every["throughput_log"]}
 

@@ -51,13 +51,15 @@ def clean_job(frames: DataFrame, out_topic: str = OUT_TOPIC, num_partitions: int
     (U1-U3): ``decoder`` (frames -> readings), ``transform`` (the row map,
     default zero-to-null), ``router`` (adds ``partition``) and ``encoder``
     (readings + partition -> ``partition, value``).  Defaults reproduce the
-    reference job."""
-    decoder = decoder or (lambda df: decode(df, "value", mode=mode, engine=engine))
+    reference job.  A ``timestamp`` of the frames is carried along for the observers."""
+    stamp = ["timestamp"] if "timestamp" in frames.columns else []
+    decoder = decoder or (lambda df: decode(df, "value", mode=mode, engine=engine, keep=stamp))
     transform = transform or zero_to_null
     router = router or (lambda df: route(df, "codnum", num_partitions, overflow))
-    encoder = encoder or (lambda df: encode(df, keep=["partition"], engine=engine))
+    encoder = encoder or (lambda df: encode(
+        df, keep=["partition", *[c for c in stamp if c in df.columns]], engine=engine))
     out = encoder(router(transform(decoder(frames))))
-    return to_frame(out, out_topic, "value", "partition")
+    return to_frame(out, out_topic, "value", "partition", extra=[c for c in stamp if c in out.columns])
 
 
 def frame_summary(frames: DataFrame) -> DataFrame:

@@ -67,15 +67,19 @@ def to_frame(df: DataFrame, topic: str, value: str | Column = "value",
     return df.select(*cols, *(extra or []))
 
 
-def read_frames(spark: SparkSession, transport: str, path_or_options, stream: bool = False
-                ) -> DataFrame:
-    """Read frames from Kafka (options dict) or from parquet files (a path)."""
+def read_frames(spark: SparkSession, transport: str, path_or_options, stream: bool = False,
+                files_per_trigger: int | None = None) -> DataFrame:
+    """Read frames from Kafka (options dict) or from parquet files (a path; a stream takes
+    ``files_per_trigger`` of them in a micro-batch)."""
     if transport == "kafka":
         reader = spark.readStream if stream else spark.read
         return reader.format("kafka").options(**path_or_options).load()
     if transport == "files":
         if stream:
-            return spark.readStream.schema(FRAME_READ_SCHEMA).parquet(path_or_options)
+            reader = spark.readStream.schema(FRAME_READ_SCHEMA)
+            if files_per_trigger:
+                reader = reader.option("maxFilesPerTrigger", int(files_per_trigger))
+            return reader.parquet(path_or_options)
         return spark.read.schema(FRAME_READ_SCHEMA).parquet(path_or_options)
     raise ValueError(f"unknown transport {transport!r}")
 

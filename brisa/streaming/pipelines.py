@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from brisa.functions.columns import rate_per_unit, round_half_up, truncate_int
-from brisa.operators.sequence import as_instant
+from brisa.operators.throughput import window_counts
 from brisa.plans.pipeline import clean_job
 from brisa.session import shared_path
 
+PARTIAL_COUNTS = "_start_us long, n_msgs long, window_seconds int, unit_seconds double"
+
 
 def start_clean_stream(frames: DataFrame, out_path: str, checkpoint: str,
                        available_now: bool = True, **job_kwargs) -> StreamingQuery:
@@ -28,95 +30,71 @@ def start_clean_stream(frames: DataFrame, out_path: str, checkpoint: str,
     return w.start()
 
 
-def throughput_stream(frames: DataFrame, ts_col: str = "timestamp", window_seconds: int = 1,
-                      unit_seconds: float = 1.0, watermark: str | None = None) -> DataFrame:
-    """A1 over a stream: window counts on the frame timestamp, rate rounded half-up."""
-    df = frames.withColumn("_ts", as_instant(frames, ts_col))
-    if watermark:
-        df = df.withWatermark("_ts", watermark)
-    counts = df.groupBy(F.window("_ts", f"{int(window_seconds)} seconds")).agg(
-        F.count(F.lit(1)).alias("n_msgs"))
-    rate = rate_per_unit("n_msgs", window_seconds, unit_seconds)
-    return counts.select(
-        F.unix_millis(F.col("window.start")).alias("window_start_unix"),
-        "n_msgs",
-        round_half_up(rate).alias("throughput_msgs_sec"),
-        truncate_int(rate).alias("throughput_truncated"),
-        F.unix_millis(F.col("window.end")).alias("timestamp_unix"),
-    )
+def _stamped(frames: DataFrame, ts_col: str) -> DataFrame:
+    """``frames`` whose ``ts_col`` must be set: a message without it would vanish from every count."""
+    missing = F.raise_error(F.lit(f"an observer got a message without {ts_col}"))
+    return frames.withColumn(ts_col, F.when(F.col(ts_col).isNull(), missing).otherwise(F.col(ts_col)))
 
 
-def start_throughput_table(frames: DataFrame, out_path: str, checkpoint: str,
-                           window_seconds: int, unit_seconds: float = 1.0,
-                           watermark: str | None = None,
-                           available_now: bool = True) -> StreamingQuery:
-    """Maintain the window table of a stream.
-
-    With a ``watermark`` (long-running streams): update mode, so state for
-    windows older than the watermark is dropped; each micro-batch appends the
-    windows it changed into its own epoch folder (a retried epoch overwrites its
-    folder), and :func:`read_throughput_table` keeps the latest version per window.
-    Without one: complete mode, each micro-batch overwrites the table - state
-    grows with the number of windows, so use it for bounded replays only.
+def start_window_counts(frames: DataFrame, out_path: str, checkpoint: str, window_seconds: int,
+                        unit_seconds: float = 1.0, ts_col: str = "timestamp",
+                        available_now: bool = True) -> StreamingQuery:
+    """A1-A3 over a stream: what arrives is counted, whenever it arrives.
+
+    Each micro-batch appends its own count per window to its epoch folder (a retried
+    epoch overwrites its folder); readers sum them.  There is no watermark and no
+    state, so no message is late and the last window is there too.
     """
-    agg = throughput_stream(frames, window_seconds=window_seconds, unit_seconds=unit_seconds,
-                            watermark=watermark)
-    if watermark is None:
-        def write_batch(batch: DataFrame, epoch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out_path)
-        mode = "complete"
-    else:
-        def write_batch(batch: DataFrame, epoch_id: int) -> None:
-            # one folder per epoch, overwritten: a retried epoch replaces its own rows
-            batch.write.mode("overwrite").parquet(f"{out_path}/_epoch={int(epoch_id)}")
-        mode = "update"
-    w = agg.writeStream.outputMode(mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        counts = window_counts(_stamped(batch, ts_col), ts_col, window_seconds)
+        (counts.withColumn("window_seconds", F.lit(int(window_seconds)))
+         .withColumn("unit_seconds", F.lit(float(unit_seconds)))
+         .write.mode("overwrite").parquet(f"{out_path}/_epoch={int(epoch_id)}"))
+
+    w = frames.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def _summed(spark: SparkSession, path: str) -> DataFrame:
+    """Messages per window over all epochs."""
+    parts = spark.read.schema(PARTIAL_COUNTS).parquet(path)
+    return (parts.groupBy("_start_us", "window_seconds", "unit_seconds").agg(F.sum("n_msgs").alias("n_msgs"))
+            .withColumn("_rate", rate_per_unit("n_msgs", F.col("window_seconds"), F.col("unit_seconds"))))
+
+
+def start_throughput_table(frames: DataFrame, out_path: str, checkpoint: str,
+                           window_seconds: int, unit_seconds: float = 1.0,
+                           available_now: bool = True) -> StreamingQuery:
+    """A1: maintain the window table of a stream; read it with :func:`read_throughput_table`."""
+    return start_window_counts(frames, out_path, checkpoint, window_seconds, unit_seconds, available_now=available_now)
+
+
 def read_throughput_table(spark: SparkSession, path: str) -> DataFrame:
-    """Current window table: the latest epoch's version of every window."""
-    t = spark.read.parquet(path)
-    if "_epoch" not in t.columns:
-        return t
-    cols = [c for c in t.columns if c not in ("window_start_unix", "_epoch")]
-    return (t.groupBy("window_start_unix")
-            .agg(F.max_by(F.struct(*cols), F.col("_epoch")).alias("_r"))
-            .select("window_start_unix", "_r.*"))
+    """Current window table: start (ms), messages, rate rounded half-up and truncated, end (ms)."""
+    start = (F.col("_start_us") / F.lit(1000)).cast("long")
+    return _summed(spark, path).select(
+        start.alias("window_start_unix"), "n_msgs", round_half_up(F.col("_rate")).alias("throughput_msgs_sec"),
+        truncate_int(F.col("_rate")).alias("throughput_truncated"),
+        (start + F.col("window_seconds") * 1000).alias("timestamp_unix"))
 
 
 def start_throughput_log(frames: DataFrame, out_path: str, checkpoint: str,
                          window_seconds: int = 10, unit_seconds: float = 1.0,
-                         watermark: str = "0 seconds", available_now: bool = True) -> StreamingQuery:
-    """A2/K4 over a stream: closed windows are appended to the log as
-    ``timestamp_unix,throughput_msgs_sec``.  Spark emits no empty windows; the
-    log reader zero-fills (see :func:`brisa.operators.throughput.throughput_log`).
-    Read it back with :func:`read_throughput_log`."""
-    agg = throughput_stream(frames, window_seconds=window_seconds, unit_seconds=unit_seconds,
-                            watermark=watermark).select(
-        "timestamp_unix", F.col("throughput_truncated").alias("throughput_msgs_sec"))
-
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # one folder per epoch, overwritten: a retried epoch cannot duplicate lines
-        batch.write.mode("overwrite").option("header", "true").csv(f"{out_path}/epoch={int(epoch_id)}")
-
-    w = agg.writeStream.outputMode("append").foreachBatch(write_batch).option(
-        "checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+                         available_now: bool = True) -> StreamingQuery:
+    """A2/K4 over a stream: counts for the log lines that :func:`read_throughput_log` gives."""
+    return start_window_counts(frames, out_path, checkpoint, window_seconds, unit_seconds, available_now=available_now)
 
 
 def read_throughput_log(spark: SparkSession, path: str, window_seconds: int | None = None) -> DataFrame:
-    """Windows written by :func:`start_throughput_log`.
+    """``timestamp_unix,throughput_msgs_sec`` lines of the windows counted so far, the last one included.
 
-    With ``window_seconds``, empty windows between the first and the last logged
-    one come back as zero-rate lines (Spark emits no rows for empty windows);
-    the grid is a distributed ``spark.range``, only its bounds reach the driver.
+    With ``window_seconds``, empty windows between the first and the last one come
+    as zero-rate lines; the grid is a distributed ``spark.range``, only its bounds
+    reach the driver.  :func:`brisa.sources.csv.write_log` writes them as text.
     """
-    from brisa.schema import LOG_SCHEMA
-
-    log = spark.read.option("header", "true").schema(LOG_SCHEMA).csv(path).select(*LOG_SCHEMA.fieldNames())
+    log = read_throughput_table(spark, path).select(
+        "timestamp_unix", F.col("throughput_truncated").alias("throughput_msgs_sec"))
     if not window_seconds:
         return log
     b = log.agg(F.min("timestamp_unix").alias("lo"), F.max("timestamp_unix").alias("hi")).first()
@@ -129,6 +107,15 @@ def read_throughput_log(spark: SparkSession, path: str, window_seconds: int | No
             .agg(F.max("throughput_msgs_sec").cast("int").alias("throughput_msgs_sec")))
 
 
+def start_decoded_rate(frames: DataFrame, out_path: str, checkpoint: str, window_seconds: int = 1,
+                       unit_seconds: float = 1.0, available_now: bool = True) -> StreamingQuery:
+    """A3 over a stream: throughput of the frames that decode."""
+    from brisa.operators.codec import decode
+
+    decoded = decode(frames, "value", mode="permissive", keep=["timestamp"])
+    return start_window_counts(decoded, out_path, checkpoint, window_seconds, unit_seconds, available_now=available_now)
+
+
 class RateListener(StreamingQueryListener):
     """K5: rate to screen from query progress (no extra job, no driver data)."""
 
@@ -222,9 +209,11 @@ def start_observers(spark: SparkSession, frames_source, base: str, transport: st
 
     return {
         "screen": start_throughput_table(frames(), f"{base}/screen", f"{base}/screen_ckpt", 1,
-                                         watermark="10 seconds", available_now=available_now),
+                                         available_now=available_now),
         "log": start_throughput_log(frames(), f"{base}/log", f"{base}/log_ckpt", 10,
                                     available_now=available_now),
+        "decoded": start_decoded_rate(frames(), f"{base}/decoded", f"{base}/decoded_ckpt", 1,
+                                      available_now=available_now),
         "export": start_exporter(frames(), f"{base}/export", f"{base}/export_ckpt", available_now),
     }
 
@@ -239,7 +228,7 @@ def start_observer(spark: SparkSession, frames_source, base: str, mode: str = "n
     frames = read_frames(spark, transport, frames_source, stream=True)
     if mode == "normal":
         return start_throughput_table(frames, f"{base}/screen", f"{base}/screen_ckpt", 1,
-                                      watermark="10 seconds", available_now=available_now)
+                                      available_now=available_now)
     if mode == "logger":
         return start_throughput_log(frames, f"{base}/log", f"{base}/log_ckpt", 10,
                                     available_now=available_now)

@@ -63,3 +63,17 @@ def test_domain_filter_reaches_the_scan(spark, scratch):
     df = domain_filter(spark.read.parquet(path))
     assert "StringStartsWith(entity_id,sensor.)" in _plan(df)
     assert sorted(r.entity_id for r in df.collect()) == ["sensor", "sensor.a", "switch.k"]
+
+
+def test_windows_over_ranges_need_no_hash_exchange(spark, scratch, monkeypatch):
+    from brisa.operators import events
+
+    plans = []
+    monkeypatch.setattr(sequence, "materialize", lambda df, name="stage": plans.append(_plan(df)) or df)
+    monkeypatch.setattr(events, "materialize", lambda df, name="stage": plans.append(_plan(df)) or df)
+    df = spark.range(100).selectExpr("id % 3 AS e", "timestamp_seconds(id) AS t", "cast(id % 5 as string) AS s", "id AS k")
+    events.transitions(df, "e", "t", "s", "k", num_partitions=64)
+    events.hold_intervals(df, "e", "t", "k", 60, num_partitions=64)
+    assert len(plans) == 2
+    for plan in plans:
+        assert "hashpartitioning(_pid" not in plan and ", 64)" in plan

@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from brisa.operators.throughput import throughput_screen
+from brisa.operators.throughput import throughput_log, throughput_screen
 from brisa.plans.adapters import events_readings, lineitem_readings
 from brisa.plans.pipeline import clean_job, frame_summary, load_frames
 from brisa.sources.kafka import read_frames, write_frames
@@ -40,36 +40,33 @@ def test_clean_stream_equals_batch(spark, scratch):
         _sorted(batch.select("topic", "partition", "payload_bytes"))
 
 
-def test_throughput_stream_equals_batch(spark, scratch):
+def test_observers_count_every_message_in_one_batch_and_in_many(spark, scratch):
     inbox = os.path.join(scratch, "ev")
-    write_frames(load_frames(events_readings(spark, SF001, keep=["ts"]), ts_col="ts"), "files", inbox)
-    batch = throughput_screen(read_frames(spark, "files", inbox), "timestamp", 3600, 600)
-    for wm in (None, "2 hours"):
-        out = os.path.join(scratch, f"tbl-{wm}")
-        run_to_completion(start_throughput_table(read_frames(spark, "files", inbox, stream=True), out,
-                                                 os.path.join(scratch, f"ck-{wm}"), 3600, 600, watermark=wm))
+    frames = load_frames(events_readings(spark, SF001, keep=["ts"]), ts_col="ts")
+    write_frames(frames.repartition(8), "files", inbox)  # unordered: most messages come late
+    stored = read_frames(spark, "files", inbox)
+    table, log = throughput_screen(stored, "timestamp", 3600, 600), throughput_log(stored, "timestamp", 600, 1000)
+    for files in (None, 1):
+        stream = read_frames(spark, "files", inbox, stream=True, files_per_trigger=files)
+        out = os.path.join(scratch, f"tbl-{files}")
+        q = start_throughput_table(stream, out, out + "-ck", 3600, 600)
+        run_to_completion(q)
+        assert len([p for p in q.recentProgress if p.numInputRows]) == (8 if files else 1)
         streamed = read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
-        assert _sorted(streamed) == _sorted(batch)
+        assert _sorted(streamed) == _sorted(table)
+        out = os.path.join(scratch, f"log-{files}")
+        run_to_completion(start_throughput_log(stream, out, out + "-ck", 600, 1000))
+        assert _sorted(read_throughput_log(spark, out, window_seconds=600)) == _sorted(log)
 
 
-def test_throughput_log_stream_appends_closed_windows(spark, scratch):
-    inbox = os.path.join(scratch, "ev2")
-    write_frames(load_frames(events_readings(spark, SF001, keep=["ts"]), ts_col="ts"), "files", inbox)
-    out = os.path.join(scratch, "log")
-    run_to_completion(start_throughput_log(read_frames(spark, "files", inbox, stream=True), out,
-                                           os.path.join(scratch, "ck2"), window_seconds=3600,
-                                           unit_seconds=3600))
-    logged = read_throughput_log(spark, out)
-    # every appended window is a closed one and agrees with the batch count
-    batch = throughput_screen(read_frames(spark, "files", inbox), "timestamp", 3600, 3600).select(
-        (F.col("window_start_unix") + 3600 * 1000).alias("timestamp_unix"), "n_msgs")
-    joined = logged.join(batch, "timestamp_unix")
-    assert logged.count() > 0 and joined.count() == logged.count()
-    assert joined.filter("throughput_msgs_sec <> n_msgs").count() == 0
-    filled = read_throughput_log(spark, out, window_seconds=3600)
-    lo, hi = filled.agg(F.min("timestamp_unix"), F.max("timestamp_unix")).first()
-    assert filled.count() == (hi - lo) // 3_600_000 + 1
-    assert filled.filter("throughput_msgs_sec = 0").count() == filled.count() - logged.count()
+def test_observers_fail_on_messages_without_timestamp(spark, scratch):
+    import pytest
+
+    inbox, out = os.path.join(scratch, "unstamped"), os.path.join(scratch, "unstamped-out")
+    write_frames(load_frames(events_readings(spark, SF001)).limit(3), "files", inbox)
+    q = start_throughput_table(read_frames(spark, "files", inbox, stream=True), out, out + "-ck", 1)
+    with pytest.raises(Exception, match="without timestamp"):
+        run_to_completion(q)
 
 
 def test_replay_stream_loops_over_dataset(spark):
