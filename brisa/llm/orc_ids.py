@@ -38,7 +38,7 @@ PLAIN = f" ?(?:[{LETTER}]++|[{DIGIT}]++|[{SIGN}]++)"
 PIECE = re.compile(f"{SHORT}|{PLAIN}(?![^{SPACE}{LETTER}{DIGIT}{SIGN}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 ONE = re.compile(f"{SHORT}|{PLAIN}|[{SPACE}]+")
 #: pieces whose ids a worker keeps, and their length at most
-ROOM, LONGEST = 400_000, 256
+ROOM, LONGEST = 300_000, 256
 
 
 class _Table(dict):
@@ -142,7 +142,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     order = ["doc_id", F.xxhash64("text"), "text"]
     rows = rows.repartitionByRange(files or tasks_for(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
     (encoded(rows, tokenizer, end_id).withColumn("file", F.spark_partition_id())
-     .write.mode("overwrite").option("compression", "lz4").option("orc.stripe.size", str(stripe_bytes))
+     .write.mode("overwrite").option("compression", "zstd").option("orc.stripe.size", str(stripe_bytes))
      .option("orc.row.index.stride", str(index_rows)).option("orc.create.index", "true")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
