@@ -33,7 +33,8 @@ from .batches import NON_SPACE, chunks, flat_text, gram_hashes, list_array, mix6
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
-#: standard deviations below the expected agreement at which a candidate goes (one link in 10^10)
+#: standard deviations below the expected agreement at which a candidate goes (under one link in 10^9 if
+#: coordinates are independent: 3.4e-10 for 128 coordinates and 75 percent)
 SLACK = 6.5
 
 
@@ -137,7 +138,7 @@ def _unpacked_sets(packed: list[bytes], width: int) -> dict[bytes, np.ndarray]:
 
 
 def least_agreement(coordinates: int, percent: int) -> int:
-    """Coordinates in which two sets of that similarity agree at least, but for one link in 10^10."""
+    """Coordinates in which two sets of that similarity agree at least, but for under one link in 10^9 (see ``SLACK``)."""
     p = percent / 100
     return max(0, math.floor(coordinates * p - SLACK * math.sqrt(coordinates * p * (1 - p))))
 
