@@ -10,6 +10,12 @@ walk, one hex digit (a hash of the character) per sample, so texts of any length
 are read whole and texts of similar length are sampled at the same steps.  The
 likeness of two fingerprints is the share of equal digits, each octave weighted by
 its length; of the shared walks the one that stayed together longest counts.
+
+Near copies anywhere in the table are found by banding: the sampled digits of each
+walk's last octaves are cut into bands, texts that meet in (walk, band, digits) are
+candidates, and a candidate is a link only if the edit distance of the whole texts
+is small enough.  Equal texts are one class with one representative, and buckets are
+split in rounds as in ``minhash``, so a hot bucket does not emit all its pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import mix64, tasks_for, text_or_empty
+from .batches import mix64, stage, tasks_for, text_or_empty
+from .minhash import components
 
 WALKS, SAMPLES, SEED = 2, 64, 11  # samples: a power of two
+#: digits of a band, octaves (from a walk's last one back) that are banded, and the edit distance of a
+#: link in percent of the longer text
+BAND, OCTAVES, PERCENT = 8, 3, 10
+#: longer texts are compared by diagonals, shorter ones by bit vectors
+BITS = 8000
 #: code points handled by one round of vector operations
 CHUNK_CHARS = 6 << 20
 _END = 63  # class of the end of a text: no walk leaves it
@@ -126,6 +139,20 @@ class Walks:
         return [b".".join(x).decode() if n else "" for x, n in zip(self.embed(codes, lengths), lengths)]
 
 
+    def bands(self, fingerprint: str, width: int = BAND, octaves: int = OCTAVES) -> list[str]:
+        """`walk:start:digits` of the whole bands in the last octaves of each walk."""
+        out = []
+        for walk, digits in enumerate(fingerprint.split(".")):
+            sizes, at = [], 0
+            while at < len(digits):
+                sizes.append((at, min(1 << len(sizes), self.samples)))
+                at += sizes[-1][1]
+            for start, size in sizes[-octaves:]:
+                step = min(width, size)
+                out += [f"{walk}:{a}:{digits[a:a + step]}" for a in range(start, start + size, step) if a + step <= len(digits)]
+        return out
+
+
 _WALKS: dict[tuple, Walks] = {}
 
 
@@ -170,13 +197,14 @@ def with_neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+    """doc_id, n_chars, text_sha256 (32 bytes), edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next of each row.
 
     Null texts are empty; an empty text has the empty fingerprint, is wholly like another
     empty text and unlike any other.  Rows of one doc_id follow each other by text.  A
     single document is its own next.  Other columns are ignored.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "text_sha256", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def answer(ids, texts, after):
         """Rows for ``texts``; ``after`` is the text that follows the last of them."""
@@ -186,6 +214,7 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
         prints, changed = both[:len(texts) + 1], both[len(texts) + 1:]
         return pa.RecordBatch.from_arrays([
             pa.array(ids, type=pa.int64()), pa.array([len(t) for t in texts], type=pa.int64()),
+            pa.array([hashlib.sha256(t.encode()).digest() for t in texts], type=pa.binary()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in others]),
             pa.array(prints[:-1], type=pa.string()), pa.array(changed, type=pa.string()),
             pa.array([w.likeness(a, b) for a, b in zip(prints, changed)], type=pa.float64()),
@@ -206,5 +235,182 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
                 size += len(t)
 
     return with_neighbours(docs).mapInArrow(run, (
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "doc_id long, n_chars long, text_sha256 binary, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"))
+
+
+def _by_bits(a: str, b: str, most: int) -> int | None:
+    """Edit distance by bit vectors over ``a``, or None if above ``most``."""
+    if not a or not b:
+        d = max(len(a), len(b))
+        return d if d <= most else None
+    peq: dict[str, int] = {}
+    for ch in set(a):
+        peq[ch] = int("".join("1" if c == ch else "0" for c in reversed(a)), 2)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    pv, mv, score = full, 0, len(a)
+    for left, ch in zip(range(len(b) - 1, -1, -1), b):
+        eq = peq.get(ch, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (full & ~(xh | pv)), pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        if score - left > most:  # one step less per character at best
+            return None
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        pv, mv = mh | (full & ~(xv | ph)), ph & xv
+    return score
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance by the furthest places on each diagonal, or None if above ``most``; few edits, little work."""
+    n, m, wide = len(a), len(b), 32
+    a, b = np.concatenate([a, np.full(wide, 0x110000, a.dtype)]), np.concatenate([b, np.full(wide, 0x110001, b.dtype)])
+    wa, wb = (np.lib.stride_tricks.sliding_window_view(x, wide) for x in (a, b))
+    low, far = 0, np.zeros(1, dtype=np.int64)  # far[k]: characters of a used on diagonal low + k
+    for edits in range(most + 1):
+        if edits:
+            gone = np.full(1, -2, dtype=np.int64)
+            ext = np.concatenate([gone, gone, far, gone, gone])
+            far, low = np.maximum(np.maximum(ext[1:-1] + 1, ext[:-2]), ext[2:] + 1), low - 1
+        diagonal = low + np.arange(len(far))
+        far = np.minimum(far, np.minimum(n, m - diagonal))
+        ok = (far >= 0) & (far + diagonal >= 0)
+        far[~ok] = -2
+        go = np.flatnonzero(ok)
+        while len(go):
+            i = far[go]
+            same = wa[i] == wb[i + diagonal[go]]
+            run = np.where(same.all(axis=1), wide, same.argmin(axis=1))
+            far[go] += run
+            go = go[run == wide]
+        at = m - n - low
+        if 0 <= at < len(far) and far[at] == n:
+            return edits
+    return None
+
+
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """Edit distance (code points inserted, deleted, replaced) of whole texts, or None if above ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    if a == b:
+        return 0
+    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    head = int((np.append(x[:n] == y[:n], False)).argmin())
+    x, y, n = x[head:], y[head:], n - head
+    tail = int((np.append(x[len(x) - n:][::-1] == y[len(y) - n:][::-1], False)).argmin())
+    x, y = x[:len(x) - tail], y[:len(y) - tail]
+    # an edit takes at most 3 of the 3-grams and brings at most 3
+    bags = [np.bincount((t[2:] * np.uint32(961) + t[1:-1] * np.uint32(31) + t[:-2]) & np.uint32(0xFFFF), minlength=1 << 16)
+            if len(t) > 2 else np.zeros(1 << 16, dtype=np.int64) for t in (x, y)]
+    if int(np.abs(bags[0] - bags[1]).sum()) > 6 * most:
+        return None
+    if min(len(x), len(y)) > BITS:
+        return _by_diagonals(x, y, most)
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
+    return _by_bits(*sorted((a, b), key=len), most)
+
+
+def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole texts are within ``percent`` of the longer one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (unpack(batch.column(c)[i].as_py()).decode() for c in ("ta", "tb"))
+                if edit_distance(x, y, percent * max(len(x), len(y)) // 100) is not None:
+                    keep.append(i)
+            keep = pa.array(keep, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    return (pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("packed").alias("tb")), "b")
+            .select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """id and compressed text."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], type=pa.binary())],
+                names=["id", "packed"])
+
+    return rows.mapInArrow(run, "id binary, packed binary")
+
+
+def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, walks: int = WALKS, samples: int = SAMPLES,
+                 seed: int = SEED) -> DataFrame:
+    """text_sha256, class_id of every text of ``prints`` (written rows of ``edit_fingerprints`` over ``docs``).
+
+    Two texts are linked if they share a band and 100 * edit distance <= percent * length of the longer;
+    a class is what links reach, its id the smallest doc_id (null if all its ids are).
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _walks(walks, samples, seed)
+        for batch in batches:
+            keys = [w.bands(f) for f in batch.column("fingerprint").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(keys, type=pa.list_(pa.string()))],
+                                             names=["id", "n", "keys"])
+
+    own = stage(prints.groupBy(F.col("text_sha256").alias("id"))
+                .agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n"), F.first("fingerprint").alias("fingerprint")), "edit-texts")
+    members = (own.filter("n > 0").select("id", "n", "fingerprint")
+               .mapInArrow(cut, "id binary, n long, keys array<string>").select("id", "n", F.explode("keys").alias("key")))
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    members = stage(members.join(shared, "key").select("key", "id", "n"), "edit-buckets")
+    met = members.select("id").distinct()
+    texts = docs.select(F.unhex(F.sha2(text_or_empty().cast("string"), 256)).alias("id"), text_or_empty().cast("string").alias("text"))
+    texts = texts.join(met, "id", "left_semi")
+    texts = stage(_packed(texts).groupBy("id").agg(F.first("packed").alias("packed")), "edit-packed")
+    edges, labels, tested, centers = None, None, None, 1
+    while not members.isEmpty():
+        if centers == 1:
+            first = (members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
+                     .select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")))
+        else:
+            first = (members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+                     .filter(F.col("r") <= centers).select("key", F.col("id").alias("cid"), F.col("n").alias("cn")))
+        # texts whose lengths differ more than a link's distance are no link
+        pairs = (members.join(first, "key")
+                 .filter((F.col("cid") < F.col("id")) & (100 * F.abs(F.col("n") - F.col("cn")) <= percent * F.greatest("n", "cn")))
+                 .select(F.col("cid").alias("a"), F.col("id").alias("b")).distinct())
+        if labels is not None:
+            pairs = (pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+                     .join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+                     .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+        if tested is not None:  # a pair can meet again in another bucket
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "edit-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = stage(_near(pairs, texts, percent), "edit-links")
+        if not links.isEmpty():
+            edges = links if edges is None else edges.union(links)
+            labels = components(edges)
+        rest = members.join(first.select("key", F.col("cid").alias("id")), ["key", "id"], "left_anti")
+        if labels is None:
+            rest = rest.withColumn("component", F.col("id"))
+        else:
+            rest = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = stage(rest.select("key", "id", "n", "component"), "edit-rest")
+        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        members = stage(rest.join(mixed, "key").select("key", "id", "n"), "edit-buckets")
+        centers = min(64, centers * 8)
+    if labels is None:
+        return own.select(F.col("id").alias("text_sha256"), F.col("doc_id").alias("class_id"))
+    rows = own.join(labels, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "component").select(F.col("id").alias("text_sha256"), "class_id")
+
+
+def with_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``edit_fingerprints`` of each row and class_id, see ``edit_classes``."""
+    prints = stage(edit_fingerprints(docs), "edit-prints")
+    return prints.join(edit_classes(prints, docs, percent), "text_sha256").drop("text_sha256")

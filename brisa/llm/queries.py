@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .batches import table
-from .editwalk import edit_fingerprints
+from .editwalk import with_classes
 from .langid import fit_profiles, held_out, predict_language
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -29,8 +29,8 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Randomised edit embedding of every document and its edited text."""
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    """Randomised edit embedding of every document and its edited text, and its class of near copies."""
+    return with_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
