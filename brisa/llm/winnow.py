@@ -144,15 +144,16 @@ class Block:
         return spans[:, 0], spans[:, 1], spans[:, 2]
 
 
-_BLOCKS: dict[int, Block] = {}
+_BLOCKS: list[tuple[list, int, int, Block]] = []
 
 
 def _block(shared, span: int, gram: int) -> Block:
-    key = id(shared.value)
-    if key not in _BLOCKS:
+    items = shared.value
+    # the entry holds the list itself: an address alone can come back with another block
+    if not _BLOCKS or _BLOCKS[0][0] is not items or _BLOCKS[0][1:3] != (span, gram):
         _BLOCKS.clear()  # a worker holds one block at a time
-        _BLOCKS[key] = Block(shared.value, span, gram)
-    return _BLOCKS[key]
+        _BLOCKS.append((items, span, gram, Block(items, span, gram)))
+    return _BLOCKS[0][3]
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
