@@ -4,6 +4,7 @@ Rules decide the urls they fit.  From those, two smoothed variable-order Markov
 of characters are counted, one of accepted and one of rejected urls (orders 0 to 3,
 interpolated with Witten-Bell weights).  Every url's score is the difference of its two
 log-likelihoods over its length; the threshold is calibrated on the urls with a rule.
+The models read the whole url string as it is; host and path serve the rules only.
 
 Counts are kept per distinct 4-gram, shorter ones are sums of those, so the url
 positions are aggregated once and joined once.
@@ -121,26 +122,27 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
 
     The rule's verdict holds where one fits; else urls below the calibrated score are
     blocked.  Without training urls of both kinds nothing is blocked by score.  Null urls
-    and urls without `://` have an empty host and path.  Other columns are ignored.
+    and urls without `://` have an empty host and path; a null url scores as an empty one.
+    Other columns are ignored.
     """
-    host, path = url_parts(F.col("url").cast("string"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    url = F.col("url").cast("string")
+    host, path = url_parts(url)
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce(url, F.lit("")).alias("whole"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r.name for r in rules if r.verdict == "block"])
     rows = rows.withColumn("by_rule", F.when(F.col("rule").isNull(), None).when(blocked, "block").otherwise("allow"))
-    rows = rows.withColumn("address", F.concat(F.col("host"), F.translate("path", _UPPER, _LOWER)))
-    # each address once: with how often each verdict was given by a rule
-    addresses = rows.groupBy("address").agg(
+    # each url once: with how often each verdict was given by a rule
+    wholes = rows.groupBy("whole").agg(
         F.sum(F.when(F.col("by_rule") == "allow", 1).otherwise(0)).alias("allow"),
         F.sum(F.when(F.col("by_rule") == "block", 1).otherwise(0)).alias("block"))
-    addresses = stage(addresses, "url-addresses")
-    grams = addresses.select("address", "allow", "block", F.explode(_grams(F.col("address"))).alias("gram"))
+    wholes = stage(wholes, "url-whole")
+    grams = wholes.select("whole", "allow", "block", F.explode(_grams(F.col("whole"))).alias("gram"))
     counts = stage(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-grams")
     ratios = stage(gram_scores(counts.filter("allow + block > 0"), counts.select("gram")), "url-ratios")
-    scores = stage(grams.join(ratios, "gram").groupBy("address")
+    scores = stage(grams.join(ratios, "gram").groupBy("whole")
                    .agg(F.avg("ratio").alias("score"), F.first("allow").alias("allow"), F.first("block").alias("block")), "url-scores")
     threshold = calibrated(scores.filter("allow + block > 0"))
     low = F.lit(False) if threshold is None else F.col("score") < threshold
-    return (rows.join(scores.select("address", "score"), "address")
+    return (rows.join(scores.select("whole", "score"), "whole")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("by_rule", F.when(low, "block").otherwise("allow")).alias("verdict"), "score"))
