@@ -62,7 +62,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unigram piece counts of every document."""
+    """Token counts of every document by the file's merge rule, and unigram piece counts over its scores."""
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 

@@ -1,4 +1,12 @@
-"""Token counts by a count-only Viterbi over a unigram vocabulary.
+"""Token counts: of the file's own merge rule, and by a count-only Viterbi over its pieces.
+
+``Merges`` counts what the tokenizer of a sentencepiece BPE file gives: of a word's
+neighbours the pair whose piece has the highest score is merged (the leftmost of equal
+ones) until no pair is a piece; what is left and no piece counts as its UTF-8 bytes.
+No piece has a mark behind another character, so runs of marks begin the words and
+words are counted one by one.  ``Counter`` takes the same scores as if they were log
+probabilities; those of a BPE file are negated merge ranks, so its counts are not
+the tokenizer's.
 
 An Aho-Corasick automaton enumerates every vocabulary entry inside a word; dynamic
 programming carries, for each end, the best score and its number of pieces - no
@@ -13,6 +21,8 @@ counts of frequent words are kept in a bounded table.
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,32 +100,78 @@ class Counter:
         return n, u, s
 
 
-_COUNTERS: dict[str, Counter] = {}
+class Merges:
+    """``count(text)``: number of tokens by merges."""
+
+    def __init__(self, pieces: list[tuple[str, float]], room: int = ROOM):
+        self.scores = dict(pieces)
+        # a piece with a mark behind another character would join words
+        self.cut = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores) else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.known: dict[str, int] = {}
+        self.room = room
+
+    def word(self, word: str) -> int:
+        found = self.known.get(word)
+        if found is None:
+            found = self._merged(word)
+            if len(self.known) < self.room:
+                self.known[word] = found
+        return found
+
+    def _merged(self, word: str) -> int:
+        parts, scores = list(word), self.scores
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(-scores[p], i, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in scores]
+        heapq.heapify(heap)
+        while heap:
+            _, i, piece = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j < 0 or len(parts[i]) + len(parts[j]) != len(piece) or parts[i] + parts[j] != piece:
+                continue  # one of the two was merged since
+            parts[i], parts[j], after[i] = piece, "", after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] >= 0 and (p := parts[a] + parts[after[a]]) in scores:
+                    heapq.heappush(heap, (-scores[p], a, p))
+        return sum(1 if p in scores else len(p.encode()) for p in parts if p)
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        text = MARK + text.replace(" ", MARK)
+        return sum(map(self.word, self.cut.findall(text))) if self.cut else self.word(text)
+
+
+_COUNTERS: dict[str, tuple[Counter, Merges]] = {}
 
 
-def _counter(path: str) -> Counter:
+def _counters(path: str) -> tuple[Counter, Merges]:
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(vocabulary(path))
+        pieces = vocabulary(path)
+        _COUNTERS[path] = Counter(pieces), Merges(pieces)
     return _COUNTERS[path]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, n_pieces, n_unknown (characters) and score of every row of ``docs`` (text).
+    """The ``keep`` columns, n_tokens, n_pieces, n_unknown (characters) and score of every row of ``docs`` (text).
 
-    ``tokenizer`` is a vocabulary file that every worker can read.  Null and empty
-    texts have no pieces and score 0.  A kept column named like a result gives way to it.
+    n_tokens is the count of the tokenizer whose file is named; n_pieces, n_unknown and score
+    are the Viterbi's over the file's scores.  ``tokenizer`` is a BPE file of sentencepiece,
+    without normalisation, that every worker can read.  Null and empty texts have no pieces and score 0.  A kept column named like a result gives way to it.
     """
-    keep = [c for c in keep if c not in ("n_pieces", "n_unknown", "score")]
+    keep = [c for c in keep if c not in ("n_tokens", "n_pieces", "n_unknown", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter, merges = _counters(tokenizer)
         for batch in batches:
-            out = [counter.count(t or "") for t in batch.column("__text").to_pylist()]
-            columns = zip(*out) if out else ([], [], [])
+            out = [(merges.count(t or ""), *counter.count(t or "")) for t in batch.column("__text").to_pylist()]
+            columns = zip(*out) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array(v, type=k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.float64())))],
-                names=[*keep, "n_pieces", "n_unknown", "score"])
+                [*(batch.column(c) for c in keep), *(pa.array(v, type=k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64())))],
+                names=[*keep, "n_tokens", "n_pieces", "n_unknown", "score"])
 
     df = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return df.mapInArrow(run, ", ".join([*kinds, "n_pieces long", "n_unknown long", "score double"]))
+    return df.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "n_pieces long", "n_unknown long", "score double"]))
