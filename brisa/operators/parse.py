@@ -20,7 +20,7 @@ def blank_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _ansi(df: DataFrame) -> bool:
-    return str(df.sparkSession.conf.get("spark.sql.ansi.enabled", "false")).lower() == "true"
+    return str(df.sparkSession.conf.get("spark.sql.ansi.enabled")).lower() == "true"  # Spark's own default counts too
 
 
 def _parse_col(name: str, text: Column, dtype: T.DataType, errors: str, strict_integers: bool,
@@ -76,6 +76,43 @@ def parse_readings(text_df: DataFrame, errors: str = "fail",
     return parsed.select(*FIELD_TYPES.keys())
 
 
+def bad_cells(types: Mapping[str, T.DataType] = FIELD_TYPES, strict_integers: bool = False) -> Column:
+    """Names of the cells of a text row that are set but no value of their type, in column order."""
+    wrong = []
+    for name, dtype in types.items():
+        if isinstance(dtype, T.StringType):
+            continue
+        text = blank_to_null_col(name)
+        parsed = text.try_cast(dtype)
+        if strict_integers and isinstance(dtype, (T.IntegerType, T.LongType)):
+            parsed = F.when(text.rlike(_INTEGER_TEXT), parsed)
+        wrong.append(F.when(text.isNotNull() & parsed.isNull(), F.lit(name)))
+    return F.array_compact(F.array(*wrong))
+
+
+def load_readings(text_df: DataFrame, malformed: str = "fail", strict_integers: bool = False,
+                  observation: str = "load") -> DataFrame:
+    """:func:`parse_readings` under a policy for malformed records, those with a bad cell.
+
+    ``"fail"`` ends the load at the first one, ``"null"`` keeps the record without the bad cells,
+    ``"skip"`` drops the record.  ``"skip"`` counts ``received`` and ``malformed`` under ``observation``, in
+    ``observedMetrics`` of every progress event of a stream.
+    """
+    if malformed in ("fail", "null"):
+        return parse_readings(text_df, malformed, strict_integers)
+    if malformed != "skip":
+        raise ValueError(f"malformed must be 'fail', 'null' or 'skip', got {malformed!r}")
+    bad = F.size(bad_cells(strict_integers=strict_integers)) > 0
+    marked = text_df.withColumn("__bad", bad).observe(
+        observation, F.count(F.lit(1)).alias("received"), F.count_if("__bad").alias("malformed"))
+    return parse_readings(marked.filter(~F.col("__bad")), "null", strict_integers)
+
+
+def malformed_records(text_df: DataFrame, strict_integers: bool = False) -> DataFrame:
+    """The text records with a bad cell, and ``bad_cells``: their names."""
+    return text_df.withColumn("bad_cells", bad_cells(strict_integers=strict_integers)).filter(F.size("bad_cells") > 0)
+
+
 def parsed_date(df: DataFrame, col: str = "data", out: str = "data_ts",
                 fmt: str | None = None) -> DataFrame:
     """Optional: the ``data`` string as a timestamp (null when unparseable)."""
@@ -83,4 +120,4 @@ def parsed_date(df: DataFrame, col: str = "data", out: str = "data_ts",
     return df.withColumn(out, ts)
 
 
-__all__ = ["blank_to_null", "typed_parse", "parse_readings", "parsed_date"]
+__all__ = ["blank_to_null", "typed_parse", "parse_readings", "bad_cells", "load_readings", "malformed_records", "parsed_date"]

@@ -227,6 +227,33 @@ def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     return frame_summary(read_frames(spark, "files", out))
 
 
+def _load_in_two(spark: SparkSession, text: DataFrame, late, name: str, **load) -> DataFrame:
+    """Readings in the topic after a loader stream took the files of ``text``, those where ``late`` holds
+    written only after it had read the others."""
+    from brisa.sources.kafka import read_frames
+    from brisa.streaming import pipelines as st
+
+    inbox = shared_path(spark, f"{name}_csv")
+    out, ckpt = st.scratch(spark, name)
+    late = F.coalesce(late, F.lit(False))
+    for part in (~late, late):
+        write_export(text.filter(part), inbox, mode="append")
+        st.run_to_completion(st.start_loader_stream(spark, inbox, out, ckpt, files_per_trigger=STREAM_FILES, **load))
+    return decode(read_frames(spark, "files", out), mode="failfast")
+
+
+def q_stream_loader(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files, some of them late, loaded as keyless frames by a stream."""
+    return _load_in_two(spark, to_text_columns(lineitem_readings(spark, sf)), F.col("estacao").endswith("O"), "stream_loader")
+
+
+def q_stream_loader_skip(spark: SparkSession, sf: str) -> DataFrame:
+    """The loader stream under the skip policy: records with a bad cell (those of clicks) are dropped."""
+    text = to_text_columns(events_readings(spark, sf)).withColumn(
+        "chuva", F.when(F.col("estacao") == "click", F.lit("n/a")).otherwise(F.col("chuva")))
+    return _load_in_two(spark, text, F.col("estacao") == "purchase", "stream_loader_skip", malformed="skip")
+
+
 def _event_inbox(spark: SparkSession, frames: DataFrame) -> DataFrame:
     """Stream over ``frames`` written as unordered files, one of them in each micro-batch."""
     from brisa.sources.kafka import read_frames, write_frames
@@ -308,6 +335,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hold_interval": q_hold_interval,
     "hold_onoff": q_hold_onoff,
     "stream_clean": q_stream_clean,
+    "stream_loader": q_stream_loader,
+    "stream_loader_skip": q_stream_loader_skip,
     "stream_throughput": q_stream_throughput,
     "stream_log": q_stream_log,
     "stream_decoded": q_stream_decoded,

@@ -137,6 +137,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_clean": (
             f"SELECT '{OUT_TOPIC}' AS topic, {_PART} AS partition, "
             f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),
+        "stream_loader": _READINGS,
+        "stream_loader_skip": events_readings_sql(where="event_type IS DISTINCT FROM 'click'"),
         "stream_throughput": _screen_sql(),
         "stream_decoded": _screen_sql("event_type IS DISTINCT FROM 'error'"),
         "stream_chain": _screen_sql(),

@@ -8,8 +8,11 @@ travel through parquet files (``transport="files"``), which tests use.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from brisa.schema import FRAME_READ_SCHEMA
 
@@ -55,6 +58,58 @@ def sink_options(bootstrap: str, preset: dict | None = None, topic: str | None =
     return opts
 
 
+#: columns that the Kafka sink takes, and the types it accepts
+SINK_COLUMNS = {"key": ("binary", "string"), "value": ("binary", "string"), "topic": ("string",), "partition": ("int",),
+                "headers": ("array<struct<key:string,value:binary>>",)}
+
+
+@dataclass(frozen=True)
+class FrameSink:
+    """Where a stream of frames goes: the data source, its options and the columns that lay out files."""
+    format: str
+    options: dict[str, str] = field(default_factory=dict)
+    partition_by: tuple[str, ...] = ()
+
+    def shaped(self, frames: DataFrame) -> DataFrame:
+        """The columns that the sink takes; fails if a Kafka record would lack its value or topic, or has a wrong type."""
+        if self.format != "kafka":
+            return frames
+        types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+        missing = {"value"} - types.keys() | ({"topic"} - types.keys() - self.options.keys())
+        if missing:
+            raise ValueError(f"frames for Kafka lack {sorted(missing)}")
+        for name, accepted in SINK_COLUMNS.items():
+            if name in types and types[name] not in accepted:
+                raise ValueError(f"frame column {name} is {types[name]}, the Kafka sink takes {' or '.join(accepted)}")
+        return frames.select(*[c for c in frames.columns if c in SINK_COLUMNS])
+
+    def writer(self, frames: DataFrame, checkpoint: str, available_now: bool = True, every: str = "1 second") -> DataStreamWriter:
+        """The configured append writer; ``start()`` runs it.
+
+        The checkpoint makes the Kafka sink at-least-once and the file sink exactly-once.
+        """
+        writer = (self.shaped(frames).writeStream.format(self.format).options(**self.options)
+                  .option("checkpointLocation", checkpoint).outputMode("append"))
+        if self.partition_by:
+            writer = writer.partitionBy(*self.partition_by)
+        return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+
+
+def frame_sink(transport: str, target, preset: dict | None = None, placed: bool = True) -> FrameSink:
+    """K1/K2: the streaming sink of frames.
+
+    ``transport="kafka"``: ``target`` is the bootstrap address (``preset`` gives the producer
+    settings) or a whole option map.  Rows are placed by their ``partition`` column if they have
+    one, else the client spreads them.  ``transport="files"``: ``target`` is a folder, laid out by
+    ``partition`` if ``placed``.
+    """
+    if transport == "kafka":
+        return FrameSink("kafka", sink_options(target, preset) if isinstance(target, str) else dict(target))
+    if transport == "files":
+        return FrameSink("parquet", {"path": target}, ("partition",) if placed else ())
+    raise ValueError(f"unknown transport {transport!r}")
+
+
 def to_frame(df: DataFrame, topic: str, value: str | Column = "value",
              partition: str | Column | None = "partition", extra: list[str] | None = None
              ) -> DataFrame:

@@ -13,21 +13,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from brisa.functions.columns import rate_per_unit, round_half_up, truncate_int
+from brisa.operators.parse import load_readings, malformed_records
 from brisa.operators.throughput import window_counts
-from brisa.plans.pipeline import clean_job
+from brisa.plans.pipeline import IN_TOPIC, clean_job, load_frames
 from brisa.session import shared_path
+from brisa.sources.csv import csv_stream
+from brisa.sources.kafka import CLEANER_SINK_PRESET, LOADER_SINK_PRESET, frame_sink
 
 PARTIAL_COUNTS = "_start_us long, n_msgs long, window_seconds int, unit_seconds double"
 
 
-def start_clean_stream(frames: DataFrame, out_path: str, checkpoint: str,
-                       available_now: bool = True, **job_kwargs) -> StreamingQuery:
-    """Stateless frames -> clean job -> frame files (append), no watermark."""
-    out = clean_job(frames, **job_kwargs)
-    w = (out.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).partitionBy("partition").outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+def start_clean_stream(frames: DataFrame, target, checkpoint: str, available_now: bool = True, transport: str = "files",
+                       preset: dict | None = CLEANER_SINK_PRESET, **job_kwargs) -> StreamingQuery:
+    """Stateless frames -> clean job -> frames (append), no watermark.
+
+    ``target`` is a folder (``transport="files"``), or the bootstrap address or option map of
+    the Kafka sink (``transport="kafka"``), where every frame goes to the partition of its station.
+    """
+    sink = frame_sink(transport, target, preset)
+    return sink.writer(clean_job(frames, **job_kwargs), checkpoint, available_now).start()
+
+
+def start_loader_stream(spark: SparkSession, csv_path: str, target, checkpoint: str, available_now: bool = True,
+                        transport: str = "files", preset: dict | None = LOADER_SINK_PRESET, topic: str = IN_TOPIC,
+                        malformed: str = "fail", files_per_trigger: int | None = None, stamp: bool = False,
+                        **scan) -> StreamingQuery:
+    """S1 -> P1 -> P3 -> D3 -> K2 as a stream: CSV files of a folder become keyless frames as they arrive.
+
+    Every file is loaded once, however late it comes and however often the query restarts.
+    ``malformed`` is the policy of :func:`brisa.operators.parse.load_readings`; under ``"skip"`` the
+    dropped records can be kept by a :func:`start_malformed_stream` on the same folder.  ``stamp`` adds the
+    time of loading as ``timestamp`` (brokers do that themselves).  ``scan`` goes to :func:`csv_stream`.
+    """
+    readings = load_readings(csv_stream(spark, csv_path, files_per_trigger=files_per_trigger, **scan), malformed)
+    frames = load_frames(readings, topic)
+    if stamp:
+        frames = frames.withColumn("timestamp", F.current_timestamp())
+    return frame_sink(transport, target, preset, placed=False).writer(frames, checkpoint, available_now).start()
+
+
+def start_malformed_stream(spark: SparkSession, csv_path: str, out_path: str, checkpoint: str, available_now: bool = True,
+                           **scan) -> StreamingQuery:
+    """The malformed records of a folder of CSV files as text, with the names of their bad cells."""
+    sink = frame_sink("files", out_path, placed=False)
+    return sink.writer(malformed_records(csv_stream(spark, csv_path, **scan)), checkpoint, available_now).start()
 
 
 def _stamped(frames: DataFrame, ts_col: str) -> DataFrame:
