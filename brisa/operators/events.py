@@ -1,7 +1,7 @@
 """Operators over entity state-change events.
 
 Events are ``(entity_id, ts, state)`` rows with a unique tiebreak column.  The
-order-dependent ones run on :mod:`brisa.operators.sequence`, so an entity with a
+order-dependent ones run on :mod:`brisa.operators.ordered`, so an entity with a
 huge share of the events is still split over many tasks.
 """
 
@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brisa.operators.sequence import (
-    PID,
-    micros_of,
-    boundary_window,
-    is_last_in_partition,
-    local_window,
-    materialize,
-    range_partitioned,
-    with_previous,
+from brisa.operators.ordered import (
+    NONE_MAX,
+    ActivityRule,
+    OnOffRule,
+    activity_events,
+    merged_sessions,
+    onoff_events,
+    state_changes,
+    time_of,
 )
+from brisa.operators.sequence import micros_of
 
 # --- fixed values: domains kept by the time-series store's include list ---
 DEFAULT_DOMAINS = ("sensor", "switch")
@@ -63,15 +64,31 @@ def transitions(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
     entity has no previous state and never triggers; repeating a state does not.
     ``from_state`` / ``to_state`` narrow the trigger (e.g. ``off`` -> ``on``).
     """
-    prev = with_previous(df.select(entity, ts, tiebreak, state), entity, [ts, tiebreak], [state],
-                         num_partitions=num_partitions, changes_only=True)
-    cond = F.col(f"prev_{state}").isNotNull() & (F.col(f"prev_{state}") != F.col(state))
+    return _told(state_changes(df, entity, [ts, tiebreak], state, transition_trigger(state, from_state, to_state), num_partitions),
+                 entity, ts, tiebreak, state)
+
+
+def transition_trigger(state: str, from_state: str | None = None, to_state: str | None = None) -> Column:
+    """E1's condition on ``<state>`` and ``prev_<state>``."""
+    cond = F.lit(True)
     if from_state is not None:
         cond = cond & (F.col(f"prev_{state}") == F.lit(from_state))
     if to_state is not None:
         cond = cond & (F.col(state) == F.lit(to_state))
-    return prev.filter(cond).select(
-        entity, ts, tiebreak, F.col(f"prev_{state}").alias("from_state"), F.col(state).alias("to_state"))
+    return cond
+
+
+def leave_trigger(state: str, zone: str, zone_is_home: bool = False, home_state: str = HOME_STATE) -> Column:
+    """E2's condition on ``<state>`` and ``prev_<state>``."""
+    p, c = F.col(f"prev_{state}"), F.col(state)
+    cond = (p == F.lit(zone)) & (c != F.lit(zone))
+    if zone_is_home:
+        cond = ((p == F.lit(home_state)) & (c != F.lit(home_state))) | cond
+    return cond
+
+
+def _told(changes: DataFrame, entity: str, ts: str, tiebreak: str, state: str) -> DataFrame:
+    return changes.select(entity, ts, tiebreak, F.col(f"prev_{state}").alias("from_state"), F.col(state).alias("to_state"))
 
 
 def leave_state(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str, zone: str,
@@ -82,83 +99,16 @@ def leave_state(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
     For the home zone the state literally reads ``home_state`` while inside, so
     leaving it also triggers.  Same output columns as :func:`transitions`.
     """
-    prev = with_previous(df.select(entity, ts, tiebreak, state), entity, [ts, tiebreak], [state],
-                         num_partitions=num_partitions, changes_only=True)
-    p, c = F.col(f"prev_{state}"), F.col(state)
-    cond = (p == F.lit(zone)) & (c != F.lit(zone))
-    if zone_is_home:
-        cond = ((p == F.lit(home_state)) & (c != F.lit(home_state))) | cond
-    return prev.filter(F.coalesce(cond, F.lit(False))).select(
-        entity, ts, tiebreak, p.alias("from_state"), c.alias("to_state"))
-
-
-def _session_starts(df: DataFrame, entity: str, ts: str, tiebreak: str, breaks,
-                    kind: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Rows of ``df`` with ``_sid``: ``struct(t, k)`` = (ts, tiebreak) of the row
-    that opened their session.
-
-    A row opens a session when it is its entity's first row or when
-    ``breaks(prev_ts, prev_kind, ts, kind)`` holds against the previous row of
-    the entity (``prev_ts`` and ``ts`` are given in epoch microseconds).  One range shuffle on ``(entity, ts, tiebreak)`` (a hot entity
-    spans many partitions), one window pass per partition giving each row its
-    locally known start, then a per-partition boundary table (first/last row,
-    bounded by the partition count) resolves sessions opened in an earlier
-    partition.
-    """
-    keys = [entity, ts, tiebreak]
-    w = local_window(keys)
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    ts_type = df.schema[ts].dataType
-    # a session is identified by its opening row (ts and tiebreak): with a zero
-    # delay two sessions of one entity can open at the same instant
-    sid = F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("k"))
-    cols = keys + ([kind] if kind else [])
-    kind_col = F.col(kind) if kind else F.lit(None)
-    base = range_partitioned(df.select(*cols), keys, num_partitions, for_windows=True)
-    prev_kind = F.lag(kind).over(w) if kind else F.lit(None)
-    local_new = (F.row_number().over(w) > 1) & (
-        ~F.lag(entity).over(w).eqNullSafe(F.col(entity))
-        | breaks(micros_of(F.lag(ts).over(w), ts_type), prev_kind, micros_of(F.col(ts), ts_type), kind_col))
-    local = materialize(
-        base.withColumn("_rn", F.row_number().over(w))
-            .withColumn("_new", local_new)
-            .withColumn("_last", is_last_in_partition(keys))
-            .withColumn("_ls", F.last(F.when(F.col("_new"), sid), ignorenulls=True).over(wr))
-            .drop("_new"))
-    firsts = local.filter(F.col("_rn") == 1).select(
-        PID, F.col(entity).alias("_fe"), F.col(ts).alias("_ft"), sid.alias("_fsid"), kind_col.alias("_fk"))
-    lasts = local.filter("_last").select(
-        PID, F.col(entity).alias("_le"), F.col(ts).alias("_lt"), kind_col.alias("_lk"),
-        F.col("_ls").alias("_lls"))
-    bw = boundary_window()
-    bounds = (firsts.join(F.broadcast(lasts), PID)
-              .withColumn("_ple", F.lag("_le").over(bw))
-              .withColumn("_plt", F.lag("_lt").over(bw))
-              .withColumn("_plk", F.lag("_lk").over(bw)))
-    # "no previous partition" is tested on a marker: the entity itself may be null
-    bounds = bounds.withColumn(
-        "_first_new",
-        F.lag(F.lit(1)).over(bw).isNull() | ~F.col("_ple").eqNullSafe(F.col("_fe"))
-        | F.coalesce(breaks(micros_of(F.col("_plt"), ts_type), F.col("_plk"),
-                            micros_of(F.col("_ft"), ts_type), F.col("_fk")), F.lit(False)))
-    bounds = bounds.withColumn(
-        "_v", F.coalesce(F.col("_lls"), F.when(F.col("_first_new"), F.col("_fsid"))))
-    bounds = bounds.withColumn(
-        "_carry", F.last("_v", ignorenulls=True).over(bw.rowsBetween(Window.unboundedPreceding, -1)))
-    resolved = local.join(F.broadcast(bounds.select(PID, "_first_new", "_fsid", "_carry")), PID, "left")
-    start = F.coalesce(F.col("_ls"), F.when(F.col("_first_new"), F.col("_fsid")), F.col("_carry"))
-    return resolved.withColumn("_sid", start).drop(
-        "_rn", "_last", "_ls", "_first_new", "_fsid", "_carry", PID)
-
-
-def _check_hold(hold_seconds: int) -> None:
+    return _told(state_changes(df, entity, [ts, tiebreak], state, leave_trigger(state, zone, zone_is_home, home_state), num_partitions),
+                 entity, ts, tiebreak, state)
+
+
+def check_hold(hold_seconds: int) -> int:
+    """The hold delay in microseconds; it must be within the allowed range."""
     lo, hi = HOLD_RANGE_SECONDS
     if not lo <= hold_seconds <= hi:
         raise ValueError(f"hold_seconds must be within {HOLD_RANGE_SECONDS}")
-
-
-def _plus_seconds(c: Column, seconds: int) -> Column:
-    return c + F.make_dt_interval(secs=F.lit(int(seconds)))
+    return int(hold_seconds) * 1_000_000
 
 
 def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
@@ -170,20 +120,18 @@ def hold_intervals(df: DataFrame, entity: str, ts: str, tiebreak: str,
     A new interval starts when the gap to the entity's previous event is at least
     ``hold_seconds`` (the ``session_window`` rule).  Output:
     ``entity, hold_start, hold_end, n_events`` with ``hold_end = last event +
-    hold_seconds``.  The aggregation is partial + final, so one long interval of a
-    hot entity combines map-side.
+    hold_seconds``.  Events without a time open no interval.  Every range of the
+    events is reduced to one partial per interval before anything is written.
     """
-    _check_hold(hold_seconds)
-    gap = F.lit(int(hold_seconds) * 1_000_000)
+    gap, kind = check_hold(hold_seconds), df.schema[ts].dataType
+    events = activity_events(df, entity, micros_of(F.col(ts), kind), tiebreak)
+    return held_activity(merged_sessions(events, entity, ["first", "_tie"], ActivityRule(gap), num_partitions), entity, gap, kind)
 
-    def breaks(prev_us, _prev_kind, cur_us, _kind):
-        return (cur_us - prev_us) >= gap
 
-    starts = _session_starts(df, entity, ts, tiebreak, breaks, num_partitions=num_partitions)
-    return (starts.groupBy(entity, "_sid")
-            .agg(F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("n_events"))
-            .select(entity, F.col("_sid.t").alias("hold_start"),
-                    _plus_seconds(F.col("_last_ts"), hold_seconds).alias("hold_end"), "n_events"))
+def held_activity(sessions: DataFrame, entity: str, gap: int, kind) -> DataFrame:
+    """Session partials of activity events as hold intervals."""
+    return sessions.select(entity, time_of(F.col("first"), kind).alias("hold_start"),
+                           time_of(F.col("last") + F.lit(gap), kind).alias("hold_end"), F.col("n").alias("n_events"))
 
 
 def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
@@ -199,27 +147,21 @@ def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebre
     merged into the interval); ``hold_end`` is null while the light is still on at
     the end of the data.
     """
-    _check_hold(hold_seconds)
-    gap = F.lit(int(hold_seconds) * 1_000_000)
-    trig = transitions(df, entity, ts, state, tiebreak, num_partitions=num_partitions)
-    trig = trig.withColumn(
-        "_kind",
-        F.when((F.col("from_state") == off) & (F.col("to_state") == on), F.lit("start"))
-         .when((F.col("from_state") == on) & (F.col("to_state") == off), F.lit("stop"))
-    ).filter(F.col("_kind").isNotNull()).select(entity, ts, tiebreak, "_kind")
-
-    def breaks(prev_us, prev_kind, cur_us, kind):
-        return (kind == "start") & (prev_kind == "stop") & ((cur_us - prev_us) >= gap)
-
-    starts = _session_starts(trig, entity, ts, tiebreak, breaks, kind="_kind", num_partitions=num_partitions)
-    is_start, is_stop = F.col("_kind") == "start", F.col("_kind") == "stop"
-    agg = starts.groupBy(entity, "_sid").agg(
-        F.min(F.when(is_start, F.col(ts))).alias("hold_start"),
-        F.max(F.when(is_start, F.col(ts))).alias("_last_on"),
-        F.max(F.when(is_stop, F.col(ts))).alias("_last_off"),
-        F.count(F.when(is_start, F.lit(1))).alias("n_triggers"))
-    return agg.filter(F.col("hold_start").isNotNull()).select(
-        entity, "hold_start",
-        F.when(F.col("_last_off") >= F.col("_last_on"), _plus_seconds(F.col("_last_off"), hold_seconds))
-         .alias("hold_end"),
-        "n_triggers")
+    gap, kind = check_hold(hold_seconds), df.schema[ts].dataType
+    trig = state_changes(df, entity, [ts, tiebreak], state, onoff_trigger(state, on, off), num_partitions)
+    events = onoff_events(trig, entity, micros_of(F.col(ts), kind), F.col(state) == F.lit(on), F.col(tiebreak).alias("_tie"))
+    return held_onoff(merged_sessions(events, entity, ["first", "_tie"], OnOffRule(gap), num_partitions), entity, gap, kind)
+
+
+def onoff_trigger(state: str, on: str = "on", off: str = "off") -> Column:
+    """The starts (off -> on) and stops (on -> off) among the state changes."""
+    p, c = F.col(f"prev_{state}"), F.col(state)
+    return ((p == F.lit(off)) & (c == F.lit(on))) | ((p == F.lit(on)) & (c == F.lit(off)))
+
+
+def held_onoff(sessions: DataFrame, entity: str, gap: int, kind) -> DataFrame:
+    """Session partials of starts and stops as hold intervals; those without a start light nothing."""
+    stopped = (F.col("stop_off") != F.lit(int(NONE_MAX))) & (F.col("stop_off") >= F.col("stop_on"))
+    return sessions.filter("n > 0").select(
+        entity, time_of(F.col("start"), kind).alias("hold_start"),
+        F.when(stopped, time_of(F.col("stop_off") + F.lit(gap), kind)).alias("hold_end"), F.col("n").alias("n_triggers"))

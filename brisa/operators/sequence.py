@@ -11,8 +11,8 @@ per partition (size bounded by the partition count, so broadcasting it is safe).
 The partitioned intermediate is written once (a parquet table in the shared
 checkpoint folder) because both the rows and the boundary table read it.
 
-Used by: contiguous sequence numbers (replay), previous-row lookups (state
-transitions) and interval starts (hold intervals).
+Used by: contiguous sequence numbers (replay) and previous-row lookups; state
+changes and sessions take the ranges and reduce them in :mod:`brisa.operators.ordered`.
 """
 
 from __future__ import annotations
@@ -132,15 +132,12 @@ def with_sequence(df: DataFrame, order_cols: Sequence[str], out: str = "_idx",
 
 
 def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Sequence[str],
-                  prefix: str = "prev_", num_partitions: int | None = None,
-                  changes_only: bool = False) -> DataFrame:
+                  prefix: str = "prev_", num_partitions: int | None = None) -> DataFrame:
     """Add ``prev_<c>``: the value of ``c`` on the previous row of the same group.
 
     Equivalent to ``lag(c) over (partition by group order by order_cols)`` but
-    without routing a whole group through one task.  With ``changes_only`` (one
-    column) only rows whose value differs from a non-null previous value are
-    returned, and rows that cannot qualify are dropped before the intermediate
-    is written, so it grows with the number of changes rather than rows.
+    without routing a whole group through one task.  Where only changes matter,
+    :func:`brisa.operators.ordered.state_changes` writes less.
     """
     keys = [group, *order_cols]
     w = local_window(keys)
@@ -149,14 +146,6 @@ def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Se
         "_last", is_last_in_partition(keys))
     for c in cols:
         local = local.withColumn(f"_pl_{c}", F.lag(c).over(w))
-    if changes_only:
-        if len(cols) != 1:
-            raise ValueError("changes_only needs exactly one column")
-        c = cols[0]
-        # keep each partition's first row (resolved by the carry) and last row
-        # (the carry of the next partition), plus local changes
-        local = local.filter((F.col("_rn") == 1) | F.col("_last") | (
-            F.col("_pg").eqNullSafe(F.col(group)) & (F.col(f"_pl_{c}") != F.col(c))))
     local = materialize(local)
     carry = (local.filter("_last")
              .select(PID, F.struct(F.col(group).alias("g"), *[F.col(c).alias(c) for c in cols]).alias("_row"))
@@ -171,9 +160,6 @@ def with_previous(df: DataFrame, group: str, order_cols: Sequence[str], cols: Se
                      .otherwise(F.when(same_as_local, F.col(f"_pl_{c}")))
         for c in cols
     })
-    if changes_only:
-        c = cols[0]
-        out = out.filter(F.col(prefix + c).isNotNull() & (F.col(prefix + c) != F.col(c)))
     return out.drop("_rn", "_pg", "_last", "_carry", PID, *[f"_pl_{c}" for c in cols])
 
 

@@ -65,15 +65,52 @@ def test_domain_filter_reaches_the_scan(spark, scratch):
     assert sorted(r.entity_id for r in df.collect()) == ["sensor", "sensor.a", "switch.k"]
 
 
-def test_windows_over_ranges_need_no_hash_exchange(spark, scratch, monkeypatch):
+def test_windows_over_ranges_need_no_hash_exchange(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(sequence, "materialize", lambda df, name="stage": plans.append(_plan(df)) or df)
+    df = spark.range(100).selectExpr("id % 3 AS e", "timestamp_seconds(id) AS t", "cast(id % 5 as string) AS s", "id AS k")
+    sequence.with_previous(df, "e", ["t", "k"], ["s"], num_partitions=64)
+    assert len(plans) == 1 and "hashpartitioning(_pid" not in plans[0] and ", 64)" in plans[0]
+
+
+def test_ordered_operators_shuffle_once(spark, monkeypatch):
     from brisa.operators import events
 
     plans = []
     monkeypatch.setattr(sequence, "materialize", lambda df, name="stage": plans.append(_plan(df)) or df)
-    monkeypatch.setattr(events, "materialize", lambda df, name="stage": plans.append(_plan(df)) or df)
     df = spark.range(100).selectExpr("id % 3 AS e", "timestamp_seconds(id) AS t", "cast(id % 5 as string) AS s", "id AS k")
-    events.transitions(df, "e", "t", "s", "k", num_partitions=64)
+    events.transitions(df, "e", "t", "s", "k", from_state="1", num_partitions=64)
+    events.leave_state(df, "e", "t", "s", "k", zone="2", num_partitions=64)
     events.hold_intervals(df, "e", "t", "k", 60, num_partitions=64)
-    assert len(plans) == 2
-    for plan in plans:
-        assert "hashpartitioning(_pid" not in plan and ", 64)" in plan
+    assert len(plans) == 3
+    for plan in plans:  # of what is written: one range exchange, no window, no hash exchange
+        assert plan.count("Exchange rangepartitioning") == 1 and ", 64)" in plan
+        assert "hashpartitioning" not in plan and "Window" not in plan
+    # the trigger is applied before the write
+    assert "s#" in plans[0] and "= 1)" in plans[0] and "= 2)" in plans[1]
+
+
+def test_written_rows_follow_changes_and_sessions(spark, monkeypatch):
+    """Edges and results are written, not the events: two rows per range at most besides them."""
+    from brisa.operators import events
+
+    written, write = [], sequence.materialize
+
+    def counted(df, name="stage"):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sequence, "materialize", counted)
+    ranges = 16
+    # one entity holds half of 40 000 events; an event each second, a pause of 50 minutes after every 1000
+    df = spark.range(40_000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('e', id % 7) END AS e",
+        "timestamp_seconds(id + 3000 * (id div 1000)) AS t", "CASE WHEN id % 5000 < 2500 THEN 'on' ELSE 'off' END AS s", "id AS k")
+    sessions = events.hold_intervals(df, "e", "t", "k", 120, num_partitions=ranges).count()
+    assert sessions == 40 * 8 and written[0] <= sessions + 2 * ranges
+    changes = events.transitions(df, "e", "t", "s", "k", num_partitions=ranges).count()
+    assert changes and written[1] <= changes + 2 * ranges
+    # a session over all ranges
+    assert [(r.n_events) for r in events.hold_intervals(df.filter("e = 'hot'"), "e", "t", "k", 3600, num_partitions=ranges).collect()] == [20_000]
+    assert written[2] <= 1 + 2 * ranges
