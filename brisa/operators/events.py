@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brisa.operators.ordered import (
-    NONE_MAX,
     ActivityRule,
     OnOffRule,
     activity_events,
@@ -143,7 +142,8 @@ def hold_intervals_onoff(df: DataFrame, entity: str, ts: str, state: str, tiebre
     after the next ``on -> off`` transition - unless a new ``off -> on`` comes
     within that delay, which restarts the wait.  Other transitions are ignored; a
     stop seen before any start (the light was not switched on by the rule) lights
-    nothing.  Output: ``entity, hold_start, hold_end, n_triggers`` (start triggers
+    nothing, and a stop after a stop (states other than on and off lie between)
+    has nothing to stop.  Output: ``entity, hold_start, hold_end, n_triggers`` (start triggers
     merged into the interval); ``hold_end`` is null while the light is still on at
     the end of the data.
     """
@@ -161,7 +161,6 @@ def onoff_trigger(state: str, on: str = "on", off: str = "off") -> Column:
 
 def held_onoff(sessions: DataFrame, entity: str, gap: int, kind) -> DataFrame:
     """Session partials of starts and stops as hold intervals; those without a start light nothing."""
-    stopped = (F.col("stop_off") != F.lit(int(NONE_MAX))) & (F.col("stop_off") >= F.col("stop_on"))
     return sessions.filter("n > 0").select(
         entity, time_of(F.col("start"), kind).alias("hold_start"),
-        F.when(stopped, time_of(F.col("stop_off") + F.lit(gap), kind)).alias("hold_end"), F.col("n").alias("n_triggers"))
+        F.when(F.col("last_on") == 0, time_of(F.col("last") + F.lit(gap), kind)).alias("hold_end"), F.col("n").alias("n_triggers"))

@@ -30,7 +30,7 @@ from brisa.operators.sequence import PID, boundary_window, range_partitioned
 
 _FIRST, _LAST = "_first_in_range", "_last_in_range"
 
-NONE_MIN, NONE_MAX = np.iinfo(np.int64).max, np.iinfo(np.int64).min  # no value yet of a minimum, a maximum
+NO_START = (1 << 63) - 1  # the earliest start of a session that has none yet
 
 
 def sorted_ranges(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -105,69 +105,71 @@ def state_changes(df: DataFrame, group: str, order: Sequence[str], state: str, t
 
 #: column -> how it merges; times are epoch microseconds
 ACTIVITY = {"first": "min", "last": "max", "n": "sum"}
-ONOFF = {"first": "first", "last": "last", "n": "sum", "first_on": "first", "last_on": "last",
-         "start": "min", "stop_on": "max", "stop_off": "max"}
+ONOFF = {"first": "first", "last": "last", "n": "sum", "first_on": "first", "last_on": "last", "start": "min"}
 
 
 class ActivityRule:
-    """A session ends where the next event is ``gap`` or more after the latest one."""
+    """A session ends where the next event is ``gap`` or more after the latest one.
+
+    ``first`` and ``last`` are times, ``n`` counts events.  A partial may cover later ones whole.
+    """
     columns = ACTIVITY
 
     def __init__(self, gap: int):
         self.gap = gap
 
+    def superfluous(self, v: dict[str, np.ndarray], same: np.ndarray) -> np.ndarray | None:
+        return None
+
     def breaks(self, v: dict[str, np.ndarray], same: np.ndarray) -> np.ndarray:
         group = np.concatenate([[0], np.cumsum(~same)])
         latest = pd.Series(v["last"]).groupby(group).cummax().to_numpy()
         return v["first"][1:] - latest[:-1] >= self.gap
 
-    def goes_on(self, carried: dict, row: dict) -> bool:
-        return row["first"] - carried["last"] < self.gap
-
-    def goes_on_col(self) -> Column:
-        return F.col("first") - F.col("_carry.last") < self.gap
-
-    def carry(self, carried: dict, row: dict) -> dict:
-        return {**row, "last": max(carried["last"], row["last"])}
-
 
 class OnOffRule:
-    """A session ends where a start follows a stop by ``gap`` or more; rows are starts (on) and stops, in order."""
+    """A session ends where a start follows the stop that it waits after by ``gap`` or more.
+
+    Rows are starts (``first_on`` = ``last_on`` = 1) and stops in order.  A stop counts if it is the first one
+    after a start; further ones before the next start find nothing to stop.  ``last`` is the time of the
+    last row that counts, ``n`` and ``start`` are the number and the earliest of the starts.
+    """
     columns = ONOFF
 
     def __init__(self, gap: int):
         self.gap = gap
 
+    def superfluous(self, v: dict[str, np.ndarray], same: np.ndarray) -> np.ndarray | None:
+        return np.concatenate([[False], same & (v["n"][1:] == 0) & (v["last_on"][:-1] == 0)])
+
     def breaks(self, v: dict[str, np.ndarray], same: np.ndarray) -> np.ndarray:
         return (v["first_on"][1:] == 1) & (v["last_on"][:-1] == 0) & (v["first"][1:] - v["last"][:-1] >= self.gap)
 
-    def goes_on(self, carried: dict, row: dict) -> bool:
-        return bool(row["head"]) and not (row["first_on"] == 1 and carried["last_on"] == 0 and row["first"] - carried["last"] >= self.gap)
-
-    def goes_on_col(self) -> Column:
-        over = (F.col("first_on") == 1) & (F.col("_carry.last_on") == 0) & (F.col("first") - F.col("_carry.last") >= self.gap)
-        return F.col("head") & ~over
-
-    def carry(self, carried: dict, row: dict) -> dict:
-        return row
-
 
 _MERGE = {"min": np.minimum, "max": np.maximum, "sum": np.add}
 
 
 def _partials(rule, group: str, names: list[str]):
-    """The sessions of each range from its sorted rows, in one pass."""
+    """The sessions of each range from its sorted rows, in one pass.
+
+    ``place`` is 0 for the range's first partial and 1 for one that depends on it; ``tail`` marks the last one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_g, open_v, pid, head = None, None, None, True
+        open_g, open_v, pid, told, lone = None, None, None, 0, False
 
         def out(g: pa.Array, v: dict[str, np.ndarray], tail: bool) -> pa.RecordBatch:
-            nonlocal head
-            heads = np.zeros(len(g), dtype=bool)
-            heads[0], head = head, False
+            nonlocal told, lone
+            places = np.full(min(told, 2) + len(g), 2)
+            if told == 0:
+                lone = isinstance(rule, OnOffRule) and v["n"][0] == 0
+            # what follows a lone stop at the head hangs on whether an earlier range has stopped already
+            places[0], places[1:2] = 0, 1 if lone else 2
+            places, told = places[min(told, 2):], told + len(g)
             return pa.RecordBatch.from_arrays(
                 [g, *(pa.array(v[c], pa.int64()) for c in rule.columns), pa.array(np.full(len(g), pid), pa.int32()),
-                 pa.array(heads), pa.array(np.full(len(g), tail))], names=names)
+                 pa.array(places, pa.int32()), pa.array(np.full(len(g), tail))], names=names)
 
+        seen = False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -177,7 +179,15 @@ def _partials(rule, group: str, names: list[str]):
             if open_v is not None:
                 v = {c: np.concatenate([open_v[c], x]) for c, x in v.items()}
             same = _same(g[1:], g[:-1])
-            starts = np.flatnonzero(np.concatenate([[True], ~same | rule.breaks(v, same)]))
+            drop = rule.superfluous(v, same)
+            if drop is not None and drop.any():
+                g, v = g.filter(pa.array(~drop)), {c: x[~drop] for c, x in v.items()}
+                same = _same(g[1:], g[:-1])
+            cut = ~same | rule.breaks(v, same)
+            if isinstance(rule, OnOffRule) and not seen and len(cut):
+                cut[0] |= v["n"][0] == 0  # a lone stop at the head stays apart
+            seen = seen or len(cut) > 0
+            starts = np.flatnonzero(np.concatenate([[True], cut]))
             ends = np.append(starts[1:], len(g)) - 1
             v = {c: v[c][starts] if how == "first" else v[c][ends] if how == "last" else _MERGE[how].reduceat(v[c], starts)
                  for c, how in rule.columns.items()}
@@ -192,38 +202,26 @@ def _partials(rule, group: str, names: list[str]):
 
 
 def _carried(rule, group: str, names: list[str]):
-    """For each range the open session before it, from the first and last partial of all ranges in order."""
+    """For each range the open activity session before it, from the last partial of all ranges in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, now, before = None, None, None
+        before = None  # (group, latest time, chain)
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in (*rule.columns, PID, "head", "tail")}
-            g, pids, carried, chains, values = batch.column(group), [], [], [], []
-            for i in range(batch.num_rows):
-                row = {c: columns[c][i] for c in columns}
-                row["group"] = g[i]
-                if row[PID] != now:
-                    now, before = row[PID], state
-                    if before is not None:
-                        pids.append(now)
-                        carried.append(before["group"])
-                        chains.append(before["chain"])
-                        values.append(before)
-                if row["tail"]:
-                    # carried is what came before this range
-                    on = before is not None and _equal(before["group"], row["group"]) and rule.goes_on(before, row)
-                    state = {**(rule.carry(before, row) if on else row), "chain": before["chain"] if on else now}
-            if pids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pids, pa.int32()), pa.array([x.as_py() for x in carried], g.type), pa.array(chains, pa.int32()),
-                     *(pa.array([x[c] for x in values], pa.int64()) for c in rule.columns)], names=names)
+            g, pids, carried = batch.column(group), batch.column(PID).to_pylist(), []
+            for i, (first, last) in enumerate(zip(batch.column("first").to_pylist(), batch.column("last").to_pylist())):
+                carried.append(before)
+                here = g[i].as_py()
+                if before is not None and before[0] == here and first - before[1] < rule.gap:
+                    before = (here, max(before[1], last), before[2])
+                else:
+                    before = (here, last, pids[i])
+            known = [(p, c) for p, c in zip(pids, carried) if c is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in known], pa.int32()), pa.array([c[0] for _, c in known], g.type),
+                 pa.array([c[1] for _, c in known], pa.int64()), pa.array([c[2] for _, c in known], pa.int32())], names=names)
 
     return run
 
 
-def _equal(a: pa.Scalar, b: pa.Scalar) -> bool:
-    return a.is_valid == b.is_valid and (not a.is_valid or a.as_py() == b.as_py())
-
-
 def merged_sessions(partials: DataFrame, group: str, order: Sequence[str], rule, num_partitions: int | None = None) -> DataFrame:
     """Sessions of ``partials`` (group, the rule's columns, order) as one partial each.
 
@@ -233,23 +231,27 @@ def merged_sessions(partials: DataFrame, group: str, order: Sequence[str], rule,
     columns = list(rule.columns)
     keys = [group, *order]
     kind = partials.schema[group].dataType
-    longs = [T.StructField(c, T.LongType()) for c in columns]
-    local_schema = T.StructType([T.StructField(group, kind), *longs, T.StructField(PID, T.IntegerType()),
-                                 T.StructField("head", T.BooleanType()), T.StructField("tail", T.BooleanType())])
+    session_fields = [T.StructField(group, kind), *(T.StructField(c, T.LongType()) for c in columns)]
+    local_schema = T.StructType([*session_fields, T.StructField(PID, T.IntegerType()), T.StructField("place", T.IntegerType()),
+                                 T.StructField("tail", T.BooleanType())])
+    walk = _partials(rule, group, local_schema.names)
     rows = sorted_ranges(partials.select(*dict.fromkeys([*keys, *columns])), keys, num_partitions)
-    local = sequence.materialize(rows.select(group, *columns, PID).mapInArrow(_partials(rule, group, local_schema.names), local_schema), "sessions")
-    carry_schema = T.StructType([T.StructField(PID, T.IntegerType()), T.StructField("group", kind), T.StructField("chain", T.IntegerType()), *longs])
-    # two rows per range at most, in one task
-    edges = local.filter("head or tail").repartition(1).sortWithinPartitions(PID, F.col("tail"))
-    carry = (edges.mapInArrow(_carried(rule, group, carry_schema.names), carry_schema)
-             .select(PID, F.struct("group", "chain", *columns).alias("_carry")))
-    goes_on = F.col("_carry").isNotNull() & F.col("_carry.group").eqNullSafe(F.col(group)) & rule.goes_on_col()
+    local = sequence.materialize(rows.select(group, *columns, PID).mapInArrow(walk, local_schema), "sessions")
+    if isinstance(rule, OnOffRule):
+        # what touches the edges of a range is walked once more: three partials per range at most, in one task
+        edge = F.col("place").isin(0, 1) | F.col("tail")
+        edges = local.filter(edge).repartition(1).sortWithinPartitions(PID, "tail", "place").select(group, *columns, F.lit(0).alias(PID))
+        return local.filter(~edge).select(group, *columns).unionByName(edges.mapInArrow(walk, local_schema).select(group, *columns))
+    # every partial within the gap of what earlier ranges have open joins it; one row per range tells which
+    carry_schema = T.StructType([T.StructField(PID, T.IntegerType()), T.StructField("_g", kind), T.StructField("_latest", T.LongType()),
+                                 T.StructField("_head", T.IntegerType())])
+    carry = (local.filter("tail").repartition(1).sortWithinPartitions(PID).select(group, *columns, PID)
+             .mapInArrow(_carried(rule, group, carry_schema.names), carry_schema))
+    joins = F.col("_head").isNotNull() & F.col("_g").eqNullSafe(F.col(group)) & (F.col("first") - F.col("_latest") < rule.gap)
     chained = (local.join(F.broadcast(carry), PID, "left")
-               .withColumn("_chain", F.when(goes_on, F.col("_carry.chain")).when(F.col("tail"), F.col(PID))))
+               .withColumn("_chain", F.when(joins, F.col("_head")).when(F.col("tail"), F.col(PID))))
     whole = chained.filter("_chain is null").select(group, *columns)
-    place = F.struct(PID, "tail")
-    merge = {"min": lambda c: F.min(c), "max": lambda c: F.max(c), "sum": lambda c: F.sum(c),
-             "first": lambda c: F.min_by(c, place), "last": lambda c: F.max_by(c, place)}
+    merge = {"min": F.min, "max": F.max, "sum": F.sum}
     parts = (chained.filter("_chain is not null").groupBy(group, "_chain")
              .agg(*(merge[how](c).alias(c) for c, how in rule.columns.items())).select(group, *columns))
     return whole.unionByName(parts)
@@ -266,9 +268,7 @@ def onoff_events(df: DataFrame, group: str, micros: Column, is_start: Column, *o
     on = is_start.cast("long")
     return df.select(
         F.col(group), *order, micros.alias("first"), micros.alias("last"), on.alias("n"), on.alias("first_on"), on.alias("last_on"),
-        F.when(is_start, micros).otherwise(F.lit(int(NONE_MIN))).alias("start"),
-        F.when(is_start, micros).otherwise(F.lit(int(NONE_MAX))).alias("stop_on"),
-        F.when(~is_start, micros).otherwise(F.lit(int(NONE_MAX))).alias("stop_off")).filter("first is not null")
+        F.when(is_start, micros).otherwise(F.lit(NO_START)).alias("start")).filter("first is not null")
 
 
 def time_of(micros: Column, dtype: T.DataType) -> Column:

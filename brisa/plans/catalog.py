@@ -34,6 +34,8 @@ LOG_WINDOW_S, LOG_UNIT_S = 600, 1000         # 10-minute log windows, msgs per 1
 SCREEN_WINDOW_S, SCREEN_UNIT_S = 3600, 600   # 1-hour screen windows, msgs per 10 min
 HOLD_S = 3600                                # hold delay (upper end of the allowed range)
 ACTIVE_TYPES = ("view", "click")             # event types read as motion "on"
+STREAM_STARTS = 3                            # starts of a stopped stream, one per slice of the events' time
+HOT_ENTITY = "CASE WHEN value < 35 THEN -1 ELSE user_id END"  # one entity holds about half of the events
 STREAM_FILES = 8                             # unordered frame files, one per micro-batch
 REPLAY_CYCLES = 2.5                          # replay passes over events
 RAMP_CYCLES = 3                              # replay passes over lineitem for the ramp
@@ -263,6 +265,68 @@ def _event_inbox(spark: SparkSession, frames: DataFrame) -> DataFrame:
     return read_frames(spark, "files", inbox, stream=True, files_per_trigger=1)
 
 
+def _hot_state(spark: SparkSession, sf: str) -> DataFrame:
+    """State changes of which one entity holds about half."""
+    return table(spark, sf, "events").select(F.expr(HOT_ENTITY).alias("entity"), "ts", "event_id", F.col("event_type").alias("state"))
+
+
+def _in_slices(spark: SparkSession, events: DataFrame, name: str, start) -> str:
+    """Output folder of a stream that is stopped and started again for each slice of the time of ``events``."""
+    from brisa.streaming import pipelines as st
+
+    inbox = shared_path(spark, f"{name}_in")
+    out, ckpt = st.scratch(spark, name)
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (ends["hi"] - ends["lo"]) / STREAM_STARTS if ends["lo"] is not None else None
+    for k in range(STREAM_STARTS):
+        part = events
+        if step is not None and k:
+            part = part.filter(F.col("ts") >= F.lit(ends["lo"] + k * step).cast("timestamp_ntz"))
+        if step is not None and k + 1 < STREAM_STARTS:
+            part = part.filter(F.col("ts") < F.lit(ends["lo"] + (k + 1) * step).cast("timestamp_ntz"))
+        part.write.mode("append").parquet(inbox)
+        st.run_to_completion(start(spark.readStream.schema(events.schema).parquet(inbox), out, ckpt))
+    return out
+
+
+def q_stream_transition(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 on a stream over restarts: a change away from 'view' against the last state of earlier micro-batches."""
+    from brisa.streaming.keyed import read_changes, start_transitions
+
+    out = _in_slices(spark, _hot_state(spark, sf), "stream_transition", lambda stream, out, ckpt: start_transitions(
+        stream, out, ckpt, "entity", "ts", "state", "event_id", from_state="view"))
+    return read_changes(spark, out)
+
+
+def q_stream_leave(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 on a stream over restarts: leaving 'error', with 'signup' playing the literal home state."""
+    from brisa.streaming.keyed import read_changes, start_leave_state
+
+    out = _in_slices(spark, _hot_state(spark, sf), "stream_leave", lambda stream, out, ckpt: start_leave_state(
+        stream, out, ckpt, "entity", "ts", "state", "event_id", zone="error", zone_is_home=True, home_state="signup"))
+    return read_changes(spark, out)
+
+
+def q_stream_hold(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 on a stream over restarts: activity intervals, merged from open session partials."""
+    from brisa.streaming.keyed import read_hold_intervals, start_hold_intervals
+
+    events = _hot_state(spark, sf)
+    out = _in_slices(spark, events, "stream_hold", lambda stream, out, ckpt: start_hold_intervals(
+        stream, out, ckpt, "entity", "ts", "event_id", HOLD_S))
+    return read_hold_intervals(spark, out, events.schema["entity"], events.schema["ts"].dataType, HOLD_S)
+
+
+def q_stream_hold_onoff(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 (state form) on a stream over restarts: the light rule with a one-hour delay."""
+    from brisa.streaming.keyed import read_hold_onoff, start_hold_onoff
+
+    events = _hot_state(spark, sf).withColumn("state", F.when(F.col("state").isin(*ACTIVE_TYPES), F.lit("on")).otherwise(F.lit("off")))
+    out = _in_slices(spark, events, "stream_hold_onoff", lambda stream, out, ckpt: start_hold_onoff(
+        stream, out, ckpt, "entity", "ts", "state", "event_id", HOLD_S))
+    return read_hold_onoff(spark, out, events.schema["entity"], events.schema["ts"].dataType, HOLD_S)
+
+
 def q_stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly throughput of what arrives, over several micro-batches."""
     from brisa.streaming import pipelines as st
@@ -337,6 +401,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_clean": q_stream_clean,
     "stream_loader": q_stream_loader,
     "stream_loader_skip": q_stream_loader_skip,
+    "stream_transition": q_stream_transition,
+    "stream_leave": q_stream_leave,
+    "stream_hold": q_stream_hold,
+    "stream_hold_onoff": q_stream_hold_onoff,
     "stream_throughput": q_stream_throughput,
     "stream_log": q_stream_log,
     "stream_decoded": q_stream_decoded,

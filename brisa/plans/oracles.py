@@ -35,10 +35,58 @@ def _screen_sql(source_where: str = "") -> str:
             f"FROM events {where} GROUP BY 1")
 
 
-def _lag_sql(extra: str = "") -> str:
+def _lag_sql(events: str) -> str:
     return ("SELECT user_id AS entity, ts, event_id, event_type AS to_state, "
             "lag(event_type) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS from_state "
-            f"{extra} FROM events")
+            f"FROM {events}")
+
+
+def _event_patterns(events: str = "events") -> dict[str, str]:
+    """E1-E3 over ``events`` (user_id, ts, event_id, event_type)."""
+    return {
+        "state_transition": (
+            f"SELECT entity, ts, event_id, from_state, to_state FROM ({_lag_sql(events)}) "
+            "WHERE from_state IS NOT NULL AND from_state <> to_state AND from_state = 'view'"),
+        "leave_state": (
+            f"SELECT entity, ts, event_id, from_state, to_state FROM ({_lag_sql(events)}) "
+            "WHERE (from_state = 'signup' AND to_state <> 'signup') "
+            "OR (from_state = 'error' AND to_state <> 'error')"),
+        "hold_interval": (
+            "WITH p AS (SELECT user_id AS entity, ts, event_id, "
+            "lag(ts) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pts "
+            f"FROM {events}), "
+            "s AS (SELECT *, sum(CASE WHEN pts IS NULL OR epoch_us(ts) - epoch_us(pts) >= "
+            f"{C.HOLD_S * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM p) "
+            f"SELECT entity, min(ts) AS hold_start, max(ts) + INTERVAL {C.HOLD_S} SECOND AS hold_end, "
+            "count(*) AS n_events FROM s GROUP BY entity, sid"),
+        "hold_onoff": (
+            "WITH s AS (SELECT user_id AS entity, ts, event_id, CASE WHEN event_type IN "
+            f"({', '.join(repr(t) for t in C.ACTIVE_TYPES)}) THEN 'on' ELSE 'off' END AS state "
+            f"FROM {events}), "
+            "l AS (SELECT *, lag(state) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS prev FROM s), "
+            "t AS (SELECT entity, ts, event_id, CASE WHEN prev = 'off' AND state = 'on' THEN 'start' "
+            "WHEN prev = 'on' AND state = 'off' THEN 'stop' END AS kind FROM l), "
+            "f AS (SELECT *, lag(kind) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS before FROM t WHERE kind IS NOT NULL), "
+            "k AS (SELECT *, lag(kind) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pk, "
+            "lag(ts) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pt FROM f "
+            "WHERE NOT (kind = 'stop' AND before IS NOT DISTINCT FROM 'stop')), "
+            "g AS (SELECT *, sum(CASE WHEN pk IS NULL OR (kind = 'start' AND pk = 'stop' AND "
+            f"epoch_us(ts) - epoch_us(pt) >= {C.HOLD_S * 1_000_000}) THEN 1 ELSE 0 END) OVER (PARTITION BY entity "
+            "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM k), "
+            "a AS (SELECT entity, min(CASE WHEN kind = 'start' THEN ts END) AS hold_start, "
+            "max(CASE WHEN kind = 'start' THEN ts END) AS last_on, max(CASE WHEN kind = 'stop' THEN ts END) AS last_off, "
+            "count(CASE WHEN kind = 'start' THEN 1 END) AS n_triggers FROM g GROUP BY entity, sid) "
+            f"SELECT entity, hold_start, CASE WHEN last_off >= last_on THEN last_off + INTERVAL {C.HOLD_S} SECOND END "
+            "AS hold_end, n_triggers FROM a WHERE hold_start IS NOT NULL"),
+    }
+
+
+def _hot_streams() -> dict[str, str]:
+    """The streams of E1-E3 give what the batch operators give on the same events."""
+    hot = _event_patterns(f"(SELECT * REPLACE ({C.HOT_ENTITY} AS user_id) FROM events)")
+    return {"stream_transition": hot["state_transition"], "stream_leave": hot["leave_state"],
+            "stream_hold": hot["hold_interval"], "stream_hold_onoff": hot["hold_onoff"]}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -103,42 +151,13 @@ def oracle_sql() -> dict[str, str]:
         "domain_filter": (
             "SELECT * FROM (SELECT concat_ws('.', event_type, 'user_' || CAST(user_id AS VARCHAR)) AS entity_id, "
             "ts, event_id FROM events) WHERE split_part(entity_id, '.', 1) IN ('view', 'click')"),
-        "state_transition": (
-            f"SELECT entity, ts, event_id, from_state, to_state FROM ({_lag_sql()}) "
-            "WHERE from_state IS NOT NULL AND from_state <> to_state AND from_state = 'view'"),
-        "leave_state": (
-            f"SELECT entity, ts, event_id, from_state, to_state FROM ({_lag_sql()}) "
-            "WHERE (from_state = 'signup' AND to_state <> 'signup') "
-            "OR (from_state = 'error' AND to_state <> 'error')"),
-        "hold_interval": (
-            "WITH p AS (SELECT user_id AS entity, ts, event_id, "
-            "lag(ts) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pts FROM events), "
-            "s AS (SELECT *, sum(CASE WHEN pts IS NULL OR epoch_us(ts) - epoch_us(pts) >= "
-            f"{C.HOLD_S * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM p) "
-            f"SELECT entity, min(ts) AS hold_start, max(ts) + INTERVAL {C.HOLD_S} SECOND AS hold_end, "
-            "count(*) AS n_events FROM s GROUP BY entity, sid"),
-        "hold_onoff": (
-            "WITH s AS (SELECT user_id AS entity, ts, event_id, CASE WHEN event_type IN "
-            f"({', '.join(repr(t) for t in C.ACTIVE_TYPES)}) THEN 'on' ELSE 'off' END AS state FROM events), "
-            "l AS (SELECT *, lag(state) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS prev FROM s), "
-            "t AS (SELECT entity, ts, event_id, CASE WHEN prev = 'off' AND state = 'on' THEN 'start' "
-            "WHEN prev = 'on' AND state = 'off' THEN 'stop' END AS kind FROM l), "
-            "k AS (SELECT *, lag(kind) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pk, "
-            "lag(ts) OVER (PARTITION BY entity ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS pt FROM t WHERE kind IS NOT NULL), "
-            "g AS (SELECT *, sum(CASE WHEN pk IS NULL OR (kind = 'start' AND pk = 'stop' AND "
-            f"epoch_us(ts) - epoch_us(pt) >= {C.HOLD_S * 1_000_000}) THEN 1 ELSE 0 END) OVER (PARTITION BY entity "
-            "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM k), "
-            "a AS (SELECT entity, min(CASE WHEN kind = 'start' THEN ts END) AS hold_start, "
-            "max(CASE WHEN kind = 'start' THEN ts END) AS last_on, max(CASE WHEN kind = 'stop' THEN ts END) AS last_off, "
-            "count(CASE WHEN kind = 'start' THEN 1 END) AS n_triggers FROM g GROUP BY entity, sid) "
-            f"SELECT entity, hold_start, CASE WHEN last_off >= last_on THEN last_off + INTERVAL {C.HOLD_S} SECOND END "
-            "AS hold_end, n_triggers FROM a WHERE hold_start IS NOT NULL"),
+        **_event_patterns(),
         "stream_clean": (
             f"SELECT '{OUT_TOPIC}' AS topic, {_PART} AS partition, "
             f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),
         "stream_loader": _READINGS,
         "stream_loader_skip": events_readings_sql(where="event_type IS DISTINCT FROM 'click'"),
+        **_hot_streams(),
         "stream_throughput": _screen_sql(),
         "stream_decoded": _screen_sql("event_type IS DISTINCT FROM 'error'"),
         "stream_chain": _screen_sql(),

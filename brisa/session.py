@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -63,10 +65,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCRATCH: list[str] = []  # folders that this process has asked for
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/brisa/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/brisa/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables asked for by this process (after the first ``since``).
+
+    Results that were not read to the end yet need theirs: call it when the work is done.
+    """
+    while len(_SCRATCH) > since:
+        remove_path(spark, _SCRATCH.pop())
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables asked for inside go at the end: for work that is written out by then."""
+    since = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        drop_scratch(spark, since)
 
 
 _SHIPPED: set[int] = set()

@@ -1,71 +1,17 @@
-"""Stateful streaming operators (state kept per entity across micro-batches)."""
+"""E3 as one continuous Spark operator: session windows with a watermark.
+
+:mod:`brisa.streaming.keyed` has the operators that keep their own state tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from brisa.operators.events import check_hold
 from brisa.operators.sequence import micros_of
 
 
-def transitions_stream(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
-                       from_state: str | None = None, to_state: str | None = None) -> DataFrame:
-    """E1 on a stream: emit a row whenever an entity's state differs from the
-    state it last reported, in arrival order, as an automation trigger fires.
-
-    Within a micro-batch rows are ordered by ``(ts, tiebreak)``; across batches
-    the previous state comes from per-entity state (one small row per entity).
-    Output columns match :func:`brisa.operators.events.transitions`, so a stream
-    fed in time order equals the batch operator.  One entity's rows of one
-    micro-batch are handled together, so bound batches with ``maxFilesPerTrigger``
-    / ``maxOffsetsPerTrigger``.
-    """
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    src = df.select(entity, ts, tiebreak, state,
-                    micros_of(F.col(ts), fields[ts]).alias("_ts_us"))
-    out_schema = T.StructType([
-        T.StructField(entity, fields[entity]), T.StructField(ts, fields[ts]),
-        T.StructField(tiebreak, fields[tiebreak]),
-        T.StructField("from_state", T.StringType()), T.StructField("to_state", T.StringType()),
-    ])
-    state_schema = T.StructType([T.StructField("last_state", T.StringType())])
-
-    def step(key, batches, group_state):
-        import pandas as pd
-
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tiebreak], kind="stable")
-        prev = rows[state].shift(1)
-        if group_state.exists:
-            prev.iloc[0] = group_state.get[0]
-        cur = rows[state]
-        hit = prev.notna() & cur.notna() & (prev != cur)
-        if from_state is not None:
-            hit &= prev == from_state
-        if to_state is not None:
-            hit &= cur == to_state
-        group_state.update((cur.iloc[-1],))
-        out = rows.loc[hit, [entity, ts, tiebreak]].copy()
-        out["from_state"] = prev[hit].values
-        out["to_state"] = cur[hit].values
-        yield out
-
-    return src.groupBy(entity).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def leave_state_stream(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str, zone: str,
-                       zone_is_home: bool = False, home_state: str = "home") -> DataFrame:
-    """E2 on a stream: :func:`transitions_stream` followed by the leaving test."""
-    t = transitions_stream(df, entity, ts, state, tiebreak)
-    p, c = F.col("from_state"), F.col("to_state")
-    cond = (p == F.lit(zone)) & (c != F.lit(zone))
-    if zone_is_home:
-        cond = ((p == F.lit(home_state)) & (c != F.lit(home_state))) | cond
-    return t.filter(cond)
-
-
 def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int,
                           watermark: str) -> DataFrame:
     """E3 on a stream: Spark's event-time ``session_window`` per entity.
@@ -78,8 +24,7 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
     :func:`brisa.session.build_session` default) sessions are pre-merged in each
     input partition, so a dominant entity ships sessions rather than events.
     """
-    from brisa.operators.sequence import micros_of
-
+    gap_us = check_hold(hold_seconds) - 1
     fields = {f.name: f.dataType for f in df.schema.fields}
     inst = F.timestamp_micros(micros_of(F.col(ts), fields[ts]))
     if int(hold_seconds) == 0:
@@ -91,75 +36,8 @@ def hold_intervals_stream(df: DataFrame, entity: str, ts: str, hold_seconds: int
     # session_window joins events exactly ``gap`` apart (touching sessions merge);
     # the hold rule starts a new interval there.  A gap 1 us shorter splits them,
     # and the microsecond is added back to the reported end.
-    gap_us = int(hold_seconds) * 1_000_000 - 1
     sess = src.groupBy(entity, F.session_window("_t", f"{gap_us} microseconds").alias("_s")).agg(
         F.count(F.lit(1)).alias("n_events"))
     return sess.select(entity, F.col("_s.start").alias("hold_start"),
                        F.timestamp_micros(F.unix_micros(F.col("_s.end")) + F.lit(1)).alias("hold_end"),
                        "n_events")
-
-
-def hold_onoff_stream(df: DataFrame, entity: str, ts: str, state: str, tiebreak: str,
-                      hold_seconds: int, watermark: str, on: str = "on", off: str = "off") -> DataFrame:
-    """E3 (motion-light rule) on a stream, as the automation runs it live.
-
-    Per entity, state keeps the last reported state and the interval in
-    progress.  An ``off -> on`` change opens (or restarts) the interval, an
-    ``on -> off`` change starts the delay; the interval is emitted once the
-    watermark passes ``last stop + hold_seconds`` (event-time timeout) or a later
-    start proves the delay ran out.  Output: ``entity, hold_start, hold_end,
-    n_triggers`` for closed intervals - the batch operator's rows whose end is
-    known.  One entity's rows of one micro-batch are handled together.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout as Timeout
-
-    from brisa.operators.sequence import micros_of
-
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    src = (df.select(entity, tiebreak, state, micros_of(F.col(ts), fields[ts]).alias("_us"))
-           .withColumn("_t", F.timestamp_micros("_us")).withWatermark("_t", watermark))
-    delay_us = int(hold_seconds) * 1_000_000
-    out_schema = T.StructType([
-        T.StructField(entity, fields[entity]), T.StructField("start_us", T.LongType()),
-        T.StructField("end_us", T.LongType()), T.StructField("n_triggers", T.LongType())])
-    state_schema = T.StructType([
-        T.StructField("last_state", T.StringType()), T.StructField("open", T.BooleanType()),
-        T.StructField("start_us", T.LongType()), T.StructField("last_on_us", T.LongType()),
-        T.StructField("last_off_us", T.LongType()), T.StructField("n", T.LongType())])
-
-    def step(key, batches, gs):
-        import pandas as pd
-
-        last_state, is_open, start, last_on, last_off, n = (
-            gs.get if gs.exists else (None, False, None, None, None, 0))
-        closed = []
-        if gs.hasTimedOut:
-            if is_open and last_off is not None and (last_on is None or last_off >= last_on):
-                closed.append((start, last_off + delay_us, n))
-                is_open, start, last_on, last_off, n = False, None, None, None, 0
-        else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values(["_us", tiebreak], kind="stable")
-            for t, cur in zip(rows["_us"].tolist(), rows[state].tolist()):
-                if last_state == off and cur == on:          # start trigger
-                    stopped = is_open and last_off is not None and last_off >= last_on
-                    if stopped and t - last_off >= delay_us:  # the delay ran out first
-                        closed.append((start, last_off + delay_us, n))
-                        is_open = False
-                    if is_open:
-                        n += 1                               # restart inside the delay
-                    else:
-                        is_open, start, n, last_off = True, t, 1, None
-                    last_on = t
-                elif last_state == on and cur == off and is_open:
-                    last_off = t                              # the delay starts
-                last_state = cur
-        gs.update((last_state, is_open, start, last_on, last_off, n))
-        if is_open and last_off is not None and last_off >= last_on:
-            gs.setTimeoutTimestamp(max((last_off + delay_us) // 1000, gs.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({entity: [key[0]] * len(closed), "start_us": [c[0] for c in closed],
-                            "end_us": [c[1] for c in closed], "n_triggers": [c[2] for c in closed]})
-
-    res = src.groupBy(entity).applyInPandasWithState(
-        step, out_schema, state_schema, "append", Timeout.EventTimeTimeout)
-    return res.select(entity, F.timestamp_micros("start_us").alias("hold_start"),
-                      F.timestamp_micros("end_us").alias("hold_end"), "n_triggers")

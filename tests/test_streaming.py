@@ -104,34 +104,6 @@ def test_clean_stream_fails_on_corrupt_payload(spark, scratch):
         run_to_completion(q)
 
 
-def test_transitions_stream_equals_batch(spark, scratch):
-    from brisa.operators.events import transitions
-    from brisa.plans.adapters import events_state
-    from brisa.streaming.state import transitions_stream
-
-    ev = events_state(spark, SF001)
-    inbox = os.path.join(scratch, "states")
-    cuts = ["2024-01-08", "2024-01-16", "2024-01-24"]
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds, bounds[1:]):  # arrive in time order, one file per slice
-        part = ev
-        if lo:
-            part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-        if hi:
-            part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    out = os.path.join(scratch, "tr")
-    q = (transitions_stream(stream, "entity", "ts", "state", "event_id", from_state="view")
-         .writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", os.path.join(scratch, "trc")).trigger(availableNow=True).start())
-    run_to_completion(q)
-    streamed = spark.read.parquet(out)
-    batch = transitions(ev, "entity", "ts", "state", "event_id", from_state="view")
-    cols = ["entity", "ts", "event_id", "from_state", "to_state"]
-    assert _sorted(streamed.select(*cols)) == _sorted(batch.select(*cols))
-
-
 def test_three_observers_on_one_source(spark, scratch):
     from brisa.operators.codec import decode
     from brisa.operators.export import to_text_columns
@@ -178,11 +150,11 @@ def test_clean_job_hooks(spark):
     assert parts == {3}
 
 
-def test_hold_and_leave_streams_match_batch(spark, scratch):
-    from brisa.operators.events import hold_intervals, leave_state
+def test_hold_stream_matches_batch(spark, scratch):
+    from brisa.operators.events import hold_intervals
     from brisa.operators.sequence import ts_micros
     from brisa.plans.adapters import events_state
-    from brisa.streaming.state import hold_intervals_stream, leave_state_stream
+    from brisa.streaming.state import hold_intervals_stream
 
     ev = events_state(spark, SF001)
     inbox = os.path.join(scratch, "hs")
@@ -202,14 +174,6 @@ def test_hold_and_leave_streams_match_batch(spark, scratch):
     closed = {r for r in batch if r[2] < max_us - 3600 * 1_000_000}
     assert streamed <= batch and closed <= streamed and len(streamed) > 0
 
-    lv = leave_state_stream(st, "entity", "ts", "state", "event_id", zone="error")
-    lout = os.path.join(scratch, "lv_out")
-    run_to_completion(lv.writeStream.format("parquet").option("path", lout)
-                      .option("checkpointLocation", lout + "_ck").trigger(availableNow=True).start())
-    cols = ["entity", "ts", "event_id", "from_state", "to_state"]
-    assert _sorted(spark.read.parquet(lout).select(*cols)) == _sorted(
-        leave_state(ev, "entity", "ts", "state", "event_id", zone="error").select(*cols))
-
 
 def test_single_observer_modes(spark, scratch):
     import pytest
@@ -225,32 +189,6 @@ def test_single_observer_modes(spark, scratch):
         start_observer(spark, inbox, os.path.join(scratch, "o2"), mode="screen")
 
 
-def test_hold_onoff_stream_closed_intervals_match_batch(spark, scratch):
-    from brisa.operators.events import hold_intervals_onoff
-    from brisa.operators.sequence import ts_micros
-    from brisa.plans.adapters import events_state
-    from brisa.streaming.state import hold_onoff_stream
-
-    ev = events_state(spark, SF001).withColumn(
-        "state", F.when(F.col("state").isin("view", "click"), "on").otherwise("off"))
-    inbox = os.path.join(scratch, "onoff")
-    ev.write.parquet(inbox)
-    st = spark.readStream.schema(ev.schema).parquet(inbox)
-    out = os.path.join(scratch, "onoff_out")
-    run_to_completion(hold_onoff_stream(st, "entity", "ts", "state", "event_id", 3600, "1 hour")
-                      .writeStream.format("parquet").option("path", out)
-                      .option("checkpointLocation", out + "_ck").outputMode("append")
-                      .trigger(availableNow=True).start())
-    streamed = {(r.entity, r.s, r.e, r.n_triggers) for r in spark.read.parquet(out).selectExpr(
-        "entity", "unix_micros(hold_start) AS s", "unix_micros(hold_end) AS e", "n_triggers").collect()}
-    b = hold_intervals_onoff(ev, "entity", "ts", "state", "event_id", 3600).filter("hold_end IS NOT NULL")
-    batch = {tuple(r) for r in b.select("entity", ts_micros(b, "hold_start"), ts_micros(b, "hold_end"),
-                                        "n_triggers").collect()}
-    max_us = ev.select(ts_micros(ev, "ts").alias("u")).agg(F.max("u")).first()[0]
-    closed = {r for r in batch if r[2] < max_us - 3600 * 1_000_000}
-    assert streamed <= batch and closed <= streamed and len(streamed) > 0
-
-
 def test_hold_stream_zero_delay_is_one_interval_per_event(spark, scratch):
     from brisa.streaming.state import hold_intervals_stream
 
