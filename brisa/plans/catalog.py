@@ -38,6 +38,7 @@ STREAM_STARTS = 3                            # starts of a stopped stream, one p
 HOT_ENTITY = "CASE WHEN value < 35 THEN -1 ELSE user_id END"  # one entity holds about half of the events
 STREAM_FILES = 8                             # unordered frame files, one per micro-batch
 REPLAY_CYCLES = 2.5                          # replay passes over events
+REPLAY_BATCH_S = 5                           # seconds of the schedule that one micro-batch sends
 RAMP_CYCLES = 3                              # replay passes over lineitem for the ramp
 ROUTE_MODULO_N = 4
 CORRUPT_WHEN = "event_type = 'error'"        # these events travel as corrupt payloads
@@ -173,6 +174,21 @@ def q_replay_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("seq", "cycle", "event_id", fixed_rate_second("seq", FIXED_RATE).alias("emit_second"))
 
 
+def q_stream_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """S4/L2 as a stream: events replayed 2.5 times under the stress ramp, stopped and resumed on the way."""
+    from brisa.sources import replay_source as rs
+    from brisa.streaming.pipelines import scratch
+
+    stored = shared_path(spark, "replay_stored")
+    n = rs.store_replayable(table(spark, sf, "events").select("event_id"), ["event_id"], stored)
+    out, ckpt = scratch(spark, "stream_replay")
+    for share in (0.5, 1.0):  # a first query that ends half-way, and one that goes on from its checkpoint
+        schedule = rs.Schedule(total=math.floor(math.floor(n * REPLAY_CYCLES) * share))
+        rs.run_until_sent(rs.start_replay(spark, stored, n, schedule, rs.to_folder(out), ckpt, seconds_per_batch=REPLAY_BATCH_S))
+    return (spark.read.schema("event_id long, cycle long, seq long, emit_second long").parquet(out)
+            .select("seq", "cycle", "event_id", "emit_second"))
+
+
 def q_rate_ramp(spark: SparkSession, sf: str) -> DataFrame:
     """L2: lineitem replayed 3 times under the stress ramp; messages per second."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
@@ -393,6 +409,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "throughput_rounded": q_throughput_rounded,
     "replay_cycle": q_replay_cycle,
     "rate_ramp": q_rate_ramp,
+    "stream_replay": q_stream_replay,
     "domain_filter": q_domain_filter,
     "state_transition": q_state_transition,
     "leave_state": q_leave_state,

@@ -158,6 +158,17 @@ def oracle_sql() -> dict[str, str]:
         "stream_loader": _READINGS,
         "stream_loader_skip": events_readings_sql(where="event_type IS DISTINCT FROM 'click'"),
         **_hot_streams(),
+        "stream_replay": (
+            "WITH idx AS (SELECT event_id, row_number() OVER (ORDER BY event_id NULLS FIRST) - 1 AS i, "
+            "count(*) OVER () AS n FROM events), "
+            f"seqs AS (SELECT cycle * n + i AS seq, cycle, event_id FROM idx, (SELECT range AS cycle FROM range(0, {replay_passes})) "
+            f"WHERE cycle * n + i < CAST(floor(n * {C.REPLAY_CYCLES}) AS BIGINT)), "
+            f"sched AS (SELECT range AS t, {STRESS_START_RATE} + {STRESS_STEP} * (range // {STRESS_EVERY_SECONDS}) "
+            "AS rate FROM range(0, 200000)), "
+            "cum AS (SELECT t, rate, sum(rate) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            " - rate AS start FROM sched) "
+            "SELECT seq, cycle, event_id, t AS emit_second FROM seqs JOIN cum "
+            "ON seqs.seq >= cum.start AND seqs.seq < cum.start + cum.rate"),
         "stream_throughput": _screen_sql(),
         "stream_decoded": _screen_sql("event_type IS DISTINCT FROM 'error'"),
         "stream_chain": _screen_sql(),
