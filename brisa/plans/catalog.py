@@ -35,6 +35,7 @@ SCREEN_WINDOW_S, SCREEN_UNIT_S = 3600, 600   # 1-hour screen windows, msgs per 1
 HOLD_S = 3600                                # hold delay (upper end of the allowed range)
 ACTIVE_TYPES = ("view", "click")             # event types read as motion "on"
 STREAM_STARTS = 3                            # starts of a stopped stream, one per slice of the events' time
+HOT_STATION = "CASE WHEN rs <= 25 THEN 3 ELSE codnum END"     # station 3 gets about half of the readings
 HOT_ENTITY = "CASE WHEN value < 35 THEN -1 ELSE user_id END"  # one entity holds about half of the events
 STREAM_FILES = 8                             # unordered frame files, one per micro-batch
 REPLAY_CYCLES = 2.5                          # replay passes over events
@@ -113,13 +114,13 @@ def q_payload_size(spark: SparkSession, sf: str) -> DataFrame:
     return enc.select("objectid", F.octet_length("value").alias("payload_bytes"))
 
 
-def _event_frames(spark: SparkSession, sf: str) -> DataFrame:
+def _event_frames(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:
     """Frames of event readings; error events travel as corrupt payloads."""
     enc = encode(events_readings(spark, sf, keep=["ts", "event_type"]), keep=["ts", "event_type"])
     bad = F.expr(CORRUPT_WHEN)
     return enc.select(
         F.when(bad, F.lit(CORRUPT_PAYLOAD)).otherwise(F.col("value")).alias("value"),
-        as_instant(enc, "ts").alias("timestamp"))
+        as_instant(enc, "ts").alias("timestamp"), *(keep or []))
 
 
 def q_skip_corrupt(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +148,16 @@ def q_route_modulo(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("objectid", "partition")
 
 
+def q_route_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 with a station that holds half of the readings: frames written by tasks of equal size, read back."""
+    from brisa.sources.kafka import read_frames, write_frames
+
+    hot = lineitem_readings(spark, sf).withColumn("codnum", F.expr(HOT_STATION))
+    path = shared_path(spark, "route_balanced")
+    write_frames(clean_job(load_frames(hot)), "files", path, balanced=True)
+    return decode(read_frames(spark, "files", path), mode="failfast", keep=["partition"]).select("objectid", "codnum", "partition")
+
+
 def q_clean_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """T1 end to end (batch): frames -> decode -> clean -> route -> encode -> frames."""
     return frame_summary(clean_job(load_frames(lineitem_readings(spark, sf))))
@@ -377,6 +388,31 @@ def q_stream_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return st.read_throughput_table(spark, out).select("window_start_unix", "n_msgs", "throughput_msgs_sec")
 
 
+def q_stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaning stream fails on corrupt frames, is started again to skip them, and goes on from its
+    checkpoint with what came since: every frame once, as in one run."""
+    from brisa.sources.kafka import read_frames, write_frames
+    from brisa.streaming import pipelines as st
+
+    inbox = shared_path(spark, "frames_restart")
+    out, ckpt = st.scratch(spark, "stream_restart")
+    frames = _event_frames(spark, sf, keep=["event_type"])
+
+    def clean(mode: str) -> None:
+        stream = read_frames(spark, "files", inbox, stream=True)
+        st.run_to_completion(st.start_clean_stream(stream, out, ckpt, overflow="modulo", mode=mode))
+
+    for types, mode in ((("view", "click"), "failfast"), (("error",), "failfast"), (("signup", "purchase"), "permissive")):
+        part = frames.filter(F.col("event_type").isin(*types)).drop("event_type")
+        write_frames(part.select(F.lit(None).cast("binary").alias("key"), "value", F.lit("t").alias("topic"), "timestamp"), "files", inbox)
+        try:
+            clean(mode)
+        except Exception:  # the corrupt frames, and only they, end the query
+            if types != ("error",):
+                raise
+    return decode(read_frames(spark, "files", out), mode="failfast", keep=["partition"])
+
+
 def q_stream_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Loader frames -> cleaning stream -> observer: hourly throughput of the cleaned topic."""
     from brisa.sources.kafka import read_frames
@@ -404,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "throughput_decoded": q_throughput_decoded,
     "route_partition": q_route_partition,
     "route_modulo": q_route_modulo,
+    "route_balanced": q_route_balanced,
     "clean_pipeline": q_clean_pipeline,
     "throughput_log": q_throughput_log,
     "throughput_rounded": q_throughput_rounded,
@@ -426,4 +463,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_log": q_stream_log,
     "stream_decoded": q_stream_decoded,
     "stream_chain": q_stream_chain,
+    "stream_restart": q_stream_restart,
 }

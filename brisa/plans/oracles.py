@@ -157,6 +157,10 @@ def oracle_sql() -> dict[str, str]:
             f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),
         "stream_loader": _READINGS,
         "stream_loader_skip": events_readings_sql(where="event_type IS DISTINCT FROM 'click'"),
+        "route_balanced": f"SELECT objectid, codnum, {_PART} AS partition FROM (SELECT objectid, {C.HOT_STATION} AS codnum FROM ({_READINGS}))",
+        "stream_restart": (
+            "SELECT *, CAST((greatest(coalesce(codnum, 1), 1) - 1) % 12 AS INTEGER) AS partition FROM ("
+            + events_readings_sql(clean=True, where="event_type IS DISTINCT FROM 'error'") + ")"),
         **_hot_streams(),
         "stream_replay": (
             "WITH idx AS (SELECT event_id, row_number() OVER (ORDER BY event_id NULLS FIRST) - 1 AS i, "

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from brisa.operators.route import place_balanced
 from brisa.schema import FRAME_READ_SCHEMA
 
 # --- fixed values: producer presets (client settings of the two senders) ---
@@ -139,13 +140,17 @@ def read_frames(spark: SparkSession, transport: str, path_or_options, stream: bo
     raise ValueError(f"unknown transport {transport!r}")
 
 
-def write_frames(df: DataFrame, transport: str, path_or_options, mode: str = "append") -> None:
+def write_frames(df: DataFrame, transport: str, path_or_options, mode: str = "append", balanced: bool = False,
+                 num_tasks: int | None = None) -> None:
     """Batch write.  Kafka places each row by its ``partition`` column; files are
-    laid out by ``partitionBy("partition")`` when the column is present."""
+    laid out by ``partitionBy("partition")`` when the column is present, with ``balanced``
+    by tasks of about equal size (:func:`brisa.operators.route.place_balanced`)."""
     if transport == "kafka":
         df.write.format("kafka").options(**path_or_options).save()
         return
     if transport == "files":
+        if balanced:
+            df = place_balanced(df, num_tasks)
         w = df.write.mode(mode)
         if "partition" in df.columns:
             w = w.partitionBy("partition")

@@ -51,7 +51,7 @@ def _start(stream: DataFrame, write, checkpoint: str, available_now: bool) -> St
 
 
 def _last_states(path: str, schema: T.StructType, c: EventColumns) -> Keyed:
-    return Keyed(f"{path}/last", T.StructType([schema[x] for x in (c.entity, c.ts, c.tiebreak, c.state)]), c.entity)
+    return Keyed(f"{path}/last", T.StructType([schema[x] for x in (c.entity, c.ts, c.tiebreak, c.state)]), key=c.entity)
 
 
 def _changes(last: Keyed, batch: DataFrame, epoch: int, c: EventColumns, trigger: Column | None) -> DataFrame:

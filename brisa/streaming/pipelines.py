@@ -19,7 +19,9 @@ from brisa.plans.pipeline import IN_TOPIC, clean_job, load_frames
 from brisa.session import shared_path
 from brisa.sources.csv import csv_stream
 from brisa.sources.kafka import CLEANER_SINK_PRESET, LOADER_SINK_PRESET, frame_sink
+from brisa.streaming.versions import Summed
 
+FOLD_EPOCHS = 20  # epochs of window counts that are folded into one table at a time
 PARTIAL_COUNTS = "_start_us long, n_msgs long, window_seconds int, unit_seconds double"
 
 
@@ -70,26 +72,30 @@ def start_window_counts(frames: DataFrame, out_path: str, checkpoint: str, windo
                         available_now: bool = True) -> StreamingQuery:
     """A1-A3 over a stream: what arrives is counted, whenever it arrives.
 
-    Each micro-batch appends its own count per window to its epoch folder (a retried
-    epoch overwrites its folder); readers sum them.  There is no watermark and no
-    state, so no message is late and the last window is there too.
+    Each micro-batch writes its own count per window to its epoch folder (a retried
+    epoch overwrites its folder), and old epochs are folded into one row per window;
+    readers sum them.  There is no watermark and no state, so no message is late and the
+    last window is there too.
     """
+    table = _counts(out_path)
+
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        table.fold(batch.sparkSession, epoch_id)
         counts = window_counts(_stamped(batch, ts_col), ts_col, window_seconds)
-        (counts.withColumn("window_seconds", F.lit(int(window_seconds)))
-         .withColumn("unit_seconds", F.lit(float(unit_seconds)))
-         .write.mode("overwrite").parquet(f"{out_path}/_epoch={int(epoch_id)}"))
+        table.write(counts.withColumns({"window_seconds": F.lit(int(window_seconds)), "unit_seconds": F.lit(float(unit_seconds))}), epoch_id)
 
     w = frames.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def _counts(path: str) -> Summed:
+    return Summed(path, PARTIAL_COUNTS, fold_every=FOLD_EPOCHS, sums=("n_msgs",))
+
+
 def _summed(spark: SparkSession, path: str) -> DataFrame:
     """Messages per window over all epochs."""
-    parts = spark.read.schema(PARTIAL_COUNTS).parquet(path)
-    return (parts.groupBy("_start_us", "window_seconds", "unit_seconds").agg(F.sum("n_msgs").alias("n_msgs"))
-            .withColumn("_rate", rate_per_unit("n_msgs", F.col("window_seconds"), F.col("unit_seconds"))))
+    return _counts(path).before(spark).withColumn("_rate", rate_per_unit("n_msgs", F.col("window_seconds"), F.col("unit_seconds")))
 
 
 def start_throughput_table(frames: DataFrame, out_path: str, checkpoint: str,

@@ -61,38 +61,37 @@ class Versions:
 
 
 @dataclass(frozen=True)
-class Keyed:
-    """A table of one row per key as changes by epoch: the newest row of a key holds.
+class Folding:
+    """A table kept as changes by epoch, which are folded into a base from time to time.
 
-    An epoch writes the rows of the keys it touched.  Every ``fold_every`` epochs what came before is
-    written as one base, so a reader opens one base and ``2 * fold_every`` changes at most.
+    Every ``fold_every`` epochs what came before is written as one base, so a reader opens one base and
+    ``2 * fold_every`` changes at most, however long the stream runs.  A base of epoch K holds the epochs
+    below K, which are committed by then; a retried epoch writes its own folder again and nothing else.
     """
     path: str
     schema: object
-    key: str
     fold_every: int = 20
 
+    def _combined(self, rows: DataFrame) -> DataFrame:
+        """One row per key from all of ``rows``, of which a higher ``_age`` is newer."""
+        raise NotImplementedError
+
     def write(self, df: DataFrame, epoch: int) -> None:
-        """The new rows of the touched keys (each once) as of ``epoch``."""
+        """What ``epoch`` changes."""
         df.write.mode("overwrite").parquet(f"{self.path}/epoch={int(epoch)}")
 
-    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
-        """One row per key, as of the epochs below ``epoch``."""
-        bases = [b for b in list_versions(spark, self.path, "base=") if b <= epoch]
+    def before(self, spark: SparkSession, epoch: int | None = None) -> DataFrame:
+        """The table as of the epochs below ``epoch`` (None: all that is written)."""
+        bases = [b for b in list_versions(spark, self.path, "base=") if epoch is None or b <= epoch]
         base = bases[-1] if bases else 0
-        changes = [e for e in list_versions(spark, self.path, "epoch=") if base <= e < epoch]
-        parts = [(0, f"base={base}")] if bases else []
-        parts += [(e + 1, f"epoch={e}") for e in changes]
+        changes = [e for e in list_versions(spark, self.path, "epoch=") if base <= e and (epoch is None or e < epoch)]
+        parts = [(0, [f"{self.path}/base={base}"])] if bases else []
+        parts += [(e + 1, [f"{self.path}/epoch={e}"]) for e in changes]
         out = None
-        for age, name in parts:
-            part = spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("_age", F.lit(age))
+        for age, paths in parts:
+            part = spark.read.schema(self.schema).parquet(*paths).withColumn("_age", F.lit(age))
             out = part if out is None else out.unionByName(part)
-        if out is None:
-            return spark.createDataFrame([], self.schema)
-        if len(parts) == 1:
-            return out.drop("_age")
-        rest = [c for c in out.columns if c not in (self.key, "_age")]
-        return out.groupBy(self.key).agg(F.max_by(F.struct(*rest), "_age").alias("_r")).select(self.key, "_r.*")
+        return spark.createDataFrame([], self.schema) if out is None else self._combined(out)
 
     def fold(self, spark: SparkSession, epoch: int) -> None:
         """Before ``epoch`` is written: fold if it is time, and remove what an older base made superfluous."""
@@ -100,8 +99,28 @@ class Keyed:
             return
         self.before(spark, epoch).write.mode("overwrite").parquet(f"{self.path}/base={int(epoch)}")
         older = [b for b in list_versions(spark, self.path, "base=") if b < epoch]
-        if older:
+        if older:  # a reader that has listed the older base still finds what it needs
             for e in [e for e in list_versions(spark, self.path, "epoch=") if e < older[-1]]:
                 remove_path(spark, f"{self.path}/epoch={e}")
             for b in older[:-1]:
                 remove_path(spark, f"{self.path}/base={b}")
+
+
+@dataclass(frozen=True)
+class Keyed(Folding):
+    """The newest row of every ``key`` (one column) holds."""
+    key: str = "key"
+
+    def _combined(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (self.key, "_age")]
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "_age").alias("_r")).select(self.key, "_r.*")
+
+
+@dataclass(frozen=True)
+class Summed(Folding):
+    """The numbers ``sums`` of every key add up; the other columns are the key."""
+    sums: tuple[str, ...] = ()
+
+    def _combined(self, rows: DataFrame) -> DataFrame:
+        keys = [c for c in rows.columns if c not in (*self.sums, "_age")]
+        return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in self.sums))

@@ -142,7 +142,7 @@ def test_late_events(spark, scratch):
 
 def test_state_tables_stay_small(spark, scratch):
     """One base and the changes since; one version of the open sessions besides the newest."""
-    table = Keyed(f"{scratch}/k", spark.createDataFrame([], "e string, v int").schema, "e", fold_every=3)
+    table = Keyed(f"{scratch}/k", spark.createDataFrame([], "e string, v int").schema, fold_every=3, key="e")
     want = {}
     for epoch in range(14):
         table.fold(spark, epoch)
