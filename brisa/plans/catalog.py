@@ -23,7 +23,7 @@ from brisa.operators.route import route
 from brisa.operators.sequence import as_instant
 from brisa.operators.throughput import throughput_log, throughput_screen
 from brisa.plans.adapters import events_readings, events_state, lineitem_readings
-from brisa.plans.pipeline import OUT_PARTITIONS, clean_job, frame_summary, load_frames
+from brisa.plans.pipeline import OUT_PARTITIONS, clean_job, load_frames
 from brisa.schema import FIELD_TYPES, OPTIONAL_COLS
 from brisa.session import shared_path
 from brisa.sources.csv import csv_scan, write_export
@@ -35,6 +35,9 @@ SCREEN_WINDOW_S, SCREEN_UNIT_S = 3600, 600   # 1-hour screen windows, msgs per 1
 HOLD_S = 3600                                # hold delay (upper end of the allowed range)
 ACTIVE_TYPES = ("view", "click")             # event types read as motion "on"
 STREAM_STARTS = 3                            # starts of a stopped stream, one per slice of the events' time
+# station names with a line break, quotes, a comma and a backslash (Spark's literals take escapes, DuckDB's do not)
+AWKWARD_STATION = r"""CASE WHEN estacao LIKE 'R%' THEN concat(estacao, '\n"', data, '", \\') ELSE concat('"', estacao) END"""
+AWKWARD_STATION_SQL = r"""CASE WHEN estacao LIKE 'R%' THEN estacao || chr(10) || '"' || data || '", ' || chr(92) ELSE '"' || estacao END"""
 HOT_STATION = "CASE WHEN rs <= 25 THEN 3 ELSE codnum END"     # station 3 gets about half of the readings
 HOT_ENTITY = "CASE WHEN value < 35 THEN -1 ELSE user_id END"  # one entity holds about half of the events
 STREAM_FILES = 8                             # unordered frame files, one per micro-batch
@@ -89,16 +92,19 @@ def q_typed_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """S1 + P1/P2 + C5 + K3: readings exported as quoted CSV, scanned back by
-    position (header dropped) and parsed strictly."""
+    position (header dropped) and parsed strictly; station names hold line breaks, quotes,
+    commas and backslashes."""
     path = shared_path(spark, "csv_scan")
     # spread before formatting: the text casts are the CPU-heavy part of the export
-    write_export(to_text_columns(ensure_parallelism(lineitem_readings(spark, sf))), path)
-    return parse_readings(csv_scan(spark, path), errors="fail")
+    readings = lineitem_readings(spark, sf).withColumn("estacao", F.expr(AWKWARD_STATION))
+    write_export(to_text_columns(ensure_parallelism(readings)), path)
+    return parse_readings(csv_scan(spark, path, multiline=True), errors="fail")
 
 
 def q_text_export(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned readings as 26 text columns under the export header."""
-    return to_text_columns(zero_to_null(lineitem_readings(spark, sf)))
+    readings = zero_to_null(lineitem_readings(spark, sf))
+    return to_text_columns(readings.withColumn("o3", F.expr("CASE WHEN rs = 1 THEN double('NaN') ELSE o3 END")))
 
 
 # ----------------------------------------------------------------------------- codec
@@ -144,7 +150,8 @@ def q_route_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_route_modulo(spark: SparkSession, sf: str) -> DataFrame:
     """Overflow by modulo."""
-    r = route(lineitem_readings(spark, sf), "codnum", ROUTE_MODULO_N, "modulo")
+    stations = lineitem_readings(spark, sf).withColumn("codnum", F.col("codnum") * 5)  # up to 20, below 1, and absent
+    r = route(stations, "codnum", ROUTE_MODULO_N, "modulo")
     return r.select("objectid", "partition")
 
 
@@ -160,7 +167,12 @@ def q_route_balanced(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_clean_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """T1 end to end (batch): frames -> decode -> clean -> route -> encode -> frames."""
-    return frame_summary(clean_job(load_frames(lineitem_readings(spark, sf))))
+    return _decoded_frames(clean_job(load_frames(lineitem_readings(spark, sf))))
+
+
+def _decoded_frames(frames: DataFrame) -> DataFrame:
+    """Topic, partition and the 26 fields of every frame."""
+    return decode(frames, mode="failfast", keep=["topic", "partition"])
 
 
 # ----------------------------------------------------------------------------- throughput
@@ -253,7 +265,7 @@ def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     write_frames(load_frames(lineitem_readings(spark, sf)), "files", inbox)
     out, ckpt = scratch(spark, "stream_clean")
     run_to_completion(start_clean_stream(read_frames(spark, "files", inbox, stream=True), out, ckpt))
-    return frame_summary(read_frames(spark, "files", out))
+    return _decoded_frames(read_frames(spark, "files", out))
 
 
 def _load_in_two(spark: SparkSession, text: DataFrame, late, name: str, **load) -> DataFrame:

@@ -13,12 +13,43 @@ import math
 from brisa.operators.codec import payload_size_sql
 from brisa.operators.replay import FIXED_RATE, STRESS_EVERY_SECONDS, STRESS_START_RATE, STRESS_STEP
 from brisa.plans import catalog as C
-from brisa.plans.adapters import events_readings_sql, lineitem_readings_sql
-from brisa.plans.pipeline import OUT_TOPIC
-from brisa.schema import EXPORT_HEADER, OPTIONAL_COLS, READING_COLS
 
-_READINGS = lineitem_readings_sql(clean=False)
-_CLEANED = lineitem_readings_sql(clean=True)
+_READINGS = """
+SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS objectid, CAST(l_shipdate AS VARCHAR) AS data,
+       CAST(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 0 WHEN l_linenumber = 5 THEN -5 ELSE l_linenumber END AS INTEGER) AS codnum,
+       l_returnflag || l_linestatus AS estacao, l_discount AS chuva, l_tax AS pres, l_quantity AS rs, l_extendedprice AS temp,
+       l_quantity - 25 AS ur, CASE WHEN l_tax = 0 THEN CAST('-0.0' AS DOUBLE) ELSE l_tax END AS dir_vento,
+       CASE WHEN l_discount <> CAST(0.05 AS DOUBLE) THEN l_discount END AS vel_vento,
+       CAST(l_linenumber - 1 AS DOUBLE) AS so2, CAST(l_linenumber - 4 AS DOUBLE) AS no2,
+       CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DOUBLE) ELSE l_quantity END AS hcnm,
+       CASE WHEN l_linestatus = 'F' THEN l_discount END AS hct, -l_tax AS ch4,
+       CASE WHEN l_tax <> CAST(0.08 AS DOUBLE) THEN l_tax END AS co, l_quantity - 1 AS no,
+       CASE WHEN l_returnflag = 'A' THEN CAST(0 AS DOUBLE) ELSE l_extendedprice END AS nox,
+       CASE WHEN l_tax = 0 THEN l_discount ELSE l_quantity END AS o3, CAST(l_suppkey AS DOUBLE) - 1 AS pm10, -l_discount AS pm2_5,
+       l_discount AS lat, -l_tax AS lon,
+       CASE WHEN l_discount = 0 THEN CAST('-0.0' AS DOUBLE) ELSE l_extendedprice END AS x_utm_sirgas2000,
+       CASE WHEN l_linestatus = 'O' THEN CAST(l_partkey AS DOUBLE) END AS y_utm_sirgas2000
+FROM lineitem"""
+
+# a zero of one of the 18 measurements is a fault; ids, station and coordinates keep theirs
+_ZEROED = ("chuva", "pres", "rs", "temp", "ur", "dir_vento", "vel_vento", "so2", "no2", "hcnm", "hct", "ch4", "co", "no", "nox", "o3", "pm10", "pm2_5")
+
+
+def _cleaned(readings: str) -> str:
+    return "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {c} <> 0 THEN {c} END AS {c}" for c in _ZEROED) + f") FROM ({readings})"
+
+
+_CLEANED = _cleaned(_READINGS)
+_COLUMNS = ("objectid", "data", "codnum", "estacao", *_ZEROED, "lat", "lon", "x_utm_sirgas2000", "y_utm_sirgas2000")
+_TEXT_HEADER = (*_COLUMNS[:-2], "x_utm", "y_utm")
+
+
+def _event_readings(where: str = "true") -> str:
+    absent = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in _COLUMNS[5:])
+    return (f"SELECT event_id AS objectid, CAST(ts AS VARCHAR) AS data, CAST(user_id AS INTEGER) AS codnum, event_type AS estacao, "
+            f"value AS chuva, {absent} FROM events WHERE {where}")
+
+
 _PART = "CAST(greatest(coalesce(codnum, 1), 1) - 1 AS INTEGER)"
 
 
@@ -97,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
     every = {
         "clean_zero_readings": _CLEANED,
         "presence_flags": (
-            "SELECT objectid, " + ", ".join(f"({c} IS NOT NULL) AS has_{c}" for c in OPTIONAL_COLS)
+            "SELECT objectid, " + ", ".join(f"({c} IS NOT NULL) AS has_{c}" for c in _COLUMNS[2:])
             + f" FROM ({_CLEANED})"),
         "blank_to_null": (
             "WITH c AS (SELECT event_id, CASE WHEN event_type = 'error' THEN '   ' "
@@ -109,23 +140,19 @@ def oracle_sql() -> dict[str, str]:
             "SELECT event_id, CAST(event_id AS BIGINT) AS objectid, CAST(user_id AS INTEGER) AS codnum, "
             "CASE WHEN event_type = 'click' THEN NULL ELSE TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) END "
             "AS chuva FROM events"),
-        "csv_scan": _READINGS,
+        "csv_scan": f"SELECT * REPLACE ({C.AWKWARD_STATION_SQL} AS estacao) FROM ({_READINGS})",
         "text_export": (
-            "SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {h}"
-                                  for c, h in zip(READING_COLS, EXPORT_HEADER))
-            + f" FROM ({_CLEANED})"),
+            "SELECT " + ", ".join(f"coalesce(replace(CAST({c} AS VARCHAR), 'nan', 'NaN'), '') AS {h}" for c, h in zip(_COLUMNS, _TEXT_HEADER))
+            + f" FROM (SELECT * REPLACE (CASE WHEN rs = 1 THEN CAST('NaN' AS DOUBLE) ELSE o3 END AS o3) FROM ({_CLEANED}))"),
         "payload_roundtrip": _READINGS,
         "payload_size": (
             f"SELECT objectid, CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_READINGS})"),
-        "skip_corrupt": events_readings_sql(where="event_type IS DISTINCT FROM 'error'"),
+        "skip_corrupt": _event_readings("event_type IS DISTINCT FROM 'error'"),
         "throughput_decoded": _screen_sql("event_type IS DISTINCT FROM 'error'"),
         "route_partition": f"SELECT objectid, codnum, {_PART} AS partition FROM ({_CLEANED})",
         "route_modulo": (
-            f"SELECT objectid, CAST(((greatest(coalesce(codnum, 1), 1) - 1) % {C.ROUTE_MODULO_N} "
-            f"+ {C.ROUTE_MODULO_N}) % {C.ROUTE_MODULO_N} AS INTEGER) AS partition FROM ({_READINGS})"),
-        "clean_pipeline": (
-            f"SELECT '{OUT_TOPIC}' AS topic, {_PART} AS partition, "
-            f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),
+            f"SELECT objectid, CAST((greatest(coalesce(codnum * 5, 1), 1) - 1) % {C.ROUTE_MODULO_N} AS INTEGER) AS partition FROM ({_READINGS})"),
+        "clean_pipeline": f"SELECT 'topic-clima-saida' AS topic, {_PART} AS partition, * FROM ({_CLEANED})",
         "throughput_log": (
             f"WITH c AS (SELECT epoch_us(ts) // {log_w_us} AS w, count(*) AS n FROM events GROUP BY 1), "
             "g AS (SELECT unnest(generate_series(min(w), max(w))) AS w FROM c) "
@@ -152,15 +179,13 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * FROM (SELECT concat_ws('.', event_type, 'user_' || CAST(user_id AS VARCHAR)) AS entity_id, "
             "ts, event_id FROM events) WHERE split_part(entity_id, '.', 1) IN ('view', 'click')"),
         **_event_patterns(),
-        "stream_clean": (
-            f"SELECT '{OUT_TOPIC}' AS topic, {_PART} AS partition, "
-            f"CAST({payload_size_sql()} AS INTEGER) AS payload_bytes FROM ({_CLEANED})"),
+        "stream_clean": f"SELECT 'topic-clima-saida' AS topic, {_PART} AS partition, * FROM ({_CLEANED})",
         "stream_loader": _READINGS,
-        "stream_loader_skip": events_readings_sql(where="event_type IS DISTINCT FROM 'click'"),
+        "stream_loader_skip": _event_readings("event_type IS DISTINCT FROM 'click'"),
         "route_balanced": f"SELECT objectid, codnum, {_PART} AS partition FROM (SELECT objectid, {C.HOT_STATION} AS codnum FROM ({_READINGS}))",
         "stream_restart": (
             "SELECT *, CAST((greatest(coalesce(codnum, 1), 1) - 1) % 12 AS INTEGER) AS partition FROM ("
-            + events_readings_sql(clean=True, where="event_type IS DISTINCT FROM 'error'") + ")"),
+            + _cleaned(_event_readings("event_type IS DISTINCT FROM 'error'")) + ")"),
         **_hot_streams(),
         "stream_replay": (
             "WITH idx AS (SELECT event_id, row_number() OVER (ORDER BY event_id NULLS FIRST) - 1 AS i, "
