@@ -1,8 +1,9 @@
 """Helpers shared by the operators: Arrow batches of texts as flat bytes, word hashes.
 
 Everything here works on one Arrow batch inside a task.  Word hashes are
-polynomials over a random byte table modulo 2^64, taken from prefix sums, so a
-whole batch is hashed with a few vector operations.
+polynomials over a random byte table in two prime fields (62 bits), taken from prefix
+sums, so a whole batch is hashed with a few vector operations.  (Modulo a power of two
+there are words that collide whatever the base.)
 """
 
 from __future__ import annotations
@@ -22,30 +23,34 @@ from ..session import shared_path
 #: bytes of text handled by one round of vector operations
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: word hashes are polynomials over these prime fields, with these bases
+_FIELDS = ((2147483647, 1103515245), (2147483629, 1566083941))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
+def _powers(n: int, base: int, p: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.int64)
     k = 1
     while k < n:  # doubling: powers k..2k are powers 0..k times base^k
         m = min(k, n - k)
-        out[k:k + m] = out[:m] * np.uint64(pow(base, k, 1 << 64))
+        out[k:k + m] = out[:m] * pow(base, k, p) % p
         k += m
     return out
 
 
-_POW = {"n": 0, "up": None, "down": None}
+_POW: dict = {"n": 0, "tables": None}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse, up to n - 1."""
+    def made(size):
+        return [(_powers(size, base, p), _powers(size, pow(base, -1, p), p)) for p, base in _FIELDS]
+
     if n > 4 * CHUNK_BYTES:  # a very long text: tables for this call only
-        return _powers(n, int(_BASE)), _powers(n, pow(int(_BASE), -1, 1 << 64))
+        return made(n)
     if _POW["n"] < n:
         size = max(n, CHUNK_BYTES + 1)
-        _POW.update(n=size, up=_powers(size, int(_BASE)), down=_powers(size, pow(int(_BASE), -1, 1 << 64)))
-    return _POW["up"], _POW["down"]
+        _POW.update(n=size, tables=made(size))
+    return _POW["tables"]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -59,7 +64,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # A-Z -> a-z
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[_FOLD]
+_BYTE_CODE = [(mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(p)) % np.uint64(p)).astype(np.int64)[_FOLD]
+              for p, _ in _FIELDS]
 
 #: bytes inside a word `[^\\x20\\x09-\\x0D]+`
 NON_SPACE = np.ones(256, dtype=bool)
@@ -111,14 +117,23 @@ def word_bounds(flat: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(flat: np.ndarray) -> list[np.ndarray]:
+    """What :func:`word_hashes` needs of a text; to be shared by calls on the same one."""
+    out = []
+    for (p, _), (up, _), code in zip(_FIELDS, _power_tables(len(flat) + 1), _BYTE_CODE):
+        sums = np.zeros(len(flat) + 1, dtype=np.int64)  # of numbers below 2^31: no overflow below 2^32 bytes
+        np.cumsum(code[flat] * up[:len(flat)] % p, out=sums[1:])
+        out.append(sums)
+    return out
+
+
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: list[np.ndarray] | None = None) -> np.ndarray:
     """64-bit hash of each word with A-Z lower-cased."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = _power_tables(len(flat) + 1)
-    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[flat] * up[:len(flat)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    one, two = (((s[ends] - s[starts]) % p * down[starts] % p).astype(np.uint64)
+                for (p, _), (_, down), s in zip(_FIELDS, _power_tables(len(flat) + 1), sums or prefix_sums(flat)))
+    return mix64((one << np.uint64(31) | two) + mix64((ends - starts).astype(np.uint64)))
 
 
 _GRAM = 0xC2B2AE3D27D4EB4F

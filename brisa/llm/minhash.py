@@ -8,12 +8,13 @@ banded and documents that meet in a band are candidates.  Candidates whose whole
 signatures agree in too few coordinates for any link (see ``least_agreement``) go;
 every other pair is confirmed on the full shingle sets.
 
-Work per bucket is linear.  Equal sets are one class with one representative.
-In each round the smallest members of a bucket (the centers) are compared with
-its other members; linked classes are merged; buckets whose remaining members
-all belong to one component are done, the rest go to the next round without
-their centers.  So every candidate pair is either compared or already connected,
-and no round emits all pairs of a bucket.
+Equal sets are one class with one representative.  Bands are taken in a few groups.
+In a group the smallest members of a bucket (the centers) are compared with its members of
+other components; linked classes are merged; buckets whose remaining members all
+belong to one component are done, the others go on without their centers.  A
+cluster that the first group has joined is one component and no work for the later ones.  A
+pair is looked at in its first common band only.  So every candidate pair is
+either compared or already connected, and no round emits all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -28,10 +29,19 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import passing_scratch, shared_path
 from .batches import NON_SPACE, chunks, flat_text, gram_hashes, list_array, mix64, stage, word_bounds, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
+#: a pair of similarity 0.75 meets in no band with probability (1 - 0.75^6)^56 = 1.7e-5; documents that share
+#: a passage of a fifth of their shingles meet in 0.4 % of the cases (bands of 4 rows: 8 % of them in 32 bands)
+BANDS, ROWS = 56, 6
+#: bands of the first group; it joins nearly all near copies (at 0.75 two thirds of the pairs, at 0.9 99 %)
+FIRST_GROUP = 6
+#: coordinates kept for the comparison of whole signatures
+COMPARED = 128
+#: ids that are sent to all tasks to pick their texts; more are joined
+SENT_IDS = 2_000_000
 UNIVERSE = 1 << 20
 #: standard deviations below the expected agreement at which a candidate goes (under one link in 10^9 if
 #: coordinates are independent: 3.4e-10 for 128 coordinates and 75 percent)
@@ -84,10 +94,10 @@ def _signer(coordinates: int, seed: int) -> Circulant:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the shingle set, null if empty), bands (hashes), sketch
-    (a byte of each coordinate of the signature)."""
+    """doc_id, n_shingles, cls (digest of the shingle set, null if empty), bands (hashes), sketch (a byte of each of the
+    first coordinates of the signature, then four of the hash of each band of the first group), packed (the compressed text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = _signer(bands * rows, seed)
+        signer, pack = _signer(bands * rows, seed), zstandard.ZstdCompressor().compress
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -96,12 +106,13 @@ def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
                 keys, sketches = np.empty((len(full), bands), dtype=np.uint64), []
                 for i, s in enumerate(full):
                     sig = signer.signature(s)
-                    sketches.append(sig.astype(np.uint8).tobytes())
+                    coordinates = sig[:COMPARED].astype(np.uint8).tobytes()
                     sig = sig.astype(np.uint64).reshape(bands, rows)
                     h = salt.copy()
                     for j in range(rows):
                         h = mix64(h + sig[:, j])
                     keys[i] = h
+                    sketches.append(coordinates + h[:FIRST_GROUP].astype("<u4").tobytes())
                 sketches = iter(sketches)
                 digests = iter([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in full])
                 yield pa.RecordBatch.from_arrays([
@@ -110,23 +121,11 @@ def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
                     pa.array([next(digests) if len(s) else None for s in sets], type=pa.binary()),
                     list_array(keys.ravel().view(np.int64), np.array([bands if len(s) else 0 for s in sets]), pa.int64()),
                     pa.array([next(sketches) if len(s) else None for s in sets], type=pa.binary()),
-                ], names=["doc_id", "n_shingles", "cls", "bands", "sketch"])
+                    pa.array([pack(t) if len(s) else None for s, t in zip(sets, part.column("text").cast(pa.binary()).to_pylist())], type=pa.binary()),
+                ], names=["doc_id", "n_shingles", "cls", "bands", "sketch", "packed"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary"))
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """id and compressed text: smaller to move than the shingle set that it stands for."""
-    def run(batches):
-        pack = zstandard.ZstdCompressor().compress
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([pack(t or b"") for t in texts], type=pa.binary())],
-                                                 names=["id", "packed"])
-
-    return docs.mapInArrow(run, "id long, packed binary")
+            .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary, packed binary"))
 
 
 def _unpacked_sets(packed: list[bytes], width: int) -> dict[bytes, np.ndarray]:
@@ -143,13 +142,18 @@ def least_agreement(coordinates: int, percent: int) -> int:
     return max(0, math.floor(coordinates * p - SLACK * math.sqrt(coordinates * p * (1 - p))))
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose signatures agree in at least ``least`` coordinates."""
+def _alike(pairs: DataFrame, sketches: DataFrame, coordinates: int, least: int, first_band: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that meet in no band before ``first_band`` and whose signatures agree in at least
+    ``least`` coordinates."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+                keep = (x[:, :coordinates] == y[:, :coordinates]).sum(axis=1) >= least
+                if first_band:  # else it was compared there, or joined on the way
+                    x, y = (np.ascontiguousarray(v[:, coordinates:coordinates + 4 * first_band]).view("<u4") for v in (x, y))
+                    keep &= ~(x == y).any(axis=1)
+                keep = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     return (pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
@@ -202,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, seed: int = 7) -> DataFrame:
+                    rows: int = ROWS, seed: int = 7, least: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * shared shingles >= percent * distinct shingles
@@ -210,57 +214,74 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, ba
     empty set, are linked with nothing and are kept.  Rows of one doc_id are one
     document.  A row whose doc_id is null is linked with nothing, has a null
     component_id and is kept.  Columns other than doc_id and text are ignored.
+
+    ``least`` is the number of signature coordinates in which a candidate must agree to be confirmed
+    (default: :func:`least_agreement`; 0 confirms every candidate).  The result is written; all
+    other intermediate tables are gone when this returns.
     """
+    spark = docs.sparkSession
+    least = least_agreement(min(COMPARED, bands * rows), percent) if least is None else least
+    path = shared_path(spark, "minhash-result")
+    with passing_scratch(spark):
+        _near_duplicates(docs, percent, width, bands, rows, seed, least).write.parquet(path)
+    return spark.read.schema("doc_id long, n_shingles long, component_id long, kept boolean").parquet(path)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows: int, seed: int, least: int) -> DataFrame:
+    spark = docs.sparkSession
     signed = stage(signatures(docs, width, bands, rows, seed), "minhash-signatures")
-    classes = (signed.filter("cls is not null and doc_id is not null").groupBy("cls")
-               .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-                    F.first("n_shingles").alias("n")))
-    classes = stage(classes, "minhash-classes")
-    members = classes.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = stage(members.join(shared, "key").select("key", "id", "n"), "minhash-buckets")
-    sketches = stage(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch"), "minhash-sketches")
-    # texts of the documents that share a bucket; rows of one doc_id are one document
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = stage(_packed(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                           .withColumnRenamed("doc_id", "id")), "minhash-texts")
-    # every row of a document links its own classes: the same doc_id can have several texts
-    edges = (signed.filter("cls is not null and doc_id is not null").join(classes.select("cls", "id"), "cls")
-             .filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
-    edges = stage(edges.distinct(), "minhash-edges")
-    labels, tested, centers = None, None, 1
-    while not members.isEmpty():
-        rank = Window.partitionBy("key").orderBy("id")
-        if centers == 1:
-            first = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c")).select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"))
-        else:
-            first = (members.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= centers)
-                     .select("key", F.col("id").alias("cid"), F.col("n").alias("cn")))
-        pairs = (members.join(first, "key")
-                 .filter((F.col("cid") < F.col("id")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
-                 .select(F.col("cid").alias("a"), F.col("id").alias("b")).distinct())
-        if labels is not None:
-            pairs = (pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-                     .join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-                     .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-        if tested is not None:  # a pair can meet again in another bucket
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(_alike(pairs, sketches, least_agreement(bands * rows, percent)), "minhash-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = None if pairs.isEmpty() else stage(_linked(pairs, packed, percent, width), "minhash-links")
-        found = links is not None and not links.isEmpty()
-        if found:
-            edges = edges.union(links)
-        if labels is None or found:
-            labels = components(edges)
-        rest = (members.join(first.select("key", F.col("cid").alias("id")), ["key", "id"], "left_anti")
-                .join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        rest = stage(rest.select("key", "id", "n", "component"), "minhash-rest")
-        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        members = stage(rest.join(mixed, "key").select("key", "id", "n"), "minhash-buckets")
-        centers = min(64, centers * 8)
+    real = signed.filter("cls is not null and doc_id is not null")
+    classes = stage(real.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").cast("int").alias("n"),
+                                            F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-classes")
+    # the same doc_id can have several texts: its classes belong together
+    several = real.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("doc_id")
+    owned = real.select("doc_id", "cls").join(several, "doc_id").join(classes.select("cls", "id"), "cls").select("doc_id", "id").distinct()
+    edges = stage(owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("a != id").select("a", F.col("id").alias("b")).distinct(), "minhash-edges")
+    labels = None if edges.isEmpty() else components(edges)
     if labels is None:
-        labels = components(edges)
-    return (signed.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        labels = spark.createDataFrame([], "id long, component long")
+    cuts = [0, FIRST_GROUP, bands] if bands > FIRST_GROUP else [0, bands]
+    for lo, hi in zip(cuts, cuts[1:]):
+        grouped = classes.select("id", "n", F.slice("bands", lo + 1, hi - lo).alias("keys")).join(labels, "id", "left")
+        members = grouped.select(F.explode("keys").alias("key"), "id", "n", F.coalesce("component", "id").alias("component"))
+        members = stage(_mixed(members), "minhash-buckets")
+        ids = stage(members.select("id").distinct(), "minhash-ids")
+        few = ids.count() <= SENT_IDS
+        ids = F.broadcast(ids) if few else ids
+        sketches = stage(classes.join(ids, "id", "left_semi").select("id", "sketch"), "minhash-sketches")
+        # any text of the first document of a class that has its set will do
+        owners = classes.join(ids, "id", "left_semi").select("cls", F.col("id").alias("doc_id"))
+        texts = signed.select("doc_id", "cls", "packed").join(F.broadcast(owners) if few else owners, ["doc_id", "cls"])
+        texts = stage(texts.groupBy(F.col("doc_id").alias("id"), "cls").agg(F.first("packed").alias("packed")).select("id", "packed"), "minhash-texts")
+        centers = 1
+        while not members.isEmpty():
+            if centers == 1:
+                first = members.groupBy("key").agg(F.min(F.struct("id", "n", "component")).alias("c")).select("key", "c.*")
+            else:
+                first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= centers).drop("r")
+            first = first.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+            pairs = (members.join(first, (members["key"] == first["key"]) & (F.col("a") < F.col("id")) & (F.col("ca") != F.col("component"))
+                                  & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
+                     .select("a", F.col("id").alias("b")).distinct())
+            pairs = stage(_alike(pairs, sketches, min(COMPARED, bands * rows), least, lo), "minhash-pairs")
+            links = stage(_linked(pairs, texts, percent, width), "minhash-links")
+            found = not links.isEmpty()
+            if found:
+                edges = edges.union(links)
+                labels = components(edges)
+            rest = members.join(first.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+            if found:
+                rest = rest.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            members = stage(_mixed(rest), "minhash-buckets")
+            centers = min(512, centers * 8)
+    of_class = classes.select("cls", "id").join(labels, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
+    of_doc = real.select("doc_id", "cls").join(of_class, "cls").groupBy("doc_id").agg(F.min("component").alias("component"))
+    return (signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows (key, id, n, component) of buckets that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return members.join(keys, "key").select("key", "id", "n", "component")

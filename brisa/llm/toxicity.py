@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ALNUM, chunks, flat_text, mix64, stage, word_bounds, word_hashes
+from .batches import ALNUM, chunks, flat_text, mix64, prefix_sums, stage, word_bounds, word_hashes
 
 #: hashed features; words of a training segment; bounds on the training sample: labelled
 #: documents of each label, and of their segments those with and without a toxic word
@@ -46,12 +46,13 @@ class _Words:
     def __init__(self, column: pa.Array):
         self.flat, self.bytes = flat_text(column)
         self.starts, self.ends, self.offs = word_bounds(self.flat, self.bytes, ALNUM)
-        self.hashes = word_hashes(self.flat, self.starts, self.ends)
+        self.sums = prefix_sums(self.flat)
+        self.hashes = word_hashes(self.flat, self.starts, self.ends, self.sums)
         self.text = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
 
     def features(self) -> np.ndarray:
         """(3, n) feature numbers: of each word, and of its first 4 and 6 bytes."""
-        parts = [self.hashes, *(word_hashes(self.flat, self.starts, np.minimum(self.starts + k, self.ends)) for k in PREFIXES)]
+        parts = [self.hashes, *(word_hashes(self.flat, self.starts, np.minimum(self.starts + k, self.ends), self.sums) for k in PREFIXES)]
         return np.stack([(mix64(w ^ np.uint64(salt)) & np.uint64(FEATURES - 1)).astype(np.int64) for w, salt in zip(parts, _SALTS)])
 
 
