@@ -151,6 +151,15 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def gram_hashes_at(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the run of k words that begins at each place (as :func:`gram_hashes` has it)."""
+    out = np.full(len(at), k, dtype=np.uint64)
+    for j in range(k):
+        out *= np.uint64(_GRAM)
+        out += words[at + j]
+    return mix64(out)
+
+
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the number of values of each row."""
     offs = np.zeros(len(counts) + 1, dtype=np.int32)

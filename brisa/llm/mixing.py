@@ -54,7 +54,7 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
         return np.zeros(len(weights), dtype=np.int64)
 
     def given(divisor):
-        return np.minimum(np.floor(weights / divisor + 0.5).astype(np.int64), caps)
+        return np.minimum(np.floor(weights / divisor + 0.5), caps).astype(np.int64)  # cut first: a small divisor leaves no long
 
     low, high = 0.0, 4.0 * weights.sum()  # given(high) is below the seats; shrink from there
     for _ in range(80):
@@ -129,16 +129,20 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
     """The mix itself, with the columns of ``docs``: a row per whole copy of a document, and one of its selected blocks.
 
     Documents of which nothing is taken go.  A row of selected blocks holds their words
-    in order, with the white space behind each; ``n_chars``, if there, is counted anew.
+    in order, with the white space behind each; ``n_chars``, if there, is counted anew.  Other
+    columns may have any names but those that begin with ``__mix_``.
     """
-    tag = "__row"
+    tag = "__mix_row"
     marked = stage(docs.withColumn(tag, F.monotonically_increasing_id()), "mix-rows")
-    plan = mix_sources(marked, keep=(tag,), **options).filter("taken > 0").select(tag, "copies", "ranges")
-    words = F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.transform("ranges", lambda r: F.array_join(F.slice("__words", (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")), "")), "")
+    plan = (mix_sources(marked.select("doc_id", "source", F.col(text).alias("text"), tag), keep=(tag,), **options).filter("taken > 0")
+            .select(tag, F.col("copies").alias("__mix_copies"), F.col("ranges").alias("__mix_ranges")))
     rows = marked.join(plan, tag)
-    whole = rows.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
-    some = (rows.filter(F.exists("ranges", lambda r: r["last"] > r["first"])).withColumn("__words", words)
+    whole = rows.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
+    # the words are bound as the variable of a transform: as a column they would be split anew for every range
+    words = F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
+        "__mix_ranges", lambda r: F.slice(w, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")))), "")), F.lit(0))
+    some = (rows.filter(F.exists("__mix_ranges", lambda r: r["last"] > r["first"]))
             .withColumn(text, part.cast(docs.schema[text].dataType)).select(*docs.columns))
     if n_chars in docs.columns:
         some = some.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ALNUM, chunks, flat_text, mix64, prefix_sums, stage, word_bounds, word_hashes
+from .batches import ALNUM, chunks, flat_text, mix64, prefix_sums, stage, with_fields, word_bounds, word_hashes
 
 #: hashed features; words of a training segment; bounds on the training sample: labelled
 #: documents of each label, and of their segments those with and without a toxic word
@@ -274,5 +274,4 @@ def score_toxicity(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_
                     names=[*keep, "score", "spans"])
 
     df = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return df.mapInArrow(run, ", ".join([*kinds, "score double", f"spans {SPANS}"]))
+    return df.mapInArrow(run, with_fields(df.select(*keep).schema, f"score double, spans {SPANS}"))

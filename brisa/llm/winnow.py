@@ -5,14 +5,16 @@ window of ``span - gram + 1`` consecutive k-grams the smallest hash (the rightmo
 of equal ones) is a fingerprint.  A run of ``span`` words that two texts share
 holds the same window in both, so they share a fingerprint at the same place:
 no shared span of that length is missed.  Fingerprints that documents share with
-benchmark items are extended word by word to the windows around them, and each
-extended span is confirmed on the words themselves.  Items shorter than ``span``
-are one window of their own length.
+benchmark items are extended to the windows around them; a window is looked up once in
+the table of the items' distinct windows and confirmed on the words themselves.  Items
+shorter than ``span`` are one window of their own length.  A window that many items or
+places hold is one entry with one list of items, and equal lists are kept once, so the
+work is linear in the words of the documents, however often they repeat.
 
 The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text; each
-block is one pass over the documents, so a benchmark of any size is handled and
-what is broadcast at once stays bounded.  There is no shuffle, hot passages and
-groups of copies cost nothing extra.
+block is one pass over the documents.  One block is with the driver and the tasks at a time: if
+there are several, what a pass has found is written before the next one.  There is no
+shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .batches import _FOLD, ALNUM, chunks, flat_text, gram_hashes, word_bounds, word_hashes
+from .batches import _FOLD, ALNUM, chunks, flat_text, gram_hashes, gram_hashes_at, stage, word_bounds, word_hashes
 
 SPAN, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -71,77 +74,103 @@ class Words:
         return grams[at], at
 
 
+class Windows:
+    """The distinct windows of one length in the items, and which items hold each."""
+
+    def __init__(self, words: Words, at: np.ndarray, length: int):
+        hashes = gram_hashes_at(words.hashes, at, length)
+        order = np.argsort(hashes, kind="stable")
+        hashes, at = hashes[order], at[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        for j in range(length):  # equal hashes of different words are entries of their own
+            new[1:] |= words.hashes[at[1:] + j] != words.hashes[at[:-1] + j]
+        entry, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.length, self.hashes, self.place = length, hashes[heads], at[heads]
+        self.bits = np.zeros(1 << 16, dtype=bool)
+        self.bits[self.hashes >> np.uint64(48)] = True
+        entry, item = np.unique(np.stack([entry, words.text[at]]), axis=1)
+        lists, self.kind = {}, np.empty(len(heads), dtype=np.int64)  # entry -> number of its list of items
+        ends = np.searchsorted(entry, np.arange(len(heads) + 1))
+        for e, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            self.kind[e] = lists.setdefault(item[a:z].tobytes(), len(lists))
+        self.lists = [np.frombuffer(x, dtype=item.dtype) for x in lists]
+
+    def found(self, docs: Words, items: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word in the documents, entry) of the windows at ``at`` that the items hold."""
+        hashes = gram_hashes_at(docs.hashes, at, self.length)
+        hit = self.bits[hashes >> np.uint64(48)]
+        hashes, at = hashes[hit], at[hit]
+        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        n = hi - lo
+        at, entry = np.repeat(at, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = np.ones(len(at), dtype=bool)
+        for j in range(self.length):
+            same &= docs.hashes[at + j] == items.hashes[self.place[entry] + j]
+        at, entry = at[same], entry[same]
+        # the words themselves, once for each entry
+        for e, k in zip(*np.unique(entry, return_index=True)):
+            want = items.words(int(self.place[e]), self.length)
+            if docs.words(int(at[k]), self.length) != want:  # two words with one hash: place by place
+                own = np.flatnonzero(entry == e)
+                wrong = [i for i in own.tolist() if docs.words(int(at[i]), self.length) != want]
+                keep = np.ones(len(at), dtype=bool)
+                keep[wrong] = False
+                return self._but(docs, items, at, entry, want, e, keep)
+        return at, entry
+
+    def _but(self, docs, items, at, entry, want, e, keep):
+        """The rest of :meth:`found`, place by place, where hashes have lied once."""
+        for i in np.flatnonzero(keep).tolist():
+            if entry[i] != e:
+                keep[i] = docs.words(int(at[i]), self.length) == items.words(int(self.place[entry[i]]), self.length)
+        return at[keep], entry[keep]
+
+
 class Block:
-    """Fingerprints of one block of benchmark items, ready for lookups."""
+    """One block of benchmark items, ready for lookups."""
 
     def __init__(self, items: list[tuple[str, str]], span: int, gram: int):
         self.span, self.gram = span, gram
         self.ids = [i for i, _ in items]
         self.words = Words(pa.array([t for _, t in items], type=pa.large_string()))
         lengths = np.diff(self.words.offs)
-        self.tables = {}  # length of the window -> sorted hashes, word positions, lookup bits
-        hashes, at = self.words.fingerprints(span, gram)
-        if len(at):
-            self._add(span, hashes, at)
+        self.windows = []
+        hashes, _ = self.words.fingerprints(span, gram)
+        self.prints = np.unique(hashes)
+        self.bits = np.zeros(1 << 16, dtype=bool)
+        self.bits[self.prints >> np.uint64(48)] = True
+        every = np.arange(len(self.words.text))
+        if len(self.prints):
+            self.windows.append(Windows(self.words, every[self.words.whole(every, span)], span))
         for n in np.unique(lengths[(lengths > 0) & (lengths < span)]).tolist():
-            at = self.words.offs[:-1][lengths == n]
-            self._add(n, gram_hashes(self.words.hashes, n)[at], at)
-
-    def _add(self, length: int, hashes: np.ndarray, at: np.ndarray) -> None:
-        order = np.argsort(hashes, kind="stable")
-        bits = np.zeros(1 << 16, dtype=bool)
-        bits[hashes >> np.uint64(48)] = True
-        self.tables[length] = (hashes[order], at[order], bits)
-
-    def occurrences(self, docs: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, first word in the documents, first word in the items) of shared windows, by hash."""
-        for length, (table, place, bits) in self.tables.items():
-            if length == self.span:
-                hashes, at = docs.fingerprints(self.span, self.gram)
-            else:
-                hashes = gram_hashes(docs.hashes, length)
-                at = np.arange(len(hashes))
-            hit = bits[hashes >> np.uint64(48)]
-            hashes, at = hashes[hit], at[hit]
-            lo, hi = np.searchsorted(table, hashes, "left"), np.searchsorted(table, hashes, "right")
-            n = hi - lo
-            p = np.repeat(at, n)
-            q = place[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            reach = self.span - self.gram if length == self.span else 0
-            found = []
-            for back in range(reach + 1):  # every window that holds the shared k-gram
-                s, t = p - back, q - back
-                ok = docs.whole(s, length) & self.words.whole(t, length)
-                s, t = s[ok], t[ok]
-                same = np.ones(len(s), dtype=bool)
-                for j in range(length):
-                    same &= docs.hashes[s + j] == self.words.hashes[t + j]
-                found.append(np.stack([s[same], t[same]]))
-            s, t = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-            yield length, s, t
-
-    def confirmed(self, docs: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Spans of equal words: first word in the documents, end, item."""
-        out = []
-        for length, s, t in self.occurrences(docs):
-            order = np.lexsort((s, s - t))  # one diagonal after the other
-            s, t = s[order], t[order]
-            if not len(s):
-                continue
-            new = np.ones(len(s), dtype=bool)
-            new[1:] = (np.diff(s) != 1) | (np.diff(t) != 1)
-            heads = np.flatnonzero(new)
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(s)]):
-                n = int(s[b - 1] - s[a]) + length
-                x, y = docs.words(int(s[a]), n), self.words.words(int(t[a]), n)
-                item = int(self.words.text[t[a]])
-                if x == y:
-                    out.append((int(s[a]), int(s[a]) + n, item))
-                else:  # two words with one hash: window by window
-                    out += [(int(s[a]) + i, int(s[a]) + i + length, item) for i in range(n - length + 1)
-                            if x[i:i + length] == y[i:i + length]]
-        spans = np.array(out, dtype=np.int64).reshape(-1, 3)
-        return spans[:, 0], spans[:, 1], spans[:, 2]
+            self.windows.append(Windows(self.words, self.words.offs[:-1][lengths == n], n))
+
+    def _candidates(self, docs: Words, length: int) -> np.ndarray:
+        """Places where a window of that length may be shared: around shared fingerprints, or anywhere for short items."""
+        if length < self.span:
+            every = np.arange(len(docs.text))
+            return every[docs.whole(every, length)]
+        hashes, at = docs.fingerprints(self.span, self.gram)
+        hit = self.bits[hashes >> np.uint64(48)]
+        hashes, at = hashes[hit], at[hit]
+        place = np.minimum(np.searchsorted(self.prints, hashes), len(self.prints) - 1)
+        at = at[self.prints[place] == hashes]
+        at = np.unique(np.concatenate([at - back for back in range(self.span - self.gram + 1)])) if len(at) else at
+        return at[docs.whole(at, length)]
+
+    def confirmed(self, docs: Words) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+        """Starts and ends of the shared windows in the documents, and the items that each document shares one with."""
+        starts, ends, items = [], [], [set() for _ in range(len(docs.offs) - 1)]
+        for w in self.windows:
+            at, entry = w.found(docs, self.words, self._candidates(docs, w.length))
+            starts.append(at)
+            ends.append(at + w.length)
+            if len(at):
+                for d, kind in np.unique(np.stack([docs.text[at], w.kind[entry]]), axis=1).T.tolist():
+                    items[d].update(w.lists[kind].tolist())
+        none = [np.empty(0, np.int64)]
+        return np.concatenate(starts or none), np.concatenate(ends or none), items
 
 
 _BLOCKS: list[tuple[list, int, int, Block]] = []
@@ -179,11 +208,11 @@ def _matched(df: DataFrame, shared, keep: list[str], out: list[str], span: int,
             for part in chunks(batch, "text"):
                 docs = Words(part.column("text"))
                 n = part.num_rows
-                starts, ends, items = block.confirmed(docs)
+                starts, ends, shared_items = block.confirmed(docs)
                 cover = np.zeros(len(docs.text) + 1, dtype=np.int64)
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, ends, -1)
-                found = [set() for _ in range(n)]
+                found = [{block.ids[i] for i in x} for x in shared_items]
                 if again:  # hits of the blocks before
                     for d, runs in enumerate(part.column("runs").to_pylist()):
                         np.add.at(cover, docs.offs[d] + np.array(runs[::2], dtype=np.int64), 1)
@@ -191,8 +220,6 @@ def _matched(df: DataFrame, shared, keep: list[str], out: list[str], span: int,
                         found[d].update(part.column("items")[d].as_py())
                 hit = np.cumsum(cover[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
-                for d, i in set(zip(docs.text[starts].tolist(), items.tolist())):
-                    found[d].add(block.ids[i])
                 runs = [[] for _ in range(n)]
                 for d in np.flatnonzero(total[docs.offs[1:]] > total[docs.offs[:-1]]).tolist():
                     own = np.concatenate([[False], hit[docs.offs[d]:docs.offs[d + 1]], [False]])
@@ -205,9 +232,8 @@ def _matched(df: DataFrame, shared, keep: list[str], out: list[str], span: int,
                 }
                 yield pa.RecordBatch.from_arrays([result[c] if c in result else part.column(c) for c in out], names=out)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in keep or f.name == "text"}
-    kinds |= dict(x.split(" ") for x in RESULT.split(", "))
-    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out))
+    fields = {f.name: f for f in (*df.schema.fields, *T.StructType.fromDDL(RESULT).fields)}
+    return df.mapInArrow(run, T.StructType([fields[c] for c in out]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), span: int = SPAN,
@@ -222,10 +248,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     """
     keep = [c for c in keep if c not in ("n_words", "n_hit", "items", "runs")]
     df = docs.select(*dict.fromkeys([*keep, "text"]))
-    blocks = list(_blocks(benchmark, block_bytes))
-    for k, block in enumerate(blocks):
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        last = k == len(blocks) - 1
-        out = [*(keep if last else dict.fromkeys([*keep, "text"])), "n_words", "n_hit", "items", "runs"]
+        out = [*(keep if following is None else dict.fromkeys([*keep, "text"])), "n_words", "n_hit", "items", "runs"]
         df = _matched(df, shared, keep, out, span, gram)
+        if following is not None:
+            df = stage(df, "winnow-block")
+            shared.destroy()
+        block = following
     return df
