@@ -4,9 +4,14 @@ Two permutations of ``0 .. D-1`` are shared by all documents: the first spreads
 the shingles, the second, shifted circularly by k, gives the k-th coordinate.
 All coordinates of one shingle are one contiguous slice of the second
 permutation, so a signature is a minimum over gathered rows.  Signatures are
-banded and documents that meet in a band are candidates.  Candidates whose whole
-signatures agree in too few coordinates for any link (see ``least_agreement``) go;
-every other pair is confirmed on the full shingle sets.
+banded and documents that meet in a band are candidates, which are confirmed on the full
+shingle sets.
+
+Before any pair is made, the shingles that a document of a band group's buckets shares with any
+other one there are counted, in parts of the hash range.  Two documents share at most the
+sum of the smaller counts, so the similarity is bounded from above without error: a pair
+whose bound is too low is not made, and a document with too few of them leaves the buckets.
+Members of a large group that differ in their own ways are not compared with all of it.
 
 Equal sets are one class with one representative.  Bands are taken in a few groups.
 In a group the smallest members of a bucket (the centers) are compared with its members of
@@ -20,13 +25,13 @@ either compared or already connected, and no round emits all pairs of a bucket.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import passing_scratch, shared_path
@@ -38,14 +43,11 @@ SHINGLE = 5
 BANDS, ROWS = 56, 6
 #: bands of the first group; it joins nearly all near copies (at 0.75 two thirds of the pairs, at 0.9 99 %)
 FIRST_GROUP = 6
-#: coordinates kept for the comparison of whole signatures
-COMPARED = 128
+#: parts of the hash range in which shared shingles are counted (any number gives the same links)
+PARTS = 16
 #: ids that are sent to all tasks to pick their texts; more are joined
 SENT_IDS = 2_000_000
 UNIVERSE = 1 << 20
-#: standard deviations below the expected agreement at which a candidate goes (under one link in 10^9 if
-#: coordinates are independent: 3.4e-10 for 128 coordinates and 75 percent)
-SLACK = 6.5
 
 
 class Circulant:
@@ -94,8 +96,7 @@ def _signer(coordinates: int, seed: int) -> Circulant:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the shingle set, null if empty), bands (hashes), sketch (a byte of each of the
-    first coordinates of the signature, then four of the hash of each band of the first group), packed (the compressed text)."""
+    """doc_id, n_shingles, cls (digest of the shingle set, null if empty), bands (hashes), packed (the compressed text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, pack = _signer(bands * rows, seed), zstandard.ZstdCompressor().compress
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -103,29 +104,24 @@ def signatures(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(*flat_text(part.column("text")), width)
                 full = [s for s in sets if len(s)]
-                keys, sketches = np.empty((len(full), bands), dtype=np.uint64), []
+                keys = np.empty((len(full), bands), dtype=np.uint64)
                 for i, s in enumerate(full):
-                    sig = signer.signature(s)
-                    coordinates = sig[:COMPARED].astype(np.uint8).tobytes()
-                    sig = sig.astype(np.uint64).reshape(bands, rows)
+                    sig = signer.signature(s).astype(np.uint64).reshape(bands, rows)
                     h = salt.copy()
                     for j in range(rows):
                         h = mix64(h + sig[:, j])
                     keys[i] = h
-                    sketches.append(coordinates + h[:FIRST_GROUP].astype("<u4").tobytes())
-                sketches = iter(sketches)
                 digests = iter([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in full])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], type=pa.int64()),
                     pa.array([next(digests) if len(s) else None for s in sets], type=pa.binary()),
                     list_array(keys.ravel().view(np.int64), np.array([bands if len(s) else 0 for s in sets]), pa.int64()),
-                    pa.array([next(sketches) if len(s) else None for s in sets], type=pa.binary()),
                     pa.array([pack(t) if len(s) else None for s, t in zip(sets, part.column("text").cast(pa.binary()).to_pylist())], type=pa.binary()),
-                ], names=["doc_id", "n_shingles", "cls", "bands", "sketch", "packed"])
+                ], names=["doc_id", "n_shingles", "cls", "bands", "packed"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary, packed binary"))
+            .mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, packed binary"))
 
 
 def _unpacked_sets(packed: list[bytes], width: int) -> dict[bytes, np.ndarray]:
@@ -136,31 +132,6 @@ def _unpacked_sets(packed: list[bytes], width: int) -> dict[bytes, np.ndarray]:
     return dict(zip(packed, shingle_sets(*flat_text(texts), width)))
 
 
-def least_agreement(coordinates: int, percent: int) -> int:
-    """Coordinates in which two sets of that similarity agree at least, but for under one link in 10^9 (see ``SLACK``)."""
-    p = percent / 100
-    return max(0, math.floor(coordinates * p - SLACK * math.sqrt(coordinates * p * (1 - p))))
-
-
-def _alike(pairs: DataFrame, sketches: DataFrame, coordinates: int, least: int, first_band: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that meet in no band before ``first_band`` and whose signatures agree in at least
-    ``least`` coordinates."""
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                keep = (x[:, :coordinates] == y[:, :coordinates]).sum(axis=1) >= least
-                if first_band:  # else it was compared there, or joined on the way
-                    x, y = (np.ascontiguousarray(v[:, coordinates:coordinates + 4 * first_band]).view("<u4") for v in (x, y))
-                    keep &= ~(x == y).any(axis=1)
-                keep = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
-
-    return (pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
-
-
 def _linked(pairs: DataFrame, packed: DataFrame, percent: int, width: int, pairs_at_once: int = 256) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough."""
     def run(batches):
@@ -186,6 +157,33 @@ def _linked(pairs: DataFrame, packed: DataFrame, percent: int, width: int, pairs
             .select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long").distinct())
 
 
+def _shareable(texts: DataFrame, width: int) -> DataFrame:
+    """(id, parts): for each text (id, packed) how many distinct shingles are in another one too, by part of the hash range."""
+    def sets_of(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            plain = pa.array([unpack(p) for p in batch.column("packed").to_pylist()], type=pa.large_binary()).cast(pa.large_string())
+            for part in chunks(pa.RecordBatch.from_arrays([batch.column("id"), plain], names=["id", "text"]), "text"):
+                yield part.column("id"), shingle_sets(*flat_text(part.column("text")), width)
+
+    def one_by_one(batches):
+        for ids, sets in sets_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(), [len(s) for s in sets]), type=pa.int64()),
+                                              pa.array(np.concatenate(sets).view(np.int64))], names=["id", "shingle"])
+
+    def counted(batches):
+        for ids, sets in sets_of(batches):
+            found = np.concatenate([np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for s in sets])
+            yield pa.RecordBatch.from_arrays([ids, list_array(found, np.full(len(sets), PARTS), pa.int32())], names=["id", "parts"])
+
+    holders = texts.mapInArrow(one_by_one, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    part = F.col("shingle").bitwiseAND(F.lit(PARTS - 1))
+    own = (holders.filter("id = other").groupBy("id")
+           .agg(F.array(*[F.count(F.when(part == i, 1)).cast("int") for i in range(PARTS)]).alias("own")))
+    return (texts.mapInArrow(counted, "id long, parts array<int>").join(own, "id", "left")
+            .select("id", F.when(F.col("own").isNull(), F.col("parts")).otherwise(F.zip_with("parts", "own", lambda a, b: a - b)).alias("parts")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in them.
 
@@ -206,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, seed: int = 7, least: int | None = None) -> DataFrame:
+                    rows: int = ROWS, seed: int = 7) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * shared shingles >= percent * distinct shingles
@@ -215,24 +213,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, ba
     document.  A row whose doc_id is null is linked with nothing, has a null
     component_id and is kept.  Columns other than doc_id and text are ignored.
 
-    ``least`` is the number of signature coordinates in which a candidate must agree to be confirmed
-    (default: :func:`least_agreement`; 0 confirms every candidate).  The result is written; all
-    other intermediate tables are gone when this returns.
+    The result is written; all other intermediate tables are gone when this returns.
     """
     spark = docs.sparkSession
-    least = least_agreement(min(COMPARED, bands * rows), percent) if least is None else least
     path = shared_path(spark, "minhash-result")
     with passing_scratch(spark):
-        _near_duplicates(docs, percent, width, bands, rows, seed, least).write.parquet(path)
+        _near_duplicates(docs, percent, width, bands, rows, seed).write.parquet(path)
     return spark.read.schema("doc_id long, n_shingles long, component_id long, kept boolean").parquet(path)
 
 
-def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows: int, seed: int, least: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     signed = stage(signatures(docs, width, bands, rows, seed), "minhash-signatures")
     real = signed.filter("cls is not null and doc_id is not null")
     classes = stage(real.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").cast("int").alias("n"),
-                                            F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-classes")
+                                            F.first("bands").alias("bands")), "minhash-classes")
     # the same doc_id can have several texts: its classes belong together
     several = real.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("doc_id")
     owned = real.select("doc_id", "cls").join(several, "doc_id").join(classes.select("cls", "id"), "cls").select("doc_id", "id").distinct()
@@ -242,28 +237,34 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
         labels = spark.createDataFrame([], "id long, component long")
     cuts = [0, FIRST_GROUP, bands] if bands > FIRST_GROUP else [0, bands]
     for lo, hi in zip(cuts, cuts[1:]):
-        grouped = classes.select("id", "n", F.slice("bands", lo + 1, hi - lo).alias("keys")).join(labels, "id", "left")
-        members = grouped.select(F.explode("keys").alias("key"), "id", "n", F.coalesce("component", "id").alias("component"))
+        members = (classes.select("id", F.explode(F.slice("bands", lo + 1, hi - lo)).alias("key")).join(labels, "id", "left")
+                   .select("key", "id", F.coalesce("component", "id").alias("component")))
         members = stage(_mixed(members), "minhash-buckets")
         ids = stage(members.select("id").distinct(), "minhash-ids")
         few = ids.count() <= SENT_IDS
         ids = F.broadcast(ids) if few else ids
-        sketches = stage(classes.join(ids, "id", "left_semi").select("id", "sketch"), "minhash-sketches")
         # any text of the first document of a class that has its set will do
         owners = classes.join(ids, "id", "left_semi").select("cls", F.col("id").alias("doc_id"))
         texts = signed.select("doc_id", "cls", "packed").join(F.broadcast(owners) if few else owners, ["doc_id", "cls"])
         texts = stage(texts.groupBy(F.col("doc_id").alias("id"), "cls").agg(F.first("packed").alias("packed")).select("id", "packed"), "minhash-texts")
+        # early: the bands before this group; a pair that met there was compared, or joined on the way
+        about = (classes.join(_shareable(texts, width), "id")
+                 .withColumn("most", F.aggregate("parts", F.lit(0), lambda t, v: t + v)).filter(100 * F.col("most") >= percent * F.col("n"))
+                 .select("id", F.struct("n", "most", *[F.col("parts")[i].alias(f"p{i}") for i in range(PARTS)],
+                                        *[F.col("bands")[i].alias(f"early{i}") for i in range(lo)]).alias("about")))
+        members = stage(_mixed(members.join(stage(about, "minhash-about"), "id")), "minhash-buckets")
         centers = 1
         while not members.isEmpty():
             if centers == 1:
-                first = members.groupBy("key").agg(F.min(F.struct("id", "n", "component")).alias("c")).select("key", "c.*")
+                first = members.groupBy("key").agg(F.min_by(F.struct("id", "component", "about"), "id").alias("c")).select("key", "c.*")
             else:
                 first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= centers).drop("r")
-            first = first.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+            first = first.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("about").alias("of_a"))
+            new = reduce(Column.__and__, [F.col(f"about.early{i}") != F.col(f"of_a.early{i}") for i in range(lo)], F.lit(True))
             pairs = (members.join(first, (members["key"] == first["key"]) & (F.col("a") < F.col("id")) & (F.col("ca") != F.col("component"))
-                                  & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
+                                  & new & _may_link("about", "of_a", percent))
                      .select("a", F.col("id").alias("b")).distinct())
-            pairs = stage(_alike(pairs, sketches, min(COMPARED, bands * rows), least, lo), "minhash-pairs")
+            pairs = stage(pairs, "minhash-pairs")
             links = stage(_linked(pairs, texts, percent, width), "minhash-links")
             found = not links.isEmpty()
             if found:
@@ -281,7 +282,18 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two documents (columns of n, most and parts) can be similar enough; never false for a link."""
+    def low(name: str) -> Column:
+        return F.least(f"{x}.{name}", f"{y}.{name}").cast("long")
+
+    n = F.col(f"{x}.n").cast("long") + F.col(f"{y}.n")
+    both = reduce(Column.__add__, [low(f"p{i}") for i in range(PARTS)])
+    return ((100 * low("n") >= percent * F.greatest(f"{x}.n", f"{y}.n").cast("long"))
+            & ((100 + percent) * low("most") >= percent * n) & ((100 + percent) * both >= percent * n))
+
+
 def _mixed(members: DataFrame) -> DataFrame:
-    """The rows (key, id, n, component) of buckets that hold more than one component."""
+    """The rows (key, id, component, ...) of buckets that hold more than one component."""
     keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return members.join(keys, "key").select("key", "id", "n", "component")
+    return members.join(keys, "key").select(*members.columns)
