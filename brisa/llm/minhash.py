@@ -45,6 +45,8 @@ BANDS, ROWS = 56, 6
 FIRST_GROUP = 6
 #: parts of the hash range in which shared shingles are counted (any number gives the same links)
 PARTS = 16
+#: members of a bucket that are compared with all others in a round (after the first one, which takes one)
+CENTERS = 512
 #: ids that are sent to all tasks to pick their texts; more are joined
 SENT_IDS = 2_000_000
 UNIVERSE = 1 << 20
@@ -274,7 +276,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
             if found:
                 rest = rest.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             members = stage(_mixed(rest), "minhash-buckets")
-            centers = min(512, centers * 8)
+            centers = CENTERS
     of_class = classes.select("cls", "id").join(labels, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
     of_doc = real.select("doc_id", "cls").join(of_class, "cls").groupBy("doc_id").agg(F.min("component").alias("component"))
     return (signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
