@@ -22,7 +22,9 @@ counts of frequent words are kept in a bounded table.
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from collections import Counter as Times
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: words whose counts a worker keeps
-ROOM = 100_000
+ROOM = 300_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -68,6 +70,13 @@ class Counter:
         return found
 
     def _viterbi(self, word: str) -> tuple[int, int, float]:
+        if self.single.issuperset(word):  # every place is reached; matches come by end, the longest first
+            scores, counts = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
+            for end, (length, score) in self.automaton.iter(word):
+                at = end + 1 - length
+                if (score := scores[at] + score) > scores[end + 1]:
+                    scores[end + 1], counts[end + 1] = score, counts[at] + 1
+            return counts[-1], 0, scores[-1]
         ends: list[list] = [[] for _ in word]
         if len(self.automaton):
             for end, match in self.automaton.iter(word):
@@ -144,13 +153,49 @@ class Merges:
         return sum(map(self.word, self.cut.findall(text))) if self.cut else self.word(text)
 
 
-_COUNTERS: dict[str, tuple[Counter, Merges]] = {}
+class Both:
+    """``count(text)``: n_tokens of ``Merges``, then what ``Counter`` gives; each distinct word of a text is looked up once."""
+
+    def __init__(self, pieces: list[tuple[str, float]], room: int = ROOM):
+        self.counter, self.merges = Counter(pieces, 0), Merges(pieces, 0)  # one table of words here in place of theirs
+        self.known: dict[str, tuple[int, int, int, float]] = {}
+        self.room = room
+
+    def word(self, word: str) -> tuple[int, int, int, float]:
+        """Of marks and what follows them: one word for the merges, one for each mark for the Viterbi."""
+        found = self.known.get(word)
+        if found is None:
+            n, u, s = 0, 0, 0.0
+            for w in word.split(MARK)[1:]:
+                a, b, c = self.counter.word(MARK + w)
+                n, u, s = n + a, u + b, s + c
+            found = self.merges.word(word), n, u, s
+            if len(self.known) < self.room:
+                self.known[word] = found
+        return found
+
+    def count(self, text: str) -> tuple[int, int, int, float]:
+        if not text:
+            return 0, 0, 0, 0.0
+        if self.merges.cut is None:
+            return self.merges.count(text), *self.counter.count(text)
+        text = MARK + text.replace(" ", MARK)
+        t, n, u, s = 0, 0, 0, 0.0
+        for word, times in Times(self.merges.cut.findall(text)).items():
+            a, b, c, d = self.word(word)
+            t, n, u, s = t + times * a, n + times * b, u + times * c, s + times * d
+        if text.startswith(MARK + MARK):  # the Viterbi puts no mark before a text that begins with one
+            a, b, c = self.counter.word(MARK)
+            n, u, s = n - a, u - b, s - c
+        return t, n, u, s
+
+
+_COUNTERS: dict[str, Both] = {}
 
 
-def _counters(path: str) -> tuple[Counter, Merges]:
+def _counters(path: str) -> Both:
     if path not in _COUNTERS:
-        pieces = vocabulary(path)
-        _COUNTERS[path] = Counter(pieces), Merges(pieces)
+        _COUNTERS[path] = Both(vocabulary(path))
     return _COUNTERS[path]
 
 
@@ -164,9 +209,9 @@ def token_counts(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_
     keep = [c for c in keep if c not in ("n_tokens", "n_pieces", "n_unknown", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, merges = _counters(tokenizer)
+        counters = _counters(tokenizer)
         for batch in batches:
-            out = [(merges.count(t or ""), *counter.count(t or "")) for t in batch.column("__text").to_pylist()]
+            out = [counters.count(t or "") for t in batch.column("__text").to_pylist()]
             columns = zip(*out) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *(pa.array(v, type=k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64())))],

@@ -1,5 +1,5 @@
 import public_tokenizers
-from brisa.llm.token_counts import MARK, Counter, token_counts, vocabulary
+from brisa.llm.token_counts import MARK, Both, Counter, Merges, token_counts, vocabulary
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from made import documents
@@ -36,6 +36,18 @@ def test_whole_vocabulary_as_the_library(text):
     assert _COUNTER.count(text)[0] == _LIBRARY(text)
 
 
+BOTH, MERGES = Both(vocabulary(PATH), 50), Merges(vocabulary(PATH))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="the aion▁\n\té\U0001F600", max_size=40), st.text(max_size=40, alphabet=st.characters(exclude_categories=["Cs"]))))
+def test_words_counted_once_as_one_by_one(text):
+    alone = Counter(vocabulary(PATH)) if "_ALONE" not in globals() else _ALONE
+    globals()["_ALONE"] = alone
+    got, want = BOTH.count(text), (MERGES.count(text), *alone.count(text))
+    assert got[:3] == want[:3] and abs(got[3] - want[3]) < 1e-6 * (1 + abs(want[3]))
+
+
 def test_edges(spark):
     df = documents(spark, [(1, None, None, None), (2, "", None, None), (3, "word " * 200_000, None, None), (None, "a", None, None)], ["score"])
     got = {r.doc_id: r for r in token_counts(df, PATH).collect()}
