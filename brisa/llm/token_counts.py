@@ -130,6 +130,17 @@ class Merges:
     def _merged(self, word: str) -> int:
         parts, scores = list(word), self.scores
         n = len(parts)
+        if n <= 48:  # a short word: the best pair by looking at all of them
+            found = [scores.get(a + b, -math.inf) for a, b in zip(parts, parts[1:])]
+            while found and (top := max(found)) > -math.inf:
+                i = found.index(top)
+                parts[i] += parts.pop(i + 1)
+                found.pop(i)
+                if i:
+                    found[i - 1] = scores.get(parts[i - 1] + parts[i], -math.inf)
+                if i < len(found):
+                    found[i] = scores.get(parts[i] + parts[i + 1], -math.inf)
+            return sum(1 if p in scores else len(p.encode()) for p in parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(-scores[p], i, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in scores]
         heapq.heapify(heap)
