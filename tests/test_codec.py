@@ -70,3 +70,57 @@ def test_payload_size_formula_on_edge_values(spark):
                     for f in READING_SCHEMA.fields})  # Arrow keeps NaN distinct from null
     want = dict(duckdb.sql(f"SELECT objectid, {payload_size_sql()} FROM tbl").fetchall())
     assert got == want
+
+
+def _random_columns(n, seed=5):
+    import random
+
+    import pyarrow as pa
+
+    from brisa.operators import codec
+
+    rng, out = random.Random(seed), []
+    choices = {pa.int64(): [0, 1, 128, -1, 2**63 - 1, -2**63], pa.int32(): [0, 5, -1, 2**31 - 1, -2**31], pa.string(): ["", "x", "é" * 70, "a" * 200],
+               pa.float64(): [0.0, -0.0, float("inf"), float("nan"), -1.5, 1e-5]}
+    for _, t, _ in codec.READING_FIELDS:
+        kind = codec._ARROW_TYPES[type(t)]
+        out.append(pa.array([None if rng.random() < 0.3 else rng.choice(choices[kind]) for _ in range(n)], type=kind))
+    return out
+
+
+def test_whole_batches_need_no_runtime(monkeypatch):
+    """Batches are handled field by field; the runtime gives the same payloads and values."""
+    from brisa.operators import codec
+
+    columns = [c.slice(3) for c in _random_columns(200)]
+    payloads = codec._encode_rows(*columns)
+    values = [str(c.to_pylist()) for c in codec._decode_rows(payloads.to_pylist(), True)]
+
+    def refuse(*args):
+        raise AssertionError("row by row")
+
+    monkeypatch.setattr(codec, "_encode_rows", refuse)
+    monkeypatch.setattr(codec, "_decode_rows", refuse)
+    got = codec._encode_batch(*columns)
+    assert got.to_pylist() == payloads.to_pylist()
+    assert [str(c.to_pylist()) for c in codec._decode_batch(got, True).flatten()] == values
+
+
+def test_odd_payloads_decode_as_by_the_runtime():
+    """Fields twice, out of order, unknown, cut, not UTF-8, with padded or too long varints."""
+    import random
+
+    import pyarrow as pa
+
+    from brisa.operators import codec
+
+    rng = random.Random(7)
+    whole = codec._encode_rows(*_random_columns(100)).to_pylist()
+    odd = [None, b"", *map(bytes.fromhex, ("ffff", "08040805", "1800", "1803 0804", "f80105 0804", "1202fffe", "1202c3a9", "128000", "088000",
+                                           "08" + "ff" * 9 + "01", "08" + "ff" * 9 + "02", "18ffffffffff01", "12" + "ff" * 9 + "01", "08"))]
+    for p in filter(None, whole):
+        cut = rng.randrange(len(p))
+        odd += [p[:cut], p + rng.choice(whole), p[:cut] + bytes([rng.getrandbits(8)]) + p[cut + 1:], p]
+    got = codec._decode_batch(pa.array(odd, type=pa.binary()), False).flatten()
+    for a, b in zip(got, codec._decode_rows(odd, False)):
+        assert str(a.to_pylist()) == str(b.to_pylist())
