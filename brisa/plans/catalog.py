@@ -40,6 +40,7 @@ AWKWARD_STATION = r"""CASE WHEN estacao LIKE 'R%' THEN concat(estacao, '\n"', da
 AWKWARD_STATION_SQL = r"""CASE WHEN estacao LIKE 'R%' THEN estacao || chr(10) || '"' || data || '", ' || chr(92) ELSE '"' || estacao END"""
 HOT_STATION = "CASE WHEN rs <= 25 THEN 3 ELSE codnum END"     # station 3 gets about half of the readings
 HOT_ENTITY = "CASE WHEN value < 35 THEN -1 ELSE user_id END"  # one entity holds about half of the events
+SCAN_RECORDS = 200_000                       # records of a file that one task has to read (about 60 MB)
 STREAM_FILES = 8                             # unordered frame files, one per micro-batch
 REPLAY_CYCLES = 2.5                          # replay passes over events
 REPLAY_BATCH_S = 5                           # seconds of the schedule that one micro-batch sends
@@ -97,7 +98,7 @@ def q_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "csv_scan")
     # spread before formatting: the text casts are the CPU-heavy part of the export
     readings = lineitem_readings(spark, sf).withColumn("estacao", F.expr(AWKWARD_STATION))
-    write_export(to_text_columns(ensure_parallelism(readings)), path)
+    write_export(to_text_columns(ensure_parallelism(readings)), path, records_per_file=SCAN_RECORDS)
     return parse_readings(csv_scan(spark, path, multiline=True), errors="fail")
 
 

@@ -72,9 +72,11 @@ def csv_stream(spark: SparkSession, path: str, schema: T.StructType = TEXT_SCHEM
     return _scan(spark.readStream, path, schema, dialect, multiline, {**every, **(options or {})})
 
 
-def write_export(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K3: text columns to quoted CSV with a header (one file per task)."""
-    ensure_parallelism(df).write.mode(mode).options(**EXPORT_OPTIONS).csv(path)
+def write_export(df: DataFrame, path: str, mode: str = "overwrite", records_per_file: int | None = None) -> None:
+    """K3: text columns to quoted CSV with a header (one file per task, or as many as ``records_per_file``
+    asks for: a file that is scanned with ``multiline`` is read by one task)."""
+    most = {"maxRecordsPerFile": str(int(records_per_file))} if records_per_file else {}
+    ensure_parallelism(df).write.mode(mode).options(**EXPORT_OPTIONS, **most).csv(path)
 
 
 def write_log(df: DataFrame, path: str, mode: str = "append") -> None:

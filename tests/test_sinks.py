@@ -211,3 +211,15 @@ def test_backslash_dialect(spark, scratch):
 def test_short_and_long_records_still_pass(spark, scratch):
     path = written(scratch, '1,"a ""b""",3', ",".join(["7"] * 28), "3")
     assert sorted(r.objectid for r in csv_scan(spark, path).collect()) == ["1", "3", "7"]
+
+
+def test_files_of_a_multiline_scan_are_bounded(spark, scratch, monkeypatch):
+    """One task reads a file whole, so a task's rows must not grow with the table."""
+    from brisa.plans import catalog
+    from tests.conftest import SF001
+
+    monkeypatch.setattr(catalog, "SCAN_RECORDS", 500)
+    got = catalog.q_csv_scan(spark, SF001)
+    assert len(got.inputFiles()) >= got.count() / 500
+    want = catalog.lineitem_readings(spark, SF001).withColumn("estacao", F.expr(catalog.AWKWARD_STATION))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
