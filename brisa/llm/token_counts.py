@@ -71,12 +71,15 @@ class Counter:
 
     def _viterbi(self, word: str) -> tuple[int, int, float]:
         if self.single.issuperset(word):  # every place is reached; matches come by end, the longest first
-            scores, counts = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
+            n = len(word)
+            scores, counts = [-math.inf] * n, [0] * (n + 1)  # by last character; the start is place -1
+            scores.append(0.0)
             for end, (length, score) in self.automaton.iter(word):
-                at = end + 1 - length
-                if (score := scores[at] + score) > scores[end + 1]:
-                    scores[end + 1], counts[end + 1] = score, counts[at] + 1
-            return counts[-1], 0, scores[-1]
+                score += scores[end - length]
+                if score > scores[end]:
+                    scores[end] = score
+                    counts[end] = counts[end - length] + 1
+            return counts[n - 1], 0, scores[n - 1]
         ends: list[list] = [[] for _ in word]
         if len(self.automaton):
             for end, match in self.automaton.iter(word):
@@ -131,16 +134,20 @@ class Merges:
         parts, scores = list(word), self.scores
         n = len(parts)
         if n <= 48:  # a short word: the best pair by looking at all of them
-            found = [scores.get(a + b, -math.inf) for a, b in zip(parts, parts[1:])]
-            while found and (top := max(found)) > -math.inf:
+            get, none = scores.get, -math.inf
+            found = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+            while found:
+                top = max(found)
+                if top == none:
+                    break
                 i = found.index(top)
-                parts[i] += parts.pop(i + 1)
-                found.pop(i)
+                del found[i]
+                piece = parts[i] = parts[i] + parts.pop(i + 1)
                 if i:
-                    found[i - 1] = scores.get(parts[i - 1] + parts[i], -math.inf)
+                    found[i - 1] = get(parts[i - 1] + piece, none)
                 if i < len(found):
-                    found[i] = scores.get(parts[i] + parts[i + 1], -math.inf)
-            return sum(1 if p in scores else len(p.encode()) for p in parts)
+                    found[i] = get(piece + parts[i + 1], none)
+            return len(parts) + sum([len(p.encode()) - 1 for p in parts if p not in scores])
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(-scores[p], i, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in scores]
         heapq.heapify(heap)
