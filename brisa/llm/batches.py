@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql.types import StructType
 from ..session import shared_path
 
 #: bytes of text handled by one round of vector operations
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: rows of a batch with whole texts
+BATCH_ROWS = 1000
 
 #: word hashes are polynomials over these prime fields, with these bases
 _FIELDS = ((2147483647, 1103515245), (2147483629, 1566083941))
@@ -167,13 +170,43 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, type=kind))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: shuffle files go when the write that made them ends (else when the driver happens to collect its garbage)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table in the shared folder and read it back (cuts lineage, survives lost executors)."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with setting(df.sparkSession, _CLEANUP, "true"):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the queries that run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> AbstractContextManager[None]:
+    """Batches of at most ``rows`` rows for the Arrow functions of queries that run inside.
+
+    A task holds its batch several times (Spark's buffers, the worker's copy, Python values), and whole
+    texts make 10 000 rows tens of MB.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    return setting(spark, name, str(rows if now <= 0 else min(rows, now)))
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """``schema`` followed by the fields of a DDL string (whatever its own names are)."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import passing_scratch, shared_path
-from .batches import NON_SPACE, chunks, flat_text, gram_hashes, list_array, mix64, stage, word_bounds, word_hashes
+from .batches import NON_SPACE, chunks, flat_text, gram_hashes, list_array, mix64, small_batches, stage, word_bounds, word_hashes
 
 SHINGLE = 5
 #: a pair of similarity 0.75 meets in no band with probability (1 - 0.75^6)^56 = 1.7e-5; documents that share
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, ba
     """
     spark = docs.sparkSession
     path = shared_path(spark, "minhash-result")
-    with passing_scratch(spark):
+    with passing_scratch(spark), small_batches(spark):
         _near_duplicates(docs, percent, width, bands, rows, seed).write.parquet(path)
     return spark.read.schema("doc_id long, n_shingles long, component_id long, kept boolean").parquet(path)
 
@@ -239,8 +239,9 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, bands: int, rows
         labels = spark.createDataFrame([], "id long, component long")
     cuts = [0, FIRST_GROUP, bands] if bands > FIRST_GROUP else [0, bands]
     for lo, hi in zip(cuts, cuts[1:]):
-        members = (classes.select("id", F.explode(F.slice("bands", lo + 1, hi - lo)).alias("key")).join(labels, "id", "left")
-                   .select("key", "id", F.coalesce("component", "id").alias("component")))
+        # labels join the classes, not their bands
+        members = (classes.select("id", F.slice("bands", lo + 1, hi - lo).alias("bands")).join(labels, "id", "left")
+                   .select(F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("component")))
         members = stage(_mixed(members), "minhash-buckets")
         ids = stage(members.select("id").distinct(), "minhash-ids")
         few = ids.count() <= SENT_IDS
