@@ -37,6 +37,8 @@ WALKS, SAMPLES, SEED = 2, 64, 11  # samples: a power of two
 #: digits of a band, octaves (from a walk's last one back) that are banded, and the edit distance of a
 #: link in percent of the longer text
 BAND, OCTAVES, PERCENT = 8, 3, 10
+#: bytes of a text's SHA-256 that stand for the text in the banding
+ID_BYTES = 16
 #: longer texts are compared by diagonals, shorter ones by bit vectors
 BITS = 8000
 #: code points handled by one round of vector operations
@@ -348,7 +350,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, walks: int = WALKS, samples: int = SAMPLES,
                  seed: int = SEED) -> DataFrame:
-    """text_sha256, class_id of every text of ``prints`` (written rows of ``edit_fingerprints`` over ``docs``).
+    """id (of the text: the first bytes of its text_sha256), class_id of every text of ``prints`` (written rows of ``edit_fingerprints`` over ``docs``).
 
     Two texts are linked if they share a band and 100 * edit distance <= percent * length of the longer;
     a class is what links reach, its id the smallest doc_id (null if all its ids are).
@@ -357,19 +359,23 @@ def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, wal
         w = _walks(walks, samples, seed)
         for batch in batches:
             keys = [w.bands(f) for f in batch.column("fingerprint").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(keys, type=pa.list_(pa.string()))],
-                                             names=["id", "n", "keys"])
-
-    own = stage(prints.groupBy(F.col("text_sha256").alias("id"))
-                .agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n"), F.first("fingerprint").alias("fingerprint")), "edit-texts")
-    members = (own.filter("n > 0").select("id", "n", "fingerprint")
-               .mapInArrow(cut, "id binary, n long, keys array<string>").select("id", "n", F.explode("keys").alias("key")))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), batch.column("n"), pa.array(keys, type=pa.list_(pa.string()))],
+                                             names=["id", "doc_id", "n", "keys"])
+
+    # of a text its bands are kept, as hashes: a band that meets another by chance brings candidates, which are verified
+    own = stage(prints.groupBy(F.substring("text_sha256", 1, ID_BYTES).alias("id"))
+                .agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n"), F.first("fingerprint").alias("fingerprint"))
+                .mapInArrow(cut, "id binary, doc_id long, n long, keys array<string>")
+                .withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))), "edit-texts")
+    members = own.filter("n > 0").select("id", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = stage(members.join(shared, "key").select("key", "id", "n"), "edit-buckets")
     met = members.select("id").distinct()
-    texts = docs.select(F.unhex(F.sha2(text_or_empty().cast("string"), 256)).alias("id"), text_or_empty().cast("string").alias("text"))
-    texts = texts.join(met, "id", "left_semi")
-    texts = stage(_packed(texts).groupBy("id").agg(F.first("packed").alias("packed")), "edit-packed")
+    texts = docs.select(F.substring(F.unhex(F.sha2(text_or_empty().cast("string"), 256)), 1, ID_BYTES).alias("id"),
+                        text_or_empty().cast("string").alias("text"))
+    # compressed before they are shuffled
+    texts = _packed(texts).join(met, "id", "left_semi")
+    texts = stage(texts.groupBy("id").agg(F.first("packed").alias("packed")), "edit-packed")
     edges, labels, tested, centers = None, None, None, 1
     while not members.isEmpty():
         if centers == 1:
@@ -404,13 +410,14 @@ def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, wal
         members = stage(rest.join(mixed, "key").select("key", "id", "n"), "edit-buckets")
         centers = min(64, centers * 8)
     if labels is None:
-        return own.select(F.col("id").alias("text_sha256"), F.col("doc_id").alias("class_id"))
-    rows = own.join(labels, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+        return own.select("id", F.col("doc_id").alias("class_id"))
+    rows = own.select("id", "doc_id").join(labels, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "component").select(F.col("id").alias("text_sha256"), "class_id")
+    return rows.join(least, "component").select("id", "class_id")
 
 
 def with_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``edit_fingerprints`` of each row and class_id, see ``edit_classes``."""
-    prints = stage(edit_fingerprints(docs), "edit-prints")
-    return prints.join(edit_classes(prints, docs, percent), "text_sha256").drop("text_sha256")
+    prints = stage(edit_fingerprints(docs), "edit-prints", "zstd")  # hex digits: half of their bytes
+    return (prints.withColumn("id", F.substring("text_sha256", 1, ID_BYTES)).join(edit_classes(prints, docs, percent), "id")
+            .drop("id", "text_sha256"))
