@@ -20,6 +20,7 @@ split in rounds as in ``minhash``, so a hot bucket does not emit all its pairs.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -39,8 +40,10 @@ WALKS, SAMPLES, SEED = 2, 64, 11  # samples: a power of two
 BAND, OCTAVES, PERCENT = 8, 3, 10
 #: bytes of a text's SHA-256 that stand for the text in the banding
 ID_BYTES = 16
-#: longer texts are compared by diagonals, shorter ones by bit vectors
-BITS = 8000
+#: longer texts with a bound of so few edits are compared by diagonals, others by bit vectors
+BITS, FEW = 8000, 200
+#: length of the stretches that an alignment goes through, and of the texts between them that are aligned exactly
+GRAM, EXACT = 8, 64
 #: code points handled by one round of vector operations
 CHUNK_CHARS = 6 << 20
 _END = 63  # class of the end of a text: no walk leaves it
@@ -67,13 +70,11 @@ class Walks:
         return n + ((np.arange(self.samples) + inside) * (n / self.samples)).astype(np.int64)
 
     def moves(self, octave: int) -> np.ndarray:
-        """For each step of an octave the move (0 or 1) of each walk and character class."""
+        """For each step of an octave and each walk (of one text) the moves, a bit for each character class."""
         steps = np.arange(1 << octave, 2 << octave, dtype=np.uint64)[:, None]
         walk = np.arange(1, self.walks + 1, dtype=np.uint64)[None, :] << np.uint64(48)
         bits = mix64(mix64(steps + walk + np.uint64(self.seed)) ^ np.uint64(0x5851F42D4C957F2D))
-        out = ((bits[:, :, None] >> np.arange(_END + 1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        out[:, :, _END] = 0
-        return out.reshape(len(steps), -1)
+        return (bits & np.uint64((1 << _END) - 1))[:, :, None]  # none at the end of a text
 
     def embed(self, codes: np.ndarray, lengths: np.ndarray) -> list[list[bytes]]:
         """For each text (consecutive code points) the sampled digits of each walk."""
@@ -85,32 +86,32 @@ class Walks:
         dig = np.full(len(codes) + n, 16, dtype=np.uint8)
         cls[inside], dig[inside] = _CLASS[codes], _DIGIT[codes]
         order = np.argsort(-lengths, kind="stable")  # texts that end early drop out at the tail
-        at = np.repeat((ends - lengths)[order], self.walks)  # one place per text and walk
-        end = np.repeat(ends[order], self.walks)
+        at = np.tile((ends - lengths)[order].astype(np.uint64), (self.walks, 1))  # one place per walk and text
+        end = ends[order].astype(np.uint64)
         out: list[list[list[bytes]]] = [[[] for _ in range(self.walks)] for _ in range(n)]
         active, octave = int((lengths > 0).sum()), 0
         while active:
-            live = at[:active * self.walks]
-            last = end[:active * self.walks]
-            shift = np.tile(np.arange(self.walks, dtype=np.int64) * (_END + 1), active)
-            index, move = np.empty(len(live), dtype=np.int64), np.empty(len(live), dtype=np.uint8)
-            here = np.empty(len(live), dtype=np.uint8)
-            moves = self.moves(octave)
+            live, last = at[:, :active].copy(), end[:active]
+            places = live.view(np.int64)
+            here, move = np.empty(live.shape, dtype=np.uint8), np.empty(live.shape, dtype=np.uint64)
+            one = np.uint64(1)
             sampled = {int(j): k for k, j in enumerate(self.steps(octave) - (1 << octave))}
-            full = np.full((len(sampled), len(live)), 16, dtype=np.uint8)
-            for j in range(1 << octave):
+            full = np.full((len(sampled), *live.shape), 16, dtype=np.uint8)
+            for j, bits in enumerate(self.moves(octave)):
                 if j in sampled:
-                    np.take(dig, live, out=full[sampled[j]], mode="clip")
-                np.take(cls, live, out=here, mode="clip")
-                np.add(here, shift, out=index)
-                np.take(moves[j], index, out=move, mode="clip")
+                    np.take(dig, places, out=full[sampled[j]], mode="clip")
+                np.take(cls, places, out=here, mode="clip")
+                np.right_shift(bits, here, out=move)
+                np.bitwise_and(move, one, out=move)
                 np.add(live, move, out=live)
                 if j & 1023 == 1023 and (live == last).all():
                     break
-            for i, text in enumerate(_HEX[full.T]):
-                out[order[i // self.walks]][i % self.walks].append(text.tobytes())
-            unfinished = np.flatnonzero(live < last)
-            active, octave = int(unfinished[-1]) // self.walks + 1 if len(unfinished) else 0, octave + 1
+            at[:, :active] = live
+            for walk, digits in enumerate(_HEX[full.transpose(1, 2, 0)]):
+                for i, text in enumerate(digits):
+                    out[order[i]][walk].append(text.tobytes())
+            unfinished = np.flatnonzero((live < last).any(axis=0))
+            active, octave = int(unfinished[-1]) + 1 if len(unfinished) else 0, octave + 1
         return [[b"".join(w).rstrip(b"-") for w in text] for text in out]
 
     def weights(self, digits: int) -> np.ndarray:
@@ -241,14 +242,23 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
         "near_edited double, near_next double"))
 
 
+def _places(a: str) -> dict[str, int]:
+    """For each character the places in ``a`` that hold it, as bits."""
+    if len(a) <= EXACT:
+        out: dict[str, int] = {}
+        for i, ch in enumerate(a):
+            out[ch] = out.get(ch, 0) | 1 << i
+        return out
+    x = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
+    return {ch: int.from_bytes(np.packbits(x == ord(ch), bitorder="little").tobytes(), "little") for ch in set(a)}
+
+
 def _by_bits(a: str, b: str, most: int) -> int | None:
     """Edit distance by bit vectors over ``a``, or None if above ``most``."""
     if not a or not b:
         d = max(len(a), len(b))
         return d if d <= most else None
-    peq: dict[str, int] = {}
-    for ch in set(a):
-        peq[ch] = int("".join("1" if c == ch else "0" for c in reversed(a)), 2)
+    peq = _places(a)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     pv, mv, score = full, 0, len(a)
     for left, ch in zip(range(len(b) - 1, -1, -1), b):
@@ -267,6 +277,34 @@ def _by_bits(a: str, b: str, most: int) -> int | None:
     return score
 
 
+def _by_band(a: str, b: str, most: int) -> int | None:
+    """Edit distance by bit vectors over the 2 * most + 2 diagonals that matter, or None if above ``most``; ``a`` is not the
+    shorter, and longer than ``most``."""
+    wide, n, m = 2 * most + 2, len(a), len(b)
+    peq = _places(a)
+    full, get = (1 << wide) - 1, peq.get
+    pv, mv, score = full >> (wide - most - 1) << (wide - most - 1), 0, most
+    corner, side, shift = wide - 1, wide - 2, most + 1 - wide
+    worst = most + m - (n - most)  # it falls along the last row, not along a diagonal
+    for i, ch in enumerate(b):
+        eq = get(ch, 0)
+        eq = (eq >> shift if shift > 0 else eq << -shift) & full
+        shift += 1
+        d0 = ((((eq & pv) + pv) ^ pv) | eq | mv) & full
+        ph, mh = mv | (full ^ (d0 | pv)), d0 & pv
+        if i < n - most:
+            if not d0 >> corner:
+                score += 1
+        else:
+            score += (ph >> side & 1) - (mh >> side & 1)
+            side -= 1
+        if score > worst:
+            return None
+        d0 >>= 1
+        pv, mv = mh | (full ^ (d0 | ph)), d0 & ph
+    return score if score <= most else None
+
+
 def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance by the furthest places on each diagonal, or None if above ``most``; few edits, little work."""
     n, m, wide = len(a), len(b), 32
@@ -295,27 +333,134 @@ def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+def _core(a: str, b: str) -> tuple[slice, slice, np.ndarray, np.ndarray]:
+    """The texts without what they begin and end with alike: as slices, and as code points."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    head = int((np.append(x[:n] == y[:n], False)).argmin())
+    n -= head
+    tail = int((np.append(x[len(x) - n:][::-1] == y[len(y) - n:][::-1], False)).argmin())
+    at, to = slice(head, len(x) - tail), slice(head, len(y) - tail)
+    return at, to, x[at], y[to]
+
+
+def _unlike(x: np.ndarray, y: np.ndarray, most: int) -> bool:
+    """Whether the 3-grams show an edit distance above ``most``: an edit takes at most 3 of them and brings at most 3."""
+    grams = [t[2:] * np.uint32(961) + t[1:-1] * np.uint32(31) + t[:-2] if len(t) > 2 else t[:0] for t in (x, y)]
+    for bins in (1 << 11, 1 << 16):  # few bins tell most of the unlike texts
+        a, b = (np.bincount(g & np.uint32(bins - 1), minlength=bins) for g in grams)
+        if int(np.abs(a - b).sum()) > 6 * most:
+            return True
+    return False
+
+
+def _distance(a: str, b: str, x: np.ndarray, y: np.ndarray, most: int) -> int | None:
+    if min(len(x), len(y)) > BITS and most <= FEW:
+        return _by_diagonals(x, y, most)
+    a, b = sorted((a, b), key=len)
+    return _by_band(b, a, most) if a and 2 * most + 2 < len(a) else _by_bits(a, b, most)
+
+
+def _increasing(values: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly increasing subsequence."""
+    if (values[1:] > values[:-1]).all():
+        return np.arange(len(values))
+    tops, places, before = [], [], []
+    for i, v in enumerate(values.tolist()):
+        k = bisect.bisect_left(tops, v)
+        before.append(places[k - 1] if k else -1)
+        if k == len(tops):
+            tops.append(v)
+            places.append(i)
+        else:
+            tops[k], places[k] = v, i
+    out, i = [], places[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], dtype=np.int64)
+
+
+def _anchors(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the stretches of ``GRAM`` characters that both hold once, at most ``reach`` apart, in an order common to both."""
+    hashes = []
+    for t in (x, y):
+        n = max(0, len(t) - GRAM + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(GRAM if n else 0):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + t[k:k + n]
+        order = np.argsort(h)
+        h = h[order]
+        new = np.append(True, h[1:] != h[:-1])[:n]
+        once = new & np.append(new[1:], True)[:n]
+        hashes.append((h[once], order[once]))
+    (hx, i), (hy, j) = hashes
+    if not len(hx) or not len(hy):
+        return i[:0], i[:0]
+    at = np.minimum(np.searchsorted(hy, hx), len(hy) - 1)
+    both = hy[at] == hx
+    i, j = i[both], j[at[both]]
+    keep = np.abs(i - j) <= reach
+    i, j = i[keep], j[keep]
+    keep = np.ones(len(i), dtype=bool)
+    for k in range(GRAM):  # equal hashes are not enough
+        keep &= x[i + k] == y[j + k]
+    order = np.argsort(i[keep])
+    i, j = i[keep][order], j[keep][order]
+    chain = _increasing(j) if len(j) else j
+    return i[chain], j[chain]
+
+
+def _bound(a: str, b: str, x: np.ndarray, y: np.ndarray, most: int, reach: int) -> int:
+    """The edits of one alignment of the texts, so no less than their edit distance; no more is tried once they are at most ``most``.
+
+    The alignment goes through stretches that both texts hold once; what lies between two of them is
+    replaced, inserted or deleted, or aligned in the same way, or exactly if it is short.
+    """
+    longer = max(len(x), len(y))
+    if longer <= most or not len(x) or not len(y):
+        return longer
+    if longer <= EXACT:
+        return _by_bits(*sorted((a, b), key=len), longer)
+    i, j = _anchors(x, y, reach)
+    if not len(i):
+        return longer
+    i, j = np.concatenate([[-1], i, [len(x)]]), np.concatenate([[-1], j, [len(y)]])
+    di, dj = np.diff(i) - 1, np.diff(j) - 1  # characters between two that are matched
+    free = np.minimum(GRAM - 1, np.minimum(di, dj))  # the rest of the stretch
+    free[0] = 0
+    cost = np.maximum(di, dj) - free
+    total = int(cost.sum())
+    for k in np.argsort(-cost):
+        if total <= most or cost[k] < 2:
+            break
+        here, there = slice(i[k] + 1 + free[k], i[k + 1]), slice(j[k] + 1 + free[k], j[k + 1])
+        old = int(cost[k])
+        total += _bound(a[here], b[there], x[here], y[there], most - (total - old), longer) - old
+    return total
+
+
 def edit_distance(a: str, b: str, most: int) -> int | None:
     """Edit distance (code points inserted, deleted, replaced) of whole texts, or None if above ``most``."""
     if abs(len(a) - len(b)) > most:
         return None
     if a == b:
         return 0
-    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (a, b))
-    n = min(len(x), len(y))
-    head = int((np.append(x[:n] == y[:n], False)).argmin())
-    x, y, n = x[head:], y[head:], n - head
-    tail = int((np.append(x[len(x) - n:][::-1] == y[len(y) - n:][::-1], False)).argmin())
-    x, y = x[:len(x) - tail], y[:len(y) - tail]
-    # an edit takes at most 3 of the 3-grams and brings at most 3
-    bags = [np.bincount((t[2:] * np.uint32(961) + t[1:-1] * np.uint32(31) + t[:-2]) & np.uint32(0xFFFF), minlength=1 << 16)
-            if len(t) > 2 else np.zeros(1 << 16, dtype=np.int64) for t in (x, y)]
-    if int(np.abs(bags[0] - bags[1]).sum()) > 6 * most:
-        return None
-    if min(len(x), len(y)) > BITS:
-        return _by_diagonals(x, y, most)
-    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
-    return _by_bits(*sorted((a, b), key=len), most)
+    at, to, x, y = _core(a, b)
+    return None if _unlike(x, y, most) else _distance(a[at], b[to], x, y, most)
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether ``edit_distance`` is at most ``most``: an alignment that shows it spares the distance itself."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if a == b:
+        return True
+    at, to, x, y = _core(a, b)
+    if _unlike(x, y, most):
+        return False
+    a, b = a[at], b[to]
+    return _bound(a, b, x, y, most, most) <= most or _distance(a, b, x, y, most) is not None
 
 
 def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -326,7 +471,8 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 x, y = (unpack(batch.column(c)[i].as_py()).decode() for c in ("ta", "tb"))
-                if edit_distance(x, y, percent * max(len(x), len(y)) // 100) is not None:
+                most = percent * max(len(x), len(y)) // 100
+                if within(x, y, most):
                     keep.append(i)
             keep = pa.array(keep, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
