@@ -14,7 +14,7 @@ its length; of the shared walks the one that stayed together longest counts.
 Near copies anywhere in the table are found by banding: the sampled digits of each
 walk's last octaves are cut into bands, texts that meet in (walk, band, digits) are
 candidates, and a candidate is a link only if the edit distance of the whole texts
-is small enough.  Equal texts are one class with one representative, and buckets are
+is small enough (which any alignment with few enough edits shows).  Equal texts are one class with one representative, and buckets are
 split in rounds as in ``minhash``, so a hot bucket does not emit all its pairs.
 """
 

@@ -16,7 +16,8 @@ starts first wins.  A character that no entry spells alone may be unknown: it sc
 
 A space becomes the word mark, one mark is put before the text unless it begins with
 one, and the text is cut before every mark; so words are counted one by one and the
-counts of frequent words are kept in a bounded table.
+counts of frequent words are kept in a bounded table.  Words that no text had before
+are counted together, many texts at once (``Batch``); odd ones go one by one.
 """
 
 from __future__ import annotations
