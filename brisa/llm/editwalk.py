@@ -14,8 +14,13 @@ its length; of the shared walks the one that stayed together longest counts.
 Near copies anywhere in the table are found by banding: the sampled digits of each
 walk's last octaves are cut into bands, texts that meet in (walk, band, digits) are
 candidates, and a candidate is a link only if the edit distance of the whole texts
-is small enough (which any alignment with few enough edits shows).  Equal texts are one class with one representative, and buckets are
-split in rounds as in ``minhash``, so a hot bucket does not emit all its pairs.
+is small enough (which any alignment with few enough edits shows).  Equal texts are one class with one representative.
+
+A candidate whose texts are already in one class is not looked at.  First each text meets the best of the most popular
+texts of its buckets, then those that are left, which joins the near copies; what is left are buckets with texts of
+several classes.  There each text outside a bucket's largest class meets all texts of other classes, in one bucket only
+for each pair, and only if their lengths and counts of pairs of characters do not show that they are too far apart (a
+bound without error).  Classes are merged between slices of the candidates.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import mix64, stage, tasks_for, text_or_empty
+from .batches import list_array, mix64, stage, tasks_for, text_or_empty
 from .minhash import components
 
 WALKS, SAMPLES, SEED = 2, 64, 11  # samples: a power of two
@@ -44,6 +49,14 @@ ID_BYTES = 16
 BITS, FEW = 8000, 200
 #: length of the stretches that an alignment goes through, and of the texts between them that are aligned exactly
 GRAM, EXACT = 8, 64
+#: bins that pairs of characters are counted in
+BINS = 128
+#: share of the counts' limit from which an alignment is not likely to show a link (any share gives the same links)
+DOUBT = 0.55
+#: ids that are sent to all tasks to pick their texts; more are joined
+SENT_IDS = 500_000
+#: candidates that are compared at once, for each text that meets another
+AT_ONCE = 1
 #: code points handled by one round of vector operations
 CHUNK_CHARS = 6 << 20
 _END = 63  # class of the end of a text: no walk leaves it
@@ -51,6 +64,8 @@ _END = 63  # class of the end of a text: no walk leaves it
 _MIXED = mix64(np.arange(1, 0x110001, dtype=np.uint64))
 _CLASS = (_MIXED % np.uint64(_END)).astype(np.uint8)
 _DIGIT = ((_MIXED >> np.uint64(32)) & np.uint64(15)).astype(np.uint8)
+#: bin of every two classes
+_BIN = (mix64(np.arange(1, (_END + 1) ** 2 + 1, dtype=np.uint64)) % np.uint64(BINS)).astype(np.uint8)
 _HEX = np.frombuffer(b"0123456789abcdef-", dtype=np.uint8)
 
 
@@ -156,6 +171,22 @@ class Walks:
         return out
 
 
+def pair_counts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each text (consecutive code points) how many pairs of neighbouring characters fall into each bin (32767 at most).
+
+    An edit takes at most two pairs and brings at most two, so in two texts d edits apart the counts that are
+    higher in one of them are so by at most 2 * d in all.
+    """
+    cls = _CLASS[codes]
+    bins = _BIN[cls[:-1].astype(np.uint16) * np.uint16(_END + 1) + cls[1:]]
+    out, at = np.zeros((len(lengths), BINS), dtype=np.int64), 0
+    for i, n in enumerate(lengths.tolist()):
+        if n > 1:
+            out[i] = np.bincount(bins[at:at + n - 1], minlength=BINS)
+        at += n
+    return np.minimum(out, 32767).astype(np.int16)
+
+
 _WALKS: dict[tuple, Walks] = {}
 
 
@@ -201,13 +232,13 @@ def with_neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
 
 def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """doc_id, n_chars, text_sha256 (32 bytes), edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next of each row.
+    near_next, counts (see ``pair_counts``) of each row.
 
     Null texts are empty; an empty text has the empty fingerprint, is wholly like another
     empty text and unlike any other.  Rows of one doc_id follow each other by text.  A
     single document is its own next.  Other columns are ignored.
     """
-    names = ["doc_id", "n_chars", "text_sha256", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "text_sha256", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "counts"]
 
     def answer(ids, texts, after):
         """Rows for ``texts``; ``after`` is the text that follows the last of them."""
@@ -215,6 +246,7 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
         others = [edited(t, n) for t, n in zip(texts, [*texts[1:], after])]
         both = w.fingerprints([*texts, after, *others])
         prints, changed = both[:len(texts) + 1], both[len(texts) + 1:]
+        counts = pair_counts(np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), np.array([len(t) for t in texts], dtype=np.int64))
         return pa.RecordBatch.from_arrays([
             pa.array(ids, type=pa.int64()), pa.array([len(t) for t in texts], type=pa.int64()),
             pa.array([hashlib.sha256(t.encode()).digest() for t in texts], type=pa.binary()),
@@ -222,6 +254,7 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
             pa.array(prints[:-1], type=pa.string()), pa.array(changed, type=pa.string()),
             pa.array([w.likeness(a, b) for a, b in zip(prints, changed)], type=pa.float64()),
             pa.array([w.likeness(a, b) for a, b in zip(prints, prints[1:])], type=pa.float64()),
+            list_array(counts.ravel(), np.full(len(texts), BINS), pa.int16()),
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +272,7 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
 
     return with_neighbours(docs).mapInArrow(run, (
         "doc_id long, n_chars long, text_sha256 binary, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double"))
+        "near_edited double, near_next double, counts array<smallint>"))
 
 
 def _places(a: str) -> dict[str, int]:
@@ -344,14 +377,16 @@ def _core(a: str, b: str) -> tuple[slice, slice, np.ndarray, np.ndarray]:
     return at, to, x[at], y[to]
 
 
-def _unlike(x: np.ndarray, y: np.ndarray, most: int) -> bool:
-    """Whether the 3-grams show an edit distance above ``most``: an edit takes at most 3 of them and brings at most 3."""
+def _unlikeness(x: np.ndarray, y: np.ndarray, most: int) -> float:
+    """Above 1 if the 3-grams show an edit distance above ``most``: an edit takes at most 3 of them and brings at most 3."""
     grams = [t[2:] * np.uint32(961) + t[1:-1] * np.uint32(31) + t[:-2] if len(t) > 2 else t[:0] for t in (x, y)]
+    share = 0.0
     for bins in (1 << 11, 1 << 16):  # few bins tell most of the unlike texts
         a, b = (np.bincount(g & np.uint32(bins - 1), minlength=bins) for g in grams)
-        if int(np.abs(a - b).sum()) > 6 * most:
-            return True
-    return False
+        share = int(np.abs(a - b).sum()) / (6 * most) if most else float(len(x) + len(y) > 0) * 2
+        if share > 1 or share < DOUBT / 2 and len(x) + len(y) < 2 * bins:
+            break
+    return share
 
 
 def _distance(a: str, b: str, x: np.ndarray, y: np.ndarray, most: int) -> int | None:
@@ -447,7 +482,7 @@ def edit_distance(a: str, b: str, most: int) -> int | None:
     if a == b:
         return 0
     at, to, x, y = _core(a, b)
-    return None if _unlike(x, y, most) else _distance(a[at], b[to], x, y, most)
+    return None if _unlikeness(x, y, most) > 1 else _distance(a[at], b[to], x, y, most)
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -457,10 +492,11 @@ def within(a: str, b: str, most: int) -> bool:
     if a == b:
         return True
     at, to, x, y = _core(a, b)
-    if _unlike(x, y, most):
+    unlike = _unlikeness(x, y, most)
+    if unlike > 1:
         return False
     a, b = a[at], b[to]
-    return _bound(a, b, x, y, most, most) <= most or _distance(a, b, x, y, most) is not None
+    return unlike < DOUBT and _bound(a, b, x, y, most, most) <= most or _distance(a, b, x, y, most) is not None
 
 
 def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -477,7 +513,8 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    return (pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a")
+    # spread first: comparing takes long, and small tables would make few tasks
+    return (pairs.repartition(tasks_for(pairs), "a", "b").join(texts.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("packed").alias("tb")), "b")
             .select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
 
@@ -494,6 +531,38 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id binary, packed binary")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` (id, component) with the components of ``links`` (a, b) joined; only the components that links join are walked."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links)
+    new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti")
+    labels = stage(labels.union(new.select("id", F.col("id").alias("component"))), "edit-labels")
+    named = (links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
+             .join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").filter("ca != cb"))
+    moved = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    moved = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return stage(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "edit-labels")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The (a, b) of ``pairs`` in two components."""
+    if labels is None:
+        return pairs
+    return (pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether texts (n, counts and cn, ccounts) can be within ``percent`` of the longer one; never false for a link."""
+    most = F.floor(F.greatest("n", "cn") * percent / 100)
+    more = F.aggregate(F.zip_with("counts", "ccounts", lambda x, y: F.greatest(x.cast("int") - y.cast("int"), F.lit(0))), F.lit(0), lambda t, v: t + v)
+    less = F.aggregate(F.zip_with("counts", "ccounts", lambda x, y: F.greatest(y.cast("int") - x.cast("int"), F.lit(0))), F.lit(0), lambda t, v: t + v)
+    return (F.abs(F.col("n") - F.col("cn")) <= most) & (more <= 2 * most) & (less <= 2 * most)
+
+
 def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, walks: int = WALKS, samples: int = SAMPLES,
                  seed: int = SEED) -> DataFrame:
     """id (of the text: the first bytes of its text_sha256), class_id of every text of ``prints`` (written rows of ``edit_fingerprints`` over ``docs``).
@@ -505,56 +574,78 @@ def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, wal
         w = _walks(walks, samples, seed)
         for batch in batches:
             keys = [w.bands(f) for f in batch.column("fingerprint").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), batch.column("n"), pa.array(keys, type=pa.list_(pa.string()))],
-                                             names=["id", "doc_id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "doc_id", "n", "counts")), pa.array(keys, type=pa.list_(pa.string()))],
+                                             names=["id", "doc_id", "n", "counts", "keys"])
 
     # of a text its bands are kept, as hashes: a band that meets another by chance brings candidates, which are verified
     own = stage(prints.groupBy(F.substring("text_sha256", 1, ID_BYTES).alias("id"))
-                .agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n"), F.first("fingerprint").alias("fingerprint"))
-                .mapInArrow(cut, "id binary, doc_id long, n long, keys array<string>")
-                .withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))), "edit-texts")
-    members = own.filter("n > 0").select("id", "n", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = stage(members.join(shared, "key").select("key", "id", "n"), "edit-buckets")
-    met = members.select("id").distinct()
-    texts = docs.select(F.substring(F.unhex(F.sha2(text_or_empty().cast("string"), 256)), 1, ID_BYTES).alias("id"),
+                .agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n"), F.first("counts").alias("counts"),
+                     F.first("fingerprint").alias("fingerprint"))
+                .mapInArrow(cut, "id binary, doc_id long, n long, counts array<smallint>, keys array<string>")
+                .withColumn("keys", F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))), "edit-texts", "zstd")
+    members = own.filter("n > 0").select("id", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stage(members.join(shared, "key").select("key", "id", "size"), "edit-buckets")
+    # the texts that meet another, with the bands where they do; popular: how many they meet
+    met = members.groupBy("id").agg(F.sum("size").alias("popular"), F.array_sort(F.collect_list("key")).alias("met"))
+    met = stage(met.join(own.select("id", "n", "counts"), "id"), "edit-met", "zstd")
+    at_once = AT_ONCE * met.count()
+    plain = docs.select(F.substring(F.unhex(F.sha2(text_or_empty().cast("string"), 256)), 1, ID_BYTES).alias("id"),
                         text_or_empty().cast("string").alias("text"))
-    # compressed before they are shuffled
-    texts = _packed(texts).join(met, "id", "left_semi")
-    texts = stage(texts.groupBy("id").agg(F.first("packed").alias("packed")), "edit-packed")
-    edges, labels, tested, centers = None, None, None, 1
-    while not members.isEmpty():
-        if centers == 1:
-            first = (members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
-                     .select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")))
+
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """``labels`` with the links among ``pairs``, which are compared in slices."""
+        slices = -(-pairs.count() // max(at_once, 1))
+        if not slices:
+            return labels
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # compressed before they are shuffled
+        texts = _packed(plain.join(F.broadcast(ids), "id", "left_semi")) if ids.count() <= SENT_IDS else _packed(plain).join(ids, "id", "left_semi")
+        texts = stage(texts.groupBy("id").agg(F.first("packed").alias("packed")), "edit-packed")
+        for k in range(slices):
+            part = pairs if slices == 1 else _apart(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k), labels)
+            labels = _merged(labels, stage(_near(part, texts, percent), "edit-links"))
+        return labels
+
+    # texts whose lengths differ more than a link's distance are no link
+    near = F.abs(F.col("n") - F.col("cn")) * 100 <= F.greatest("n", "cn") * percent
+    labels, tested = None, None
+    for step in ("best", "star", "all"):
+        texts = met if labels is None else met.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if labels is None:
+            texts = texts.withColumn("component", F.col("id"))
+        # buckets whose texts are in one component are done
+        inside = texts.select("id", "component", "popular", "n", F.explode("met").alias("key"))
+        mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        if step == "all":
+            # of a bucket the largest component; texts of two others are paired once, by their ids
+            sizes = inside.join(mixed, "key").groupBy("key", "component").count()
+            largest = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("most")).select("key", F.col("most.component").alias("largest"))
+            inside = texts.select("id", "component", "n", "counts", "met", F.explode("met").alias("key")).join(largest, "key")
+            centers = (inside.filter("component != largest")
+                       .select(F.col("key").alias("ckey"), F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("counts").alias("ccounts"),
+                               F.col("met").alias("cmet"), F.col("component").alias("cc")))
+            once = (F.col("component") == F.col("largest")) | (F.col("cid") < F.col("id"))
+            first = F.array_min(F.array_intersect("met", "cmet")) == F.col("key")  # of the buckets that both are in
+            pairs = (inside.join(centers, (F.col("key") == F.col("ckey")) & (F.col("component") != F.col("cc")) & once & near & first & _may_link(percent))
+                     .select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")))
         else:
-            first = (members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-                     .filter(F.col("r") <= centers).select("key", F.col("id").alias("cid"), F.col("n").alias("cn")))
-        # texts whose lengths differ more than a link's distance are no link
-        pairs = (members.join(first, "key")
-                 .filter((F.col("cid") < F.col("id")) & (100 * F.abs(F.col("n") - F.col("cn")) <= percent * F.greatest("n", "cn")))
-                 .select(F.col("cid").alias("a"), F.col("id").alias("b")).distinct())
-        if labels is not None:
-            pairs = (pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-                     .join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-                     .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-        if tested is not None:  # a pair can meet again in another bucket
+            inside = inside.join(mixed, "key")
+            centers = (inside.groupBy("key").agg(F.max(F.struct("popular", "id", "n", "component")).alias("c"))
+                       .select(F.col("key").alias("ckey"), F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc")))
+            pairs = inside.join(centers, (F.col("key") == F.col("ckey")) & (F.col("component") != F.col("cc")) & near).select("id", "cid")
+            if step == "best":
+                pairs = (pairs.groupBy("id", "cid").count().groupBy("id").agg(F.max(F.struct("count", "cid")).alias("best"))
+                         .select("id", F.col("best.cid").alias("cid")))
+            pairs = pairs.distinct()
+            pairs = (pairs.join(met.select("id", "n", "counts"), "id")
+                     .join(met.select(F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("counts").alias("ccounts")), "cid").filter(_may_link(percent))
+                     .select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct())
+        if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "edit-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = stage(_near(pairs, texts, percent), "edit-links")
-        if not links.isEmpty():
-            edges = links if edges is None else edges.union(links)
-            labels = components(edges)
-        rest = members.join(first.select("key", F.col("cid").alias("id")), ["key", "id"], "left_anti")
-        if labels is None:
-            rest = rest.withColumn("component", F.col("id"))
-        else:
-            rest = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = stage(rest.select("key", "id", "n", "component"), "edit-rest")
-        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        members = stage(rest.join(mixed, "key").select("key", "id", "n"), "edit-buckets")
-        centers = min(64, centers * 8)
+        labels = linked(pairs, labels)
     if labels is None:
         return own.select("id", F.col("doc_id").alias("class_id"))
     rows = own.select("id", "doc_id").join(labels, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
@@ -564,6 +655,11 @@ def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, wal
 
 def with_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``edit_fingerprints`` of each row and class_id, see ``edit_classes``."""
-    prints = stage(edit_fingerprints(docs), "edit-prints", "zstd")  # hex digits: half of their bytes
+    # both fingerprints in one column: most of the second repeats the first, which compression finds
+    both = F.concat_ws("|", "fingerprint", "edited_fingerprint").alias("both")
+    rows = edit_fingerprints(docs)
+    prints = stage(rows.select(*[both if c == "fingerprint" else F.col(c) for c in rows.columns if c != "edited_fingerprint"]), "edit-prints", "zstd")
+    parts = F.split("both", "[|]")
+    prints = prints.select(*[x for c in prints.columns for x in ([parts[0].alias("fingerprint"), parts[1].alias("edited_fingerprint")] if c == "both" else [F.col(c)])])
     return (prints.withColumn("id", F.substring("text_sha256", 1, ID_BYTES)).join(edit_classes(prints, docs, percent), "id")
-            .drop("id", "text_sha256"))
+            .drop("id", "text_sha256", "counts"))
