@@ -172,7 +172,7 @@ class Walks:
 
 
 def pair_counts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each text (consecutive code points) how many pairs of neighbouring characters fall into each bin (32767 at most).
+    """For each text (consecutive code points) how many pairs of neighbouring characters fall into each bin (127 at most).
 
     An edit takes at most two pairs and brings at most two, so in two texts d edits apart the counts that are
     higher in one of them are so by at most 2 * d in all.
@@ -184,7 +184,7 @@ def pair_counts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if n > 1:
             out[i] = np.bincount(bins[at:at + n - 1], minlength=BINS)
         at += n
-    return np.minimum(out, 32767).astype(np.int16)
+    return np.minimum(out, 127).astype(np.int8)
 
 
 _WALKS: dict[tuple, Walks] = {}
@@ -254,7 +254,7 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
             pa.array(prints[:-1], type=pa.string()), pa.array(changed, type=pa.string()),
             pa.array([w.likeness(a, b) for a, b in zip(prints, changed)], type=pa.float64()),
             pa.array([w.likeness(a, b) for a, b in zip(prints, prints[1:])], type=pa.float64()),
-            list_array(counts.ravel(), np.full(len(texts), BINS), pa.int16()),
+            list_array(counts.ravel(), np.full(len(texts), BINS), pa.int8()),
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def edit_fingerprints(docs: DataFrame, walks: int = WALKS, samples: int = SAMPLE
 
     return with_neighbours(docs).mapInArrow(run, (
         "doc_id long, n_chars long, text_sha256 binary, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, counts array<smallint>"))
+        "near_edited double, near_next double, counts array<tinyint>"))
 
 
 def _places(a: str) -> dict[str, int]:
@@ -581,7 +581,7 @@ def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, wal
     own = stage(prints.groupBy(F.substring("text_sha256", 1, ID_BYTES).alias("id"))
                 .agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n"), F.first("counts").alias("counts"),
                      F.first("fingerprint").alias("fingerprint"))
-                .mapInArrow(cut, "id binary, doc_id long, n long, counts array<smallint>, keys array<string>")
+                .mapInArrow(cut, "id binary, doc_id long, n long, counts array<tinyint>, keys array<string>")
                 .withColumn("keys", F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))), "edit-texts", "zstd")
     members = own.filter("n > 0").select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -621,7 +621,11 @@ def edit_classes(prints: DataFrame, docs: DataFrame, percent: int = PERCENT, wal
             # of a bucket the largest component; texts of two others are paired once, by their ids
             sizes = inside.join(mixed, "key").groupBy("key", "component").count()
             largest = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("most")).select("key", F.col("most.component").alias("largest"))
-            inside = texts.select("id", "component", "n", "counts", "met", F.explode("met").alias("key")).join(largest, "key")
+            # of each text the buckets that are left; its counts join it, not its rows in all buckets
+            left = texts.select("id", F.explode("met").alias("key")).join(largest, "key").groupBy("id").agg(F.collect_list(F.struct("key", "largest")).alias("left"))
+            left = stage(texts.select("id", "component", "n", "counts").join(left, "id"), "edit-left", "zstd")
+            inside = (left.withColumn("met", F.col("left.key")).withColumn("in", F.explode("left"))
+                      .select("id", "component", "n", "counts", "met", "in.key", "in.largest"))
             centers = (inside.filter("component != largest")
                        .select(F.col("key").alias("ckey"), F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("counts").alias("ccounts"),
                                F.col("met").alias("cmet"), F.col("component").alias("cc")))
