@@ -41,6 +41,7 @@ AWKWARD_STATION_SQL = r"""CASE WHEN estacao LIKE 'R%' THEN estacao || chr(10) ||
 HOT_STATION = "CASE WHEN rs <= 25 THEN 3 ELSE codnum END"     # station 3 gets about half of the readings
 HOT_ENTITY = "CASE WHEN value < 35 THEN -1 ELSE user_id END"  # one entity holds about half of the events
 SCAN_RECORDS = 200_000                       # records of a file that one task has to read (about 60 MB)
+LOAD_RECORDS = 1_000_000                     # records of a file of the loader stream (about 200 MB), STREAM_FILES of them in a micro-batch
 STREAM_FILES = 8                             # unordered frame files, one per micro-batch
 REPLAY_CYCLES = 2.5                          # replay passes over events
 REPLAY_BATCH_S = 5                           # seconds of the schedule that one micro-batch sends
@@ -271,7 +272,8 @@ def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def _load_in_two(spark: SparkSession, text: DataFrame, late, name: str, **load) -> DataFrame:
     """Readings in the topic after a loader stream took the files of ``text``, those where ``late`` holds
-    written only after it had read the others."""
+    written only after it had read the others.  Files that are loaded go, so text and frames of all readings
+    are never on disk at once."""
     from brisa.sources.kafka import read_frames
     from brisa.streaming import pipelines as st
 
@@ -279,8 +281,8 @@ def _load_in_two(spark: SparkSession, text: DataFrame, late, name: str, **load)
     out, ckpt = st.scratch(spark, name)
     late = F.coalesce(late, F.lit(False))
     for part in (~late, late):
-        write_export(text.filter(part), inbox, mode="append")
-        st.run_to_completion(st.start_loader_stream(spark, inbox, out, ckpt, files_per_trigger=STREAM_FILES, **load))
+        write_export(text.filter(part), inbox, mode="append", records_per_file=LOAD_RECORDS)
+        st.run_to_completion(st.start_loader_stream(spark, inbox, out, ckpt, files_per_trigger=STREAM_FILES, drop_read=True, **load))
     return decode(read_frames(spark, "files", out), mode="failfast")
 
 

@@ -66,15 +66,21 @@ def csv_scan(spark: SparkSession, path: str, schema: T.StructType = TEXT_SCHEMA,
 
 
 def csv_stream(spark: SparkSession, path: str, schema: T.StructType = TEXT_SCHEMA, dialect: str = "doubled",
-               multiline: bool = False, options: dict | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming twin of :func:`csv_scan` (new files in a folder, ``files_per_trigger`` of them in a micro-batch)."""
+               multiline: bool = False, options: dict | None = None, files_per_trigger: int | None = None,
+               drop_read: bool = False) -> DataFrame:
+    """Streaming twin of :func:`csv_scan` (new files in a folder, ``files_per_trigger`` of them in a micro-batch).
+
+    With ``drop_read`` the files of a micro-batch go when the next one begins, those of the last one when the query
+    is started again and finds more: only for a folder that no other query reads.
+    """
     every = {"maxFilesPerTrigger": str(int(files_per_trigger))} if files_per_trigger else {}
-    return _scan(spark.readStream, path, schema, dialect, multiline, {**every, **(options or {})})
+    drop = {"cleanSource": "delete"} if drop_read else {}
+    return _scan(spark.readStream, path, schema, dialect, multiline, {**every, **drop, **(options or {})})
 
 
 def write_export(df: DataFrame, path: str, mode: str = "overwrite", records_per_file: int | None = None) -> None:
     """K3: text columns to quoted CSV with a header (one file per task, or as many as ``records_per_file``
-    asks for: a file that is scanned with ``multiline`` is read by one task)."""
+    asks for: a file that is scanned with ``multiline`` is read by one task, and a stream takes whole files)."""
     most = {"maxRecordsPerFile": str(int(records_per_file))} if records_per_file else {}
     ensure_parallelism(df).write.mode(mode).options(**EXPORT_OPTIONS, **most).csv(path)
 

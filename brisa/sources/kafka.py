@@ -33,6 +33,8 @@ LOADER_SINK_PRESET = {
     "kafka.batch.size": "65536",
     "kafka.linger.ms": "10",
 }
+# Frame files: payloads of neighbouring rows are alike, which zstd makes less than half as large as snappy does.
+FILE_SINK_PRESET = {"compression": "zstd"}
 
 
 def source_options(bootstrap: str, topic: str, starting: str = "earliest",
@@ -107,7 +109,7 @@ def frame_sink(transport: str, target, preset: dict | None = None, placed: bool
     if transport == "kafka":
         return FrameSink("kafka", sink_options(target, preset) if isinstance(target, str) else dict(target))
     if transport == "files":
-        return FrameSink("parquet", {"path": target}, ("partition",) if placed else ())
+        return FrameSink("parquet", {**FILE_SINK_PRESET, "path": target}, ("partition",) if placed else ())
     raise ValueError(f"unknown transport {transport!r}")
 
 

@@ -45,7 +45,8 @@ def start_loader_stream(spark: SparkSession, csv_path: str, target, checkpoint:
     Every file is loaded once, however late it comes and however often the query restarts.
     ``malformed`` is the policy of :func:`brisa.operators.parse.load_readings`; under ``"skip"`` the
     dropped records can be kept by a :func:`start_malformed_stream` on the same folder.  ``stamp`` adds the
-    time of loading as ``timestamp`` (brokers do that themselves).  ``scan`` goes to :func:`csv_stream`.
+    time of loading as ``timestamp`` (brokers do that themselves).  ``scan`` goes to :func:`csv_stream`, where
+    ``drop_read`` deletes files once their frames are committed.
     """
     readings = load_readings(csv_stream(spark, csv_path, files_per_trigger=files_per_trigger, **scan), malformed)
     frames = load_frames(readings, topic)
